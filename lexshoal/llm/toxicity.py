@@ -1,7 +1,7 @@
 """Toxicity: maximum-scoring segments of token log-odds, calibrated by extreme values.
 
-1. Words (runs of letters, A-Z lower-cased) of labelled documents are counted by hashed bucket.
-   Log-odds between toxic and other documents get an informative Dirichlet prior that follows the
+1. For each hashed word (a run of letters, A-Z lower-cased) the labelled documents that have it are
+   counted; near copies, by two minima of hashed words, count once for each label. Log-odds between toxic and other documents get an informative Dirichlet prior that follows the
    overall counts; a word's score is the bound of its log-odds nearest to zero, less a small drift,
    so ordinary words score below zero.
 2. A linear scan finds every maximal-scoring segment of a document (Ruzzo and Tompa's definition).
@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshoal.llm.texts import LETTER, blocks, column_bytes, words
-from lexshoal.storage import read_table
+from lexshoal.llm.texts import LETTER, blocks, column_bytes, mix, words
+from lexshoal.storage import materialize, read_table
 
-TRAIN_ROWS, BITS, PRIOR, DRIFT, BOUND, SIGNIFICANT, PREDICT_AT = 20_000, 20, 50.0, 0.25, 2.0, 0.05, 0.3
+TRAIN_ROWS, BITS, PRIOR, DRIFT, BOUND, SIGNIFICANT, PREDICT_AT = 20_000, 20, 0.1, 0.25, 3.0, 0.05, 0.3
 _CAP = 40.0
 
 
@@ -43,9 +43,12 @@ def buckets(digests: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR, bound: float = BOUND) -> np.ndarray:
-    """For each bucket the bound nearest to zero of the log-odds under an informative Dirichlet prior."""
+    """For each bucket the bound nearest to zero of the log-odds under an informative Dirichlet prior.
+
+    ``prior`` is the weight of the prior as a share of all counts.
+    """
     both = toxic + other
-    a = prior * (both + 0.01) / (both + 0.01).sum()
+    a = prior * (both + 0.01)
     a0, n1, n0 = a.sum(), toxic.sum(), other.sum()
     delta = np.log((toxic + a) / (n1 + a0 - toxic - a)) - np.log((other + a) / (n0 + a0 - other - a))
     spread = bound * np.sqrt(1 / (toxic + a) + 1 / (other + a))
@@ -172,24 +175,38 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc: str = "do
     usable = labels.select(F.col(doc).alias("id"), F.col(label).cast("int").alias("label")).dropna().where(~held_out(F.col("id")))
     sample = usable.orderBy(F.xxhash64("id"), "id", "label").limit(train_rows)
     chosen = docs.select(F.col(doc).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id").select("text", "label")
+    chosen = materialize(chosen, "toxicity-sample")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, at = column_bytes(batch.column("text"))
+            for a, b in blocks(at):
+                digests, _, _, first = words(flat[at[a] : at[b]], at[a : b + 1] - at[a], LETTER)
+                some = np.flatnonzero(np.diff(first))
+                keys = np.zeros((2, b - a), np.int64)
+                if len(some):
+                    for k, seed in enumerate((0x51ED27, 0xC0FFEE)):
+                        keys[k, some] = np.minimum.reduceat(mix(digests ^ np.uint64(seed)), first[some]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), batch.column("text").slice(a, b - a), batch.column("label").slice(a, b - a)], ["k0", "k1", "text", "label"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 1 << bits), np.int64)
         for batch in batches:
             flat, at = column_bytes(batch.column("text"))
-            label = np.asarray(batch.column("label")) > 0
+            toxic = np.asarray(batch.column("label")) > 0
             for a, b in blocks(at):
                 digests, _, _, first = words(flat[at[a] : at[b]], at[a : b + 1] - at[a], LETTER)
-                toxic = np.repeat(label[a:b], np.diff(first))
-                bucket = buckets(digests, bits)
-                totals[0] += np.bincount(bucket[~toxic], minlength=1 << bits)
-                totals[1] += np.bincount(bucket[toxic], minlength=1 << bits)
+                once = np.unique(np.repeat(np.arange(b - a), np.diff(first)) << bits | buckets(digests, bits))
+                row, bucket = once >> bits, once & ((1 << bits) - 1)
+                totals[0] += np.bincount(bucket[~toxic[a:b][row]], minlength=1 << bits)
+                totals[1] += np.bincount(bucket[toxic[a:b][row]], minlength=1 << bits)
         used = np.flatnonzero(totals.any(0))
         for at in range(0, len(used), 100_000):
             part = used[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(totals[0, part]), pa.array(totals[1, part])], ["bucket", "other", "toxic"])
 
-    counted = chosen.mapInArrow(count, "bucket long, other long, toxic long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toPandas()
+    apart = chosen.mapInArrow(sketch, "k0 long, k1 long, text string, label int").groupBy("k0", "k1", "label").agg(F.min("text").alias("text"))
+    counted = apart.select("text", "label").mapInArrow(count, "bucket long, other long, toxic long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toPandas()
     other, toxic = np.zeros(1 << bits), np.zeros(1 << bits)
     other[counted["bucket"]], toxic[counted["bucket"]] = counted["other"], counted["toxic"]
     if not toxic.any() or not other.any():
