@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexshoal.llm import chat, lines, media, quality, toxicity, warc
+from lexshoal.llm import chat, lines, media, packing, quality, toxicity, warc
 
-_MODULES = (chat, lines, media, quality, toxicity, warc)
+_MODULES = (chat, packing, media, quality, lines, warc, toxicity)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
