@@ -168,8 +168,9 @@ def nonnegative_least_squares(matrix: np.ndarray, target: np.ndarray, most_steps
     for _ in range(most_steps or 3 * matrix.shape[0]):
         gradient = matrix.T @ (target - matrix[:, passive] @ x[passive])
         gradient[passive] = -np.inf
-        best = int(np.argmax(gradient))
-        if gradient[best] <= slack:
+        best = np.argpartition(-gradient, min(8, n - 1))[:8]
+        best = best[gradient[best] > slack]
+        if not len(best):
             break
         passive[best] = True
         while True:
