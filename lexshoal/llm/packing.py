@@ -22,6 +22,7 @@ row as a document. An empty table gives an empty result. Other columns are ignor
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -34,14 +35,20 @@ from pyspark.sql import functions as F
 from lexshoal.llm.texts import column_bytes
 from lexshoal.storage import materialize, read_table
 
-WINDOW, END, UNITS, BLOCK_PIECES, CACHED_WORDS = 4096, 2, 256, 200_000, 600_000
+WINDOW, END, UNITS, BLOCK_PIECES, CACHED_WORDS = 4096, 2, 256, 200_000, 500_000
+
+
+#: Latin letters, then punctuation; no apostrophe, which can start a suffix, and no ``<``, which can start a special token.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:$%&#*|]*)")
 
 
 class WordEncoder:
     """Ids of whole texts from ids of words.
 
     The tokenizer drops white space and never joins what white space parts, so a text's ids are its
-    words' ids in order. Words are looked up in a bounded table; only new ones are encoded.
+    words' ids in order. Words are looked up in a bounded table; only new ones are encoded. Most are
+    Latin letters and then punctuation, which the tokenizer parts, too: their lower-cased letters and
+    their punctuation go straight to its model. All other words take its whole path.
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
@@ -49,11 +56,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.cached_words = cached_words
+        # the tokenizer's own names of the bytes of letters beyond ASCII
+        name = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.names = str.maketrans({c: name(c)[0][0] for c in map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])})
         self.clear()
 
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {"": []}
         self.ids, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
 
     def _learn(self, words: list[str]) -> None:
@@ -61,7 +73,17 @@ class WordEncoder:
             self.clear()
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            found, odd = [], []
+            for i, word in enumerate(part):
+                match = _PLAIN.fullmatch(word)
+                if match:
+                    found.append(self._ids(match[1].lower()) + self._ids(match[2]))
+                else:
+                    found.append([])
+                    odd.append(i)
+            whole = self.tokenizer.encode_batch_fast([part[i] for i in odd], add_special_tokens=False)
+            for i, x in zip(odd, whole, strict=True):
+                found[i] = x.ids
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
             while self.used + len(flat) > len(self.ids):
@@ -72,6 +94,14 @@ class WordEncoder:
             first = len(self.slots)
             self.slots.update((w, first + i) for i, w in enumerate(part))
 
+    def _ids(self, part: str) -> list[int]:
+        """The ids of lower-case letters or of punctuation."""
+        ids = self.parts.get(part)
+        if ids is None:
+            name = part if part.isascii() else part.translate(self.names)
+            ids = self.parts[part] = [x.id for x in self.model.tokenize(name)]
+        return ids
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and for each text its first (n+1 values)."""
         parts = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
