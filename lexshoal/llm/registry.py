@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexshoal.llm import chat, decontaminate, lines, media, near, packing, quality, toxicity, warc
+from lexshoal.llm import chat, decontaminate, lines, media, near, packing, quality, substrings, toxicity, warc
 
-_MODULES = (chat, packing, decontaminate, media, quality, lines, warc, near, toxicity)
+_MODULES = (chat, packing, decontaminate, media, substrings, quality, lines, warc, near, toxicity)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
