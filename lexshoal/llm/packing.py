@@ -21,8 +21,10 @@ row as a document. An empty table gives an empty result. Other columns are ignor
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from lexshoal.llm.texts import column_bytes
 from lexshoal.storage import materialize, read_table
 
-WINDOW, END, UNITS, BLOCK_PIECES, CACHED_WORDS = 4096, 2, 256, 200_000, 500_000
+WINDOW, END, UNITS, BLOCK_PIECES, CACHED_WORDS = 4096, 2, 256, 200_000, 1_000_000
 
 
 #: Latin letters, then punctuation; no apostrophe, which can start a suffix, and no ``<``, which can start a special token.
@@ -65,42 +67,40 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {"": []}
-        self.ids, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
+        self.marks: dict[str, bytes] = {"": b""}
+        self.ids, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    def _tokens(self, part: str) -> bytes:
+        """The ids of lower-case letters or of punctuation, as 32-bit numbers."""
+        name = part if part.isascii() else part.translate(self.names)
+        return array("I", [x.id for x in self.model.tokenize(name)]).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.slots) + len(words) > self.cached_words:
-            self.clear()
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            found, odd = [], []
-            for i, word in enumerate(part):
-                match = _PLAIN.fullmatch(word)
-                if match:
-                    found.append(self._ids(match[1].lower()) + self._ids(match[2]))
-                else:
-                    found.append([])
-                    odd.append(i)
-            whole = self.tokenizer.encode_batch_fast([part[i] for i in odd], add_special_tokens=False)
-            for i, x in zip(odd, whole, strict=True):
-                found[i] = x.ids
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.starts = np.concatenate((self.starts, self.used + np.cumsum(sizes)))
-            self.used += len(flat)
-            first = len(self.slots)
-            self.slots.update((w, first + i) for i, w in enumerate(part))
-
-    def _ids(self, part: str) -> list[int]:
-        """The ids of lower-case letters or of punctuation."""
-        ids = self.parts.get(part)
-        if ids is None:
-            name = part if part.isascii() else part.translate(self.names)
-            ids = self.parts[part] = [x.id for x in self.model.tokenize(name)]
-        return ids
+        found, odd = [], []
+        for i, word in enumerate(words):
+            match = _PLAIN.fullmatch(word)
+            if match:
+                letters, mark = match.groups()
+                if mark not in self.marks:
+                    self.marks[mark] = self._tokens(mark)
+                found.append(self._tokens(letters.lower()) + self.marks[mark] if letters else self.marks[mark])
+            else:
+                found.append(b"")
+                odd.append(i)
+        whole = self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)
+        for i, x in zip(odd, whole, strict=True):
+            found[i] = array("I", x.ids).tobytes()
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        ends = self.used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
+        first, self.used = self.used, self.used + len(flat)
+        while self.used > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[first : self.used] = flat
+        n = len(self.slots)
+        while n + len(words) >= len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+        self.starts[n + 1 : n + 1 + len(words)] = ends
+        self.slots.update(zip(words, range(n, n + len(words)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and for each text its first (n+1 values)."""
@@ -112,7 +112,12 @@ class WordEncoder:
         if len(self.slots) + len(new) > self.cached_words:
             self.clear()
             new = words
-        self._learn(new)
+        gc.disable()  # millions of new strings and no cycles
+        try:
+            for at in range(0, len(new), 20_000):
+                self._learn(new[at : at + 20_000])
+        finally:
+            gc.enable()
         slot = np.fromiter((self.slots[w] for w in words), np.int64, len(words))
         slot = slot[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
         sizes = self.starts[slot + 1] - self.starts[slot]
