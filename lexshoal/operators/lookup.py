@@ -23,8 +23,8 @@ BROADCAST_ROWS = 200_000
 
 
 def fitted(corpus: Corpus, queries: DataFrame, strict: bool = False) -> DataFrame:
-    """Queries without tokens beyond the corpus' width; with ``strict`` such a query is an error."""
-    if corpus.vocab is None:
+    """Queries without ids beyond the corpus' width; with ``strict`` such a query is an error. Other tokens all fit."""
+    if corpus.vocab is None or corpus.token_type == "string":
         return queries
     fit = fit_query(F.col("query"), corpus.vocab)
     if strict:
