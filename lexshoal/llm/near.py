@@ -9,11 +9,13 @@
    matches in n values is Beta(m + 1, n - m + 1); a pair is pruned as soon as
    P(similarity >= threshold) falls below ``MISS``. Survivors are verified exactly on full sets made
    again from whole texts.
-4. First each representative is compared with the smallest member of its buckets. What the resulting
-   components do not explain is compared in full: in buckets that still hold several components, all
-   pairs of members of different components, in blocks of signatures, of which only survivors of the
-   Bayesian test are emitted. The members of a bucket's largest component are compared with the
-   others, not among themselves, so a large group of copies costs its size times its strangers.
+4. First each representative is compared with the smallest members of its buckets. What the
+   resulting components do not explain is compared in full: in buckets that still hold several
+   components, all pairs of members of different components, in blocks of signatures. The members of
+   a bucket's largest component are compared with the others, not among themselves, so a large group
+   of copies costs its size times its strangers. Of the survivors of the Bayesian test, a first round
+   emits those that would join components, at most one for each member of a block, and a last round,
+   which makes the result complete, those that are left.
 
 Links are confirmed by set sizes: 100 * intersection >= ``percent`` * union, in integers. Shingle
 sets hold 64-bit digests of shingles.
@@ -196,8 +198,30 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _strangers(members: DataFrame, profiles: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Pairs of members (key, uid, root) of one bucket and different roots that pass the Bayesian test."""
+def spanning_pairs(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """Which pairs, taken by falling worth, join two roots that no earlier pair has joined."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    keep = []
+    for i in np.lexsort((b, a, -worth)).tolist():
+        x, y = top(int(root_a[i])), top(int(root_b[i]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(i)
+    return np.array(keep, np.int64)
+
+
+def _strangers(members: DataFrame, profiles: DataFrame, threshold: float, spanning: bool, block: int = BLOCK) -> DataFrame:
+    """Pairs of members (key, uid, root) of one bucket and different roots that pass the Bayesian test.
+
+    With ``spanning`` only pairs that would join a block's roots, the most similar first: at most one
+    for each of its members.
+    """
     counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
     buckets = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots"))
     buckets = buckets.where("roots > 1").select("key", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / block).alias("major"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("minor"))
@@ -229,6 +253,12 @@ def _strangers(members: DataFrame, profiles: DataFrame, threshold: float, block:
                     found_b.append(uid[y])
             if found_a and sum(map(len, found_a)):
                 a, b = np.concatenate(found_a), np.concatenate(found_b)
+                if spanning:
+                    by_uid = np.argsort(uid)
+                    x, y = (by_uid[np.searchsorted(uid, c, sorter=by_uid)] for c in (a, b))
+                    worth = np.concatenate([(sig[x[i : i + 4096]] == sig[y[i : i + 4096]]).sum(1) for i in range(0, len(x), 4096)])
+                    keep = spanning_pairs(a, b, root[x], root[y], worth)
+                    a, b = a[keep], b[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -246,19 +276,27 @@ def link_rows(docs: DataFrame, width: int = 5, percent: int = 80, doc: str = "do
     bands = _bands(reps)
     leaders = bands.groupBy("key").agg(F.min("uid").alias("leader"), F.count("*").alias("size")).where("size > 1").select("key", "leader")
     shared = materialize(bands.join(leaders, "key"), "buckets")
-    first = shared.where("uid <> leader").groupBy("uid").agg(F.min("leader").alias("a")).select("a", F.col("uid").alias("b"))
-    links = materialize(_confirm(_prune(first, profiles, threshold), profiles, width, percent), "links")
-    roots = components(links)
+    stars = shared.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
+    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    roots = components(materialize(_confirm(_prune(first, profiles, threshold), profiles, width, percent), "links"))
 
     def rooted(table: DataFrame, column: str) -> DataFrame:
         return table.join(roots.withColumnRenamed("node", column), column, "left").withColumn("root", F.coalesce("root", column))
 
-    more = _strangers(rooted(shared.select("key", "uid"), "uid"), profiles, threshold)
-    links = materialize(_confirm(more, profiles, width, percent), "links")
-    ends = rooted(rooted(links, "a").select(F.col("root").alias("a"), "b"), "b").select("a", F.col("root").alias("b"))
-    joined = components(ends)
-    grouped = rooted(member.withColumnRenamed("uid", "row"), "rep").withColumnRenamed("root", "near")
-    grouped = grouped.join(joined.withColumnRenamed("node", "near"), "near", "left").withColumn("group", F.coalesce("root", "near")).select("row", "doc", "n", "group")
+    def joined(more: DataFrame) -> DataFrame:
+        """The roots after the links of more pairs of nodes."""
+        links = materialize(_confirm(more, profiles, width, percent), "links")
+        ends = rooted(rooted(links, "a").select(F.col("root").alias("a"), "b"), "b").select("a", F.col("root").alias("b"))
+        above = components(ends)
+        old = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+        new = above.join(roots.select("node"), "node", "left_anti")
+        return materialize(old.unionByName(new), "roots")
+
+    apart = rooted(rooted(stars, "a").withColumnRenamed("root", "root_a"), "b").where("root <> root_a").select("a", "b")
+    roots = joined(_prune(apart.join(first, ["a", "b"], "left_anti"), profiles, threshold))
+    for spanning in (True, False):
+        roots = joined(_strangers(rooted(shared.select("key", "uid"), "uid"), profiles, threshold, spanning))
+    grouped = rooted(member.withColumnRenamed("uid", "row"), "rep").select("row", "doc", "n", F.col("root").alias("group"))
     smallest = grouped.groupBy("group").agg(F.min("doc").alias("component"), F.min(F.struct(F.col("doc").isNull().alias("late"), "doc", "row")).alias("keeper"))
     return grouped.join(smallest, "group").select(F.col("row").alias("uid"), "doc", "n", "component", (F.col("row") == F.col("keeper.row")).alias("first"))
 
