@@ -438,8 +438,8 @@ def repeated_substrings(docs: DataFrame, doc: str = "doc_id", text: str = "text"
     sent = _send_anchors(docs, text, max(1, -(-total // ANCHOR_BYTES)), depth)
     segments = materialize(_cut_segments(docs, text, _shared_anchors(sent), texts, depth), "segments")
     size = segments.agg(F.sum(F.length("segment"))).first()[0] or 0
-    answers = _sort_segments(segments, max(1, -(-size // SORT_BYTES)), depth)
-    found = _apply(segments, _removals(segments, answers, depth))
+    answers = materialize(_sort_segments(segments, max(1, -(-size // SORT_BYTES)), depth), "answers")
+    found = _apply(segments, materialize(_removals(segments, answers, depth), "removals"))
     known = facts.join(texts.withColumnRenamed("ord", "owner"), ["m0", "m1"]).join(found, ["m0", "m1"], "left")
     copy = (F.col("owner") < F.col("ord")) & (F.col("n") >= depth)
     zero = F.lit(0).cast("long")
