@@ -14,8 +14,9 @@
    components, all pairs of members of different components, in blocks of signatures. The members of
    a bucket's largest component are compared with the others, not among themselves, so a large group
    of copies costs its size times its strangers. Of the survivors of the Bayesian test, a first round
-   emits those that would join components, at most one for each member of a block, and a last round,
-   which makes the result complete, those that are left.
+   emits those that would join components, at most one for each member of a block. A last round makes
+   the result complete: the full sets of all members of surviving pairs are intersected block by block
+   (products of incidence matrices), and only links that join components become rows.
 
 Links are confirmed by set sizes: 100 * intersection >= ``percent`` * union, in integers. Shingle
 sets hold 64-bit digests of shingles.
@@ -124,7 +125,7 @@ def profile(docs: DataFrame, width: int, doc: str = "doc_id", text: str = "text"
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(key, uid) for each band of each signature."""
+    """(key, band, uid) for each band of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +134,10 @@ def _bands(reps: DataFrame) -> DataFrame:
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(uid), BANDS)).copy()
             for r in range(ROWS):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(uid, BANDS))], ["key", "uid"])
+            band = np.tile(np.arange(BANDS, dtype=np.int16), len(uid))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(uid, BANDS))], ["key", "band", "uid"])
 
-    return reps.select("uid", "sig").mapInArrow(run, "key long, uid long")
+    return reps.select("uid", "sig").mapInArrow(run, "key long, band short, uid long")
 
 
 def _prune(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
@@ -151,26 +153,37 @@ def _prune(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def _packed_sets(packed: list[bytes], width: int) -> list[np.ndarray]:
+    """The shingle sets of compressed texts, made in blocks."""
+    unpacker, out = zstandard.ZstdDecompressor(), []
+    for at in range(0, len(packed), 256):
+        plain = [unpacker.decompress(x) for x in packed[at : at + 256]]
+        flat, ends = np.frombuffer(b"".join(plain), np.uint8), np.cumsum([0, *map(len, plain)])
+        for a, b in blocks(ends):
+            values, first = row_sets(flat[ends[a] : ends[b]], ends[a : b + 1] - ends[a], width)
+            out += np.split(values, first[1:-1])
+    return out
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(pairs: DataFrame, profiles: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
-        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-
-        def values(packed: bytes) -> np.ndarray:
-            flat = np.frombuffer(unpacker.decompress(packed), np.uint8)
-            return row_sets(flat, np.array([0, len(flat)]), width)[0]
-
-        for batch in batches:
-            keep = []
-            for a, pa_, pb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if held[0] != a:
-                    held = (a, values(pa_.as_py()))
-                x, y = held[1], values(pb.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                a = np.asarray(batch.column(0))
+                heads = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+                left = _packed_sets([batch.column(2)[int(i)].as_py() for i in heads], width)
+                right = _packed_sets(batch.column(3).to_pylist(), width)
+                of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(a))))
+                keep = [similar(left[i], y, percent) for i, y in zip(of.tolist(), right, strict=True)]
+                yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     side = lambda c: profiles.select(F.col("uid").alias(c), F.col("packed").alias(f"packed_{c}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long")
@@ -216,11 +229,10 @@ def spanning_pairs(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.
     return np.array(keep, np.int64)
 
 
-def _strangers(members: DataFrame, profiles: DataFrame, threshold: float, spanning: bool, block: int = BLOCK) -> DataFrame:
-    """Pairs of members (key, uid, root) of one bucket and different roots that pass the Bayesian test.
+def _blocks_of(members: DataFrame, profiles: DataFrame, block: int) -> DataFrame:
+    """(key, i, j, band, right, uid, root, sig): members of buckets that hold several roots, by pairs of blocks.
 
-    With ``spanning`` only pairs that would join a block's roots, the most similar first: at most one
-    for each of its members.
+    The members of a bucket's largest root are compared with the others, not among themselves.
     """
     counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
     buckets = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots"))
@@ -228,41 +240,114 @@ def _strangers(members: DataFrame, profiles: DataFrame, threshold: float, spanni
     rows = members.join(buckets, "key").join(profiles.select("uid", "sig"), "uid")
     own = F.col("root") == F.col("top")
     spot = F.pmod(F.xxhash64("uid"), F.when(own, F.col("major")).otherwise(F.col("minor")))
-    # blocks of the largest component have numbers from 0, blocks of the others from ``major``
+    # blocks of the largest root have numbers from 0, blocks of the others from ``major``
     rows = rows.withColumn("spot", F.when(own, spot).otherwise(spot + F.col("major")))
     others = F.sequence(F.col("major"), F.col("major") + F.col("minor") - 1)
     partners = F.when(own, others).otherwise(F.sequence(F.lit(0).cast("long"), F.col("major") + F.col("minor") - 1))
     rows = rows.withColumn("with", F.explode(partners))
-    rows = rows.select("key", F.least("spot", "with").alias("i"), F.greatest("spot", "with").alias("j"), (F.col("spot") > F.col("with")).alias("right"), "uid", "root", "sig")
+    rows = rows.select("key", F.least("spot", "with").alias("i"), F.greatest("spot", "with").alias("j"), "band", (F.col("spot") > F.col("with")).alias("right"), "uid", "root", "sig")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of a group's left and right block, and whether they are the same block."""
+    same = group["i"][0].as_py() == group["j"][0].as_py()
+    right = np.asarray(group["right"])
+    left_rows = np.flatnonzero(~right)
+    return left_rows, left_rows if same else np.flatnonzero(right), same
+
+
+def _survivors(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of pairs of different roots that pass the Bayesian test and share no earlier band; the signatures."""
+    uid, root, band = np.asarray(group["uid"]), np.asarray(group["root"]), int(group["band"][0].as_py())
+    sig = column_bytes(group["sig"])[0].view("<u4").reshape(len(uid), -1)
+    left_rows, right_rows, same = _sides(group)
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x in left_rows:
+        y = right_rows[root[right_rows] != root[x]]
+        y = y[uid[y] > uid[x]] if same else y
+        if len(y):
+            y = y[survives(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], threshold)]
+        if len(y) and band:
+            equal = (sig[y, : band * ROWS] == sig[x, : band * ROWS]).reshape(len(y), band, ROWS).all(2)
+            y = y[~equal.any(1)]
+        found_a.append(np.full(len(y), x))
+        found_b.append(y)
+    return np.concatenate(found_a), np.concatenate(found_b), sig
+
+
+def _joining(members: DataFrame, profiles: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Surviving pairs (a, b) that would join a block's roots, the most similar first: at most one for each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 3):
-            uid, root = np.asarray(group["uid"]), np.asarray(group["root"])
-            right = np.asarray(group["right"])
-            sig = column_bytes(group["sig"])[0].view("<u4").reshape(len(uid), -1)
-            same = group["i"][0].as_py() == group["j"][0].as_py()
-            left_rows = np.flatnonzero(~right)
-            right_rows = left_rows if same else np.flatnonzero(right)
-            found_a, found_b = [], []
-            for x in left_rows:
-                y = right_rows[root[right_rows] != root[x]]
-                y = y[uid[y] > uid[x]] if same else y
-                if len(y):
-                    y = y[survives(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], threshold)]
-                    found_a.append(np.full(len(y), uid[x]))
-                    found_b.append(uid[y])
-            if found_a and sum(map(len, found_a)):
-                a, b = np.concatenate(found_a), np.concatenate(found_b)
-                if spanning:
-                    by_uid = np.argsort(uid)
-                    x, y = (by_uid[np.searchsorted(uid, c, sorter=by_uid)] for c in (a, b))
-                    worth = np.concatenate([(sig[x[i : i + 4096]] == sig[y[i : i + 4096]]).sum(1) for i in range(0, len(x), 4096)])
-                    keep = spanning_pairs(a, b, root[x], root[y], worth)
-                    a, b = a[keep], b[keep]
+            x, y, sig = _survivors(group, threshold)
+            if len(x):
+                uid, root = np.asarray(group["uid"]), np.asarray(group["root"])
+                worth = np.concatenate([(sig[x[i : i + 4096]] == sig[y[i : i + 4096]]).sum(1) for i in range(0, len(x), 4096)])
+                keep = spanning_pairs(uid[x], uid[y], root[x], root[y], worth)
+                a, b = uid[x[keep]], uid[y[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return _blocks_of(members, profiles, block).mapInArrow(run, "a long, b long").distinct()
+
+
+def shared_sizes(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right, by products of incidence matrices."""
+    sizes = np.zeros((len(left), len(right)))
+    a, b = np.concatenate(left), np.concatenate(right)
+    row_a, row_b = (np.repeat(np.arange(len(s)), list(map(len, s))) for s in (left, right))
+    common = np.intersect1d(a, b)
+    at_a, at_b = (np.minimum(np.searchsorted(common, v), max(len(common) - 1, 0)) for v in (a, b))
+    if len(common):
+        in_a, in_b = common[at_a] == a, common[at_b] == b
+        row_a, at_a, row_b, at_b = row_a[in_a], at_a[in_a], row_b[in_b], at_b[in_b]
+        by_a, by_b = np.argsort(at_a, kind="stable"), np.argsort(at_b, kind="stable")
+        row_a, at_a, row_b, at_b = row_a[by_a], at_a[by_a], row_b[by_b], at_b[by_b]
+        for low in range(0, len(common), columns):
+            x, y = np.zeros((len(left), columns), np.float32), np.zeros((len(right), columns), np.float32)
+            s = slice(*np.searchsorted(at_a, [low, low + columns]))
+            x[row_a[s], at_a[s] - low] = 1
+            s = slice(*np.searchsorted(at_b, [low, low + columns]))
+            y[row_b[s], at_b[s] - low] = 1
+            sizes += x @ y.T
+    return sizes.astype(np.int64)
+
+
+def _exact_links(members: DataFrame, profiles: DataFrame, threshold: float, width: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """All that is left: links (a, b) that join a block's roots, from full sets, for all surviving pairs.
+
+    The members of surviving pairs get their texts; a block's sets are intersected all at once, so
+    pairs that turn out to be no links are never rows.
+    """
+
+    def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, 3):
+            x, y, _ = _survivors(group, threshold)
+            if len(x):
+                yield from group.select(["key", "i", "j", "right", "uid", "root"]).take(pa.array(np.union1d(x, y))).combine_chunks().to_batches()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, 3):
+            uid, root = np.asarray(group["uid"]), np.asarray(group["root"])
+            left_rows, right_rows, _ = _sides(group)
+            if not len(left_rows) or not len(right_rows):
+                continue
+            sets = _packed_sets(group["packed"].to_pylist(), width)
+            left, right = [sets[i] for i in left_rows], [sets[i] for i in right_rows]
+            both = shared_sizes(left, right)
+            union = np.array([len(v) for v in left])[:, None] + np.array([len(v) for v in right])[None, :] - both
+            linked = (100 * both >= percent * union) & (root[left_rows][:, None] != root[right_rows][None, :])
+            x, y = np.nonzero(linked)
+            if len(x):
+                worth = both[x, y] / union[x, y]
+                x, y = left_rows[x], right_rows[y]
+                keep = spanning_pairs(uid[x], uid[y], root[x], root[y], worth)
+                yield pa.RecordBatch.from_arrays([pa.array(uid[x[keep]]), pa.array(uid[y[keep]])], ["a", "b"])
+
+    found = _blocks_of(members, profiles, block).mapInArrow(members_of, "key long, i long, j long, right boolean, uid long, root long")
+    found = materialize(found, "strangers").join(profiles.select("uid", "packed"), "uid").select("key", "i", "j", "right", "uid", "root", "packed")
+    return found.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(link, "a long, b long")
 
 
 def link_rows(docs: DataFrame, width: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -283,9 +368,9 @@ def link_rows(docs: DataFrame, width: int = 5, percent: int = 80, doc: str = "do
     def rooted(table: DataFrame, column: str) -> DataFrame:
         return table.join(roots.withColumnRenamed("node", column), column, "left").withColumn("root", F.coalesce("root", column))
 
-    def joined(more: DataFrame) -> DataFrame:
-        """The roots after the links of more pairs of nodes."""
-        links = materialize(_confirm(more, profiles, width, percent), "links")
+    def joined(links: DataFrame) -> DataFrame:
+        """The roots after more links of nodes."""
+        links = materialize(links, "links")
         ends = rooted(rooted(links, "a").select(F.col("root").alias("a"), "b"), "b").select("a", F.col("root").alias("b"))
         above = components(ends)
         old = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
@@ -293,9 +378,9 @@ def link_rows(docs: DataFrame, width: int = 5, percent: int = 80, doc: str = "do
         return materialize(old.unionByName(new), "roots")
 
     apart = rooted(rooted(stars, "a").withColumnRenamed("root", "root_a"), "b").where("root <> root_a").select("a", "b")
-    roots = joined(_prune(apart.join(first, ["a", "b"], "left_anti"), profiles, threshold))
-    for spanning in (True, False):
-        roots = joined(_strangers(rooted(shared.select("key", "uid"), "uid"), profiles, threshold, spanning))
+    roots = joined(_confirm(_prune(apart.join(first, ["a", "b"], "left_anti"), profiles, threshold), profiles, width, percent))
+    roots = joined(_confirm(_joining(rooted(shared.select("key", "band", "uid"), "uid"), profiles, threshold), profiles, width, percent))
+    roots = joined(_exact_links(rooted(shared.select("key", "band", "uid"), "uid"), profiles, threshold, width, percent))
     grouped = rooted(member.withColumnRenamed("uid", "row"), "rep").select("row", "doc", "n", F.col("root").alias("group"))
     smallest = grouped.groupBy("group").agg(F.min("doc").alias("component"), F.min(F.struct(F.col("doc").isNull().alias("late"), "doc", "row")).alias("keeper"))
     return grouped.join(smallest, "group").select(F.col("row").alias("uid"), "doc", "n", "component", (F.col("row") == F.col("keeper.row")).alias("first"))
