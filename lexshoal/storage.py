@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,9 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(_SETTING, None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"set {_SETTING} to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="lexshoal-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set(_SETTING, own)
     return own
 
