@@ -90,7 +90,7 @@ def test_toxicity_finds_passages(spark):
     rng = random.Random(3)
     bad, docs, labels = ["foulword", "nastyword", "vileword"], [], []
     for i in range(500):
-        body = [f"w{rng.randrange(300)}" for _ in range(80)]
+        body = ["w" + chr(97 + rng.randrange(26)) + chr(97 + rng.randrange(12)) for _ in range(80)]
         toxic = i % 5 == 0
         if toxic:
             at = rng.randrange(70)
