@@ -47,7 +47,7 @@ from lexshoal.storage import materialize, read_table
 
 DEPTH, GRAM = 50, 20
 #: Text bytes whose anchors meet in one task, and segment bytes that one suffix array sorts.
-ANCHOR_BYTES, SORT_BYTES = 32 << 20, 4 << 20
+ANCHOR_BYTES, SORT_BYTES = 12 << 20, 2 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -150,13 +150,20 @@ def text_facts(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return materialize(made.withColumn("ord", F.coalesce(F.col("doc").cast("long"), F.lit(-(1 << 63)))), "text-facts")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts of the first column in groups of about ``most`` bytes, as one buffer and offsets."""
+    for batch in batches:
+        flat, at = column_bytes(batch.column(0))
+        for a, b in blocks(at, most):
+            yield flat[at[a] : at[b]], at[a : b + 1] - at[a]
+
+
 def _send_anchors(docs: DataFrame, text: str, parts: int, depth: int) -> DataFrame:
     """(part, data): packed anchors of batches of texts, by digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            flat, at = column_bytes(batch.column(0))
+        for flat, at in _slices(batches):
             keys, fresh = np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1, bool)
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 keys[i] = _text_key(flat[a:b])[0] if b - a >= depth else 0
@@ -193,8 +200,8 @@ def _send_anchors(docs: DataFrame, text: str, parts: int, depth: int) -> DataFra
     return docs.select(text).mapInArrow(run, "part int, data binary")
 
 
-def _shared_anchors(sent: DataFrame) -> DataFrame:
-    """(m0, starts, sizes): the runs of each text whose anchors another text has, too."""
+def _shared_anchors(sent: DataFrame, parts: int) -> DataFrame:
+    """(dest, data): the runs of texts whose anchors another text has, too, packed by destination of the text."""
 
     def meet(table: pa.Table) -> pa.Table:
         columns: list[list[np.ndarray]] = [[] for _ in range(5)]
@@ -214,22 +221,33 @@ def _shared_anchors(sent: DataFrame) -> DataFrame:
             keep = np.repeat(shared, np.diff(np.append(heads, len(anchor))))
             text, start, size = text[keep], start[keep], size[keep]
         text, start, size = (np.concatenate((x, *y)) for x, y in zip((text, start, size), places, strict=True))
-        by = np.lexsort((start, text))
-        text, start, size = text[by], start[by], size[by]
-        again = np.zeros(len(text), bool)
-        again[1:] = (text[1:] == text[:-1]) & (start[1:] == start[:-1])
-        text, start, size = text[~again], start[~again], size[~again]
-        heads = _heads(text)
-        return pa.table([pa.array(text[heads]), _lists(start.astype(np.int64), heads), _lists(size.astype(np.int64), heads)], ["m0", "starts", "sizes"])
+        dest = _destination(text, parts)
+        by = np.lexsort((start, text, dest))
+        text, start, size, dest = text[by], start[by], size[by], dest[by]
+        rows = []
+        bounds = np.searchsorted(dest, np.arange(parts + 1))
+        for d in np.flatnonzero(np.diff(bounds)):
+            own = slice(bounds[d], bounds[d + 1])
+            heads = _heads(text[own])
+            counts = np.diff(np.append(heads, bounds[d + 1] - bounds[d])).astype(np.uint32)
+            rows.append((int(d), pack_arrays(text[own][heads], counts, start[own], size[own])))
+        return pa.table([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["dest", "data"])
 
-    return sent.groupBy("part").applyInArrow(meet, "m0 long, starts array<long>, sizes array<long>")
+    return sent.groupBy("part").applyInArrow(meet, "dest int, data binary")
+
+
+def _destination(text: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(text.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
 _SEGMENT = "anchor long, digest long, segment binary, least long, times long, m0s array<long>, m1s array<long>, ords array<long>, starts array<long>, n long, m0 long, m1 long, packed binary"
 
 
-def _cut_segments(docs: DataFrame, text: str, shared: DataFrame, texts: DataFrame, depth: int) -> DataFrame:
-    """Rows of different segments of a batch with their places, and rows of the texts they are from."""
+def _cut_segments(docs: DataFrame, text: str, shared: DataFrame, texts: DataFrame, parts: int, depth: int) -> DataFrame:
+    """Rows of different segments of a block with their places, and rows of the texts they are from.
+
+    Texts, their smallest documents and their runs meet by destination, so texts move once.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -245,40 +263,69 @@ def _cut_segments(docs: DataFrame, text: str, shared: DataFrame, texts: DataFram
                         seen.add(key)
                         rows.append((*key, packer.compress(own)))
             columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["m0", "m1", "packed"])
+            m0 = np.array(columns[0], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_destination(m0, parts).astype(np.int32)), pa.array(m0), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["dest", "m0", "m1", "packed"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
-        last = None
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m0, m1, ords = (np.asarray(batch.column(k)) for k in range(3))
-            same = set()
-            for i in range(len(m0)):
-                if (m0[i], m1[i]) == last:
-                    same.add(i)
-                last = (m0[i], m1[i])
-            todo = [i for i in range(len(m0)) if i not in same]
-            while todo:
-                part, size = [], 0
-                while todo and size < 4_000_000:
-                    part.append(todo.pop(0))
-                    size += len(batch.column(3)[part[-1]].as_buffer()) * 3
-                yield _segments_of(batch, part, m0, m1, ords, unpacker, depth)
-
-    columns = docs.select(text).mapInArrow(send, "m0 long, m1 long, packed binary")
-    runs = shared.groupBy("m0").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("sizes")).alias("sizes"))
-    joined = columns.join(texts, ["m0", "m1"]).join(runs, "m0").select("m0", "m1", "ord", "packed", "starts", "sizes")
-    return joined.sortWithinPartitions("m0", "m1").mapInArrow(cut, _SEGMENT)
-
-
-def _segments_of(batch: pa.RecordBatch, part: list[int], m0: np.ndarray, m1: np.ndarray, ords: np.ndarray, unpacker: zstandard.ZstdDecompressor, depth: int) -> pa.RecordBatch:
-    packed = [batch.column(3)[i].as_py() for i in part]
+            dest = _destination(np.asarray(batch.column(0)).copy(), parts).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(dest), pa.nulls(batch.num_rows, pa.binary()), *batch.columns], ["dest", "data", "m0", "m1", "ord"])
+
+    def cut(own: pa.Table, more: pa.Table) -> pa.Table:
+        ords, blobs = {}, []
+        for data, *key, least in zip(*(more[c].to_pylist() for c in ("data", "m0", "m1", "ord")), strict=True):
+            if data is None:
+                ords[tuple(key)] = least
+            else:
+                blobs.append(unpack_arrays(data))
+        if not blobs or not own.num_rows:
+            return _segment_rows([], [], [], [], [], [], depth).slice(0, 0)
+        text = np.concatenate([np.repeat(x[0], x[1]) for x in blobs])
+        start, size = (np.concatenate([x[k] for x in blobs]).astype(np.int64) for k in (2, 3))
+        by = np.lexsort((start, text))
+        text, start, size = text[by], start[by], size[by]
+        again = np.zeros(len(text), bool)
+        again[1:] = (text[1:] == text[:-1]) & (start[1:] == start[:-1])
+        text, start, size = text[~again], start[~again], size[~again]
+        heads = _heads(text)
+        runs = dict(zip(text[heads].tolist(), zip(heads.tolist(), np.append(heads[1:], len(text)).tolist(), strict=True), strict=True))
+        seen, out, todo, todo_bytes = set(), [], [], 0
+
+        def flush() -> None:
+            if todo:
+                out.append(_segment_rows(*map(list, zip(*todo, strict=True)), depth))
+                todo.clear()
+
+        for key, packed in zip(zip(own["m0"].to_pylist(), own["m1"].to_pylist(), strict=True), own["packed"], strict=True):
+            if key[0] in runs and key not in seen:
+                seen.add(key)
+                a, b = runs[key[0]]
+                packed = packed.as_py()
+                todo.append((packed, key[0], key[1], ords[key], start[a:b], size[a:b]))
+                todo_bytes += 3 * len(packed)
+                if todo_bytes > 2_000_000:
+                    flush()
+                    todo_bytes = 0
+        flush()
+        pa.default_memory_pool().release_unused()
+        return pa.concat_tables(out) if out else _segment_rows([], [], [], [], [], [], depth).slice(0, 0)
+
+    left = docs.select(text).mapInArrow(send, "dest int, m0 long, m1 long, packed binary")
+    known = texts.select("m0", "m1", "ord").mapInArrow(facts, "dest int, data binary, m0 long, m1 long, ord long")
+    empty = F.lit(None).cast("long")
+    right = shared.select("dest", "data", empty.alias("m0"), empty.alias("m1"), empty.alias("ord")).unionByName(known)
+    return left.groupBy("dest").cogroup(right.groupBy("dest")).applyInArrow(cut, _SEGMENT)
+
+
+def _segment_rows(packed: list[bytes], m0_: list[int], m1_: list[int], ords_: list[int], starts_: list[np.ndarray], sizes_: list[np.ndarray], depth: int) -> pa.Table:
+    """Segments of a block of texts, equal ones as one row, and a row for each text."""
+    unpacker = zstandard.ZstdDecompressor()
+    m0, m1, ords = (np.array(x, np.int64) for x in (m0_, m1_, ords_))
     plain = [unpacker.decompress(x) for x in packed]
     flat = np.frombuffer(b"".join(plain), np.uint8)
     base = np.cumsum([0, *map(len, plain)])
-    row, start, size = [], [], []
-    for k, i in enumerate(part):
-        a, s = np.asarray(batch.column(4)[i].values), np.asarray(batch.column(5)[i].values)
+    row, start, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, (a, s) in enumerate(zip(starts_, sizes_, strict=True)):
         inside = a + s + depth - 1 <= len(plain[k])
         row.append(np.full(int(inside.sum()), k))
         start.append(a[inside])
@@ -292,13 +339,12 @@ def _segments_of(batch: pa.RecordBatch, part: list[int], m0: np.ndarray, m1: np.
     by = np.lexsort((start, row, digest, anchor))
     row, start, size, whole, anchor, digest = (x[by] for x in (row, start, size, whole, anchor, digest))
     heads = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])))) if len(row) else np.zeros(0, np.int64)
-    who = np.asarray(part)[row]
     a, b = whole[heads], whole[heads] + size[heads] + depth - 1
     raw = flat.tobytes()
     segments = [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-    least = np.minimum.reduceat(ords[who], heads) if len(heads) else np.zeros(0, np.int64)
+    least = np.minimum.reduceat(ords[row], heads) if len(heads) else np.zeros(0, np.int64)
     times = np.diff(np.append(heads, len(row)))
-    more = len(part)
+    more = len(packed)
     nothing = lambda kind: pa.nulls(more, kind)
     lists = pa.list_(pa.int64())
     columns = [
@@ -307,13 +353,13 @@ def _segments_of(batch: pa.RecordBatch, part: list[int], m0: np.ndarray, m1: np.
         pa.concat_arrays([pa.array(segments, pa.binary()), nothing(pa.binary())]),
         pa.concat_arrays([pa.array(least), nothing(pa.int64())]),
         pa.concat_arrays([pa.array(times), nothing(pa.int64())]),
-        *(pa.concat_arrays([_lists(x, heads), nothing(lists)]) for x in (m0[who], m1[who], ords[who], start)),
+        *(pa.concat_arrays([_lists(x, heads), nothing(lists)]) for x in (m0[row], m1[row], ords[row], start)),
         pa.concat_arrays([pa.nulls(len(heads), pa.int64()), pa.array([len(x) for x in plain], pa.int64())]),
-        pa.concat_arrays([pa.nulls(len(heads), pa.int64()), pa.array(m0[part])]),
-        pa.concat_arrays([pa.nulls(len(heads), pa.int64()), pa.array(m1[part])]),
+        pa.concat_arrays([pa.nulls(len(heads), pa.int64()), pa.array(m0)]),
+        pa.concat_arrays([pa.nulls(len(heads), pa.int64()), pa.array(m1)]),
         pa.concat_arrays([pa.nulls(len(heads), pa.binary()), pa.array(packed, pa.binary())]),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "segment", "least", "times", "m0s", "m1s", "ords", "starts", "n", "m0", "m1", "packed"])
+    return pa.table(columns, ["anchor", "digest", "segment", "least", "times", "m0s", "m1s", "ords", "starts", "n", "m0", "m1", "packed"])
 
 
 def window_owners(segments: list[bytes], least: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -354,6 +400,7 @@ def _sort_segments(segments: DataFrame, parts: int, depth: int) -> DataFrame:
         # a segment at a single place, with no smaller document anywhere, tells nothing
         tells = (count > 1) | (np.minimum.reduceat(owners, first) < low)
         sizes, found = _lists(size, of), _lists(owners[run], of)
+        pa.default_memory_pool().release_unused()
         out = pa.table([pa.array(anchor[by][heads]), pa.array(digest[by][heads]), sizes, found], ["anchor", "digest", "sizes", "owners"])
         return out.filter(pa.array(tells))
 
@@ -435,8 +482,9 @@ def repeated_substrings(docs: DataFrame, doc: str = "doc_id", text: str = "text"
     facts = text_facts(docs, doc, text)
     total = facts.agg(F.sum("n")).first()[0] or 0
     texts = facts.groupBy("m0", "m1").agg(F.min("ord").alias("ord"))
-    sent = _send_anchors(docs, text, max(1, -(-total // ANCHOR_BYTES)), depth)
-    segments = materialize(_cut_segments(docs, text, _shared_anchors(sent), texts, depth), "segments")
+    parts = max(1, -(-total // ANCHOR_BYTES))
+    shared = _shared_anchors(_send_anchors(docs, text, parts, depth), parts)
+    segments = materialize(_cut_segments(docs, text, shared, texts, parts, depth), "segments")
     size = segments.agg(F.sum(F.length("segment"))).first()[0] or 0
     answers = materialize(_sort_segments(segments, max(1, -(-size // SORT_BYTES)), depth), "answers")
     found = _apply(segments, materialize(_removals(segments, answers, depth), "removals"))
