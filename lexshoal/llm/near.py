@@ -1,13 +1,15 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 1. One pass over whole texts makes each row's set of word shingles, its size and 128-bit digest and a
-   MinHash signature, and writes them with the compressed text. Rows with equal sets form a class
+   MinHash signature, of which it writes the keys of the bands and eight bits of each value, with the
+   compressed text. Rows with equal sets form a class
    with one representative, so copies are never expanded into pairs.
 2. Signatures are banded. With ``BANDS`` bands of ``ROWS`` values a pair at similarity 0.8 shares no
    band with probability (1 - 0.8^4)^32 = 5e-8.
 3. A candidate's signatures are compared batch by batch. With a uniform prior the similarity after m
    matches in n values is Beta(m + 1, n - m + 1); a pair is pruned as soon as
-   P(similarity >= threshold) falls below ``MISS``. Survivors are verified exactly on full sets made
+   P(similarity >= threshold) falls below ``MISS``. Eight bits of a value match by chance once in 256
+   times, which prunes a little less and never more. Survivors are verified exactly on full sets made
    again from whole texts.
 4. First each representative is compared with the smallest members of its buckets. What the
    resulting components do not explain is compared in full: in buckets that still hold several
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexshoal.llm.components import components
-from lexshoal.llm.texts import SPACE, blocks, column_bytes, lower, mix, shingles, words
+from lexshoal.llm.texts import SPACE, blocks, column_bytes, fixed_rows, lower, mix, shingles, words
 from lexshoal.storage import materialize, read_table
 
 BANDS, ROWS, BATCH, MISS, BLOCK = 32, 4, 32, 1e-6, 512
@@ -78,6 +80,15 @@ def signatures(values: np.ndarray, first: np.ndarray, hashes: int = BANDS * ROWS
     return np.ascontiguousarray(out.T)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A key for each band of each signature (rows x bands)."""
+    values = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), BANDS)).copy()
+    for r in range(ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r])
+    return key
+
+
 @lru_cache
 def least_matches(n: int, threshold: float, miss: float) -> int:
     """The least m of n matches at which P(similarity >= threshold) >= miss under a uniform prior."""
@@ -103,7 +114,7 @@ def survives(a: np.ndarray, b: np.ndarray, threshold: float, miss: float = MISS,
 
 
 def profile(docs: DataFrame, width: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """A written table (uid, doc, n, c0, c1, sig, packed), one row for each document row."""
+    """A written table (uid, doc, n, c0, c1, keys, sketch, packed), one row for each document row."""
     kind = dict(docs.dtypes)[doc]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +129,10 @@ def profile(docs: DataFrame, width: int, doc: str = "doc_id", text: str = "text"
                 sig = signatures(values, first)
                 plain = lower(part)
                 packed = [packer.compress(plain[x:y].tobytes()) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(c0), pa.array(c1), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(packed, pa.binary())], ["doc", "n", "c0", "c1", "sig", "packed"])
+                keys, sketch = ([x.tobytes() for x in m] for m in (band_keys(sig), sig.astype(np.uint8)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(c0), pa.array(c1), *(pa.array(x, pa.binary()) for x in (keys, sketch, packed))], ["doc", "n", "c0", "c1", "keys", "sketch", "packed"])
 
-    made = docs.select(doc, text).mapInArrow(run, f"doc {kind}, n long, c0 long, c1 long, sig binary, packed binary")
+    made = docs.select(doc, text).mapInArrow(run, f"doc {kind}, n long, c0 long, c1 long, keys binary, sketch binary, packed binary")
     return materialize(made.withColumn("uid", F.monotonically_increasing_id()), "profiles", codec="lz4_raw")
 
 
@@ -130,14 +142,11 @@ def _bands(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = np.asarray(batch.column(0))
-            sig = column_bytes(batch.column(1))[0].view("<u4").reshape(len(uid), BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(uid), BANDS)).copy()
-            for r in range(ROWS):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+            key = fixed_rows(batch.column(1), np.int64).ravel()
             band = np.tile(np.arange(BANDS, dtype=np.int16), len(uid))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(uid, BANDS))], ["key", "band", "uid"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(band), pa.array(np.repeat(uid, BANDS))], ["key", "band", "uid"])
 
-    return reps.select("uid", "sig").mapInArrow(run, "key long, band short, uid long")
+    return reps.select("uid", "keys").mapInArrow(run, "key long, band short, uid long")
 
 
 def _prune(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
@@ -145,12 +154,11 @@ def _prune(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            a, b = (column_bytes(batch.column(k))[0].view("<u4").reshape(n, -1) for k in (2, 3))
+            a, b = (fixed_rows(batch.column(k), np.uint8) for k in (2, 3))
             yield batch.filter(pa.array(survives(a, b, threshold))).select(["a", "b"])
 
-    side = lambda c: profiles.select(F.col("uid").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    side = lambda c: profiles.select(F.col("uid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def _packed_sets(packed: list[bytes], width: int) -> list[np.ndarray]:
@@ -229,15 +237,15 @@ def spanning_pairs(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.
     return np.array(keep, np.int64)
 
 
-def _blocks_of(members: DataFrame, profiles: DataFrame, block: int) -> DataFrame:
-    """(key, i, j, band, right, uid, root, sig): members of buckets that hold several roots, by pairs of blocks.
+def _blocks_of(members: DataFrame, profiles: DataFrame, block: int, *columns: str) -> DataFrame:
+    """(key, i, j, band, right, uid, root, columns of profiles): members of buckets that hold several roots, by pairs of blocks.
 
     The members of a bucket's largest root are compared with the others, not among themselves.
     """
     counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
     buckets = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots"))
     buckets = buckets.where("roots > 1").select("key", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / block).alias("major"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("minor"))
-    rows = members.join(buckets, "key").join(profiles.select("uid", "sig"), "uid")
+    rows = members.join(buckets, "key").join(profiles.select("uid", *columns), "uid")
     own = F.col("root") == F.col("top")
     spot = F.pmod(F.xxhash64("uid"), F.when(own, F.col("major")).otherwise(F.col("minor")))
     # blocks of the largest root have numbers from 0, blocks of the others from ``major``
@@ -245,7 +253,7 @@ def _blocks_of(members: DataFrame, profiles: DataFrame, block: int) -> DataFrame
     others = F.sequence(F.col("major"), F.col("major") + F.col("minor") - 1)
     partners = F.when(own, others).otherwise(F.sequence(F.lit(0).cast("long"), F.col("major") + F.col("minor") - 1))
     rows = rows.withColumn("with", F.explode(partners))
-    rows = rows.select("key", F.least("spot", "with").alias("i"), F.greatest("spot", "with").alias("j"), "band", (F.col("spot") > F.col("with")).alias("right"), "uid", "root", "sig")
+    rows = rows.select("key", F.least("spot", "with").alias("i"), F.greatest("spot", "with").alias("j"), "band", (F.col("spot") > F.col("with")).alias("right"), "uid", "root", *columns)
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
@@ -258,9 +266,13 @@ def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
 
 
 def _survivors(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers of pairs of different roots that pass the Bayesian test and share no earlier band; the signatures."""
+    """Row numbers of pairs of different roots that pass the Bayesian test; the sketches.
+
+    Where the group has the keys of bands, a pair counts in the first band that it shares only.
+    """
     uid, root, band = np.asarray(group["uid"]), np.asarray(group["root"]), int(group["band"][0].as_py())
-    sig = column_bytes(group["sig"])[0].view("<u4").reshape(len(uid), -1)
+    sig = fixed_rows(group["sketch"], np.uint8)
+    keys = fixed_rows(group["keys"], np.uint64)[:, :band] if "keys" in group.column_names else None
     left_rows, right_rows, same = _sides(group)
     found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for x in left_rows:
@@ -268,9 +280,8 @@ def _survivors(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarra
         y = y[uid[y] > uid[x]] if same else y
         if len(y):
             y = y[survives(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], threshold)]
-        if len(y) and band:
-            equal = (sig[y, : band * ROWS] == sig[x, : band * ROWS]).reshape(len(y), band, ROWS).all(2)
-            y = y[~equal.any(1)]
+        if len(y) and keys is not None:
+            y = y[~(keys[y] == keys[x]).any(1)]
         found_a.append(np.full(len(y), x))
         found_b.append(y)
     return np.concatenate(found_a), np.concatenate(found_b), sig
@@ -289,7 +300,7 @@ def _joining(members: DataFrame, profiles: DataFrame, threshold: float, block: i
                 a, b = uid[x[keep]], uid[y[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return _blocks_of(members, profiles, block).mapInArrow(run, "a long, b long").distinct()
+    return _blocks_of(members, profiles, block, "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
 def shared_sizes(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -345,7 +356,7 @@ def _exact_links(members: DataFrame, profiles: DataFrame, threshold: float, widt
                 keep = spanning_pairs(uid[x], uid[y], root[x], root[y], worth)
                 yield pa.RecordBatch.from_arrays([pa.array(uid[x[keep]]), pa.array(uid[y[keep]])], ["a", "b"])
 
-    found = _blocks_of(members, profiles, block).mapInArrow(members_of, "key long, i long, j long, right boolean, uid long, root long")
+    found = _blocks_of(members, profiles, block, "sketch", "keys").mapInArrow(members_of, "key long, i long, j long, right boolean, uid long, root long")
     found = materialize(found, "strangers").join(profiles.select("uid", "packed"), "uid").select("key", "i", "j", "right", "uid", "root", "packed")
     return found.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(link, "a long, b long")
 

@@ -55,6 +55,12 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, at
 
 
+def fixed_rows(column: pa.Array, kind: type) -> np.ndarray:
+    """A binary column whose rows have equal sizes as a matrix."""
+    flat, at = column_bytes(column)
+    return np.ascontiguousarray(flat[at[0] : at[-1]]).view(kind).reshape(len(at) - 1, -1)
+
+
 def blocks(at: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges that cover all rows, each of at most ``most`` bytes or a single row."""
     row, n = 0, len(at) - 1
