@@ -36,7 +36,7 @@ class Corpus:
 
     def flat(self) -> DataFrame:
         """(shard, seq, pos, token)."""
-        rows = self.frame.select("shard", "seq", "start", F.posexplode("tokens").alias("at", "token"))
+        rows = self.frame.select("shard", "seq", "start", F.posexplode_outer("tokens").alias("at", "token")).where("at IS NOT NULL")
         return rows.select("shard", "seq", (F.col("start") + F.col("at")).alias("pos"), "token")
 
     def size(self) -> int:
@@ -132,4 +132,5 @@ def shards(*parts: Corpus) -> Corpus:
 
 def vocabulary(corpus: Corpus) -> DataFrame:
     """(token, count) of every token."""
-    return corpus.frame.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("count"))
+    tokens = corpus.frame.select(F.posexplode_outer("tokens").alias("at", "token")).where("at IS NOT NULL")
+    return tokens.groupBy("token").agg(F.count("*").alias("count"))

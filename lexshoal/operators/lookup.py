@@ -33,11 +33,11 @@ def fitted(corpus: Corpus, queries: DataFrame, strict: bool = False) -> DataFram
 
 
 def _by_length(queries: DataFrame) -> list[tuple[int, DataFrame, bool]]:
-    """(length, different queries as columns, small) for each length but 0."""
+    """(length, different queries as columns, small) for each length."""
     counts = queries.groupBy(F.size("query").alias("m")).agg(F.countDistinct("query").alias("n")).orderBy("m").collect()
     out = []
     for row in counts:
-        if row["m"] > 0:
+        if row["m"] is not None and row["m"] >= 0:
             own = queries.where(F.size("query") == row["m"]).select("query").distinct()
             out.append((row["m"], own.select("query", *(F.get("query", k).alias(c) for k, c in enumerate(columns(row["m"])))), row["n"] <= BROADCAST_ROWS))
     return out
@@ -47,6 +47,11 @@ def _matches(corpus: Corpus, queries: DataFrame, extra: int = 0) -> DataFrame |
     """(query, shard, seq, pos[, next]) of every occurrence; with ``extra`` only those with a successor."""
     parts = []
     for m, own, small in _by_length(queries):
+        if m == 0 and not extra:
+            continue
+        if m == 0:  # the empty query is one row, which every token follows
+            parts.append(ngrams(corpus, 1).withColumnRenamed("g0", "next").crossJoin(F.broadcast(own)))
+            continue
         grams = ngrams(corpus, m + extra)
         if extra:
             grams = grams.withColumnRenamed(f"g{m}", "next")
@@ -85,13 +90,10 @@ def positions(corpus: Corpus, queries: DataFrame) -> DataFrame:
 
 def next_counts(corpus: Corpus, queries: DataFrame) -> DataFrame:
     """(query, token, count) of the tokens after each different query."""
-    unigrams = corpus.frame.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("count"))
-    empty = queries.where(F.size("query") == 0).select("query").distinct()
-    parts = [empty.crossJoin(unigrams).select("query", "token", "count")]  # the empty query is one row at most
     found = _matches(corpus, queries, extra=1)
-    if found is not None:
-        parts.append(found.groupBy("query", F.col("next").alias("token")).agg(F.count("*").alias("count")))
-    return reduce(DataFrame.unionByName, parts)
+    if found is None:
+        return queries.limit(0).select("query", F.element_at(F.col("query"), 1).alias("token"), F.lit(0).cast("long").alias("count"))
+    return found.groupBy("query", F.col("next").alias("token")).agg(F.count("*").alias("count"))
 
 
 def count_next(corpus: Corpus, queries: DataFrame) -> DataFrame:

@@ -20,7 +20,9 @@ def ngrams(corpus: Corpus, n: int) -> DataFrame:
         raise ValueError(f"the corpus was cut for n-grams up to {corpus.reach + 1}")
     rows = corpus.frame.select("shard", "seq", "start", F.size("tokens").alias("own"), F.concat("tokens", "tail").alias("t"))
     count = F.least(F.col("own"), F.size("t") - (n - 1))
-    rows = rows.where(count > 0).select("shard", "seq", "start", "t", F.explode(F.sequence(F.lit(0), count - 1)).alias("at"))
+    # the outer form and the late filter keep the optimizer from tokenising again for a filter below
+    places = F.explode_outer(F.when(count > 0, F.sequence(F.lit(0), count - 1)))
+    rows = rows.select("shard", "seq", "start", "t", places.alias("at")).where("at IS NOT NULL")
     grams = (F.get("t", F.col("at") + k).alias(c) for k, c in enumerate(columns(n)))
     return rows.select("shard", "seq", (F.col("start") + F.col("at")).alias("pos"), *grams)
 
