@@ -14,8 +14,8 @@ together first, so suffix arrays stay small and independent:
 2. *Segments.* Anchors that two different texts have at least mark segments: the run of window starts
    and the bytes they need. Segments are cut from the texts again; equal segments of a batch become
    one.
-3. *Suffix arrays.* For each range of anchors the different segments are sorted by two-stage suffix
-   sorting, neighbours with a common prefix of ``depth`` bytes form a group, and each window learns
+3. *Suffix arrays.* For each range of anchors, windows whose digest is alone are left out and equal
+   rests of segments become one. The suffixes of what is left are sorted by two-stage sorting, neighbours with a common prefix of ``depth`` bytes form a group, and each window learns
    the smallest document that has its string.
 4. *Removal.* The answers go back to the places of their segments, and each text loses the union of
    the windows that a smaller document has.
@@ -362,7 +362,19 @@ def _segment_rows(packed: list[bytes], m0_: list[int], m1_: list[int], ords_: li
     return pa.table(columns, ["anchor", "digest", "segment", "least", "times", "m0s", "m1s", "ords", "starts", "n", "m0", "m1", "packed"])
 
 
-def window_owners(segments: list[bytes], least: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _window_digests(segments: list[bytes], depth: int) -> np.ndarray:
+    """Digests of all windows of all segments, one after another."""
+    ends = np.cumsum([0, *map(len, segments)])
+    out = [np.zeros(0, np.uint64)]
+    for a, b in blocks(ends, 1 << 20):
+        flat = np.frombuffer(b"".join(segments[a:b]), np.uint8)
+        starts = np.diff(ends[a : b + 1]) - depth + 1
+        at = np.arange(int(starts.sum())) + np.repeat(ends[a:b] - ends[a] - (np.cumsum(starts) - starts), starts)
+        out.append(range_digests(prefix_digests(flat), at, at + depth))
+    return np.concatenate(out)
+
+
+def _sorted_owners(segments: list[bytes], least: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of each segment the smallest ``least`` of all segments that hold its string; segments' first windows."""
     sizes = np.array([len(x) for x in segments], np.int64)
     starts = sizes - depth + 1
@@ -380,6 +392,41 @@ def window_owners(segments: list[bytes], least: np.ndarray, depth: int) -> tuple
     return out[index], offset
 
 
+def window_owners(segments: list[bytes], least: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_sorted_owners``. Windows whose digest is alone need no sorting: they have their own document.
+
+    The others are cut out, and equal cuts become one, before suffixes are sorted. So what many
+    documents share is sorted once, without the texts around it, which differ.
+    """
+    starts = np.array([len(x) for x in segments], np.int64) - depth + 1
+    offset = np.cumsum(starts) - starts
+    owner = np.repeat(np.arange(len(segments)), starts)
+    digests = _window_digests(segments, depth)
+    by = np.argsort(digests, kind="stable")
+    equal = digests[by][1:] == digests[by][:-1]
+    shared = np.zeros(len(digests), bool)
+    shared[by[1:][equal]] = True
+    shared[by[:-1][equal]] = True
+    out = least[owner]
+    edge = np.ones(len(digests) + 1, bool)
+    edge[1:-1] = (shared[1:] != shared[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(edge)
+    at, size = at[:-1][shared[at[:-1]]], np.diff(at)[shared[at[:-1]]]
+    if not len(at):
+        return out, offset
+    known: dict[bytes, int] = {}
+    cut = []
+    for s, a, n in zip(owner[at].tolist(), (at - offset[owner[at]]).tolist(), size.tolist(), strict=True):
+        cut.append(known.setdefault(segments[s][a : a + n + depth - 1], len(known)))
+    cut = np.array(cut)
+    low = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(low, cut, least[owner[at]])
+    found, first = _sorted_owners(list(known), low, depth)
+    to = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    out[to] = found[np.repeat(first[cut] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    return out, offset
+
+
 def _sort_segments(segments: DataFrame, parts: int, depth: int) -> DataFrame:
     """(anchor, digest, sizes, owners): for each different segment runs of windows and their smallest documents."""
 
