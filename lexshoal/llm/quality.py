@@ -80,33 +80,42 @@ class OrdinalModel:
 
 
 def fit_ordinal(
-    rows: list[tuple[np.ndarray, np.ndarray]], ratings: np.ndarray, bits: int = BITS, steps: int = 120, rate: float = 0.1, penalty: float = 1e-4
+    index: np.ndarray, value: np.ndarray, first: np.ndarray, ratings: np.ndarray, bits: int = BITS, steps: int = 120, rate: float = 0.1, penalty: float = 1e-4
 ) -> OrdinalModel:
-    """Full-batch Adam on the ordinal log-likelihood. rows: buckets and values of each document."""
+    """Full-batch Adam on the ordinal log-likelihood.
+
+    index, value: buckets and values of all documents, one after another; first: where each begins
+    (n+1 values). Gradients are summed over blocks of documents, so temporary arrays stay small.
+    """
     grades, level = np.unique(ratings, return_inverse=True)
     weights = np.zeros(1 << bits)
     if len(grades) < 2:
         return OrdinalModel(grades if len(grades) else np.array([0.0, 1.0]), np.zeros(0 if len(grades) else 1), weights)
-    k = len(grades) - 1
-    index = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    value = np.concatenate([r[1] for r in rows]).astype(np.float32)
-    first = np.concatenate(([0], np.cumsum([len(r[0]) for r in rows])))
-    row = np.repeat(np.arange(len(rows)), np.diff(first))
-    used, index = np.unique(index, return_inverse=True)
-    share = np.cumsum(np.bincount(level, minlength=k + 1))[:-1] / len(level)
+    k, n = len(grades) - 1, len(level)
+    used = np.flatnonzero(np.bincount(index, minlength=1 << bits))
+    place = np.zeros(1 << bits, np.int32)
+    place[used] = np.arange(len(used))
+    index = place[index]
+    share = np.cumsum(np.bincount(level, minlength=k + 1))[:-1] / n
     start = np.log(share / (1 - share))
     p = np.concatenate((np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 1e-3))))
     m, v = np.zeros_like(p), np.zeros_like(p)
     cuts = lambda p: np.cumsum(np.concatenate((p[len(used) : len(used) + 1], np.exp(p[len(used) + 1 :]))))
     for t in range(1, steps + 1):
         edges = np.concatenate(([-np.inf], cuts(p), [np.inf]))
-        s = segment_sum(p[index] * value, first)
-        high, low = _sigmoid(edges[level + 1] - s), _sigmoid(edges[level] - s)
-        d_high, d_low, mass = high * (1 - high), low * (1 - low), np.maximum(high - low, 1e-9)
-        by_score = (d_high - d_low) / mass / len(level)
-        by_edge = (np.bincount(level + 1, -d_high / mass, k + 2) + np.bincount(level, d_low / mass, k + 2))[1:-1] / len(level)
-        onward = np.cumsum(by_edge[::-1])[::-1]
-        gradient = np.concatenate((np.bincount(index, by_score[row] * value, len(used)) + penalty * p[: len(used)], onward[:1], onward[1:] * np.exp(p[len(used) + 1 :])))
+        by_edge, gradient = np.zeros(k + 2), penalty * p
+        gradient[len(used) :] = 0
+        for a in range(0, n, 256):
+            b = min(n, a + 256)
+            own, grade = slice(first[a], first[b]), level[a:b]
+            s = segment_sum(p[index[own]] * value[own], first[a : b + 1] - first[a])
+            high, low = _sigmoid(edges[grade + 1] - s), _sigmoid(edges[grade] - s)
+            d_high, d_low, mass = high * (1 - high), low * (1 - low), np.maximum(high - low, 1e-9)
+            by_edge += np.bincount(grade + 1, -d_high / mass / n, k + 2) + np.bincount(grade, d_low / mass / n, k + 2)
+            each = np.repeat((d_high - d_low) / mass / n, np.diff(first[a : b + 1]))
+            gradient[: len(used)] += np.bincount(index[own], each * value[own], len(used))
+        onward = np.cumsum(by_edge[1:-1][::-1])[::-1]
+        gradient[len(used) :] = np.concatenate((onward[:1], onward[1:] * np.exp(p[len(used) + 1 :])))
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights[used] = p[: len(used)]
@@ -132,8 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str, doc: str = "doc_id", tex
 
     kind = dict(chosen.dtypes)["id"]
     table = chosen.select("id", "text", "grade").mapInArrow(features, f"id {kind}, grade double, keys binary, counts binary").toPandas().sort_values("id", kind="stable")
-    rows = [(np.frombuffer(x, "<u4"), np.frombuffer(y, "<f4")) for x, y in zip(table["keys"], table["counts"], strict=True)]
-    return fit_ordinal(rows, table["grade"].to_numpy(float), bits)
+    ratings, sizes = table["grade"].to_numpy(float), table["keys"].map(len).to_numpy(int) // 4
+    index, value = np.frombuffer(b"".join(table["keys"]), "<u4"), np.frombuffer(b"".join(table["counts"]), "<f4")
+    del table
+    return fit_ordinal(index, value, np.concatenate(([0], np.cumsum(sizes))), ratings, bits)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", tail_grade: float = 1.0, keep_at: float = 0.5, bits: int = BITS) -> DataFrame:

@@ -19,7 +19,8 @@ def test_ordinal_regression_orders_grades():
         keys = np.arange(4, dtype=np.uint32)
         rows.append((keys, np.array([level, rng.normal(), 1, 0], np.float32)))
         grades.append(int(np.searchsorted([-0.7, 0.6], level + 0.2 * rng.normal())))
-    model = quality.fit_ordinal(rows, np.array(grades, float), bits=4, steps=400)
+    index, value = np.concatenate([k for k, _ in rows]), np.concatenate([v for _, v in rows])
+    model = quality.fit_ordinal(index, value, np.arange(601) * 4, np.array(grades, float), bits=4, steps=400)
     scores = np.array([v @ model.weights[k] for k, v in rows])
     assert (np.diff(model.thresholds) > 0).all() and list(model.grades) == [0, 1, 2]
     expected = model.expected(scores)
