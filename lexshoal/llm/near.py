@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexshoal.llm.components import components
-from lexshoal.llm.texts import SPACE, blocks, column_bytes, fixed_rows, lower, mix, shingles, words
+from lexshoal.llm.texts import SPACE, blocks, column_bytes, fixed_rows, lower, mix, released, shingles, words
 from lexshoal.storage import materialize, read_table
 
 BANDS, ROWS, BATCH, MISS, BLOCK = 32, 4, 32, 1e-6, 512
@@ -132,7 +132,7 @@ def profile(docs: DataFrame, width: int, doc: str = "doc_id", text: str = "text"
                 keys, sketch = ([x.tobytes() for x in m] for m in (band_keys(sig), sig.astype(np.uint8)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(c0), pa.array(c1), *(pa.array(x, pa.binary()) for x in (keys, sketch, packed))], ["doc", "n", "c0", "c1", "keys", "sketch", "packed"])
 
-    made = docs.select(doc, text).mapInArrow(run, f"doc {kind}, n long, c0 long, c1 long, keys binary, sketch binary, packed binary")
+    made = docs.select(doc, text).mapInArrow(released(run), f"doc {kind}, n long, c0 long, c1 long, keys binary, sketch binary, packed binary")
     return materialize(made.withColumn("uid", F.monotonically_increasing_id()), "profiles", codec="lz4_raw")
 
 
@@ -146,7 +146,7 @@ def _bands(reps: DataFrame) -> DataFrame:
             band = np.tile(np.arange(BANDS, dtype=np.int16), len(uid))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(band), pa.array(np.repeat(uid, BANDS))], ["key", "band", "uid"])
 
-    return reps.select("uid", "keys").mapInArrow(run, "key long, band short, uid long")
+    return reps.select("uid", "keys").mapInArrow(released(run), "key long, band short, uid long")
 
 
 def _prune(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
@@ -158,7 +158,7 @@ def _prune(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame
             yield batch.filter(pa.array(survives(a, b, threshold))).select(["a", "b"])
 
     side = lambda c: profiles.select(F.col("uid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(released(run), "a long, b long")
 
 
 def _packed_sets(packed: list[bytes], width: int) -> list[np.ndarray]:
@@ -194,7 +194,7 @@ def _confirm(pairs: DataFrame, profiles: DataFrame, width: int, percent: int) ->
                 yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     side = lambda c: profiles.select(F.col("uid").alias(c), F.col("packed").alias(f"packed_{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "packed_a", "packed_b").mapInArrow(released(run), "a long, b long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -300,7 +300,7 @@ def _joining(members: DataFrame, profiles: DataFrame, threshold: float, block: i
                 a, b = uid[x[keep]], uid[y[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return _blocks_of(members, profiles, block, "sketch").mapInArrow(run, "a long, b long").distinct()
+    return _blocks_of(members, profiles, block, "sketch").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def shared_sizes(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -356,9 +356,9 @@ def _exact_links(members: DataFrame, profiles: DataFrame, threshold: float, widt
                 keep = spanning_pairs(uid[x], uid[y], root[x], root[y], worth)
                 yield pa.RecordBatch.from_arrays([pa.array(uid[x[keep]]), pa.array(uid[y[keep]])], ["a", "b"])
 
-    found = _blocks_of(members, profiles, block, "sketch", "keys").mapInArrow(members_of, "key long, i long, j long, right boolean, uid long, root long")
+    found = _blocks_of(members, profiles, block, "sketch", "keys").mapInArrow(released(members_of), "key long, i long, j long, right boolean, uid long, root long")
     found = materialize(found, "strangers").join(profiles.select("uid", "packed"), "uid").select("key", "i", "j", "right", "uid", "root", "packed")
-    return found.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(link, "a long, b long")
+    return found.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(released(link), "a long, b long")
 
 
 def link_rows(docs: DataFrame, width: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -34,10 +34,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexshoal.llm.texts import column_bytes
+from lexshoal.llm.texts import column_bytes, released
 from lexshoal.storage import materialize, read_table
 
-WINDOW, END, UNITS, BLOCK_PIECES, CACHED_WORDS = 4096, 2, 256, 200_000, 1_000_000
+WINDOW, END, UNITS, BLOCK_PIECES, CACHED_WORDS = 4096, 2, 256, 200_000, 800_000
 
 
 #: Latin letters, then punctuation; no apostrophe, which can start a suffix, and no ``<``, which can start a special token.
@@ -163,7 +163,7 @@ def tokenize_pieces(docs: DataFrame, path: str, doc: str = "doc_id", text: str =
                 row = stop
 
     kind = dict(docs.dtypes)[doc]
-    return docs.select(doc, text).mapInArrow(cut, f"doc {kind}, start long, length long, doc_tokens long, ids binary")
+    return docs.select(doc, text).mapInArrow(released(cut), f"doc {kind}, start long, length long, doc_tokens long, ids binary")
 
 
 def combinations(available: np.ndarray, units: int = UNITS) -> list[dict[int, int]]:

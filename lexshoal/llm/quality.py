@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshoal.llm.texts import blocks, column_bytes, segment_sum
+from lexshoal.llm.texts import blocks, column_bytes, released, segment_sum
 from lexshoal.storage import read_table
 
 TRAIN_ROWS, BITS, SCALE, GRAM = 4000, 18, 100.0, 4
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str, doc: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["id", "grade", "keys", "counts"])
 
     kind = dict(chosen.dtypes)["id"]
-    table = chosen.select("id", "text", "grade").mapInArrow(features, f"id {kind}, grade double, keys binary, counts binary").toPandas().sort_values("id", kind="stable")
+    table = chosen.select("id", "text", "grade").mapInArrow(released(features), f"id {kind}, grade double, keys binary, counts binary").toPandas().sort_values("id", kind="stable")
     ratings, sizes = table["grade"].to_numpy(float), table["keys"].map(len).to_numpy(int) // 4
     index, value = np.frombuffer(b"".join(table["keys"]), "<u4"), np.frombuffer(b"".join(table["counts"]), "<f4")
     del table
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", tail_grade:
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, "expected_grade", "tail_probability", "keep"])
 
     fields = "".join(f"`{c}` {t}, " for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}expected_grade double, tail_probability double, keep boolean")
+    return docs.mapInArrow(released(run), f"{fields}expected_grade double, tail_probability double, keep boolean")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

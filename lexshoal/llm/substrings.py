@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexshoal.llm.suffixes import common_prefixes, suffix_order
-from lexshoal.llm.texts import blocks, column_bytes, mix, prefix_digests, range_digests
+from lexshoal.llm.texts import blocks, column_bytes, mix, prefix_digests, range_digests, release_memory, released
 from lexshoal.storage import materialize, read_table
 
 DEPTH, GRAM = 50, 20
@@ -146,7 +146,7 @@ def text_facts(docs: DataFrame, doc: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.diff(at)), pa.array([x.hex() for x in shas])], ["doc", "m0", "m1", "n", "sha"])
 
     kind = dict(docs.dtypes)[doc]
-    made = docs.select(doc, text).mapInArrow(run, f"doc {kind}, m0 long, m1 long, n long, sha string")
+    made = docs.select(doc, text).mapInArrow(released(run), f"doc {kind}, m0 long, m1 long, n long, sha string")
     return materialize(made.withColumn("ord", F.coalesce(F.col("doc").cast("long"), F.lit(-(1 << 63)))), "text-facts")
 
 
@@ -197,7 +197,7 @@ def _send_anchors(docs: DataFrame, text: str, parts: int, depth: int) -> DataFra
                 rows.append((int(p), pack_arrays(keys[own], anchor[a:b][open_], at_row[open_], start[a:b][open_], size[a:b][open_], anchor[first[known[first]]], at_row[~open_], start[a:b][~open_], size[a:b][~open_])))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "data"])
 
-    return docs.select(text).mapInArrow(run, "part int, data binary")
+    return docs.select(text).mapInArrow(released(run), "part int, data binary")
 
 
 def _shared_anchors(sent: DataFrame, parts: int) -> DataFrame:
@@ -307,10 +307,10 @@ def _cut_segments(docs: DataFrame, text: str, shared: DataFrame, texts: DataFram
                     flush()
                     todo_bytes = 0
         flush()
-        pa.default_memory_pool().release_unused()
+        release_memory()
         return pa.concat_tables(out) if out else _segment_rows([], [], [], [], [], [], depth).slice(0, 0)
 
-    left = docs.select(text).mapInArrow(send, "dest int, m0 long, m1 long, packed binary")
+    left = docs.select(text).mapInArrow(released(send), "dest int, m0 long, m1 long, packed binary")
     known = texts.select("m0", "m1", "ord").mapInArrow(facts, "dest int, data binary, m0 long, m1 long, ord long")
     empty = F.lit(None).cast("long")
     right = shared.select("dest", "data", empty.alias("m0"), empty.alias("m1"), empty.alias("ord")).unionByName(known)
@@ -447,7 +447,7 @@ def _sort_segments(segments: DataFrame, parts: int, depth: int) -> DataFrame:
         # a segment at a single place, with no smaller document anywhere, tells nothing
         tells = (count > 1) | (np.minimum.reduceat(owners, first) < low)
         sizes, found = _lists(size, of), _lists(owners[run], of)
-        pa.default_memory_pool().release_unused()
+        release_memory()
         out = pa.table([pa.array(anchor[by][heads]), pa.array(digest[by][heads]), sizes, found], ["anchor", "digest", "sizes", "owners"])
         return out.filter(pa.array(tells))
 
@@ -485,7 +485,7 @@ def _removals(segments: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
 
     places = segments.where("anchor is not null").select("anchor", "digest", "m0s", "m1s", "ords", "starts")
     joined = places.join(answers, ["anchor", "digest"]).select("m0s", "m1s", "ords", "starts", "sizes", "owners")
-    return joined.mapInArrow(run, "m0 long, m1 long, starts array<long>, ends array<long>")
+    return joined.mapInArrow(released(run), "m0 long, m1 long, starts array<long>, ends array<long>")
 
 
 def merge_ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -519,7 +519,7 @@ def _apply(segments: DataFrame, removals: DataFrame) -> DataFrame:
     ranges = removals.groupBy("m0", "m1").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     texts = segments.where("anchor is null").select("m0", "m1", "packed").dropDuplicates(["m0", "m1"])
     joined = texts.join(ranges, ["m0", "m1"]).select("m0", "m1", "packed", "starts", "ends")
-    return joined.mapInArrow(run, "m0 long, m1 long, gone long, runs long, kept string, spans array<struct<start:long,end:long>>")
+    return joined.mapInArrow(released(run), "m0 long, m1 long, gone long, runs long, kept string, spans array<struct<start:long,end:long>>")
 
 
 def repeated_substrings(docs: DataFrame, doc: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshoal.llm.texts import LETTER, blocks, column_bytes, mix, words
+from lexshoal.llm.texts import LETTER, blocks, column_bytes, mix, released, words
 from lexshoal.storage import materialize, read_table
 
 TRAIN_ROWS, BITS, PRIOR, DRIFT, BOUND, SIGNIFICANT, PREDICT_AT = 20_000, 20, 0.1, 0.25, 3.0, 0.05, 0.3
@@ -205,8 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc: str = "do
             part = used[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(totals[0, part]), pa.array(totals[1, part])], ["bucket", "other", "toxic"])
 
-    apart = chosen.mapInArrow(sketch, "k0 long, k1 long, text string, label int").groupBy("k0", "k1", "label").agg(F.min("text").alias("text"))
-    counted = apart.select("text", "label").mapInArrow(count, "bucket long, other long, toxic long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toPandas()
+    apart = chosen.mapInArrow(released(sketch), "k0 long, k1 long, text string, label int").groupBy("k0", "k1", "label").agg(F.min("text").alias("text"))
+    counted = apart.select("text", "label").mapInArrow(released(count), "bucket long, other long, toxic long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toPandas()
     other, toxic = np.zeros(1 << bits), np.zeros(1 << bits)
     other[counted["bucket"]], toxic[counted["bucket"]] = counted["other"], counted["toxic"]
     if not toxic.any() or not other.any():
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc: str = "do
                     x, n, _ = scan(part, offsets, model, bits)
                     yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.array(n), pa.array(best), pa.array(x[:, 0]), pa.array(x[:, 1])], ["label", "n", "best", "x0", "x1"])
 
-        return chosen.mapInArrow(run, "label int, n long, best double, x0 double, x1 double").toPandas().sort_values(["label", "n", "best", "x0", "x1"])
+        return chosen.mapInArrow(released(run), "label int, n long, best double, x0 double, x1 double").toPandas().sort_values(["label", "n", "best", "x0", "x1"])
 
     seen = facts(raw)
     clean = seen[(seen["label"] == 0) & (seen["n"] > 0)]
@@ -254,7 +254,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", bits: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(found, kind)], [*names, "score", "segments"])
 
     fields = "".join(f"`{c}` {t}, " for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}score double, segments array<struct<start:long,end:long,score:double,expected:double>>")
+    return docs.mapInArrow(released(run), f"{fields}score double, segments array<struct<start:long,end:long,score:double,expected:double>>")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
