@@ -91,7 +91,7 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def end_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts.tokenize(read_table(spark, sf_dir, "documents"), end_token="</s>")
-    return corpora.vocabulary(corpora.from_sequences(docs, "tokens", "doc_id", "lang")).where("count >= 100 or token = '</s>'")
+    return corpora.vocabulary(corpora.from_sequences(docs, "tokens", "doc_id", "lang"))
 
 
 def token_limit_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
