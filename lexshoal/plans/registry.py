@@ -179,11 +179,9 @@ PROBES = [["of"], ["of", "the"], ["no", "such"], []]
 
 
 def batch_smoothed_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over words of documents with estimated discounts: each query's probabilities of frequent words."""
-    corpus = documents(spark, sf_dir)
-    frequent = corpora.vocabulary(corpus).where("count >= 50").select("token")
-    model = smoothing.Model(corpus, 1 << 20).estimate_deltas(3)
-    return smoothing.smoothed_probs(model, _queries(spark, PROBES), frequent).select("query_id", "token", F.round("prob", 9).alias("prob"))
+    """Over words of documents with estimated discounts: each query's probabilities of all words."""
+    model = smoothing.Model(documents(spark, sf_dir), 1 << 20).estimate_deltas(3)
+    return smoothing.smoothed_probs(model, _queries(spark, PROBES)).select("query_id", "token", F.round("prob", 9).alias("prob"))
 
 
 def sample_unsmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,3 +21,32 @@ def small(spark, tmp_path_factory):
 def test_end_tokens_has_rare_words(spark, small):
     want = collections.Counter(w for words in WORDS_OF.values() for w in [*words, "</s>"])
     assert {r["token"]: r["count"] for r in registry.end_tokens(spark, small).collect()} == want
+
+
+def brute_discount(n):
+    seen = collections.Counter((lang, *WORDS_OF[i][p : p + n]) for i, lang, _ in DOCS for p in range(len(WORDS_OF[i]) - n + 1))
+    once, twice = (sum(c == k for c in seen.values()) for k in (1, 2))
+    return once / (once + 2 * twice) if once and twice else 1.0
+
+
+def brute_probs(query):
+    """The recursion of the module's description, for all words."""
+    unigrams = collections.Counter(w for words in WORDS_OF.values() for w in words)
+    found = {w: (c + 1e-9) / (sum(unigrams.values()) + 1e-9 * (1 << 20)) for w, c in unigrams.items()}
+    for m in range(len(query) + 1):
+        context, d = query[len(query) - m :], brute_discount(m + 1)
+        after = collections.Counter(words[p + m] for words in WORDS_OF.values() for p in range(len(words) - m) if words[p : p + m] == context)
+        if not after:
+            continue
+        total, kinds, once = sum(after.values()), len(after), sum(c == 1 for c in after.values())
+        rest = d * kinds / total if d < 1 else once + d * (kinds - once) / total
+        found = {w: max(after[w] - d, 0) / total + rest * p for w, p in found.items()}
+    return found
+
+
+def test_batch_smoothed_probs_has_rare_words(spark, small):
+    got = collections.defaultdict(dict)
+    for r in registry.batch_smoothed_probs(spark, small).collect():
+        assert r["token"] not in got[r["query_id"]]
+        got[r["query_id"]][r["token"]] = r["prob"]
+    assert got == {i: pytest.approx(brute_probs(query), abs=1e-8) for i, query in enumerate(registry.PROBES)}
