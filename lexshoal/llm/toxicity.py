@@ -1,7 +1,7 @@
 """Toxicity: maximum-scoring segments of token log-odds, calibrated by extreme values.
 
 1. For each hashed word (a run of letters, A-Z lower-cased) the labelled documents that have it are
-   counted; near copies, by two minima of hashed words, count once for each label. Log-odds between toxic and other documents get an informative Dirichlet prior that follows the
+   counted; documents with the same set of words, by its digest of 128 bits, count once for each label. Log-odds between toxic and other documents get an informative Dirichlet prior that follows the
    overall counts; a word's score is the bound of its log-odds nearest to zero, less a small drift,
    so ordinary words score below zero.
 2. A linear scan finds every maximal-scoring segment of a document (Ruzzo and Tompa's definition).
@@ -42,6 +42,23 @@ def buckets(digests: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (digests >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def set_digests(digests: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two 64-bit digests of each row's set of words (2 x rows); order and repeats do not matter, no words give 0."""
+    n = len(first) - 1
+    row = np.repeat(np.arange(n), np.diff(first))
+    order = np.lexsort((digests, row))
+    digests, row = digests[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (digests[1:] != digests[:-1]) | (row[1:] != row[:-1])
+    digests, row = digests[new], row[new]
+    keys = np.zeros((2, n), np.int64)
+    some, starts = np.unique(row, return_index=True)
+    if len(some):
+        for k, seed in enumerate((0x51ED27, 0xC0FFEE)):
+            keys[k, some] = np.add.reduceat(mix(digests ^ np.uint64(seed)), starts).view(np.int64)
+    return keys
+
+
 def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR, bound: float = BOUND) -> np.ndarray:
     """For each bucket the bound nearest to zero of the log-odds under an informative Dirichlet prior.
 
@@ -182,11 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc: str = "do
             flat, at = column_bytes(batch.column("text"))
             for a, b in blocks(at):
                 digests, _, _, first = words(flat[at[a] : at[b]], at[a : b + 1] - at[a], LETTER)
-                some = np.flatnonzero(np.diff(first))
-                keys = np.zeros((2, b - a), np.int64)
-                if len(some):
-                    for k, seed in enumerate((0x51ED27, 0xC0FFEE)):
-                        keys[k, some] = np.minimum.reduceat(mix(digests ^ np.uint64(seed)), first[some]).view(np.int64)
+                keys = set_digests(digests, first)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), batch.column("text").slice(a, b - a), batch.column("label").slice(a, b - a)], ["k0", "k1", "text", "label"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,3 +167,20 @@ def test_packing_places_every_id_once(spark):
     total = sum(r["length"] for r in rows)
     assert len(by_sequence) * 4096 <= total * 1.02 + 8 * 4096
     assert packing.pack(docs.where("false"), packing.tokenizer_path()).count() == 0
+
+
+def test_toxicity_counts_all_documents_of_different_words(spark):
+    common = [a + b for a in "bcdfghjk" for b in ("aa", "ee", "ii", "oo", "uu")]
+    sets = [(i, {*common, "own" + chr(97 + i // 26) + chr(97 + i % 26), *(["foul"] if i % 3 == 0 else [])}) for i in range(200)]
+    docs = [(i, " ".join(sorted(words))) for i, words in sets]
+    docs += [(1000 + i, " ".join([*sorted(words, reverse=True), "baa"])) for i, words in sets]  # copies in another order
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(frame, spark.createDataFrame([(i, int(i % 1000 % 3 == 0)) for i, _ in docs], "doc_id long, toxic int"))
+    used = {i % 1000 for i, _ in docs if zlib.crc32(str(i).encode()) % 4 != 2}
+    counts = np.zeros((2, 1 << toxicity.BITS))
+    for i, words in sets:
+        if i in used:
+            flat = np.frombuffer(" ".join(sorted(words)).encode(), np.uint8)
+            digests = toxicity.words(flat, np.array([0, len(flat)]), toxicity.LETTER)[0]
+            counts[int(i % 3 == 0), np.unique(toxicity.buckets(digests))] += 1
+    assert model.scores == pytest.approx(toxicity.log_odds(counts[1], counts[0]) - toxicity.DRIFT, abs=1e-5)
