@@ -142,7 +142,7 @@ def batch_count_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_count_next_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.count_next(documents(spark, sf_dir), _queries(spark, WORDS[:4]))
+    return lookup.count_next(documents(spark, sf_dir), _queries(spark, WORDS))
 
 
 def batch_count_next_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,13 @@ def test_batch_smoothed_probs_has_rare_words(spark, small):
         assert r["token"] not in got[r["query_id"]]
         got[r["query_id"]][r["token"]] = r["prob"]
     assert got == {i: pytest.approx(brute_probs(query), abs=1e-8) for i, query in enumerate(registry.PROBES)}
+
+
+def test_batch_count_next_sharded_answers_all_queries(spark, small):
+    want = collections.Counter()
+    for i, query in enumerate(registry.WORDS):
+        for words in WORDS_OF.values():
+            want.update((i, words[p + len(query)]) for p in range(len(words) - len(query)) if words[p : p + len(query)] == query)
+    rows = registry.batch_count_next_sharded(spark, small).collect()
+    assert len(rows) == len(want) and {(r["query_id"], r["token"]): r["count"] for r in rows} == want
+    assert {5, 6} <= {r["query_id"] for r in rows}
