@@ -60,3 +60,18 @@ def test_batch_count_next_sharded_answers_all_queries(spark, small):
     rows = registry.batch_count_next_sharded(spark, small).collect()
     assert len(rows) == len(want) and {(r["query_id"], r["token"]): r["count"] for r in rows} == want
     assert {5, 6} <= {r["query_id"] for r in rows}
+
+
+def test_suffix_ranks_with_long_repeats(spark, tmp_path):
+    """Runs and copies of far more than 41 tokens are ranked by what follows them."""
+    block = ["view", "click", "error"] * 20
+    tokens = ["click"] * 70 + block + ["signup"] + ["click"] * 60 + block + ["purchase"]
+    spark.createDataFrame([(i, i, 0, t) for i, t in enumerate(tokens)], "event_id long, ts long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    want = sorted(range(len(tokens)), key=lambda p: tokens[p:])
+    assert want != sorted(range(len(tokens)), key=lambda p: tokens[p : p + 41])
+    assert [r["pos"] for r in registry.suffix_ranks(spark, str(tmp_path)).orderBy("rank").collect()] == want
+    ranges = {}
+    for i, query in enumerate(registry.KINDS):
+        ranks = [r for r, p in enumerate(want) if query and tokens[p : p + len(query)] == query]
+        ranges |= {i: (ranks[0], ranks[-1] + 1)} if ranks else {}
+    assert {r["query_id"]: (r["first_rank"], r["end_rank"]) for r in registry.rank_boundaries(spark, str(tmp_path)).collect()} == ranges
