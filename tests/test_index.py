@@ -219,3 +219,14 @@ def test_events(spark):
     probs = smoothing.unigram_probs(corpus, 2).orderBy("token").collect()
     assert probs[0]["prob"] == pytest.approx(0.75)
     assert corpora.vocabulary(corpus).agg(F.sum("count")).first()[0] == 4
+
+
+def test_longest_bounds_queries_of_files(spark, tmp_path):
+    tokens = list(range(1, 13))
+    NgramIndex.from_tokens(spark, tokens).save_tokens(str(tmp_path / "t.bin"))
+    index = NgramIndex.from_token_file(spark, str(tmp_path / "t.bin"))
+    assert index.count(tokens[:8]) == 1
+    for ask in (lambda: index.count(tokens[:9]), lambda: index.count_next(tokens[:8])):
+        with pytest.raises(ValueError, match="up to 8"):
+            ask()
+    assert NgramIndex.from_token_file(spark, str(tmp_path / "t.bin"), longest=12).count(tokens) == 1
