@@ -133,7 +133,7 @@ def profile(docs: DataFrame, width: int, doc: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(c0), pa.array(c1), *(pa.array(x, pa.binary()) for x in (keys, sketch, packed))], ["doc", "n", "c0", "c1", "keys", "sketch", "packed"])
 
     made = docs.select(doc, text).mapInArrow(released(run), f"doc {kind}, n long, c0 long, c1 long, keys binary, sketch binary, packed binary")
-    return materialize(made.withColumn("uid", F.monotonically_increasing_id()), "profiles", codec="lz4_raw")
+    return materialize(made.withColumn("uid", F.monotonically_increasing_id()), "profiles")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
