@@ -15,7 +15,7 @@ from lexshoal.storage import materialize, read_table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal quality classifier accepts."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"), "quality")
-    return quality.score(docs, model).where("keep").select(docs.columns)
+    return quality.accepted(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,16 +4,19 @@ A line's key is the line without surrounding ASCII white space and with A-Z lowe
 least ``min_chars`` code points that occur in at least ``min_docs`` documents lose all their lines
 but those in the largest document id that has the key.
 
-Key digests are range-partitioned together with the document and sorted by (digest, document,
-position). The document is part of the range key, so a line that a third of all documents share is
-spread over many partitions. Each partition streams first occurrences in documents into partial
-counts; only those are brought together for each digest. The result carries a bit-packed keep bitmap
-for each document (first line = highest bit of the first byte, 1 = keep; empty when all lines
-stay), not text.
+Lines are split once; the digests of keys that are long enough become a written table. It is
+range-partitioned by digest together with the document and sorted by (digest, document, position).
+The document is part of the range key, so a line that a third of all documents share is spread over
+many partitions. Each partition streams first occurrences in documents into partial counts; only
+those are brought together for each digest. The repeated digests, a written table again, are
+broadcast to the lines if they are at most ``BROADCAST_ROWS``, else joined by a shuffle that splits
+each digest by ``SALTS`` salts of the document. The result carries a bit-packed keep bitmap for each
+document (first line = highest bit of the first byte, 1 = keep; empty when all lines stay), not text.
 
 Nulls: a null text is one empty line. Rows with a null document id are one document that comes
 before all others. Repeated rows count as one document and each get the same result. Empty tables
-give empty results. Other columns are ignored.
+give empty results. Other columns are kept; an output whose name one of them has gets underscores at
+its end.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexshoal.storage import read_table
+from lexshoal.llm.columns import free_names
+from lexshoal.storage import materialize, read_table
 
-MIN_CHARS, MIN_DOCS = 40, 5
+MIN_CHARS, MIN_DOCS, BROADCAST_ROWS, SALTS = 40, 5, 200_000, 32
+_OUTPUTS = ("n_lines", "n_dropped", "keep_bitmap")
 _SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,7 +47,7 @@ def _text_digest(text: Column) -> Column:
 
 
 def line_bitmaps(
-    docs: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """(doc, text_digest, n_lines, n_dropped, bitmap) for each document that loses lines.
 
@@ -56,16 +61,25 @@ def line_bitmaps(
     keyed = stripped.where(F.length("line") >= min_chars).select(
         "doc", "text_digest", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")
     )
-    ranged = keyed.repartitionByRange("h1", "h2", "doc")
+    keyed = materialize(keyed, "line-keys")
     by_doc = Window.partitionBy("h1", "h2", "doc").orderBy("pos")
     counts = (
-        ranged.withColumn("first", (F.row_number().over(by_doc) == 1).cast("long"))
+        keyed.select("h1", "h2", "doc", "pos")
+        .repartitionByRange("h1", "h2", "doc")
+        .withColumn("first", (F.row_number().over(by_doc) == 1).cast("long"))
         .groupBy("h1", "h2")
         .agg(F.sum("first").alias("docs"), F.max("doc").alias("keeper"))
         .where(F.col("docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
-    gone = ranged.join(counts, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
+    counts = materialize(counts, "repeated-lines")
+    if counts.count() <= broadcast_rows:
+        found = keyed.join(F.broadcast(counts), ["h1", "h2"])
+    else:
+        salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+        every = counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        found = salted.join(every, ["h1", "h2", "salt"])
+    gone = found.where(~F.col("doc").eqNullSafe(F.col("keeper")))
     return gone.groupBy("doc", "text_digest").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
@@ -89,20 +103,19 @@ def keep_lines(text: Column, bitmap: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
-    """All columns of ``docs`` and ``n_lines``, ``n_dropped``, ``keep_bitmap``."""
-    gone = line_bitmaps(docs, doc, text, **limits).select(
-        F.col("doc").alias("__doc"), F.col("text_digest").alias("__digest"), F.col("gone").alias("__gone")
-    )
-    on = docs[doc].eqNullSafe(gone["__doc"]) & (_text_digest(docs[text]) == gone["__digest"])
-    n_lines = F.size(split_lines(docs[text]))
-    found = docs.join(gone, on, "left").withColumns(
+    """All columns of ``docs`` and ``n_lines``, ``n_dropped``, ``keep_bitmap`` (by ``free_names``)."""
+    n_lines, n_dropped, bitmap, own, digest, gone = free_names(docs.columns, *_OUTPUTS, "own", "digest", "gone")
+    found = line_bitmaps(docs, doc, text, **limits).select(F.col("doc").alias(own), F.col("text_digest").alias(digest), F.col("gone").alias(gone))
+    on = docs[doc].eqNullSafe(found[own]) & (_text_digest(docs[text]) == found[digest])
+    lines = F.size(split_lines(docs[text]))
+    joined = docs.join(found, on, "left").withColumns(
         {
-            "n_lines": n_lines.cast("long"),
-            "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-            "keep_bitmap": F.when(F.col("__gone").isNull(), F.unhex(F.lit(""))).otherwise(_bitmap(F.col("__gone"), n_lines)),
+            n_lines: lines.cast("long"),
+            n_dropped: F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+            bitmap: F.when(F.col(gone).isNull(), F.unhex(F.lit(""))).otherwise(_bitmap(F.col(gone), lines)),
         }
     )
-    return found.drop("__doc", "__digest", "__gone")
+    return joined.select(*docs.columns, n_lines, n_dropped, bitmap)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +127,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """Documents without their repeated lines, in the columns of ``docs``; ``n_chars`` is renewed if it is there."""
-    done = dedup_lines(docs).withColumn("text", keep_lines(F.col("text"), F.col("keep_bitmap")))
+    bitmap = free_names(docs.columns, *_OUTPUTS)[2]
+    done = dedup_lines(docs).withColumn("text", keep_lines(F.col("text"), F.col(bitmap)))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast("long"))
     return done.select(docs.columns)

@@ -9,9 +9,10 @@ Payloads are stored as grey images of 8-bit samples, 64 to a row (binary PGM): h
 ``P5\\n64 ROWS\\n255\\n``, then the payload. A payload is a text's UTF-8 bytes and zero bytes up to a
 positive multiple of 64.
 
-Null texts are empty texts and null HTML has no items. Equal payloads share one media row, so a
-payload that a third of all documents hold is joined once for each narrow reference row. Repeated
-rows each keep their own result. Empty tables give empty results. Other columns are ignored.
+Null texts are empty texts and null HTML has no items. HTML that the parser refuses is text from that
+place on. Equal payloads are stored once; references to a frequent one are dealt over many tasks.
+Repeated rows each keep their own result. Empty tables give empty results. Other columns of pages
+and media are passed on; names that an earlier column has get underscores at their ends.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from html import escape as html_escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshoal.llm.texts import column_bytes
+from lexshoal.llm.columns import free_names
+from lexshoal.llm.skew import spread_join
+from lexshoal.llm.texts import column_bytes, released
 from lexshoal.storage import materialize, read_table
 
-WIDTH = 64
+WIDTH, BROADCAST_ROWS = 64, 200_000
 _ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
 
 
@@ -115,57 +117,111 @@ class _Sequence(HTMLParser):
 
 
 def parse_html(html: str | None) -> list[dict]:
-    """The ordered items of one page."""
-    parser = _Sequence()
-    parser.feed(html or "")
-    parser.close()
+    """The ordered items of one page.
+
+    What the parser refuses (an unfinished declaration, say) and all that follows it is text.
+    """
+    parser, html = _Sequence(), html or ""
+    try:
+        parser.feed(html)
+        parser.close()
+    except AssertionError:
+        rest = html[_offset(html, *parser.getpos()) :]
+        parser.hidden = 0
+        parser.handle_data(rest)
     parser._flush()
     return [{"position": i} | item for i, item in enumerate(parser.items)]
 
 
+def _offset(text: str, line: int, column: int) -> int:
+    """Where a line (from 1) and column of a text begin."""
+    at = 0
+    for _ in range(line - 1):
+        at = text.index("\n", at) + 1
+    return at + column
+
+
 def parse_sequences(pages: DataFrame, html: str = "html") -> DataFrame:
-    """All columns of ``pages`` but the HTML, and ``items``, an array of ordered structs."""
+    """All columns of ``pages`` but the HTML, and ``items`` (by ``free_names``), an array of ordered structs."""
     kept = [c for c in pages.columns if c != html]
+    (items_,) = free_names(kept, "items")
     item = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = pa.array([parse_html(x.as_py()) for x in batch.column(html)], pa.list_(item))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), items], [*kept, "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), items], [*kept, items_])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes if c != html)
-    return pages.mapInArrow(parse, f"{fields}{', ' if fields else ''}items array<{_ITEM}>")
+    fields = "".join(f"`{c}` {t}, " for c, t in pages.dtypes if c != html)
+    return pages.mapInArrow(parse, f"{fields}`{items_}` array<{_ITEM}>")
 
 
-def resolve_media(sequences: DataFrame, media: DataFrame, digest: str = "digest") -> DataFrame:
-    """One row for each item of each sequence, in positions, with the columns of ``media`` of its digest.
+def resolve_media(sequences: DataFrame, media: DataFrame, digest: str = "digest", items: str = "items", by: str | None = None) -> DataFrame:
+    """One row for each item of each sequence, in positions: other columns of ``sequences``, ``item``, and those of ``media`` of its digest.
 
-    ``media`` has a row for each digest; its digest column is not repeated.
+    ``media`` has a row for each digest; its digest column is not repeated. Items are written first;
+    those of a frequent digest are dealt by ``by`` (a column of ``sequences``, else by the item), so a
+    payload of a third of all references is joined in many tasks. Names that an earlier column has get
+    underscores at their ends.
     """
-    flat = sequences.select(*(c for c in sequences.columns if c != "items"), F.explode("items").alias("item"))
-    found = media.withColumnRenamed(digest, "__digest")
-    return flat.join(found, flat["item.digest"] == found["__digest"], "left").drop("__digest")
+    kept = [c for c in sequences.columns if c != items]
+    facts = [c for c in media.columns if c != digest]
+    item, *names = free_names(kept, "item", *facts)
+    (key,) = free_names([*kept, item, *names], "key")
+    flat = sequences.select(*kept, F.explode(items).alias(item)).withColumn(key, F.col(item)["digest"])
+    found = media.select(F.col(digest).alias(key), *(F.col(c).alias(n) for c, n in zip(facts, names, strict=True)))
+    return spread_join(materialize(flat, "items"), found, key, by or item, "left").select(*kept, item, *names)
 
 
-def store_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n_bytes, html, digest, media): each text as a stored image and as a page that refers to it."""
+def refer_to_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, n_bytes, digest, html): for each text the digest of its payload, and a page that refers to it."""
 
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, at = column_bytes(batch.column(1))
-            sizes, pages, digests, media = [], [], [], []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                payload = pad(flat[a:b].tobytes())
-                digest = hashlib.sha256(payload).hexdigest()
-                caption = flat[a:b][:60].tobytes().decode("utf-8", "ignore").split("\n")[0]
-                sizes.append(b - a)
-                digests.append(digest)
-                media.append(encode_samples(payload))
-                pages.append(f'<article><p>document of {b - a} bytes</p><figure><img src="sha256:{digest}"><figcaption>{html_escape(caption)}</figcaption></figure></article>')
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["doc", "n_bytes", "html", "digest", "media"])
+            sizes = np.diff(at)
+            digests = [hashlib.sha256(pad(flat[a:b].tobytes())).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            page = '<article><p>document</p><figure><img src="sha256:{}"><figcaption>document of {} bytes</figcaption></figure></article>'
+            pages = [page.format(d, n) for d, n in zip(digests, sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(digests, pa.string()), pa.array(pages, pa.string())], ["doc", "n_bytes", "digest", "html"])
 
     kind = dict(docs.dtypes)[doc]
-    return docs.select(doc, text).mapInArrow(store, f"doc {kind}, n_bytes long, html string, digest string, media binary")
+    return docs.select(doc, text).mapInArrow(released(refer), f"doc {kind}, n_bytes long, digest string, html string")
+
+
+def store_texts(docs: DataFrame, referred: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(digest, media): each different text as a stored image.
+
+    ``referred`` is the written result of ``refer_to_texts``. Of the documents with a payload the
+    smallest stores it. The others are left out by their ids before their texts are encoded: these ids
+    are broadcast if they are at most ``BROADCAST_ROWS``, else joined by a shuffle. What a repeated id
+    or a null id still brings twice goes by its digest.
+    """
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            flat, at = column_bytes(batch.column(0))
+            digests, media = [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                payload = pad(flat[a:b].tobytes())
+                digest = hashlib.sha256(payload)
+                if digest.digest() not in seen:
+                    seen.add(digest.digest())
+                    digests.append(digest.hexdigest())
+                    media.append(encode_samples(payload))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
+
+    per_id = referred.groupBy("doc").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low = high")
+    owners = materialize(referred.groupBy("digest").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).where("n > 1"), "owners")
+    single = referred.join(owners, "digest").where("doc <> owner").select("doc").distinct().join(per_id.select("doc"), "doc", "left_semi")
+    copies = materialize(single.withColumnRenamed("doc", "copy"), "copies")
+    few = copies.count() <= BROADCAST_ROWS
+    rest = docs.select(doc, text).join(F.broadcast(copies) if few else copies, F.col(doc) == F.col("copy"), "left_anti")
+    stored = rest.select(text).mapInArrow(released(store), "digest string, media binary")
+    # rows of one id and text, and those of null ids, may be dealt to several tasks
+    unique = referred.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 or doc is null").isEmpty()
+    return stored if unique else stored.dropDuplicates(["digest"])
 
 
 def describe_media(stored: DataFrame, digest: str = "digest", media: str = "media") -> DataFrame:
@@ -183,14 +239,16 @@ def describe_media(stored: DataFrame, digest: str = "digest", media: str = "medi
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.select(digest, media).mapInArrow(describe, schema).dropDuplicates(["digest"])
+    return stored.select(digest, media).mapInArrow(describe, schema)
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text as a stored image, found again through its page and read back."""
-    stored = materialize(store_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
-    sequences = parse_sequences(stored.select(F.col("doc").alias("doc_id"), "n_bytes", "html"))
-    items = resolve_media(sequences, describe_media(stored)).where(F.col("item.kind") == "media")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    referred = materialize(refer_to_texts(docs), "references")
+    facts = materialize(describe_media(materialize(store_texts(docs, referred), "media")), "media-facts")
+    sequences = parse_sequences(referred.select(F.col("doc").alias("doc_id"), "n_bytes", "html"))
+    items = resolve_media(sequences, facts, by="doc_id").where(F.col("item.kind") == "media")
     return items.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("item.position").alias("position"), F.col("item.caption").alias("caption"))
 
 

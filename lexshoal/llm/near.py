@@ -43,6 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexshoal.llm.columns import free_names
 from lexshoal.llm.components import components
 from lexshoal.llm.texts import SPACE, blocks, column_bytes, fixed_rows, lower, mix, released, shingles, words
 from lexshoal.storage import materialize, read_table
@@ -405,10 +406,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc: str
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies, in the columns of ``docs``: the first row of the smallest id."""
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = link_rows(numbered.withColumn("__key", F.struct(F.col(doc).alias("id"), F.col("__row").alias("row"))), width, percent, "__key", text)
-    keep = found.where("first").select(F.col("doc.row").alias("__row"))
-    return numbered.join(keep, "__row", "left_semi").select(docs.columns)
+    row, key = free_names(docs.columns, "row", "key")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = link_rows(numbered.withColumn(key, F.struct(F.col(doc).alias("id"), F.col(row).alias("row"))), width, percent, key, text)
+    keep = found.where("first").select(F.col("doc.row").alias(row))
+    return numbered.join(keep, row, "left_semi").select(docs.columns)
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

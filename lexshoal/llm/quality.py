@@ -6,13 +6,15 @@ strings of the whole text. A score gives the expected grade and the tail probabi
 P(grade >= ``tail_grade``), by which documents are selected.
 
 The model is fitted on the driver on at most ``TRAIN_ROWS`` labelled documents (those with the
-smallest digests of their ids; a documented bound). Scoring is one pass over all whole texts without
-a shuffle.
+smallest digests of their ids; a documented bound). Of these, taken by their digests, documents
+beyond ``TRAIN_FEATURES`` different strings in all are left out, so the driver's memory has a bound
+(8 bytes a string) however long texts are. Scoring is one pass over all whole texts without a shuffle.
 
 Nulls: a null or short text has no features and gets the score s = 0. Labels with a null grade or id
 are not used. Without labels the weights are zero, the grades 0 and 1, and every document is kept;
 with a single grade every document gets it. Repeated label rows count repeatedly. Repeated documents
-get equal scores. Empty tables give empty results. Other columns are passed on.
+get equal scores. Empty tables give empty results. Other columns are passed on; an output whose name one
+of them has gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexshoal.llm.columns import free_names
 from lexshoal.llm.texts import blocks, column_bytes, released, segment_sum
-from lexshoal.storage import read_table
+from lexshoal.storage import materialize, read_table
 
-TRAIN_ROWS, BITS, SCALE, GRAM = 4000, 18, 100.0, 4
+TRAIN_ROWS, TRAIN_FEATURES, BITS, SCALE, GRAM = 4000, 1 << 24, 18, 100.0, 4
+OUTPUTS = ("expected_grade", "tail_probability", "keep")
 
 
 def gram_buckets(flat: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +126,8 @@ def fit_ordinal(
     return OrdinalModel(grades.astype(float), cuts(p), weights)
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str, doc: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, bits: int = BITS) -> OrdinalModel:
-    """Fit on at most ``train_rows`` labelled documents."""
+def fit(docs: DataFrame, labels: DataFrame, grade: str, doc: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, train_features: int = TRAIN_FEATURES, bits: int = BITS) -> OrdinalModel:
+    """Fit on at most ``train_rows`` labelled documents and ``train_features`` strings of them."""
     rated = labels.select(F.col(doc).alias("id"), F.col(grade).cast("double").alias("grade")).dropna()
     sample = rated.orderBy(F.xxhash64("id"), "id", "grade").limit(train_rows)
     chosen = docs.select(F.col(doc).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
@@ -140,7 +144,12 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str, doc: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["id", "grade", "keys", "counts"])
 
     kind = dict(chosen.dtypes)["id"]
-    table = chosen.select("id", "text", "grade").mapInArrow(released(features), f"id {kind}, grade double, keys binary, counts binary").toPandas().sort_values("id", kind="stable")
+    made = chosen.select("id", "text", "grade").mapInArrow(released(features), f"id {kind}, grade double, keys binary, counts binary")
+    place = F.struct(F.xxhash64("id").alias("a"), "id", "grade", F.xxhash64("keys", "counts").alias("b"))
+    made = materialize(made.withColumns({"place": place, "n": F.length("keys") / 4}), "quality-sample")
+    sizes = made.select("place", "n").orderBy("place").limit(train_rows).toPandas()["n"]
+    whole = int((sizes.cumsum() <= train_features).sum())
+    table = made.orderBy("place").limit(whole).select("grade", "keys", "counts").toPandas()
     ratings, sizes = table["grade"].to_numpy(float), table["keys"].map(len).to_numpy(int) // 4
     index, value = np.frombuffer(b"".join(table["keys"]), "<u4"), np.frombuffer(b"".join(table["counts"]), "<f4")
     del table
@@ -148,9 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str, doc: str = "doc_id", tex
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", tail_grade: float = 1.0, keep_at: float = 0.5, bits: int = BITS) -> DataFrame:
-    """All columns of ``docs`` and ``expected_grade``, ``tail_probability``, ``keep``."""
+    """All columns of ``docs`` and ``expected_grade``, ``tail_probability``, ``keep`` (by ``free_names``)."""
     small = OrdinalModel(model.grades, model.thresholds, model.weights.astype(np.float32))
-    names = docs.columns
+    names, outputs = docs.columns, free_names(docs.columns, *OUTPUTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +170,16 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", tail_grade:
                 sums[a:b] = segment_sum(small.weights[bucket], first) * (SCALE / np.maximum(np.diff(first), 1))
             tail = small.tail(sums, tail_grade)
             made = [pa.array(small.expected(sums)), pa.array(tail), pa.array(tail >= keep_at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, "expected_grade", "tail_probability", "keep"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, *outputs])
 
     fields = "".join(f"`{c}` {t}, " for c, t in docs.dtypes)
-    return docs.mapInArrow(released(run), f"{fields}expected_grade double, tail_probability double, keep boolean")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in zip(outputs, ("double", "double", "boolean"), strict=True))
+    return docs.mapInArrow(released(run), fields + kinds)
+
+
+def accepted(docs: DataFrame, model: OrdinalModel, **options: object) -> DataFrame:
+    """The rows that ``score`` keeps, in the columns of ``docs``."""
+    return score(docs, model, **options).where(F.col(free_names(docs.columns, *OUTPUTS)[2])).select(docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ id as inputs of a score. Scoring is one pass over all whole texts without a shuf
 
 Nulls: null and empty texts have no words and get the score of a document without segments. Labels
 with a null label or id are not used; without both kinds of labels all documents get one score.
-A null id is never held out. Repeated rows get equal scores. Empty tables give empty results.
+A null id is never held out. Repeated rows get equal scores. Empty tables give empty results. Other
+columns are passed on; an output whose name one of them has gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexshoal.llm.columns import free_names
 from lexshoal.llm.texts import LETTER, blocks, column_bytes, mix, released, words
 from lexshoal.storage import materialize, read_table
 
@@ -252,8 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc: str = "do
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", bits: int = BITS) -> DataFrame:
-    """All columns of ``docs``, ``score`` and ``segments`` (byte range, score, expected number by chance)."""
-    names = docs.columns
+    """All columns of ``docs``, ``score`` and ``segments`` (byte range, score, expected number by chance), by ``free_names``."""
+    names, outputs = docs.columns, free_names(docs.columns, "score", "segments")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +266,10 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", bits: int =
                 features, _, more = scan(flat[at[a] : at[b]], at[a : b + 1] - at[a], model, bits)
                 scores[a:b] = calibrated(features, model.calibration)
                 found += more
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(found, kind)], [*names, "score", "segments"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(found, kind)], [*names, *outputs])
 
     fields = "".join(f"`{c}` {t}, " for c, t in docs.dtypes)
-    return docs.mapInArrow(released(run), f"{fields}score double, segments array<struct<start:long,end:long,score:double,expected:double>>")
+    return docs.mapInArrow(released(run), f"{fields}`{outputs[0]}` double, `{outputs[1]}` array<struct<start:long,end:long,score:double,expected:double>>")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def test_lines_match_brute_force(spark):
         own = [rng.choice([*common, common[0].lower(), common[1].strip(), f"own line {i}", ""]) for _ in range(rng.randrange(0, 30))]
         docs.append((i, "\n".join(own)))
     docs += [(200, None), (201, ""), (202, "\n\n"), (203, "\n".join([common[4]] * 500)), (None, "\n".join(common)), (5, docs[5][1])]
-    frame = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, gone string, n_lines long").drop("n_lines")
+    frame = spark.createDataFrame([(*d, "x", 777) for d in docs], "doc_id long, text string, gone string, N_Lines_ long")
     done = lines.dedup_lines(frame).withColumn("sha", F.sha2(lines.keep_lines(F.col("text"), F.col("keep_bitmap")), 256))
     rows = done.collect()
     want = brute_lines(docs)
@@ -87,8 +87,10 @@ def test_lines_of_nothing(spark):
 def test_media_round_trip(spark):
     texts = ["", None, "a", "b" * 64, "c" * 65, "é" * 1000, "<img src='x'>& \0", "a"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    stored = media.store_texts(docs).cache()
-    items = media.resolve_media(media.parse_sequences(stored.select("doc", "html")), media.describe_media(stored)).where("item.kind = 'media'")
+    referred = media.refer_to_texts(docs).cache()
+    stored = media.store_texts(docs, referred).cache()
+    assert stored.count() == stored.select("digest").distinct().count() == len({t or "" for t in texts})
+    items = media.resolve_media(media.parse_sequences(referred.select("doc", "html")), media.describe_media(stored)).where("item.kind = 'media'")
     rows = {r["doc"]: r for r in items.collect()}
     assert len(rows) == len(texts)
     for i, text in enumerate(texts):
