@@ -119,6 +119,10 @@ class NgramIndex:
     def suffix(self, rank: int) -> DataFrame:
         return suffix.suffix(self.corpus, self.suffix_table(), rank)
 
+    def listing(self, first: int, end: int, width: int = 8) -> DataFrame:
+        """(shard, rank, pos, tokens) of ranks from ``first`` up to ``end``."""
+        return suffix.listing(self.corpus, self.suffix_table(), first, end, width)
+
     # lookups
 
     def queries(self, batch: list[list[int]]) -> DataFrame:
@@ -184,8 +188,6 @@ class NgramIndex:
         at = F.posexplode("tokens")
         steps = sequences.select("seq", "tokens", at.alias("i", "token"))
         steps = steps.withColumn("query", F.slice("tokens", F.greatest(F.col("i") - (n - 1), F.lit(0)) + 1, F.least(F.col("i"), F.lit(n - 1)))).drop("tokens")
-        contexts = steps.select("query").distinct().withColumn("query_id", F.xxhash64("query"))
-        ids = steps.select("token").distinct()
-        probs = smoothing.smoothed_probs(self.model, contexts, ids)
-        scored = steps.withColumn("query_id", F.xxhash64("query")).join(probs, ["query_id", "token"])
+        probs = smoothing.pair_probs(self.model, steps)
+        scored = steps.join(probs, ["query", "token"])
         return scored.groupBy("seq").agg(F.count("*").alias("tokens"), F.exp(-F.avg(F.ln("prob"))).alias("perplexity"))

@@ -34,6 +34,10 @@ class Corpus:
     def persist(self) -> Corpus:
         return Corpus(self.frame.persist(), self.vocab, self.reach)
 
+    def written(self) -> Corpus:
+        """The corpus as a table in the shared folder, for jobs that read it several times."""
+        return Corpus(materialize(self.frame, "corpus"), self.vocab, self.reach)
+
     def flat(self) -> DataFrame:
         """(shard, seq, pos, token)."""
         rows = self.frame.select("shard", "seq", "start", F.posexplode_outer("tokens").alias("at", "token")).where("at IS NOT NULL")

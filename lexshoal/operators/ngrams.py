@@ -40,5 +40,11 @@ def count_ngrams(corpus: Corpus, n: int, merge_shards: bool = False) -> DataFram
     ``merge_shards`` an n-gram of several shards is one. n below 1 counts as 1.
     """
     n = max(n, 1)
-    counted = ngram_counts(corpus, n, by_shard=not merge_shards)
+    if n == 1 and corpus.token_type != "string":
+        counted = ngram_counts(corpus, n, by_shard=not merge_shards)
+    else:
+        # 128-bit digests move in place of the tokens
+        parts = [*([] if merge_shards else [F.col("shard")]), *map(F.col, columns(n))]
+        digested = ngrams(corpus, n).select(F.xxhash64(*parts).alias("d1"), F.xxhash64(F.lit(1), *parts).alias("d2"))
+        counted = digested.groupBy("d1", "d2").agg(F.count("*").alias("count"))
     return counted.groupBy(F.col("count").alias("occurrences")).agg(F.count("*").alias("num_ngrams")).select(F.lit(n).alias("n"), "occurrences", "num_ngrams")

@@ -1,4 +1,4 @@
-"""Running totals over a global order, without a single-partition window."""
+"""Row numbers and running totals over a global order, without a single-partition window."""
 
 from __future__ import annotations
 
@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 from lexshoal.storage import materialize
 
 
+def indexed(df: DataFrame, order: list[str], out: str, by: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``df`` and ``out``, how many rows come before a row in ``order``; with ``by``, among rows of its value of it.
+
+    One range exchange: a row's place inside its range comes from the row ids of the sorted ranges,
+    which are written (only the columns ``keep``, if given); the ranges' sizes are summed up over one
+    row for each range. ``by`` is the first column of ``order``.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*(keep or df.columns), F.monotonically_increasing_id().alias("__id"))
+    table = materialize(ranged, "indexed")
+    place = {"__range": F.shiftright("__id", 33), out: F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}
+    sizes = table.withColumns(place).groupBy("__range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(F.col("__range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    placed = table.withColumns(place).join(F.broadcast(bases), "__range").withColumn(out, F.col(out) + F.col("__base")).drop("__range", "__base", "__id")
+    if by is None:
+        return placed
+    first = placed.groupBy(by).agg(F.min(out).alias("__first")).withColumnRenamed(by, "__by")
+    return placed.join(first, placed[by].eqNullSafe(first["__by"])).withColumn(out, F.col(out) - F.col("__first")).drop("__by", "__first")
+
+
 def running_total(df: DataFrame, order: list[str], value: str, out: str, by: str | None = None) -> DataFrame:
     """``df`` and ``out``, the sum of ``value`` over all rows before a row in ``order``, a total order.
 

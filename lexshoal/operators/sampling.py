@@ -49,11 +49,10 @@ def sample_unsmoothed(corpus: Corpus, query: list, n: int, k: int, samples: int
     begin = spark.createDataFrame([(query,)], f"query array<{kind}>")
     begin = fitted(corpus, begin).crossJoin(spark.range(samples)).select(F.col("id").alias("sample"), F.lit(0).alias("step"), F.col("query").alias("tokens"))
     table = materialize(transitions(corpus, n), "transitions")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(100, k + 2)))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", str(max(1_000_000, samples * (k + 1))))
+    limits = {"spark.sql.cteRecursionLevelLimit": max(100, k + 2), "spark.sql.cteRecursionRowLimit": max(1_000_000, samples * (k + 1))}
+    before = {name: spark.conf.get(name) for name in limits}
     u = f"cast(conv(substring(md5(concat('{seed}', ':', cast(s.sample AS string), ':', cast(s.step AS string))), 1, 8), 16, 10) AS double) / 4294967296.0D"
-    walk = spark.sql(
-        f"""
+    statement = f"""
         WITH RECURSIVE walk(sample, step, tokens) AS (
           SELECT sample, step, tokens FROM {{begin}}
           UNION ALL
@@ -61,10 +60,14 @@ def sample_unsmoothed(corpus: Corpus, query: list, n: int, k: int, samples: int
           FROM walk s JOIN {{table}} t
             ON t.context = slice(s.tokens, greatest(size(s.tokens) - {n - 1}, 0) + 1, {n - 1})
           WHERE s.step < {k} AND {u} >= t.lo AND {u} < t.hi
-        ) SELECT sample, max(step) AS step, max_by(tokens, step) AS tokens FROM walk GROUP BY sample""",
-        begin=begin,
-        table=table,
-    )
+        ) SELECT sample, max(step) AS step, max_by(tokens, step) AS tokens FROM walk GROUP BY sample"""
+    try:
+        for name, value in limits.items():
+            spark.conf.set(name, str(value))
+        walk = materialize(spark.sql(statement, begin=begin, table=table), "samples")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
     ended = F.when(F.col("step") == k, F.col("tokens")).otherwise(F.raise_error(F.lit("a context has no successors")))
     return walk.select("sample", ended.alias("tokens"))
 
@@ -79,12 +82,12 @@ def sample_smoothed(model: Model, query: list, n: int, k: int, samples: int = 1,
     walk = begin.crossJoin(spark.range(samples)).select(F.col("id").alias("sample"), F.col("query").alias("tokens"))
     for step in range(k):
         context = F.slice("tokens", F.greatest(F.size("tokens") - (n - 1), F.lit(0)) + 1, F.lit(n - 1))
-        contexts = walk.select(context.alias("query")).distinct().withColumn("query_id", F.xxhash64("query"))
+        contexts = materialize(walk.select(context.alias("query")).distinct().withColumn("query_id", F.monotonically_increasing_id()), "contexts")
         probs = smoothed_probs(model, contexts, tokens)
         order = Window.partitionBy("query_id").orderBy("token")
         hi, whole = F.sum("prob").over(order), F.sum("prob").over(Window.partitionBy("query_id"))
         cdf = probs.select("query_id", "token", ((hi - F.col("prob")) / whole).alias("lo"), (hi / whole).alias("hi"), (F.row_number().over(order) == F.count("*").over(Window.partitionBy("query_id"))).alias("top"))
-        drawn = walk.withColumn("query_id", F.xxhash64(context)).withColumn("u", uniform(seed, F.col("sample"), F.lit(step)))
+        drawn = walk.withColumn("query", context).join(contexts, "query").drop("query").withColumn("u", uniform(seed, F.col("sample"), F.lit(step)))
         hit = (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | F.col("top"))
         walk = materialize(drawn.join(cdf, "query_id").where(hit).select("sample", F.concat("tokens", F.array("token")).alias("tokens")), "samples")
     return walk

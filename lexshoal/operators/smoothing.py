@@ -11,7 +11,8 @@ unigram estimate (c(w) + 1e-9) / (total + 1e-9 vocab). At d >= 1 the sum can exc
 ``normalize`` divides by it.
 
 The recursion is one sum over the suffixes of a context, each with the product of the L above it, so
-any batch is one join and two aggregations, sparse until the last step.
+any batch is one join and two aggregations. Terms and back-off weights are sparse; a row for each
+query and token stands only in a result that must have it.
 """
 
 from __future__ import annotations
@@ -24,21 +25,21 @@ from pyspark.sql import functions as F
 from lexshoal.operators import lookup
 from lexshoal.operators.corpus import Corpus, vocabulary
 from lexshoal.operators.ngrams import count_ngrams
+from lexshoal.storage import materialize
 
 DEFAULT_DELTA, EPSILON = 0.5, 1e-9
 
 
 def deltas(corpus: Corpus, n: int, merge_shards: bool = False) -> DataFrame:
     """(order, delta) for orders 1 .. n: n1 / (n1 + 2 n2), or 1 if no n-gram occurs once or none twice."""
-    table = None
-    for order in range(1, n + 1):
-        one = count_ngrams(corpus, order, merge_shards).where("occurrences <= 2")
-        table = one if table is None else table.unionByName(one)
-    orders = table.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("order"))
-    sums = table.groupBy("n").agg(F.sum(F.when(F.col("occurrences") == 1, F.col("num_ngrams"))).alias("n1"), F.sum(F.when(F.col("occurrences") == 2, F.col("num_ngrams"))).alias("n2"))
-    n1, n2 = F.coalesce("n1", F.lit(0)), F.coalesce("n2", F.lit(0))
-    value = F.when((n1 == 0) | (n2 == 0), F.lit(1.0)).otherwise(n1.cast("double") / (n1 + 2 * n2).cast("double"))
-    return orders.join(sums, F.col("order") == F.col("n"), "left").select("order", value.alias("delta"))
+    spark = corpus.frame.sparkSession
+    rows = []
+    for order in range(1, n + 1):  # an order at a time, so the exchange of one stands at once
+        found = count_ngrams(corpus, order, merge_shards).where("occurrences <= 2").groupBy("occurrences").agg(F.sum("num_ngrams").alias("n"))
+        seen = {r["occurrences"]: r["n"] for r in materialize(found, "rare-ngrams").collect()}  # two rows
+        once, twice = seen.get(1, 0), seen.get(2, 0)
+        rows.append((order, once / (once + 2 * twice) if once and twice else 1.0))
+    return spark.createDataFrame(rows, "order int, delta double")
 
 
 @dataclass
@@ -67,38 +68,65 @@ def unigram_probs(corpus: Corpus, vocab: int) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("token", ((F.col("count") + EPSILON) / (F.col("total") + EPSILON * vocab)).alias("prob"))
 
 
-def smoothed_probs(model: Model, queries: DataFrame, tokens: DataFrame | None = None, normalize: bool = False) -> DataFrame:
-    """(query_id, token, prob) for each query (query_id, query) and each of ``tokens`` (token).
+def _levels(model: Model, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query, token, term) and (query, rest) of different contexts (query), both sparse.
 
-    By default the tokens are those that occur; a token that occurs nowhere has the query's
-    smallest probability, ``unigram floor`` times the product of its L.
+    The probability of a token is its term, or 0 without one, and its unigram estimate times ``rest``.
     """
     corpus = model.corpus
-    model.estimate_deltas(1)
-    queries = lookup.fitted(corpus, queries)
-    longest = queries.agg(F.max(F.size("query"))).first()[0] or 0
+    longest = contexts.agg(F.max(F.size("query"))).first()[0] or 0
     known = F.create_map(*(x for o in range(1, longest + 2) for x in (F.lit(o), F.lit(float(model.delta(o))))))
-    # level j: the last j tokens of the query
-    levels = queries.select("query_id", "query", F.explode(F.sequence(F.lit(0), F.size("query"))).alias("level"))
-    levels = levels.select("query_id", "level", F.slice("query", F.size("query") - F.col("level") + 1, F.col("level")).alias("query"))
-    counts = lookup.next_counts(corpus, levels.select("query"))
+    # level j: the last j tokens of the context
+    levels = contexts.select(F.col("query").alias("whole"), F.explode(F.sequence(F.lit(0), F.size("query"))).alias("level"))
+    levels = levels.select("whole", "level", F.slice("whole", F.size("whole") - F.col("level") + 1, F.col("level")).alias("query"))
+    counts = materialize(lookup.next_counts(corpus, levels.select("query")), "next-counts")
     d = F.element_at(known, F.size("query") + 1)
     facts = counts.groupBy("query").agg(F.sum("count").cast("double").alias("s"), F.count("*").cast("double").alias("u"), F.sum((F.col("count") == 1).cast("double")).alias("o"))
     facts = facts.select("query", "s", F.when(d < 1, d * F.col("u") / F.col("s")).otherwise(F.col("o") + d * (F.col("u") - F.col("o")) / F.col("s")).alias("lam"))
     placed = levels.join(facts, "query")
-    above = placed.groupBy("query_id").agg(F.collect_list(F.struct("level", "lam")).alias("all"))
+    above = placed.groupBy("whole").agg(F.collect_list(F.struct("level", "lam")).alias("all"))
     product = lambda c: F.aggregate(c, F.lit(1.0), lambda a, x: a * x["lam"])
-    placed = placed.join(above, "query_id").select("query_id", "query", "s", product(F.filter("all", lambda x: x["level"] > F.col("level"))).alias("weight"))
-    terms = counts.join(placed, "query").select("query_id", "token", (F.greatest(F.col("count") - d, F.lit(0.0)) / F.col("s") * F.col("weight")).alias("term"))
-    terms = terms.groupBy("query_id", "token").agg(F.sum("term").alias("term"))
-    base = queries.select("query_id").join(above.select("query_id", product(F.col("all")).alias("rest")), "query_id", "left").withColumn("rest", F.coalesce("rest", F.lit(1.0)))
-    grams = unigram_probs(corpus, model.vocab)
-    if tokens is not None:
-        total = vocabulary(corpus).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
-        floor = tokens.join(grams, "token", "left").crossJoin(F.broadcast(total))
-        grams = floor.select("token", F.coalesce("prob", F.lit(EPSILON) / (F.col("total") + EPSILON * model.vocab)).alias("prob"))
-    # the result has a row for each query and token; the queries are the smaller side
-    out = grams.crossJoin(base).join(terms, ["query_id", "token"], "left")
+    weighted = placed.join(above, "whole").select("whole", "query", "s", product(F.filter("all", lambda x: x["level"] > F.col("level"))).alias("weight"))
+    terms = counts.join(weighted, "query").select("whole", "token", (F.greatest(F.col("count") - d, F.lit(0.0)) / F.col("s") * F.col("weight")).alias("term"))
+    terms = terms.groupBy(F.col("whole").alias("query"), "token").agg(F.sum("term").alias("term"))
+    rests = contexts.join(above.select(F.col("whole").alias("query"), product(F.col("all")).alias("rest")), "query", "left")
+    return terms, rests.select("query", F.coalesce("rest", F.lit(1.0)).alias("rest"))
+
+
+def _estimates(model: Model, tokens: DataFrame | None) -> DataFrame:
+    """(token, prob): unigram estimates of ``tokens``, or of those that occur."""
+    grams = unigram_probs(model.corpus, model.vocab)
+    if tokens is None:
+        return grams
+    total = vocabulary(model.corpus).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
+    floor = F.lit(EPSILON) / (F.col("total") + EPSILON * model.vocab)
+    return tokens.join(grams, "token", "left").crossJoin(F.broadcast(total)).select("token", F.coalesce("prob", floor).alias("prob"))
+
+
+def pair_probs(model: Model, pairs: DataFrame) -> DataFrame:
+    """(query, token, prob) of the different pairs (query, token): nothing is made for other tokens."""
+    model.estimate_deltas(1)
+    asked = pairs.select(F.col("query").alias("asked"), "query", "token")
+    pairs = materialize(lookup.fitted(model.corpus, asked).distinct(), "pairs")
+    terms, rests = _levels(model, pairs.select("query").distinct())
+    known = _estimates(model, pairs.select("token").distinct())
+    found = pairs.join(terms, ["query", "token"], "left").join(rests, "query").join(known, "token")
+    return found.select(F.col("asked").alias("query"), "token", (F.coalesce("term", F.lit(0.0)) + F.col("prob") * F.col("rest")).alias("prob"))
+
+
+def smoothed_probs(model: Model, queries: DataFrame, tokens: DataFrame | None = None, normalize: bool = False) -> DataFrame:
+    """(query_id, token, prob) for each query (query_id, query) and each of ``tokens`` (token).
+
+    By default the tokens are those that occur; a token that occurs nowhere has the query's
+    smallest probability, ``unigram floor`` times the product of its L. The result has a row for each
+    query and token, as its contract is; where only some pairs are wanted, ``pair_probs`` makes only these.
+    """
+    model.estimate_deltas(1)
+    queries = lookup.fitted(model.corpus, queries)
+    terms, rests = _levels(model, queries.select("query").distinct())
+    base = queries.select("query_id", "query").join(rests, "query")
+    own = queries.select("query_id", "query").join(terms, "query").select("query_id", "token", "term")
+    out = _estimates(model, tokens).crossJoin(base.select("query_id", "rest")).join(own, ["query_id", "token"], "left")
     out = out.select("query_id", "token", (F.coalesce("term", F.lit(0.0)) + F.col("prob") * F.col("rest")).alias("prob"))
     if normalize:
         sums = out.groupBy("query_id").agg(F.sum("prob").alias("sum"))

@@ -29,7 +29,7 @@ def events(spark: SparkSession, sf_dir: str) -> Corpus:
 def event_stream(spark: SparkSession, sf_dir: str) -> Corpus:
     """All event types in the order of event ids, as one long sequence."""
     rows = read_table(spark, sf_dir, "events").select("event_id", F.array("event_type").alias("tokens"))
-    return corpora.stream(rows, "tokens", ["event_id"], longest=4)
+    return corpora.stream(rows, "tokens", ["event_id"], longest=16)
 
 
 def _queries(spark: SparkSession, batch: list[list[str]]) -> DataFrame:
@@ -49,12 +49,12 @@ _EVENTS = """flat AS (
   SELECT user_id AS seq, 0 AS shard, event_type AS token,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events
 )"""
-_EVENT_STREAM = """flat AS (
+EVENT_STREAM = """flat AS (
   SELECT 0 AS seq, 0 AS shard, event_type AS token, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events
 )"""
 
 
-def _led(n: int) -> str:
+def led(n: int) -> str:
     """A query of n-grams in columns g0 .. g(n-1) over ``flat``."""
     leads = ", ".join(["token AS g0", *(f"lead(token, {k}) OVER w AS g{k}" for k in range(1, n))])
     last = f" WHERE g{n - 1} IS NOT NULL" if n > 1 else ""
@@ -71,7 +71,7 @@ def _hits(batch: list[list[str]], extra: bool = False) -> str:
     parts = []
     for m in sorted({len(q) for q in batch if q}):
         same = " AND ".join(f"g{k} = query[{k + 1}]" for k in range(m))
-        parts.append(f"SELECT query_id, shard, seq, pos{f', g{m} AS next' if extra else ''} FROM ({_led(m + extra)}) g JOIN queries ON len(query) = {m} AND {same}")
+        parts.append(f"SELECT query_id, shard, seq, pos{f', g{m} AS next' if extra else ''} FROM ({led(m + extra)}) g JOIN queries ON len(query) = {m} AND {same}")
     if extra and any(not q for q in batch):
         parts.append("SELECT query_id, shard, seq, pos, token AS next FROM flat JOIN queries ON len(query) = 0")
     return "hits AS (" + " UNION ALL ".join(parts) + ")"
@@ -180,7 +180,7 @@ PROBES = [["of"], ["of", "the"], ["no", "such"], []]
 
 def batch_smoothed_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over words of documents with estimated discounts: each query's probabilities of all words."""
-    model = smoothing.Model(documents(spark, sf_dir), 1 << 20).estimate_deltas(3)
+    model = smoothing.Model(documents(spark, sf_dir).written(), 1 << 20).estimate_deltas(3)
     return smoothing.smoothed_probs(model, _queries(spark, PROBES)).select("query_id", "token", F.round("prob", 9).alias("prob"))
 
 
@@ -203,16 +203,11 @@ def is_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The true suffix table, and the same table with its positions turned round."""
     corpus = event_stream(spark, sf_dir)
     table = suffix.suffix_ranks(corpus)
-    turned = table.select("shard", "rank", (F.max("pos").over(_all()) - F.col("pos")).alias("pos"))
+    last = table.groupBy("shard").agg(F.max("pos").alias("last"))
+    turned = table.join(last, "shard").select("shard", "rank", (F.col("last") - F.col("pos")).alias("pos"))
     return suffix.is_sorted(corpus, table).select(F.lit("true table").alias("which"), "is_sorted").unionByName(suffix.is_sorted(corpus, turned).select(F.lit("turned table").alias("which"), "is_sorted"))
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("shard")
-
-
 def rank_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = event_stream(spark, sf_dir)
     found = lookup.positions(corpus, _queries(spark, KINDS))
@@ -272,14 +267,14 @@ QUERIES = {
 # SQL
 
 _COUNT = "CAST(count(*) AS BIGINT)"
-_RANKS = """suffixes AS (
-  SELECT pos, list(token) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 40 FOLLOWING) AS t FROM flat
-), ranks AS (SELECT row_number() OVER (ORDER BY t) - 1 AS rank, pos FROM suffixes)"""
+#: Event types differ in their first letters, which sort as they do: a suffix is a string of letters.
+RANKS = """whole AS (SELECT string_agg(substr(token, 1, 1), '' ORDER BY pos) AS s FROM flat),
+ranks AS (SELECT row_number() OVER (ORDER BY substr(s, pos + 1)) - 1 AS rank, pos FROM flat, whole)"""
 
 
 def _frequencies(n: int, merged: bool, flat: str = _DOCS) -> str:
     keys = ", ".join([*([] if merged else ["shard"]), *(f"g{k}" for k in range(n))])
-    return f"""WITH {flat}, c AS (SELECT {keys}, count(*) AS c FROM ({_led(n)}) GROUP BY {keys})
+    return f"""WITH {flat}, c AS (SELECT {keys}, count(*) AS c FROM ({led(n)}) GROUP BY {keys})
 SELECT {n} AS n, c AS occurrences, {_COUNT} AS num_ngrams FROM c GROUP BY c"""
 
 
@@ -288,7 +283,7 @@ def _delta(n: int, merged: bool, flat: str = "") -> str:
     keys = ", ".join([*([] if merged else ["shard"]), *(f"g{k}" for k in range(n))])
     return f"""SELECT {n} AS ord, CASE WHEN n1 = 0 OR n2 = 0 THEN 1.0::DOUBLE ELSE n1::DOUBLE / (n1 + 2 * n2) END AS delta FROM (
   SELECT count(*) FILTER (WHERE c = 1) AS n1, count(*) FILTER (WHERE c = 2) AS n2
-  FROM (SELECT count(*) AS c FROM ({_led(n)}) GROUP BY {keys}))"""
+  FROM (SELECT count(*) AS c FROM ({led(n)}) GROUP BY {keys}))"""
 
 
 def _interpolated(batch: list[list[str]], tokens: str, vocab: int, estimated: int, flat: str) -> str:
@@ -296,7 +291,7 @@ def _interpolated(batch: list[list[str]], tokens: str, vocab: int, estimated: in
     ctes = [flat, "unigrams AS (SELECT token, count(*) AS c FROM flat GROUP BY token)", f"words AS ({tokens})", "total AS (SELECT sum(c)::DOUBLE AS s FROM unigrams)"]
     longest = max(map(len, batch))
     ctes += [f"delta{o} AS ({_delta(o, False)})" if o <= estimated else f"delta{o} AS (SELECT {o} AS ord, 0.5::DOUBLE AS delta)" for o in range(1, longest + 2)]
-    ctes += [f"grams{m} AS ({_led(m + 1)})" for m in range(1, longest + 1)]
+    ctes += [f"grams{m} AS ({led(m + 1)})" for m in range(1, longest + 1)]
     finals = []
     for q, query in enumerate(batch):
         below = f"(SELECT w.token, (coalesce(u.c, 0) + 1e-9) / (s + 1e-9 * {vocab}) AS p FROM words w LEFT JOIN unigrams u USING (token), total)"
@@ -320,8 +315,8 @@ _U = "(('0x' || substr(md5('{seed}:' || s.sample || ':' || s.step), 1, 8))::BIGI
 
 _UNSMOOTHED = (
     f"""WITH RECURSIVE {_EVENTS}, grams AS (
-  SELECT []::VARCHAR[] AS ctx, g0 AS token FROM ({_led(1)})
-  UNION ALL SELECT [g0], g1 FROM ({_led(2)}) UNION ALL SELECT [g0, g1], g2 FROM ({_led(3)})
+  SELECT []::VARCHAR[] AS ctx, g0 AS token FROM ({led(1)})
+  UNION ALL SELECT [g0], g1 FROM ({led(2)}) UNION ALL SELECT [g0, g1], g2 FROM ({led(3)})
 ), counted AS (SELECT ctx, token, count(*) AS c FROM grams GROUP BY ctx, token), cdf AS (
   SELECT ctx, token, (sum(c) OVER o - c)::DOUBLE / sum(c) OVER p AS lo, (sum(c) OVER o)::DOUBLE / sum(c) OVER p AS hi
   FROM counted WINDOW o AS (PARTITION BY ctx ORDER BY token), p AS (PARTITION BY ctx)
@@ -349,19 +344,19 @@ _SMOOTHED = (
 ORACLES = {
     "tokenize_counts": f"WITH {_DOCS} SELECT lang, count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS tokens FROM docs GROUP BY lang",
     "vocab": f"WITH {_DOCS} SELECT token, count(*) AS count FROM flat GROUP BY token",
-    "end_tokens": f"WITH {_DOCS} SELECT * FROM (SELECT token, count(*) AS count FROM (SELECT token FROM flat UNION ALL SELECT '</s>' FROM docs) GROUP BY token) WHERE count >= 100 OR token = '</s>'",
-    "token_limit_prefix": f"WITH {_EVENT_STREAM} SELECT token, count(*) AS count FROM flat WHERE pos < 1000 GROUP BY token",
+    "end_tokens": f"WITH {_DOCS} SELECT token, count(*) AS count FROM (SELECT token FROM flat UNION ALL SELECT '</s>' FROM docs) GROUP BY token",
+    "token_limit_prefix": f"WITH {EVENT_STREAM} SELECT token, count(*) AS count FROM flat WHERE pos < 1000 GROUP BY token",
     "split_concat": "SELECT split, count(*) AS texts, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+'))) AS BIGINT) AS tokens FROM (SELECT 0 AS split, text FROM documents UNION ALL SELECT 1, text FROM conversations) GROUP BY split",
     "contains_batch": f"WITH {_DOCS}, {_values(WORDS)}, {_hits(WORDS)} SELECT query_id, EXISTS (SELECT 1 FROM hits h WHERE h.query_id = q.query_id) AS contained FROM queries q",
     "count_batch": f"WITH {_EVENTS}, {_values(KINDS)}, {_hits(KINDS)} SELECT q.query_id, count(h.query_id) AS count FROM queries q LEFT JOIN hits h USING (query_id) GROUP BY q.query_id",
     "count_batch_sharded": f"WITH {_DOCS}, {_values(WORDS)}, {_hits(WORDS)} SELECT q.query_id, count(h.query_id) AS count FROM queries q LEFT JOIN hits h USING (query_id) GROUP BY q.query_id",
-    "positions_batch": f"WITH {_EVENT_STREAM}, {_values(KINDS)}, {_hits(KINDS)} SELECT query_id, pos FROM hits",
+    "positions_batch": f"WITH {EVENT_STREAM}, {_values(KINDS)}, {_hits(KINDS)} SELECT query_id, pos FROM hits",
     "unigram_counts": f"WITH {_EVENTS} SELECT token, count(*) AS count FROM flat GROUP BY token",
-    "count_next": f"WITH {_DOCS} SELECT g1 AS token, count(*) AS count FROM ({_led(2)}) WHERE g0 = 'of' GROUP BY g1",
-    "count_next_dense": f"WITH {_EVENTS}, g AS ({_led(3)}) SELECT v.token, count(g.g2) AS count FROM (SELECT DISTINCT token FROM flat) v LEFT JOIN g ON g.g2 = v.token AND g0 = 'click' AND g1 = 'view' GROUP BY v.token",
+    "count_next": f"WITH {_DOCS} SELECT g1 AS token, count(*) AS count FROM ({led(2)}) WHERE g0 = 'of' GROUP BY g1",
+    "count_next_dense": f"WITH {_EVENTS}, g AS ({led(3)}) SELECT v.token, count(g.g2) AS count FROM (SELECT DISTINCT token FROM flat) v LEFT JOIN g ON g.g2 = v.token AND g0 = 'click' AND g1 = 'view' GROUP BY v.token",
     "batch_count_next": f"WITH {_EVENTS}, {_values(KINDS)}, {_hits(KINDS, True)} SELECT query_id, next AS token, count(*) AS count FROM hits GROUP BY query_id, next",
-    "batch_count_next_sharded": f"WITH {_DOCS}, {_values(WORDS[:4])}, {_hits(WORDS[:4], True)} SELECT query_id, next AS token, count(*) AS count FROM hits GROUP BY query_id, next",
-    "batch_count_next_stream": f"WITH {_EVENT_STREAM}, {_values(KINDS)}, {_hits(KINDS, True)} SELECT query_id, next AS token, count(*) AS count FROM hits GROUP BY query_id, next",
+    "batch_count_next_sharded": f"WITH {_DOCS}, {_values(WORDS)}, {_hits(WORDS, True)} SELECT query_id, next AS token, count(*) AS count FROM hits GROUP BY query_id, next",
+    "batch_count_next_stream": f"WITH {EVENT_STREAM}, {_values(KINDS)}, {_hits(KINDS, True)} SELECT query_id, next AS token, count(*) AS count FROM hits GROUP BY query_id, next",
     "count_ngrams_1": _frequencies(1, True),
     "count_ngrams_2": _frequencies(2, True),
     "count_ngrams_3": _frequencies(3, True),
@@ -369,17 +364,17 @@ ORACLES = {
     "deltas": f"WITH {_DOCS} SELECT ord AS \"order\", round(delta, 9) AS delta FROM (" + " UNION ALL ".join(_delta(o, True) for o in (1, 2, 3)) + ")",
     "unigram_probs": f"WITH {_EVENTS} SELECT token, round((count(*) + 1e-9) / (sum(count(*)) OVER () + 1e-9 * 5), 9) AS prob FROM flat GROUP BY token",
     "smoothed_probs": _interpolated([CONTEXT], "SELECT token FROM unigrams", 5, 1, _EVENTS) + " SELECT token, round(p, 9) AS prob FROM probs",
-    "batch_smoothed_probs": _interpolated(PROBES, "SELECT token FROM unigrams WHERE c >= 50", 1 << 20, 3, _DOCS) + " SELECT query_id, token, round(p, 9) AS prob FROM probs",
+    "batch_smoothed_probs": _interpolated(PROBES, "SELECT token FROM unigrams", 1 << 20, 3, _DOCS) + " SELECT query_id, token, round(p, 9) AS prob FROM probs",
     "sample_unsmoothed": _UNSMOOTHED,
     "sample_smoothed": _SMOOTHED,
-    "suffix_ranks": f"WITH {_EVENT_STREAM}, {_RANKS} SELECT rank, pos FROM ranks",
+    "suffix_ranks": f"WITH {EVENT_STREAM}, {RANKS} SELECT rank, pos FROM ranks",
     "is_sorted": "SELECT * FROM (VALUES ('true table', TRUE), ('turned table', FALSE)) AS x(which, is_sorted)",
-    "rank_boundaries": f"WITH {_EVENT_STREAM}, {_values(KINDS)}, {_hits(KINDS)}, {_RANKS} SELECT query_id, min(rank) AS first_rank, max(rank) + 1 AS end_rank FROM hits JOIN ranks USING (pos) GROUP BY query_id",
+    "rank_boundaries": f"WITH {EVENT_STREAM}, {_values(KINDS)}, {_hits(KINDS)}, {RANKS} SELECT query_id, min(rank) AS first_rank, max(rank) + 1 AS end_rank FROM hits JOIN ranks USING (pos) GROUP BY query_id",
     "perplexity": _interpolated([[], *([t] for t in _TYPES)], "SELECT token FROM unigrams", 5, 1, _EVENTS)
     + f""", named AS (SELECT CASE WHEN query_id > 0 THEN ({_TYPES}::VARCHAR[])[query_id] END AS ctx, token, p FROM probs), steps AS (
   SELECT seq, token, lag(token) OVER (PARTITION BY seq ORDER BY pos) AS ctx FROM flat
 ) SELECT seq AS user_id, count(*) AS tokens, round(exp(avg(-ln(p))), 6) AS perplexity FROM steps s JOIN named n ON s.token = n.token AND s.ctx IS NOT DISTINCT FROM n.ctx GROUP BY seq""",
     "lineitem_bigrams": f"""WITH flat AS (
   SELECT l_orderkey AS seq, 0 AS shard, l_partkey AS token, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos FROM lineitem
-), c AS (SELECT g0, g1, count(*) AS c FROM ({_led(2)}) GROUP BY g0, g1) SELECT 2 AS n, c AS occurrences, count(*) AS num_ngrams FROM c GROUP BY c""",
+), c AS (SELECT g0, g1, count(*) AS c FROM ({led(2)}) GROUP BY g0, g1) SELECT 2 AS n, c AS occurrences, count(*) AS num_ngrams FROM c GROUP BY c""",
 }

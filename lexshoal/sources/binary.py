@@ -2,9 +2,10 @@
 
 A token file holds little-endian unsigned 16-bit (vocabulary up to 65,536) or 32-bit ids, a suffix
 file little-endian unsigned 64-bit positions; neither has a header. ``read_numbers`` reads ranges of
-a file in parallel: it is a Spark data source with a partition for each range of bytes, for paths
-that all executors can open. ``write_numbers`` writes a table in order through the driver, a
-partition at a time, which suits exports of a file's size.
+a file in parallel: it is a Spark data source with a partition for each range of bytes.
+``write_numbers`` writes in parallel, too: an element's place in the file follows from its number, so
+each task writes runs of its rows where they belong, and a task that runs again writes the same bytes
+again. Both are for paths that all executors can open.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lexshoal.functions.tokens import width_of
+from lexshoal.storage import materialize, plain_path
 
 PARTITION_BYTES, BATCH = 64 << 20, 1 << 16
 _KINDS = {16: "<u2", 32: "<u4", 64: "<u8"}
@@ -78,7 +81,7 @@ def read_numbers(spark: SparkSession, path: str, bits: int, limit: int | None =
     reader = spark.read.format("number_file").option("bits", bits).option("strict", strict).option("partitionbytes", partition_bytes)
     if limit is not None:
         reader = reader.option("limit", limit)
-    return reader.load(path)
+    return reader.load(plain_path(path))
 
 
 def read_tokens(spark: SparkSession, path: str, vocab: int = 1 << 16, limit: int | None = None, strict: bool = False) -> DataFrame:
@@ -92,12 +95,43 @@ def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_numbers(df: DataFrame, order: str, value: str, path: str, bits: int) -> None:
-    """The values in order as a raw file; the driver holds one partition at a time."""
-    with open(path, "wb") as file:
-        buffer: list[int] = []
-        for row in df.select(order, value).orderBy(order).toLocalIterator(prefetchPartitions=True):
-            buffer.append(row[1])
-            if len(buffer) >= BATCH:
-                file.write(np.array(buffer, np.uint64).astype(_KINDS[bits]).tobytes())
-                buffer = []
-        file.write(np.array(buffer, np.uint64).astype(_KINDS[bits]).tobytes())
+    """The values of rows numbered 0 .. n - 1 in ``order`` as a raw file of n elements; other numbers are an error.
+
+    Rows are range-partitioned by number, so a task's rows are one run of the file. The file takes
+    its name when it is whole.
+    """
+    path = plain_path(path)
+    width, kind, part = bits // 8, _KINDS[bits], f"{path}.part"
+    rows = materialize(df.select(F.col(order).cast("long").alias("at"), F.col(value).cast("long").alias("value")), "numbers")
+    shape = rows.agg(F.count("*").alias("n"), F.countDistinct("at").alias("places"), F.min("at").alias("low"), F.max("at").alias("high")).first()
+    n = shape["n"]
+    if n and (shape["places"], shape["low"], shape["high"]) != (n, 0, n - 1):
+        raise ValueError(f"rows are not numbered 0 to {n - 1}")
+    with open(part, "wb") as file:
+        file.truncate(n * width)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = os.open(part, os.O_WRONLY)
+        try:
+            for batch in batches:
+                at, values = (np.asarray(batch.column(k)) for k in (0, 1))
+                starts = np.flatnonzero(np.diff(at, prepend=at[:1] - 2) != 1)
+                data = values.astype(kind)
+                for a, b in zip(starts, np.append(starts[1:], len(at)), strict=True):
+                    _write_at(file, data[a:b].tobytes(), int(at[a]) * width)
+                yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int64())], ["n"])
+            os.fsync(file)
+        finally:
+            os.close(file)
+
+    ranged = rows.repartitionByRange("at").sortWithinPartitions("at")
+    done = ranged.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    if done != n:
+        raise OSError(f"{done} of {n} elements were written")
+    os.replace(part, path)
+
+
+def _write_at(file: int, data: bytes, offset: int) -> None:
+    while data:
+        done = os.pwrite(file, data, offset)
+        data, offset = data[done:], offset + done

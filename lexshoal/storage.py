@@ -6,11 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Written tables that nothing has deleted yet, in the order of writing.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,18 +36,75 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, under the application's own folder."""
+    return f"{shared_dir(spark)}/lexshoal/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def plain_path(path: str) -> str:
+    """A path as programs open it, for the file readers and writers that do not go through Spark."""
+    parts = urlparse(path)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"{path} is not a path that all executors can open")
+    return parts.path if parts.scheme else path
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Deletes at its end the tables written inside it, but those whose names begin with one of ``keep``.
+
+    For steps whose results are written tables themselves: what a step has read goes with it.
+    """
+    first = len(_written)
+    try:
+        yield
+    finally:
+        made = _written[first:]
+        names = [path.rpartition("/")[2].rpartition("-")[0] for path in made]
+        gone = [path for path, name in zip(made, names, strict=True) if name not in keep]
+        _written[first:] = [path for path in made if path not in gone]
+        _delete(spark, gone)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this process has written to the shared folder. Results not yet read are lost."""
+    gone, _written[:] = list(_written), []
+    _delete(spark, gone)
+
+
+def _at_exit() -> None:
+    """What is left goes with the process, while its session lives."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _written:
+        try:
+            release(spark)
+        except Exception:  # noqa: BLE001  the session may have ended already
+            _written.clear()
+
+
+atexit.register(_at_exit)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks that read the table, not the stages that
     made it. Shuffle files of the stages go as soon as the table stands, so a job of many steps holds
-    those of one step at a time.
+    those of one step at a time. Tables stay until ``scratch``, ``release`` or the end of the process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexshoal/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
+        _written.append(path)
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before)

@@ -1,23 +1,41 @@
 """The driver's contract."""
 
-import importlib.util
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
-from lexshoal.plans import registry
+from lexshoal.plans import files, registry
 
 
-def test_every_query_of_the_engine_has_sql():
-    assert set(registry.QUERIES) == set(registry.ORACLES)
+@pytest.mark.parametrize("module", [registry, files])
+def test_every_query_of_the_engine_has_sql(module):
+    assert set(module.QUERIES) == set(module.ORACLES)
 
 
 def test_queries_include_the_engine():
-    assert set(registry.QUERIES) <= set(entry.queries())
+    assert set(registry.QUERIES) | set(files.QUERIES) <= set(entry.queries())
+    assert not set(registry.QUERIES) & set(files.QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the training-data subpackage is not installed")
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_the_rest_stands_without_the_training_data_operators(tmp_path, pipeline):
+    """With the subpackage deleted, with or without the pipeline's file, the entry imports and has the engine's queries."""
+    root = Path(entry.__file__).parent
+    for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline and (root / "corpus_pipeline.py").exists() else [])):
+        shutil.copy(root / name, tmp_path)
+    shutil.copytree(root / "lexshoal", tmp_path / "lexshoal", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
+    want = " ".join(sorted(registry.QUERIES | files.QUERIES))
+    assert done.stdout.splitlines() == [want, want]
+
+
+@pytest.mark.skipif(not entry.HAS_LLM, reason="the training-data subpackage is not installed")
 def test_queries_include_the_pipeline():
     names = entry.queries()
     assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))
