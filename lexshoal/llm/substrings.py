@@ -8,12 +8,17 @@ together first, so suffix arrays stay small and independent:
 
 1. *Anchors.* The windows of ``depth`` bytes of a text are cut into runs that share the least digest
    of a ``GRAM``-byte string inside the window (an anchor). Equal windows have equal anchors, wherever
-   they stand. About one anchor falls on 15 bytes. Anchors are sent in packed blocks by digest; within a batch, an
-   anchor that several texts have is sent once, so a passage that a third of all documents share
-   weighs no more than its number of batches.
+   they stand. About one anchor falls on 15 bytes. Anchors are sent in packed blocks by digest. An
+   anchor that several texts of a batch have is known to be shared: only the anchor is sent there,
+   once, and its places go to their texts directly. So where anchors meet, a passage that a third of
+   all documents share weighs no more than its number of batches. Up to ``WAYS`` parts are dealt in one
+   step; beyond, blocks go to one of ``WAYS`` groups of parts first and are dealt from there, so the
+   number of blocks follows the input and not its square.
 2. *Segments.* Anchors that two different texts have at least mark segments: the run of window starts
    and the bytes they need. Segments are cut from the texts again; equal segments of a batch become
-   one.
+   one. An anchor of very many segments (a common passage between differing texts) does not keep them
+   together: their windows are counted by digests, those at one place only are left out, and each
+   other window becomes a segment of its own, of which equal ones are one and which are dealt by window.
 3. *Suffix arrays.* For each range of anchors, windows whose digest is alone are left out and equal
    rests of segments become one. The suffixes of what is left are sorted by two-stage sorting, neighbours with a common prefix of ``depth`` bytes form a group, and each window learns
    the smallest document that has its string.
@@ -26,7 +31,7 @@ smallest can keep anything, the others repeat it as a whole.
 Nulls: a null text is empty. Rows with a null id count as one document before all others. Rows that
 repeat an id are one document to each other (no repeat between them counts) and each get their own
 result. Texts shorter than ``depth`` lose nothing. Empty tables give empty results. Other columns are
-ignored.
+ignored. Ids are compared as numbers: a column of another type than a whole number is an error.
 """
 
 from __future__ import annotations
@@ -41,6 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexshoal.llm.skew import spread_join
 from lexshoal.llm.suffixes import common_prefixes, suffix_order
 from lexshoal.llm.texts import blocks, column_bytes, mix, prefix_digests, range_digests, release_memory, released
 from lexshoal.storage import materialize, read_table
@@ -48,6 +54,10 @@ from lexshoal.storage import materialize, read_table
 DEPTH, GRAM = 50, 20
 #: Text bytes whose anchors meet in one task, and segment bytes that one suffix array sorts.
 ANCHOR_BYTES, SORT_BYTES = 12 << 20, 2 << 20
+#: Parts or groups of parts that a block is dealt to at most, and bytes of packed blocks that are dealt again at once.
+WAYS, REDEAL_BYTES = 1024, 16 << 20
+#: Segments of an anchor beyond which they are cut down first; never below one ``HOT_ANCHORS``-th of all segments.
+HOT_SEGMENTS, HOT_ANCHORS = 5_000, 10_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -159,7 +169,7 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator
 
 
 def _send_anchors(docs: DataFrame, text: str, parts: int, depth: int) -> DataFrame:
-    """(part, data): packed anchors of batches of texts, by digest."""
+    """(part, data): packed anchors of batches of texts, by digest; under part -1 - d packed places for destination d."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -178,62 +188,129 @@ def _send_anchors(docs: DataFrame, text: str, parts: int, depth: int) -> DataFra
             if not found:
                 continue
             anchor, row, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
-            part = mix(anchor) % np.uint64(parts)
-            by = np.lexsort((anchor, part))
-            anchor, row, start, size, part = anchor[by], row[by], start[by], size[by], part[by]
+            by = np.argsort(anchor, kind="stable")
+            anchor, row, start, size = anchor[by], row[by], start[by], size[by]
             heads = _heads(anchor)
             group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(anchor))))
             several = np.minimum.reduceat(row, heads) != np.maximum.reduceat(row, heads) if len(heads) else np.zeros(0, bool)
             known = several[group]
-            rows: list[tuple[int, bytes]] = []
-            bounds = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            for p in np.flatnonzero(np.diff(bounds)):
-                a, b = bounds[p], bounds[p + 1]
-                open_ = ~known[a:b]
-                first = heads[np.searchsorted(heads, a) : np.searchsorted(heads, b)]
-                own, at_row = np.unique(row[a:b], return_inverse=True)
-                at_row = at_row.astype(np.uint32)
-                # texts; anchors that one text has; anchors that several have (once), and their places
-                rows.append((int(p), pack_arrays(keys[own], anchor[a:b][open_], at_row[open_], start[a:b][open_], size[a:b][open_], anchor[first[known[first]]], at_row[~open_], start[a:b][~open_], size[a:b][~open_])))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "data"])
+            # anchors that several texts have: once to where anchors meet, their places to their texts
+            rows = _pack_anchors(keys[row[~known]], anchor[~known], start[~known], size[~known], anchor[heads[several]], ways)
+            yield _dealt_rows(rows + _pack_places(keys[row[known]], start[known], size[known], ways))
+
+    ways = min(parts, WAYS)
+    sent = docs.select(text).mapInArrow(released(run), "part int, data binary")
+    return sent if parts <= WAYS else _redealt(sent, parts)
+
+
+def _dealt_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "data"])
+
+
+def _shares(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Values that a sorted array holds, and where."""
+    heads = _heads(part)
+    for a, b in zip(heads.tolist(), np.append(heads, len(part))[1:].tolist(), strict=True):
+        yield int(part[a]), slice(a, b)
+
+
+def _pack_anchors(text: np.ndarray, anchor: np.ndarray, start: np.ndarray, size: np.ndarray, several: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Anchors with their places, and anchors that are known to be shared, packed by part of the anchor."""
+    part = (mix(anchor) % np.uint64(parts)).astype(np.int64)
+    by = np.lexsort((anchor, part))
+    text, anchor, start, size, part = text[by], anchor[by], start[by], size[by], part[by]
+    out = []
+    for p, own in _shares(part):
+        texts, at = np.unique(text[own], return_inverse=True)
+        out.append((p, pack_arrays(texts, anchor[own], at.astype(np.uint32), start[own], size[own])))
+    part = (mix(several) % np.uint64(parts)).astype(np.int64)
+    by = np.lexsort((several, part))
+    return out + [(p, pack_arrays(several[by][own])) for p, own in _shares(part[by])]
+
+
+def _pack_places(text: np.ndarray, start: np.ndarray, size: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Places of shared anchors, packed by destination d of their texts, under part -1 - d."""
+    dest = _destination(text, parts)
+    by = np.lexsort((start, text, dest))
+    text, start, size, dest = text[by], start[by], size[by], dest[by]
+    out = []
+    for d, own in _shares(dest):
+        heads = _heads(text[own])
+        counts = np.diff(np.append(heads, own.stop - own.start)).astype(np.uint32)
+        out.append((-1 - d, pack_arrays(text[own][heads], counts, start[own], size[own])))
+    return out
+
+
+class _Unpacked:
+    """Packed blocks put together again: anchors with places, shared anchors, places."""
+
+    def __init__(self) -> None:
+        self.found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]]
+        self.several = [np.zeros(0, np.uint64)]
+        self.places: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]]
+
+    def add(self, data: bytes) -> None:
+        arrays = unpack_arrays(data)
+        if len(arrays) == 1:
+            self.several += arrays
+        elif len(arrays) == 4:
+            text, counts, start, size = arrays
+            for to, x in zip(self.places, (np.repeat(text, counts), start, size), strict=True):
+                to.append(x)
+        else:
+            texts, anchor, at, start, size = arrays
+            for to, x in zip(self.found, (texts[at], anchor, start, size), strict=True):
+                to.append(x)
+
+
+def _redealt(sent: DataFrame, parts: int) -> DataFrame:
+    """Blocks of ``WAYS`` parts as blocks of ``parts`` parts, a multiple of ``WAYS``.
+
+    A task puts ``REDEAL_BYTES`` of blocks of few parts together and deals them out again.
+    """
 
-    return docs.select(text).mapInArrow(released(run), "part int, data binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = _Unpacked(), 0
+
+        def flush() -> pa.RecordBatch:
+            rows = _pack_anchors(*map(np.concatenate, held.found), np.unique(np.concatenate(held.several)), parts)
+            return _dealt_rows(rows + _pack_places(*map(np.concatenate, held.places), parts))
+
+        for batch in batches:
+            for data in batch.column(0):
+                held.add(data.as_py())
+                size += len(data.as_py())
+                if size >= REDEAL_BYTES:
+                    yield flush()
+                    held, size = _Unpacked(), 0
+        if size:
+            yield flush()
+
+    return sent.repartition(F.col("part"), F.pmod(F.xxhash64("data"), F.lit(64))).select("data").mapInArrow(released(run), "part int, data binary")
 
 
 def _shared_anchors(sent: DataFrame, parts: int) -> DataFrame:
     """(dest, data): the runs of texts whose anchors another text has, too, packed by destination of the text."""
 
     def meet(table: pa.Table) -> pa.Table:
-        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
-        places: list[list[np.ndarray]] = [[] for _ in range(3)]
+        part = table["part"][0].as_py()
+        if part < 0:  # places that need no meeting
+            return pa.table([pa.array([part] * table.num_rows, pa.int32()), table["data"].cast(pa.binary())], ["part", "data"])
+        blocks_ = _Unpacked()
         for data in table["data"]:
-            keys, anchor, row, start, size, several, row2, start2, size2 = unpack_arrays(data.as_py())
-            for to, x in zip(columns, (anchor, keys[row], start, size, several), strict=True):
-                to.append(x)
-            for to, x in zip(places, (keys[row2], start2, size2), strict=True):
-                to.append(x)
-        anchor, text, start, size, several = map(np.concatenate, columns)
+            blocks_.add(data.as_py())
+        text, anchor, start, size = map(np.concatenate, blocks_.found)
         by = np.argsort(anchor, kind="stable")
         anchor, text, start, size = anchor[by], text[by], start[by], size[by]
         heads = _heads(anchor)
         if len(heads):
-            shared = (np.minimum.reduceat(text, heads) != np.maximum.reduceat(text, heads)) | np.isin(anchor[heads], several)
+            shared = (np.minimum.reduceat(text, heads) != np.maximum.reduceat(text, heads)) | np.isin(anchor[heads], np.concatenate(blocks_.several))
             keep = np.repeat(shared, np.diff(np.append(heads, len(anchor))))
             text, start, size = text[keep], start[keep], size[keep]
-        text, start, size = (np.concatenate((x, *y)) for x, y in zip((text, start, size), places, strict=True))
-        dest = _destination(text, parts)
-        by = np.lexsort((start, text, dest))
-        text, start, size, dest = text[by], start[by], size[by], dest[by]
-        rows = []
-        bounds = np.searchsorted(dest, np.arange(parts + 1))
-        for d in np.flatnonzero(np.diff(bounds)):
-            own = slice(bounds[d], bounds[d + 1])
-            heads = _heads(text[own])
-            counts = np.diff(np.append(heads, bounds[d + 1] - bounds[d])).astype(np.uint32)
-            rows.append((int(d), pack_arrays(text[own][heads], counts, start[own], size[own])))
-        return pa.table([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["dest", "data"])
-
-    return sent.groupBy("part").applyInArrow(meet, "dest int, data binary")
+        return pa.Table.from_batches([_dealt_rows(_pack_places(text, start, size, min(parts, WAYS)))])
+
+    met = sent.groupBy("part").applyInArrow(meet, "part int, data binary")
+    return (met if parts <= WAYS else _redealt(met, parts)).select((-1 - F.col("part")).alias("dest"), "data")
 
 
 def _destination(text: np.ndarray, parts: int) -> np.ndarray:
@@ -427,7 +504,48 @@ def window_owners(segments: list[bytes], least: np.ndarray, depth: int) -> tuple
     return out, offset
 
 
-def _sort_segments(segments: DataFrame, parts: int, depth: int) -> DataFrame:
+def _cut_down(segments: DataFrame, depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """Segments of ordinary anchors, and, written, the windows of very frequent ones that occur twice, each a segment.
+
+    ``segments`` is a written table. A window at a single place has its own document and needs no sorting.
+    """
+    counts = segments.where("anchor is not null").groupBy("anchor").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    least = max(HOT_SEGMENTS, total["n"] // HOT_ANCHORS)
+    if total["most"] <= least:
+        return segments, None
+    hot = materialize(counts.where(F.col("n") > least).select("anchor"), "hot-anchors")  # at most HOT_ANCHORS rows
+    cold = segments.join(F.broadcast(hot), "anchor", "left_anti")
+    rows = materialize(segments.join(F.broadcast(hot), "anchor", "left_semi").withColumn("id", F.monotonically_increasing_id()), "hot-segments")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(1).to_pylist()
+            n = np.array([len(x) - depth + 1 for x in own], np.int64)
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), n)), pa.array(place.astype(np.int32)), pa.array(_window_digests(own, depth).view(np.int64)), pa.array(np.repeat(np.asarray(batch.column(2)) > 1, n))], ["id", "place", "window", "several"])
+
+    opened = materialize(rows.select("id", "segment", "times").mapInArrow(released(windows), "id long, place int, window long, several boolean"), "hot-windows")
+    seen = opened.groupBy("window").agg(F.count("*").alias("rows"), F.bool_or("several").alias("several")).where("rows > 1 or several").select("window")
+    kept = spread_join(opened, materialize(seen, "shared-windows"), "window", "id")
+    piece = F.substring("segment", F.col("place") + 1, F.lit(depth)).alias("segment")
+    moved = F.transform("starts", lambda at: at + F.col("place")).alias("starts")
+    less = kept.select("id", "place", "window").join(rows, "id").select("anchor", F.col("window").alias("digest"), piece, "least", "times", "m0s", "m1s", "ords", moved)
+    return cold.select(segments.columns), materialize(less, "cut-segments")
+
+
+def _sort_rows(segments: DataFrame, cut: DataFrame | None, parts: int) -> DataFrame:
+    """(anchor, digest, segment, least, times, part): what each suffix array gets."""
+    columns = ("anchor", "digest", "segment", "least", "times")
+    rows = segments.where("anchor is not null").select(*columns, F.pmod(F.xxhash64("anchor"), F.lit(parts)).alias("part"))
+    if cut is None:
+        return rows
+    # equal windows meet before they are sent
+    one = cut.groupBy("anchor", "digest").agg(F.first("segment").alias("segment"), F.min("least").alias("least"), F.sum("times").alias("times"))
+    return rows.unionByName(one.select(*columns, F.pmod(F.xxhash64("anchor", "digest"), F.lit(parts)).alias("part")))
+
+
+def _sort_segments(segments: DataFrame, cut: DataFrame | None, parts: int, depth: int) -> DataFrame:
     """(anchor, digest, sizes, owners): for each different segment runs of windows and their smallest documents."""
 
     def sort(table: pa.Table) -> pa.Table:
@@ -451,12 +569,11 @@ def _sort_segments(segments: DataFrame, parts: int, depth: int) -> DataFrame:
         out = pa.table([pa.array(anchor[by][heads]), pa.array(digest[by][heads]), sizes, found], ["anchor", "digest", "sizes", "owners"])
         return out.filter(pa.array(tells))
 
-    rows = segments.where("anchor is not null").select("anchor", "digest", "segment", "least", "times")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts)))
+    rows = _sort_rows(segments, cut, parts)
     return rows.groupBy("part").applyInArrow(sort, "anchor long, digest long, sizes array<long>, owners array<long>")
 
 
-def _removals(segments: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
+def _removals(segments: DataFrame, cut: DataFrame | None, answers: DataFrame, depth: int) -> DataFrame:
     """(m0, m1, starts, ends): byte ranges that go, for each text and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,6 +602,10 @@ def _removals(segments: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
 
     places = segments.where("anchor is not null").select("anchor", "digest", "m0s", "m1s", "ords", "starts")
     joined = places.join(answers, ["anchor", "digest"]).select("m0s", "m1s", "ords", "starts", "sizes", "owners")
+    if cut is not None:
+        key = F.struct("anchor", "digest").alias("key")
+        more = spread_join(cut.select(key, "m0s", "m1s", "ords", "starts"), answers.select(key, "sizes", "owners"), "key", "m0s")
+        joined = joined.unionByName(more.select(joined.columns))
     return joined.mapInArrow(released(run), "m0 long, m1 long, starts array<long>, ends array<long>")
 
 
@@ -526,15 +647,19 @@ def repeated_substrings(docs: DataFrame, doc: str = "doc_id", text: str = "text"
     """(doc, n_bytes, n_removed, n_spans, kept_sha256, spans): for each row what it loses; spans are byte ranges."""
     if depth < GRAM:
         raise ValueError(f"depth must be at least {GRAM}")
+    if dict(docs.dtypes)[doc] not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"{doc} must hold whole numbers")
     facts = text_facts(docs, doc, text)
     total = facts.agg(F.sum("n")).first()[0] or 0
     texts = facts.groupBy("m0", "m1").agg(F.min("ord").alias("ord"))
     parts = max(1, -(-total // ANCHOR_BYTES))
+    parts = parts if parts <= WAYS else -(-parts // WAYS) * WAYS
     shared = _shared_anchors(_send_anchors(docs, text, parts, depth), parts)
     segments = materialize(_cut_segments(docs, text, shared, texts, parts, depth), "segments")
+    ordinary, cut = _cut_down(segments, depth)
     size = segments.agg(F.sum(F.length("segment"))).first()[0] or 0
-    answers = materialize(_sort_segments(segments, max(1, -(-size // SORT_BYTES)), depth), "answers")
-    found = _apply(segments, materialize(_removals(segments, answers, depth), "removals"))
+    answers = materialize(_sort_segments(ordinary, cut, max(1, -(-size // SORT_BYTES)), depth), "answers")
+    found = _apply(segments, materialize(_removals(ordinary, cut, answers, depth), "removals"))
     known = facts.join(texts.withColumnRenamed("ord", "owner"), ["m0", "m1"]).join(found, ["m0", "m1"], "left")
     copy = (F.col("owner") < F.col("ord")) & (F.col("n") >= depth)
     zero = F.lit(0).cast("long")
