@@ -8,9 +8,11 @@
    repeats of one length and repeats of another) are the columns of a non-negative least-squares
    problem; its solution says how often to use each combination. Counts are rounded down and kept
    within the histogram.
-4. Pieces are ranked within their length and find their window by rank from the table of
-   combinations, which is bounded and broadcast. Pieces beyond the combinations are packed greedily:
-   laid end to end and cut where a window ends.
+4. The histogram's residuals are packed greedily: the longest piece, then the longest ones that still
+   fit, as long as a window keeps at most ``SLACK`` units empty.
+5. Pieces are ranked within their length and find their window by rank from the table of
+   combinations, which is bounded and broadcast. What no combination takes (long pieces without short
+   ones to go with them) is laid end to end, the longest first, and cut where a window ends.
 
 Ranks and the greedy stream run in blocks of about ``BLOCK_PIECES`` pieces dealt out by piece number,
 so no length, document or source meets in one task; each block leaves at most one window unfilled.
@@ -26,7 +28,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +39,29 @@ from pyspark.sql import functions as F
 from lexshoal.llm.texts import column_bytes, released
 from lexshoal.storage import materialize, read_table
 
-WINDOW, END, UNITS, BLOCK_PIECES, CACHED_WORDS = 4096, 2, 256, 200_000, 800_000
+WINDOW, END, UNITS, SLACK, BLOCK_PIECES, CACHED_WORDS = 4096, 2, 256, 2, 200_000, 800_000
 
 
 #: Latin letters, then punctuation; no apostrophe, which can start a suffix, and no ``<``, which can start a special token.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:$%&#*|]*)")
 
 
+#: Texts in which tokenizers of another build give other ids than word by word.
+_PROBES = [
+    "Hello, World! The NAÏVE café; déjà vu.", " leading and  double\tspaces\n\nand lines \r\n", "don't it's WE'LL o'clock", "x<|im_end|>y &amp; #1 $5.00 50% (ok) [a_b]",
+    "Ünïcödé Straße þorn ÿ", "日本語 テスト 한국어 Привет", "new york new york of the of the in the", "a.b.c e.g. 3.14 1,000,000 v2.0", "", " ", "zzzqqqxxx supercalifragilisticexpialidocious",
+]
+
+
 class WordEncoder:
     """Ids of whole texts from ids of words.
 
     The tokenizer drops white space and never joins what white space parts, so a text's ids are its
     words' ids in order. Words are looked up in a bounded table; only new ones are encoded. Most are
     Latin letters and then punctuation, which the tokenizer parts, too: their lower-cased letters and
-    their punctuation go straight to its model. All other words take its whole path.
+    their punctuation go straight to its model. All other words take its whole path. Whether a
+    tokenizer is built that way is tried on ``_PROBES`` when it is read; of another one (cased, say, or
+    joining over white space) every text takes the whole path.
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
@@ -59,11 +70,20 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cached_words = cached_words
+        self.cached_words, self.by_words = cached_words, True
         # the tokenizer's own names of the bytes of letters beyond ASCII
         name = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.names = str.maketrans({c: name(c)[0][0] for c in map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])})
         self.clear()
+        self.by_words = all(self._whole([x])[0].tolist() == self.encode(pa.array([x]))[0].tolist() for x in _PROBES)
+        self.clear()
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts by the tokenizer itself, and for each text its first (n+1 values)."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        return flat, np.concatenate(([0], np.cumsum(sizes)))
 
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
@@ -104,6 +124,8 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and for each text its first (n+1 values)."""
+        if not self.by_words:
+            return self._whole(texts.to_pylist())
         parts = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         first = np.asarray(parts.offsets)
         coded = parts.flatten().dictionary_encode()
@@ -232,7 +254,7 @@ def plan_windows(histogram: np.ndarray, units: int = UNITS) -> list[tuple[dict[i
     """(combination, times) within the histogram, whose index is the length in units."""
     options = combinations(histogram, units)
     if not options:
-        return []
+        return fill_greedily(histogram.copy(), units)
     matrix = np.zeros((units + 1, len(options)))
     for j, parts in enumerate(options):
         for b, k in parts.items():
@@ -245,6 +267,29 @@ def plan_windows(histogram: np.ndarray, units: int = UNITS) -> list[tuple[dict[i
             plan.append((options[j], times))
             for b, k in options[j].items():
                 left[b] -= k * times
+    return plan + fill_greedily(left, units)
+
+
+def fill_greedily(left: np.ndarray, units: int = UNITS, slack: int = SLACK) -> list[tuple[dict[int, int], int]]:
+    """(combination, times) for what ``left`` holds, which is reduced: the longest piece, then the longest that fits.
+
+    A combination counts if at most ``slack`` units of its window stay empty.
+    """
+    plan = []
+    for b in range(units, 0, -1):
+        while left[b] > 0:
+            parts, room = {b: 1}, units - b
+            for c in range(min(b, room), 0, -1):
+                k = min(int(left[c]) - parts.get(c, 0), room // c)
+                if k > 0:
+                    parts[c] = parts.get(c, 0) + k
+                    room -= c * k
+            if room > slack:
+                break
+            times = min(int(left[c]) // k for c, k in parts.items())
+            plan.append((parts, times))
+            for c, k in parts.items():
+                left[c] -= k * times
     return plan
 
 
