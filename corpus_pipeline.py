@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of ``docs``. ``run`` writes each stage's result to the shared folder and reads it back for the next.
+of ``docs``. ``run`` writes each stage's result to the shared folder and reads it back for the next;
+what a stage wrote on the way is deleted at its end.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexshoal.llm import decontaminate, lines, near, packing, quality
-from lexshoal.storage import materialize, read_table
+from lexshoal.storage import materialize, read_table, scratch
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark, f"stage-{name}"):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexshoal.storage import materialize
+from lexshoal.storage import materialize, scratch
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,12 @@ def _ordered(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); nodes of one component share a root, itself a node."""
+    """(node, root) for every node of ``edges`` (a, b), written; nodes of one component share a root, itself a node."""
+    with scratch(edges.sparkSession, "roots"):
+        return materialize(_contracted(edges), "roots")
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     left, pointers = materialize(_ordered(edges), "edges"), []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -35,4 +40,4 @@ def components(edges: DataFrame) -> DataFrame:
     for points in pointers[1:]:
         more = points.select(F.col("node").alias("root"), "to")
         roots = roots.join(more, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return materialize(roots, "roots")
+    return roots

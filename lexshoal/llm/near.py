@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from lexshoal.llm.columns import free_names
 from lexshoal.llm.components import components
 from lexshoal.llm.texts import SPACE, blocks, column_bytes, fixed_rows, lower, mix, released, shingles, words
-from lexshoal.storage import materialize, read_table
+from lexshoal.storage import materialize, read_table, scratch
 
 BANDS, ROWS, BATCH, MISS, BLOCK = 32, 4, 32, 1e-6, 512
 _RNG = np.random.default_rng(7)
@@ -366,12 +366,14 @@ def link_rows(docs: DataFrame, width: int = 5, percent: int = 80, doc: str = "do
     """(uid, doc, n, component): one row for each row of ``docs``; component is the smallest id reachable."""
     threshold = percent / 100
     profiles = profile(docs, width, doc, text)
-    classes = profiles.where("n > 0").groupBy("c0", "c1", "n").agg(F.min("uid").alias("rep"))
+    classes = profiles.where("n > 0").groupBy("c0", "c1", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("rows"))
+    classes = materialize(classes.where("rows > 1").drop("rows"), "classes")  # written, so that the join can split a large class
     member = materialize(profiles.select("uid", "doc", "n", "c0", "c1").join(classes, ["c0", "c1", "n"], "left").select("uid", "doc", "n", F.coalesce("rep", "uid").alias("rep")), "members")
     reps = profiles.join(member.where("uid = rep and n > 0").select("uid"), "uid", "left_semi")
 
     bands = _bands(reps)
     leaders = bands.groupBy("key").agg(F.min("uid").alias("leader"), F.count("*").alias("size")).where("size > 1").select("key", "leader")
+    leaders = materialize(leaders, "leaders")
     shared = materialize(bands.join(leaders, "key"), "buckets")
     stars = shared.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -382,12 +384,15 @@ def link_rows(docs: DataFrame, width: int = 5, percent: int = 80, doc: str = "do
 
     def joined(links: DataFrame) -> DataFrame:
         """The roots after more links of nodes."""
-        links = materialize(links, "links")
+        with scratch(docs.sparkSession, "roots"):
+            return materialize(rerooted(materialize(links, "links")), "roots")
+
+    def rerooted(links: DataFrame) -> DataFrame:
         ends = rooted(rooted(links, "a").select(F.col("root").alias("a"), "b"), "b").select("a", F.col("root").alias("b"))
         above = components(ends)
         old = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
         new = above.join(roots.select("node"), "node", "left_anti")
-        return materialize(old.unionByName(new), "roots")
+        return old.unionByName(new)
 
     apart = rooted(rooted(stars, "a").withColumnRenamed("root", "root_a"), "b").where("root <> root_a").select("a", "b")
     roots = joined(_confirm(_prune(apart.join(first, ["a", "b"], "left_anti"), profiles, threshold), profiles, width, percent))
@@ -395,6 +400,7 @@ def link_rows(docs: DataFrame, width: int = 5, percent: int = 80, doc: str = "do
     roots = joined(_exact_links(rooted(shared.select("key", "band", "uid"), "uid"), profiles, threshold, width, percent))
     grouped = rooted(member.withColumnRenamed("uid", "row"), "rep").select("row", "doc", "n", F.col("root").alias("group"))
     smallest = grouped.groupBy("group").agg(F.min("doc").alias("component"), F.min(F.struct(F.col("doc").isNull().alias("late"), "doc", "row")).alias("keeper"))
+    smallest = materialize(smallest, "smallest")
     return grouped.join(smallest, "group").select(F.col("row").alias("uid"), "doc", "n", "component", (F.col("row") == F.col("keeper.row")).alias("first"))
 
 

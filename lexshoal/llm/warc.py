@@ -13,8 +13,9 @@ A null payload is empty. A null page id comes before all others. Rows that repea
 payload are all written: as responses if they are the newest, as revisits otherwise. A null URL is
 written as ``urn:missing``. An empty table gives an empty result. Other columns are ignored.
 
-The newest record of a payload is found on digests and ids alone. Payloads move once, by page id, so
-a payload that a third of all pages share does not meet in one task.
+The newest record of a payload is found on digests and ids alone, with the pages of a frequent digest
+dealt over many tasks. Payloads move once, by page id, so a payload that a third of all pages share
+does not meet in one task.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexshoal.llm.skew import spread_join
 from lexshoal.storage import materialize, read_table
 
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 8 << 20
@@ -149,8 +151,10 @@ def mark_revisits(pages: DataFrame, page: str = "page_id", payload: str = "html"
     """(page_id, url, payload, revisit, refers_to) with payloads as text, nulls replaced."""
     rows = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     ids = rows.select("page_id", F.sha1(F.encode("payload", "utf-8")).alias("digest"), F.octet_length("payload").alias("bytes"))
-    newest = ids.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n"))
-    older = ids.join(newest.where("n > 1"), "digest").where(~F.col("page_id").eqNullSafe(F.col("newest")) & (F.col("bytes") >= min_bytes))
+    ids = materialize(ids.where(F.col("bytes") >= min_bytes).select("page_id", "digest"), "payload-digests")
+    newest = ids.groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n"))
+    newest = materialize(newest.where("n > 1").select("digest", "newest"), "repeated-payloads")
+    older = spread_join(ids, newest, "digest", "page_id").where(~F.col("page_id").eqNullSafe(F.col("newest")))
     older = older.select(F.col("page_id").alias("older"), F.col("digest").alias("older_digest"), "newest").distinct()
     keyed = rows.withColumn("digest", F.sha1(F.encode("payload", "utf-8")))
     on = keyed["page_id"].eqNullSafe(older["older"]) & (keyed["digest"] == older["older_digest"])

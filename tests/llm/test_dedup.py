@@ -243,3 +243,28 @@ def test_leaks_of_nothing(spark):
     assert decontaminate.contaminated(docs, items).count() == 0
     assert decontaminate.drop_contaminated(docs, items).count() == 1
     assert decontaminate.contaminated(docs.where("false"), docs.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_a_line_of_all_documents_between_differing_texts(spark, monkeypatch):
+    """Frequent anchors are cut down, and blocks are dealt in two steps; the result stays that of brute force."""
+    rng = random.Random(12)
+    line = "All rights to these sixty bytes are reserved by nobody, see."
+    docs = [(i, " ".join(prose(rng, 12)) + line + " ".join(prose(rng, 12)) + (docs_tail if i % 7 == 0 else "")) for i, docs_tail in enumerate(["another passage that only a seventh of all documents have, of eighty bytes...."] * 120)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = sorted(brute_repeats(docs))
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    plain = sorted(tuple(r[c] for c in columns) for r in substrings.repeated_substrings(frame).collect())
+    assert plain == want
+    for name, value in {"HOT_SEGMENTS": 3, "HOT_ANCHORS": 1 << 40, "WAYS": 4, "ANCHOR_BYTES": 2000, "REDEAL_BYTES": 3000}.items():
+        monkeypatch.setattr(substrings, name, value)
+    parts = []
+    inner = substrings._sort_rows
+    monkeypatch.setattr(substrings, "_sort_rows", lambda segments, cut, n: parts.append(inner(segments, cut, 50).groupBy("part").count().collect()) or inner(segments, cut, n))
+    assert sorted(tuple(r[c] for c in columns) for r in substrings.repeated_substrings(frame).collect()) == want
+    sizes = [r["count"] for r in parts[0]]
+    assert len(sizes) == 50 and max(sizes) < 3 * sum(sizes) / 50  # no part holds the segments of a frequent anchor
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    with pytest.raises(ValueError, match="whole numbers"):
+        substrings.repeated_substrings(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
