@@ -184,8 +184,34 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", te
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that it holds."""
     found = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").cast("long").alias("start_word"), "similarity", F.col("distance").cast("long").alias("hamming_distance"))
-
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").cast("long").alias("start_word"), "similarity")
+
+
+OP3_SQL = r"""
+WITH items AS (
+  SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark
+), sized AS (SELECT item_id, w, len(w) AS n_words, least(len(w), 5) AS width FROM items WHERE len(w) > 0
+), item_grams AS (
+  SELECT item_id, n_words, width, g, count(*) AS c
+  FROM (SELECT item_id, n_words, width, unnest(list_transform(range(1, n_words - width + 2), lambda i: array_to_string(w[i : i + width - 1], ' '))) AS g FROM sized) GROUP BY ALL
+), docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+), doc_grams AS (
+  SELECT doc_id, len(w) AS doc_words, width, unnest(range(len(w) - width + 1)) AS pos,
+    unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i : i + width - 1], ' '))) AS g
+  FROM docs, (SELECT DISTINCT width FROM sized) WHERE len(w) >= width
+), hits AS (
+  SELECT doc_id, item_id, pos, g, c, greatest(doc_words - n_words, 0) AS last, least(doc_words, n_words) - width + 1 AS size, n_words - width + 1 AS item_size
+  FROM doc_grams JOIN item_grams USING (width, g)
+), starts AS (SELECT DISTINCT doc_id, item_id, least(pos, last) AS start FROM hits
+), weights AS (
+  SELECT h.doc_id, h.item_id, start, size, item_size, g, least(count(*), any_value(c)) AS x
+  FROM starts s JOIN hits h ON s.doc_id = h.doc_id AND s.item_id = h.item_id AND h.pos >= start AND h.pos < start + size GROUP BY ALL
+), scored AS (
+  SELECT doc_id, item_id, start, CAST(sum(x) AS BIGINT) AS shared, size + item_size - CAST(sum(x) AS BIGINT) AS union_ FROM weights GROUP BY doc_id, item_id, start, size, item_size
+)
+SELECT doc_id, item_id, arg_min(start, (-shared::DOUBLE / union_, start)) AS start_word, max(shared::DOUBLE / union_) AS similarity
+FROM scored WHERE shared * 100 >= union_ * 80 GROUP BY doc_id, item_id
+"""
 
 QUERIES = {"op3_decontamination": op3_decontamination}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_decontamination": OP3_SQL}

@@ -252,5 +252,35 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("item.position").alias("position"), F.col("item.caption").alias("caption"))
 
 
+OP4_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+), padded AS (
+  SELECT doc_id, n, greatest((n + 63) // 64, 1) AS lines, h || repeat('00', CAST(64 * greatest((n + 63) // 64, 1) - n AS BIGINT)) AS h FROM docs
+), chunks AS (
+  SELECT doc_id, k, substr(h, 1024 * k + 1, 1024) AS c FROM (SELECT doc_id, h, unnest(range((lines + 7) // 8)) AS k FROM padded)
+), samples AS (
+  SELECT doc_id, 512 * k + i AS spot, CAST('0x' || substr(c, 2 * i + 1, 2) AS BIGINT) AS v FROM (SELECT *, unnest(range(strlen(c) // 2)) AS i FROM chunks)
+), sums AS (SELECT doc_id, sum(v) AS s, sum(v * v) AS q FROM samples GROUP BY doc_id
+), cells AS (SELECT doc_id, spot // 64 AS line, spot % 64 // 8 AS col, sum(v) AS s FROM samples GROUP BY ALL
+), bands AS (
+  SELECT doc_id, lines, k, k * lines // 8 AS a, greatest((k + 1) * lines // 8, k * lines // 8 + 1) AS b FROM padded, range(8) r(k)
+), light AS (
+  SELECT b.doc_id, b.k, c.col, sum(c.s)::DOUBLE / ((b.b - b.a) * 8) > any_value(t.s)::DOUBLE / (64 * b.lines) AS bit
+  FROM bands b JOIN cells c ON c.doc_id = b.doc_id AND c.line >= b.a AND c.line < b.b JOIN sums t ON t.doc_id = b.doc_id GROUP BY b.doc_id, b.k, c.col, b.a, b.b, b.lines
+), octets AS (SELECT doc_id, k, sum(CASE WHEN bit THEN 1 << CAST(7 - col AS INT) ELSE 0 END) AS o FROM light GROUP BY doc_id, k
+), grids AS (SELECT doc_id, string_agg(printf('%02x', CAST(o AS BIGINT)), '' ORDER BY k) AS bits FROM octets GROUP BY doc_id
+), crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t
+), stored AS (SELECT *, hex(encode('P5' || chr(10) || '64 ' || lines || chr(10) || '255' || chr(10))) || h AS m, substr(h, 128 * lines - 127, 128) AS tail FROM padded
+)
+SELECT p.doc_id, n AS n_bytes, 64 * lines AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+  xor(4294967295, list_reduce(list_transform(range(64), lambda i: CAST('0x' || substr(tail, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(t[CAST((xor(c, b) & 255) + 1 AS BIGINT)], c >> 8), 4294967295)) AS tail_crc32,
+  strlen(m) // 2 AS media_bytes, sha256(unhex(m)) AS media_sha256,
+  printf('%.3f:%.3f:%s', s / (64.0::DOUBLE * lines), sqrt((64 * lines * q - s * s)::DOUBLE) / (64 * lines), bits) AS feature,
+  1 AS position, 'document of ' || n || ' bytes' AS caption
+FROM stored p JOIN sums USING (doc_id) JOIN grids USING (doc_id), crc
+"""
+
 QUERIES = {"op4_media_columns": op4_media_columns}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_media_columns": OP4_SQL}

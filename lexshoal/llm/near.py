@@ -424,5 +424,26 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
 
 
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words
+), classes AS (
+  SELECT min(doc_id) AS rep, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)
+), flat AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM classes
+), numbered AS (SELECT rep, n, g, row_number() OVER (PARTITION BY rep ORDER BY f, g) AS place FROM (SELECT *, count(*) OVER (PARTITION BY g) AS f FROM flat)
+), heads AS (SELECT rep, n, g FROM numbered WHERE place <= n - (4 * n + 4) // 5 + 1
+), candidates AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM heads a JOIN heads b ON a.g = b.g AND a.rep < b.rep AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+), links AS (
+  SELECT a, b FROM (SELECT a, b, len(list_intersect(x.s, y.s)) AS common, len(x.s) + len(y.s) AS sizes FROM candidates JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b)
+  WHERE 100 * common >= 80 * (sizes - common)
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(node, seen) AS (SELECT rep, rep FROM classes UNION SELECT e.b, r.seen FROM reach r JOIN edges e ON e.a = r.node
+), roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY node
+), member AS (SELECT s.doc_id, len(s.s) AS n, coalesce(r.root, s.doc_id) AS component FROM sets s LEFT JOIN classes c ON c.s = list_sort(s.s) LEFT JOIN roots r ON r.node = c.rep)
+SELECT doc_id, n AS n_shingles, component AS component_id, doc_id = component AS kept FROM member
+"""
+
 QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_minhash_near_dedup": OP9_SQL}

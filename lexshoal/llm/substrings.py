@@ -680,5 +680,30 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, hex(encode(coalesce(text, ''))) AS h FROM documents
+), chunks AS (
+  SELECT doc_id, k, substr(h, 1000 * k + 1, 1098) AS c, least(500, n_bytes - 49 - 500 * k) AS n
+  FROM (SELECT *, unnest(range((n_bytes + 450) // 500)) AS k FROM docs WHERE n_bytes >= 50)
+), starts AS (
+  SELECT doc_id, 500 * k + i AS p, substr(c, 2 * i + 1, 100) AS s FROM (SELECT doc_id, k, c, unnest(range(n)) AS i FROM chunks WHERE n > 0)
+), owners AS (SELECT s, min(doc_id) AS owner FROM starts GROUP BY s HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT t.doc_id, p FROM starts t JOIN owners o USING (s) WHERE owner < t.doc_id
+), cut AS (
+  SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) > 50 AS new FROM gone
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT *, count(*) FILTER (WHERE new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM cut) GROUP BY doc_id, span
+), kept AS (
+  SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT d.doc_id, coalesce(max(s.b), 0), any_value(d.n_bytes) FROM docs d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id
+), pieces AS (
+  SELECT k.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS left_ FROM kept k JOIN docs d USING (doc_id) GROUP BY k.doc_id
+)
+SELECT d.doc_id, n_bytes, CAST(coalesce(sum(b - a), 0) AS BIGINT) AS n_removed, count(a) AS n_spans, any_value(sha256(unhex(left_))) AS kept_sha256
+FROM docs d JOIN pieces USING (doc_id) LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id, n_bytes
+"""
+
 QUERIES = {"op5_suffix_array_dedup": op5_suffix_array_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_suffix_array_dedup": OP5_SQL}
