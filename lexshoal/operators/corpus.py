@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexshoal.functions.tokens import width_of, wrap_tokens
-from lexshoal.operators.prefix import running_total
+from lexshoal.operators.prefix import numbered
 from lexshoal.storage import materialize
 
 CHUNK = 65_536
@@ -89,14 +89,13 @@ def from_events(rows: DataFrame, token: str, seq: str, order: list[str], shard:
 def stream(chunks: DataFrame, tokens: str, order: list[str], shard: str | None = None, end_token: object = None, longest: int = 8, vocab: int | None = None, chunk: int = CHUNK) -> Corpus:
     """All rows of a shard, in ``order``, as one sequence of the shard, with an end token after each row if given.
 
-    Positions come from a distributed running total, tokens are dealt into chunks of equal size, and
-    a chunk takes its tail from the next ones. Nothing is gathered by shard.
+    Rows are sorted by one range exchange; tokens are numbered in the sorted ranges, dealt into chunks
+    of equal size, and a chunk takes its tail from the next ones. Nothing is gathered by shard.
     """
     own = F.col(tokens) if end_token is None else F.concat(F.col(tokens), F.array(F.lit(end_token)))
     rows = chunks.select((F.col(shard) if shard else F.lit(0)).alias("shard"), *order, own.alias("__tokens"))
-    rows = rows.withColumn("__n", F.size("__tokens").cast("long"))
-    placed = running_total(materialize(rows, "stream"), ["shard", *order], "__n", "__at", by="shard")
-    flat = placed.select("shard", "__at", F.posexplode("__tokens").alias("i", "token")).select("shard", (F.col("__at") + F.col("i")).alias("pos"), "token")
+    ranged = rows.repartitionByRange("shard", *order).sortWithinPartitions("shard", *order)
+    flat = numbered(ranged.select("shard", F.explode("__tokens").alias("token")), "pos", by="shard")
     return chunked(flat, longest, vocab, chunk)
 
 

@@ -1,4 +1,4 @@
-"""Row numbers and running totals over a global order, without a single-partition window."""
+"""Row numbers over a global order, without a single-partition window."""
 
 from __future__ import annotations
 
@@ -13,37 +13,22 @@ def indexed(df: DataFrame, order: list[str], out: str, by: str | None = None, ke
 
     One range exchange: a row's place inside its range comes from the row ids of the sorted ranges,
     which are written (only the columns ``keep``, if given); the ranges' sizes are summed up over one
-    row for each range. ``by`` is the first column of ``order``.
+    row for each range and value of ``by``, the first of ``order``.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*(keep or df.columns), F.monotonically_increasing_id().alias("__id"))
-    table = materialize(ranged, "indexed")
-    place = {"__range": F.shiftright("__id", 33), out: F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}
-    sizes = table.withColumns(place).groupBy("__range").agg(F.count("*").alias("n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(F.col("__range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    placed = table.withColumns(place).join(F.broadcast(bases), "__range").withColumn(out, F.col(out) + F.col("__base")).drop("__range", "__base", "__id")
-    if by is None:
-        return placed
-    first = placed.groupBy(by).agg(F.min(out).alias("__first")).withColumnRenamed(by, "__by")
-    return placed.join(first, placed[by].eqNullSafe(first["__by"])).withColumn(out, F.col(out) - F.col("__first")).drop("__by", "__first")
-
-
-def running_total(df: DataFrame, order: list[str], value: str, out: str, by: str | None = None) -> DataFrame:
-    """``df`` and ``out``, the sum of ``value`` over all rows before a row in ``order``, a total order.
-
-    Rows are range-partitioned by ``order`` and written with the number of their range; sums run
-    inside ranges, and the ranges' totals, one row for each, are summed on the driver. With ``by``,
-    the first of ``order``, totals start again at each of its values.
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*(keep or df.columns))
+    return numbered(ranged, out, by)
+
+
+def numbered(ranged: DataFrame, out: str, by: str | None = None) -> DataFrame:
+    """``ranged``, whose partitions are sorted ranges, written, and ``out``, the number of rows before a row.
+
+    With ``by``, by which the ranges are sorted first, rows of each of its values are numbered from 0.
     """
-    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()), "ranged")
-    within = Window.partitionBy(*([by] if by else []), "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    keys = [*([by] if by else []), "__range"]
-    totals = ranged.groupBy(*keys).agg(F.sum(value).alias("__total"))
-    # one row for each range, and for each value of ``by`` that begins in it
-    before = Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__base"))
-    names = {k: f"__{i}" for i, k in enumerate(keys)}
-    bases = bases.select(*(F.col(k).alias(v) for k, v in names.items()), "__base")
-    on = [ranged[k].eqNullSafe(bases[v]) for k, v in names.items()]
-    joined = ranged.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0))).join(bases, on)
-    return joined.withColumn(out, F.col(out) + F.col("__base")).drop("__range", "__base", *names.values())
+    table = materialize(ranged.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    placed = table.select("*", F.shiftright("__id", 33).alias("__range"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
+    own = [by] if by else []
+    sizes = placed.groupBy("__range", *own).agg(F.count("*").alias("n"), F.min("__place").alias("first"))
+    before = Window.partitionBy(*(own or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(F.col("__range").alias("__r"), *(F.col(c).alias("__by") for c in own), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("__base"))
+    on = [placed["__range"] == bases["__r"], *(placed[c].eqNullSafe(bases["__by"]) for c in own)]
+    return placed.join(bases, on).select(*ranged.columns, (F.col("__place") + F.col("__base")).alias(out))

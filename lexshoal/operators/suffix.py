@@ -37,7 +37,7 @@ def suffix_ranks(corpus: Corpus) -> DataFrame:
 def _ranks(corpus: Corpus) -> DataFrame:
     keyed, step = _by_first_tokens(corpus)
     digests = {"d1": F.xxhash64("key"), "d2": F.xxhash64(F.lit(1), "key")}
-    placed = indexed(materialize(keyed, "suffix-keys").withColumns(digests), ["shard", "key", "pos"], "index", by="shard", keep=["shard", "pos", "d1", "d2"])
+    placed = indexed(keyed.withColumns(digests), ["shard", "key", "pos"], "index", by="shard", keep=["shard", "pos", "d1", "d2"])
     ties = placed.groupBy("shard", "d1", "d2").agg(F.count("*").alias("n"), F.min("index").alias("head")).where("n > 1").drop("n")
     ties = materialize(ties, "ties")
     ranks = materialize(placed.join(ties, ["shard", "d1", "d2"], "left").select("shard", "pos", F.coalesce("head", "index").alias("rank"), F.col("head").isNotNull().alias("tied")), "ranks")
