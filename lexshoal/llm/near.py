@@ -15,7 +15,9 @@
    resulting components do not explain is compared in full: in buckets that still hold several
    components, all pairs of members of different components, in blocks of signatures. The members of
    a bucket's largest component are compared with the others, not among themselves, so a large group
-   of copies costs its size times its strangers. Of the survivors of the Bayesian test, a first round
+   of copies costs its size times its strangers. A bucket of very many unlike members (a poor key, of
+   texts with common words only) is split by a second band: a pair at similarity 0.8 that shares
+   one band shares no other with probability 1e-6 (32 x 0.41 x 0.59^31). Of the survivors of the Bayesian test, a first round
    emits those that would join components, at most one for each member of a block. A last round makes
    the result complete: the full sets of all members of surviving pairs are intersected block by block
    (products of incidence matrices), and only links that join components become rows.
@@ -49,6 +51,8 @@ from lexshoal.llm.texts import SPACE, blocks, column_bytes, fixed_rows, lower, m
 from lexshoal.storage import materialize, read_table, scratch
 
 BANDS, ROWS, BATCH, MISS, BLOCK = 32, 4, 32, 1e-6, 512
+#: Pairs of blocks in a bucket beyond which its members are compared only where they share a second band.
+POOR_BLOCKS = 64
 _RNG = np.random.default_rng(7)
 _SEED = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -238,14 +242,41 @@ def spanning_pairs(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.
     return np.array(keep, np.int64)
 
 
+def _mixed_buckets(members: DataFrame, block: int) -> DataFrame:
+    """(key, top, major, minor) of buckets that hold several roots, written: the largest root, blocks of its members and of the others."""
+    counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    buckets = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+    buckets = buckets.where("roots > 1").select("key", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / block).alias("major"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("minor"))
+    return materialize(buckets, "mixed-buckets")
+
+
+def _by_second_band(members: DataFrame, poor: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``members`` (key, band, uid, root) of the keys ``poor`` under keys of two bands, one for each other band."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, band, uid, root = (np.asarray(batch.column(k)) for k in range(4))
+            second = mix(key.view(np.uint64)[:, None] ^ mix(fixed_rows(batch.column(4), np.uint64))).view(np.int64)
+            row, k = np.nonzero(np.arange(BANDS)[None, :] != band[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(second[row, k]), *(pa.array(x[row]) for x in (band, uid, root))], ["key", "band", "uid", "root"])
+
+    rows = members.join(poor.select("key"), "key").join(profiles.select("uid", "keys"), "uid").select("key", "band", "uid", "root", "keys")
+    return rows.mapInArrow(released(split), "key long, band short, uid long, root long")
+
+
 def _blocks_of(members: DataFrame, profiles: DataFrame, block: int, *columns: str) -> DataFrame:
     """(key, i, j, band, right, uid, root, columns of profiles): members of buckets that hold several roots, by pairs of blocks.
 
     The members of a bucket's largest root are compared with the others, not among themselves.
     """
-    counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    buckets = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots"))
-    buckets = buckets.where("roots > 1").select("key", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / block).alias("major"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("minor"))
+    members = members.select("key", "band", "uid", "root")
+    buckets = _mixed_buckets(members, block)
+    is_poor = F.col("minor") * (F.col("major") + F.col("minor")) > POOR_BLOCKS
+    poor = buckets.where(is_poor)
+    if not poor.isEmpty():
+        finer = materialize(_by_second_band(members, poor, profiles), "second-bands")
+        members = members.unionByName(finer)  # of the poor keys themselves no bucket is left
+        buckets = buckets.where(~is_poor).unionByName(_mixed_buckets(finer, block))
     rows = members.join(buckets, "key").join(profiles.select("uid", *columns), "uid")
     own = F.col("root") == F.col("top")
     spot = F.pmod(F.xxhash64("uid"), F.when(own, F.col("major")).otherwise(F.col("minor")))

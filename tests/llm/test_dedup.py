@@ -74,6 +74,21 @@ def test_near_copies_match_brute_force(spark, width):
     assert kept.columns == frame.columns and kept.count() == len(groups)
 
 
+def test_near_copies_in_poor_buckets(spark, monkeypatch):
+    """Short texts of few common words share bands without being similar; buckets split by a second band lose no link."""
+    rng = random.Random(5)
+    words_ = ["a", "b", "c", "d", "e", "f"]
+    rows = [(i, " ".join(rng.choice(words_) for _ in range(rng.choice([3, 8, 30])))) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: (n, c) for (d, _), (n, c) in zip(rows, brute_components(rows, 2, 80), strict=True)}
+    seen = []
+    inner = near._by_second_band
+    monkeypatch.setattr(near, "POOR_BLOCKS", 0)
+    monkeypatch.setattr(near, "_by_second_band", lambda *a: seen.append(1) or inner(*a))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(frame, 2).collect()} == want
+    assert seen
+
+
 def test_near_copies_of_nothing(spark):
     assert near.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
