@@ -52,7 +52,7 @@ from lexshoal.storage import materialize, read_table, scratch
 
 BANDS, ROWS, BATCH, MISS, BLOCK = 32, 4, 32, 1e-6, 512
 #: Pairs of blocks in a bucket beyond which its members are compared only where they share a second band.
-POOR_BLOCKS = 64
+POOR_BLOCKS = 16
 _RNG = np.random.default_rng(7)
 _SEED = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
