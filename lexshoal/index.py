@@ -12,6 +12,7 @@ DataFrame operators below them take and return tables of any size.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,21 +53,21 @@ class NgramIndex:
             tables.append(binary.read_suffixes(spark, suffix_path).withColumn("shard", F.lit(i)))
         if not tokens:
             raise ValueError("no shards")
-        for t in tokens[1:]:
-            tokens[0] = tokens[0].unionByName(t)
-        for t in tables[1:]:
-            tables[0] = tables[0].unionByName(t)
-        out = cls(corpora.chunked(tokens[0], longest, vocab), vocab, tables[0])
+        merged = corpora.chunked(reduce(DataFrame.unionByName, tokens), longest, vocab)
+        out = cls(merged, vocab, reduce(DataFrame.unionByName, tables))
         if check and not out.is_sorted():
             raise ValueError("a suffix file is not the sorted suffix table of its tokens")
         return out
 
     @classmethod
     def build(cls, spark: SparkSession, paths: list[tuple[str, str]], vocab: int = DEFAULT_VOCAB, longest: int = 8) -> NgramIndex:
-        """Write the suffix file of each token file, and open them."""
-        for token_path, suffix_path in paths:
-            one = cls.from_token_file(spark, token_path, vocab=vocab, longest=longest)
-            binary.write_numbers(one.suffix_table(), "rank", "pos", suffix_path, 64)
+        """Write the suffix file of each token file, and open them. All files are sorted at once, as shards."""
+        if not paths:
+            raise ValueError("no shards")
+        parts = [binary.read_tokens(spark, token_path, vocab).withColumn("shard", F.lit(i)) for i, (token_path, _) in enumerate(paths)]
+        table = cls(corpora.chunked(reduce(DataFrame.unionByName, parts), longest, vocab), vocab).suffix_table()
+        for i, (_, suffix_path) in enumerate(paths):
+            binary.write_numbers(table.where(F.col("shard") == i), "rank", "pos", suffix_path, 64)
         return cls.from_files(spark, paths, vocab, longest, check=False)
 
     @classmethod

@@ -1,4 +1,4 @@
-"""Row numbers over a global order, without a single-partition window."""
+"""Row numbers and running sums over a global order, without a window over all rows of a key."""
 
 from __future__ import annotations
 
@@ -32,3 +32,18 @@ def numbered(ranged: DataFrame, out: str, by: str | None = None) -> DataFrame:
     bases = sizes.select(F.col("__range").alias("__r"), *(F.col(c).alias("__by") for c in own), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("__base"))
     on = [placed["__range"] == bases["__r"], *(placed[c].eqNullSafe(bases["__by"]) for c in own)]
     return placed.join(bases, on).select(*ranged.columns, (F.col("__place") + F.col("__base")).alias(out))
+
+
+def cumulative(df: DataFrame, by: str, order: str, value: str, before: str, whole: str) -> DataFrame:
+    """``df``, ``before``, the sum of ``value`` over rows of the same ``by`` before a row in ``order``, and ``whole``, that of all its rows.
+
+    A window runs over one sorted range of a value of ``by`` at most; the ranges' sums are added up
+    over one row for each. ``by`` and ``order`` together tell rows apart.
+    """
+    ranged = materialize(df.repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("__range", F.spark_partition_id()), "ranged")
+    within = Window.partitionBy(by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(F.col(by).alias("__by"), F.col("__range").alias("__r")).agg(F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy("__by").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("__by", "__r", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"), F.sum("__sum").over(Window.partitionBy("__by")).alias(whole))
+    joined = ranged.withColumn(before, F.coalesce(F.sum(value).over(within), F.lit(0))).join(bases, (F.col(by) == F.col("__by")) & (F.col("__range") == F.col("__r")))
+    return joined.select(*df.columns, (F.col(before) + F.col("__base")).alias(before), whole)

@@ -19,6 +19,7 @@ from lexshoal.functions.tokens import uniform
 from lexshoal.operators.corpus import Corpus
 from lexshoal.operators.lookup import fitted
 from lexshoal.operators.ngrams import columns, ngram_counts
+from lexshoal.operators.prefix import cumulative
 from lexshoal.operators.smoothing import Model, smoothed_probs
 from lexshoal.storage import materialize
 
@@ -36,9 +37,8 @@ def transitions(corpus: Corpus, n: int) -> DataFrame:
         context = F.array(*(F.col(c) for c in columns(m))) if m else F.slice(F.array("g0"), 1, 0)
         parts.append(grams.select(context.alias("context"), F.col(f"g{m}").alias("token"), "count"))
     rows = reduce(DataFrame.unionByName, parts)
-    order = Window.partitionBy("context").orderBy("token")
-    up_to, whole = F.sum("count").over(order), F.sum("count").over(Window.partitionBy("context"))
-    return rows.select("context", "token", ((up_to - F.col("count")) / whole).alias("lo"), (up_to / whole).alias("hi"))
+    sums = cumulative(rows, "context", "token", "count", "before", "whole")
+    return sums.select("context", "token", (F.col("before") / F.col("whole")).alias("lo"), ((F.col("before") + F.col("count")) / F.col("whole")).alias("hi"))
 
 
 def sample_unsmoothed(corpus: Corpus, query: list, n: int, k: int, samples: int = 1, seed: int = 0) -> DataFrame:

@@ -6,9 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexshoal import storage
 from lexshoal.index import NgramIndex
 from lexshoal.operators import corpus as corpora
 from lexshoal.operators import lookup, ngrams, smoothing, suffix
+from lexshoal.operators.prefix import cumulative
 from lexshoal.sources import binary, texts
 
 
@@ -230,3 +232,69 @@ def test_longest_bounds_queries_of_files(spark, tmp_path):
         with pytest.raises(ValueError, match="up to 8"):
             ask()
     assert NgramIndex.from_token_file(spark, str(tmp_path / "t.bin"), longest=12).count(tokens) == 1
+
+
+def test_raw_files_are_written_in_parallel(spark, tmp_path):
+    rng = random.Random(8)
+    values = [rng.randrange(1 << 16) for _ in range(5000)]
+    rows = list(enumerate(values))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "pos long, token int").repartition(7)
+    path = str(tmp_path / "tokens")
+    binary.write_numbers(frame, "pos", "token", f"file://{path}", 16)
+    assert [r["token"] for r in binary.read_tokens(spark, path, strict=True).orderBy("pos").collect()] == values
+    binary.write_numbers(frame.where("pos < 3"), "pos", "token", path, 16)  # an older file is replaced
+    assert binary.read_tokens(spark, path).count() == 3
+    binary.write_numbers(frame.where("false"), "pos", "token", path, 16)
+    assert binary.read_tokens(spark, path).count() == 0
+    for wrong in (frame.where("pos <> 7"), frame.unionByName(frame.where("pos = 7")), frame.withColumn("pos", F.col("pos") + 1)):
+        with pytest.raises(ValueError, match="numbered"):
+            binary.write_numbers(wrong, "pos", "token", path, 16)
+    with pytest.raises(ValueError, match="all executors"):
+        binary.write_numbers(frame, "pos", "token", "hdfs://host/tokens", 16)
+
+
+def test_rank_listing(golden_a):
+    rows = golden_a.listing(3, 6, width=3).orderBy("rank").collect()
+    assert [(r["rank"], r["pos"], r["tokens"]) for r in rows] == [(3, 6, ids("abc")), (4, 10, ids("ba")), (5, 2, ids("bbc"))]
+
+
+def test_suffix_ranks_of_runs_in_shards(spark):
+    """Ties go on for many rounds; shards are ranked apart."""
+    shards_ = [[0] * 150, [1, 0] * 80 + [2], [3], list(range(40)) * 4]
+    index = NgramIndex.sharded(*(NgramIndex.from_tokens(spark, s, vocab=50) for s in shards_))
+    got = collections.defaultdict(list)
+    for r in index.suffix_table().orderBy("shard", "rank").collect():
+        assert r["rank"] == len(got[r["shard"]])
+        got[r["shard"]].append(r["pos"])
+    assert got == {i: sorted(range(len(s)), key=lambda p, s=s: s[p:]) for i, s in enumerate(shards_)}
+
+
+def test_scratch_deletes_inner_tables(spark):
+    before = len(storage._written)
+    with storage.scratch(spark, "kept"):
+        inner = storage.materialize(spark.range(5), "inner")
+        kept = storage.materialize(inner, "kept")
+    assert kept.count() == 5 and len(storage._written) == before + 1
+    with pytest.raises(Exception, match="(?i)not exist|no such file|FILE_NOT_EXIST|FAILED_READ_FILE"):
+        spark.read.schema("id long").parquet(inner.inputFiles()[0]).count()
+
+
+def test_probabilities_of_pairs(golden_a, spark):
+    """Only the pairs that are asked for, and equal to the dense result."""
+    dense = golden_a.batch_get_smoothed_probs([ids(q) for q in ("a", "bc", "", "cba")])
+    asked = [(q, t) for q in ("a", "bc", "", "cba") for t in (0, 2)] + [("a", 0)]
+    pairs = spark.createDataFrame([(ids(q), t) for q, t in asked], "query array<long>, token long")
+    rows = smoothing.pair_probs(golden_a.model, pairs).collect()
+    assert len(rows) == 8
+    for r in rows:
+        i = [ids(q) for q in ("a", "bc", "", "cba")].index(r["query"])
+        assert r["prob"] == pytest.approx(dense[i][r["token"]], abs=1e-12)
+
+
+def test_running_sums_by_key(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), i, rng.randrange(10)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "k int, o int, v long").repartition(5)
+    got = {r["o"]: (r["before"], r["whole"]) for r in cumulative(frame, "k", "o", "v", "before", "whole").collect()}
+    assert got == {o: (sum(w for a, p, w in rows if a == k and p < o), sum(w for a, _, w in rows if a == k)) for k, o, _ in rows}
