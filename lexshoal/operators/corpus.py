@@ -18,7 +18,8 @@ from lexshoal.functions.tokens import width_of, wrap_tokens
 from lexshoal.operators.prefix import numbered
 from lexshoal.storage import materialize
 
-CHUNK = 65_536
+#: Tokens of a chunk, and events of a sequence that still becomes one row.
+CHUNK, WHOLE = 65_536, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -77,11 +78,22 @@ def from_tokens(spark: SparkSession, tokens: list[int], vocab: int = 1 << 16) ->
     return from_sequences(rows, "tokens", "seq", vocab=vocab)
 
 
-def from_events(rows: DataFrame, token: str, seq: str, order: list[str], shard: str | None = None) -> Corpus:
-    """Rows of events as one sequence for each value of ``seq``, in ``order``, which must leave no ties."""
+def from_events(rows: DataFrame, token: str, seq: str, order: list[str], shard: str | None = None, longest: int = 8, whole: int = WHOLE) -> Corpus:
+    """Rows of events as one sequence for each value of ``seq``, in ``order``, which must leave no ties.
+
+    Sequences are counted first. If none has more than ``whole`` events, each becomes a row. Else all
+    are numbered in sorted ranges and cut into chunks, whose tails serve n-grams up to ``longest``, so
+    one sequence with a large share of all events is spread over tasks.
+    """
+    key = [(F.col(shard) if shard else F.lit(0)).alias("shard"), F.col(seq).alias("seq")]
+    most = rows.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > whole:
+        events = rows.select(F.struct(*key).alias("__of"), *order, F.col(token).alias("__token"))
+        ranged = events.repartitionByRange("__of", *order).sortWithinPartitions("__of", *order).select("__of", F.col("__token").alias("token"))
+        flat = numbered(ranged, "pos", by="__of")
+        return chunked(flat.select("__of.shard", "__of.seq", "pos", "token"), longest)
     item = F.struct(*order, F.col(token).alias("__token"))
-    key = [F.col(shard).alias("shard")] if shard else [F.lit(0).alias("shard")]
-    grouped = rows.groupBy(*key, F.col(seq).alias("seq")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    grouped = rows.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("items"))
     frame = grouped.select("shard", "seq", F.lit(0).cast("long").alias("start"), F.transform("items", lambda x: x["__token"]).alias("tokens"))
     return Corpus(frame.withColumn("tail", _empty()))
 
@@ -100,18 +112,19 @@ def stream(chunks: DataFrame, tokens: str, order: list[str], shard: str | None =
 
 
 def chunked(flat: DataFrame, longest: int = 8, vocab: int | None = None, chunk: int = CHUNK) -> Corpus:
-    """(shard, pos, token) as one sequence for each shard, in chunks with tails for n-grams up to ``longest``."""
+    """(shard, pos, token), and seq if it is there, as sequences in chunks with tails for n-grams up to ``longest``."""
     reach = longest - 1
+    flat = flat if "seq" in flat.columns else flat.withColumn("seq", F.lit(0).cast("long"))
     # each token goes to its chunk and, at a chunk's head, also to the tails of the chunks before it
     last = F.floor(F.col("pos") / chunk)
     first = F.greatest(F.floor((F.col("pos") - reach) / chunk), F.lit(0))
     copies = flat.withColumn("chunk", F.explode(F.sequence(first, last)))
-    grouped = copies.groupBy("shard", "chunk").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("items"))
+    grouped = copies.groupBy("shard", "seq", "chunk").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("items"))
     end = (F.col("chunk") + 1) * chunk
     ids = lambda c: F.transform(c, lambda x: x["token"])
     frame = grouped.select(
         "shard",
-        F.lit(0).cast("long").alias("seq"),
+        "seq",
         (F.col("chunk") * chunk).alias("start"),
         ids(F.filter("items", lambda x: x["pos"] < end)).alias("tokens"),
         ids(F.filter("items", lambda x: x["pos"] >= end)).alias("tail"),

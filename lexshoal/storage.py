@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, where neither their working directory nor PYTHONPATH has it."""
+    root = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="lexshoal-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, under the application's own folder."""
     return f"{shared_dir(spark)}/lexshoal/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

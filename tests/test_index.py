@@ -298,3 +298,21 @@ def test_running_sums_by_key(spark):
     frame = spark.createDataFrame(rows, "k int, o int, v long").repartition(5)
     got = {r["o"]: (r["before"], r["whole"]) for r in cumulative(frame, "k", "o", "v", "before", "whole").collect()}
     assert got == {o: (sum(w for a, p, w in rows if a == k and p < o), sum(w for a, _, w in rows if a == k)) for k, o, _ in rows}
+
+
+def test_long_event_sequences_are_cut(spark):
+    """One user with most events: chunks give what whole rows give."""
+    rng = random.Random(6)
+    rows = [(u, t, rng.choice("abc")) for u, n in ((1, 500), (2, 7), (3, 1)) for t in range(n)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "user long, at int, kind string")
+    whole, cut = (corpora.from_events(frame, "kind", "user", ["at"], longest=4, whole=w) for w in (1000, 100))
+    assert whole.reach is None and cut.reach == 3
+    key = lambda r: (r["seq"], r["pos"])
+    assert sorted(map(tuple, whole.flat().collect())) == sorted(map(tuple, cut.flat().collect()))
+    for n in (1, 3, 4):
+        assert sorted(ngrams.ngrams(whole, n).collect(), key=key) == sorted(ngrams.ngrams(cut, n).collect(), key=key)
+    small = corpora.chunked(cut.flat(), 4, chunk=16)
+    assert sorted(ngrams.ngrams(whole, 4).collect(), key=key) == sorted(ngrams.ngrams(small, 4).collect(), key=key)
+    with pytest.raises(ValueError, match="n-grams"):
+        ngrams.ngrams(cut, 5)
