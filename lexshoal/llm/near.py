@@ -123,7 +123,7 @@ def profile(docs: DataFrame, width: int, doc: str = "doc_id", text: str = "text"
     kind = dict(docs.dtypes)[doc]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             flat, at = column_bytes(batch.column(1))
             for a, b in blocks(at):
@@ -297,14 +297,15 @@ def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return left_rows, left_rows if same else np.flatnonzero(right), same
 
 
-def _survivors(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _survivors(group: pa.Table, threshold: float, once: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers of pairs of different roots that pass the Bayesian test; the sketches.
 
-    Where the group has the keys of bands, a pair counts in the first band that it shares only.
+    With ``once`` a pair counts in the first band that it shares only. Sketches tell which: 32 bits
+    of a band agree by chance for one pair in four thousand million.
     """
     uid, root, band = np.asarray(group["uid"]), np.asarray(group["root"]), int(group["band"][0].as_py())
     sig = fixed_rows(group["sketch"], np.uint8)
-    keys = fixed_rows(group["keys"], np.uint64)[:, :band] if "keys" in group.column_names else None
+    earlier = sig[:, : ROWS * band].view(np.uint32) if once and band else None
     left_rows, right_rows, same = _sides(group)
     found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for x in left_rows:
@@ -312,8 +313,8 @@ def _survivors(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarra
         y = y[uid[y] > uid[x]] if same else y
         if len(y):
             y = y[survives(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], threshold)]
-        if len(y) and keys is not None:
-            y = y[~(keys[y] == keys[x]).any(1)]
+        if len(y) and earlier is not None:
+            y = y[~(earlier[y] == earlier[x]).any(1)]
         found_a.append(np.full(len(y), x))
         found_b.append(y)
     return np.concatenate(found_a), np.concatenate(found_b), sig
@@ -366,7 +367,7 @@ def _exact_links(members: DataFrame, profiles: DataFrame, threshold: float, widt
 
     def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 3):
-            x, y, _ = _survivors(group, threshold)
+            x, y, _ = _survivors(group, threshold, once=True)
             if len(x):
                 yield from group.select(["key", "i", "j", "right", "uid", "root"]).take(pa.array(np.union1d(x, y))).combine_chunks().to_batches()
 
@@ -388,7 +389,7 @@ def _exact_links(members: DataFrame, profiles: DataFrame, threshold: float, widt
                 keep = spanning_pairs(uid[x], uid[y], root[x], root[y], worth)
                 yield pa.RecordBatch.from_arrays([pa.array(uid[x[keep]]), pa.array(uid[y[keep]])], ["a", "b"])
 
-    found = _blocks_of(members, profiles, block, "sketch", "keys").mapInArrow(released(members_of), "key long, i long, j long, right boolean, uid long, root long")
+    found = _blocks_of(members, profiles, block, "sketch").mapInArrow(released(members_of), "key long, i long, j long, right boolean, uid long, root long")
     found = materialize(found, "strangers").join(profiles.select("uid", "packed"), "uid").select("key", "i", "j", "right", "uid", "root", "packed")
     return found.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(released(link), "a long, b long")
 
