@@ -32,7 +32,7 @@ def fitted(corpus: Corpus, queries: DataFrame, strict: bool = False) -> DataFram
     return queries.withColumn("query", fit)
 
 
-def _by_length(queries: DataFrame) -> list[tuple[int, DataFrame, bool]]:
+def by_length(queries: DataFrame) -> list[tuple[int, DataFrame, bool]]:
     """(length, different queries as columns, small) for each length."""
     counts = queries.groupBy(F.size("query").alias("m")).agg(F.countDistinct("query").alias("n")).orderBy("m").collect()
     out = []
@@ -46,7 +46,7 @@ def _by_length(queries: DataFrame) -> list[tuple[int, DataFrame, bool]]:
 def _matches(corpus: Corpus, queries: DataFrame, extra: int = 0) -> DataFrame | None:
     """(query, shard, seq, pos[, next]) of every occurrence; with ``extra`` only those with a successor."""
     parts = []
-    for m, own, small in _by_length(queries):
+    for m, own, small in by_length(queries):
         if m == 0 and not extra:
             continue
         if m == 0:  # the empty query is one row, which every token follows

@@ -4,7 +4,8 @@ A step draws the next token by inverse CDF: tokens of a context in their order,
 and a uniform number from md5(seed:sample:step). All samples take a step at once.
 
 ``sample_unsmoothed`` is one recursive query over a table of CDF intervals of the contexts of lengths
-0 .. n - 1. ``sample_smoothed`` runs a job for each step, over the samples' current contexts.
+0 .. n - 1. ``sample_smoothed`` counts n-grams once and runs a job for each step, over the samples'
+current contexts. Weights are summed in sorted ranges, so no context meets in one task as a whole.
 A context without successors is an error in unsmoothed sampling, which has no back-off.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexshoal.functions.tokens import uniform
@@ -75,6 +76,7 @@ def sample_unsmoothed(corpus: Corpus, query: list, n: int, k: int, samples: int
 def sample_smoothed(model: Model, query: list, n: int, k: int, samples: int = 1, seed: int = 0, tokens: DataFrame | None = None) -> DataFrame:
     """(sample, tokens): the query and k more tokens, each drawn by smoothed probabilities after the last n - 1."""
     _check(n, k)
+    model.count_contexts(n - 1)
     corpus = model.corpus
     spark = corpus.frame.sparkSession
     kind = corpus.token_type
@@ -84,10 +86,12 @@ def sample_smoothed(model: Model, query: list, n: int, k: int, samples: int = 1,
         context = F.slice("tokens", F.greatest(F.size("tokens") - (n - 1), F.lit(0)) + 1, F.lit(n - 1))
         contexts = materialize(walk.select(context.alias("query")).distinct().withColumn("query_id", F.monotonically_increasing_id()), "contexts")
         probs = smoothed_probs(model, contexts, tokens)
-        order = Window.partitionBy("query_id").orderBy("token")
-        hi, whole = F.sum("prob").over(order), F.sum("prob").over(Window.partitionBy("query_id"))
-        cdf = probs.select("query_id", "token", ((hi - F.col("prob")) / whole).alias("lo"), (hi / whole).alias("hi"), (F.row_number().over(order) == F.count("*").over(Window.partitionBy("query_id"))).alias("top"))
+        sums = cumulative(probs, "query_id", "token", "prob", "before", "whole")
+        last = probs.groupBy("query_id").agg(F.max("token").alias("last"))
+        cdf = sums.join(last, "query_id").select("query_id", "token", (F.col("before") / F.col("whole")).alias("lo"), ((F.col("before") + F.col("prob")) / F.col("whole")).alias("hi"), (F.col("token") == F.col("last")).alias("top"))
         drawn = walk.withColumn("query", context).join(contexts, "query").drop("query").withColumn("u", uniform(seed, F.col("sample"), F.lit(step)))
-        hit = (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | F.col("top"))
-        walk = materialize(drawn.join(cdf, "query_id").where(hit).select("sample", F.concat("tokens", F.array("token")).alias("tokens")), "samples")
+        # sums of ranges are rounded: of the intervals that hold u, give or take that, the highest that begins by u
+        near = (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi") + 1e-12) | F.col("top"))
+        best = drawn.join(cdf, "query_id").where(near).groupBy("sample", "tokens").agg(F.max(F.struct("lo", "token")).alias("best"))
+        walk = materialize(best.select("sample", F.concat("tokens", F.array("best.token")).alias("tokens")), "samples")
     return walk

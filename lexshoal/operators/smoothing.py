@@ -18,13 +18,14 @@ query and token stands only in a result that must have it.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexshoal.operators import lookup
 from lexshoal.operators.corpus import Corpus, vocabulary
-from lexshoal.operators.ngrams import count_ngrams
+from lexshoal.operators.ngrams import columns, count_ngrams, ngram_counts
 from lexshoal.storage import materialize
 
 DEFAULT_DELTA, EPSILON = 0.5, 1e-9
@@ -49,6 +50,7 @@ class Model:
     corpus: Corpus
     vocab: int
     known: dict[int, float] = field(default_factory=dict)
+    tables: dict[int, DataFrame] = field(default_factory=dict)  # counts of n-grams by the length of their contexts
 
     def estimate_deltas(self, n: int) -> Model:
         """Estimate orders 1 .. n that are not known yet; known ones stay."""
@@ -57,13 +59,36 @@ class Model:
                 self.known.setdefault(row["order"], row["delta"])
         return self
 
+    def count_contexts(self, longest: int) -> Model:
+        """Write the counts of n-grams with contexts of up to ``longest`` tokens, for many questions that follow."""
+        for m in range(longest + 1):
+            if m not in self.tables:
+                self.tables[m] = materialize(ngram_counts(self.corpus, m + 1).withColumnRenamed(f"g{m}", "token"), "ngram-counts")
+        return self
+
+    def vocabulary(self) -> DataFrame:
+        """(token, count) of every token."""
+        return self.tables[0] if 0 in self.tables else vocabulary(self.corpus)
+
+    def next_counts(self, contexts: DataFrame) -> DataFrame:
+        """(query, token, count) after each different context, from written counts where all lengths have them."""
+        lengths = lookup.by_length(contexts)
+        if not lengths or any(m not in self.tables for m, _, _ in lengths):
+            return lookup.next_counts(self.corpus, contexts)
+        parts = []
+        for m, own, small in lengths:
+            own = F.broadcast(own) if small else own
+            found = self.tables[m].join(own, columns(m)) if m else self.tables[m].crossJoin(own)  # the empty context is one row
+            parts.append(found.select("query", "token", "count"))
+        return reduce(DataFrame.unionByName, parts)
+
     def delta(self, order: int) -> float:
         return self.known.get(order, DEFAULT_DELTA)
 
 
-def unigram_probs(corpus: Corpus, vocab: int) -> DataFrame:
+def unigram_probs(corpus: Corpus, vocab: int, counts: DataFrame | None = None) -> DataFrame:
     """(token, prob) of the tokens that occur; all others have 1e-9 / (total + 1e-9 vocab)."""
-    counts = vocabulary(corpus)
+    counts = vocabulary(corpus) if counts is None else counts
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
     return counts.crossJoin(F.broadcast(total)).select("token", ((F.col("count") + EPSILON) / (F.col("total") + EPSILON * vocab)).alias("prob"))
 
@@ -73,13 +98,12 @@ def _levels(model: Model, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The probability of a token is its term, or 0 without one, and its unigram estimate times ``rest``.
     """
-    corpus = model.corpus
     longest = contexts.agg(F.max(F.size("query"))).first()[0] or 0
     known = F.create_map(*(x for o in range(1, longest + 2) for x in (F.lit(o), F.lit(float(model.delta(o))))))
     # level j: the last j tokens of the context
     levels = contexts.select(F.col("query").alias("whole"), F.explode(F.sequence(F.lit(0), F.size("query"))).alias("level"))
     levels = levels.select("whole", "level", F.slice("whole", F.size("whole") - F.col("level") + 1, F.col("level")).alias("query"))
-    counts = materialize(lookup.next_counts(corpus, levels.select("query")), "next-counts")
+    counts = materialize(model.next_counts(levels.select("query")), "next-counts")
     d = F.element_at(known, F.size("query") + 1)
     facts = counts.groupBy("query").agg(F.sum("count").cast("double").alias("s"), F.count("*").cast("double").alias("u"), F.sum((F.col("count") == 1).cast("double")).alias("o"))
     facts = facts.select("query", "s", F.when(d < 1, d * F.col("u") / F.col("s")).otherwise(F.col("o") + d * (F.col("u") - F.col("o")) / F.col("s")).alias("lam"))
@@ -95,10 +119,11 @@ def _levels(model: Model, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _estimates(model: Model, tokens: DataFrame | None) -> DataFrame:
     """(token, prob): unigram estimates of ``tokens``, or of those that occur."""
-    grams = unigram_probs(model.corpus, model.vocab)
+    counts = model.vocabulary()
+    grams = unigram_probs(model.corpus, model.vocab, counts)
     if tokens is None:
         return grams
-    total = vocabulary(model.corpus).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
     floor = F.lit(EPSILON) / (F.col("total") + EPSILON * model.vocab)
     return tokens.join(grams, "token", "left").crossJoin(F.broadcast(total)).select("token", F.coalesce("prob", floor).alias("prob"))
 
