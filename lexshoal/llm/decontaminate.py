@@ -35,7 +35,6 @@ columns are ignored by ``contaminated`` and kept by ``drop_contaminated``.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
