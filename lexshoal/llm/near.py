@@ -184,7 +184,11 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(pairs: DataFrame, profiles: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough."""
+    """Pairs (a, b) whose full shingle sets are similar enough.
+
+    The pairs are written first, so that what found them is gone when texts move.
+    """
+    pairs = materialize(pairs, "candidates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
