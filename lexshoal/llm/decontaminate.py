@@ -155,7 +155,8 @@ def contaminated(
     of_item = _fingerprints(of_items.select("item", "version", "n_words", F.explode("hashes").alias("word")), ["item", "version", "n_words"]).withColumnRenamed("fingerprint", "item_print")
     probes = prints.select("*", F.explode(_own_blocks(F.col("fingerprint"))).alias("x")).select("id", "n_words", "fingerprint", "x.*")
     index = of_item.select("*", F.explode(_near_blocks(F.col("item_print"), radius)).alias("x")).select("item", "version", "n_words", "item_print", "x.*")
-    near = probes.join(index, ["n_words", "block", "value"]).withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))))
+    # by a shuffle: the index has thousands of rows for each item, which Spark's estimate of its size does not know
+    near = probes.join(index.hint("merge"), ["n_words", "block", "value"]).withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))))
     near = near.where(F.col("distance") <= radius).select("id", "item", "version", "distance").distinct()
 
     # verification: shared weights of candidates
