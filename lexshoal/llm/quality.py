@@ -149,7 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str, doc: str = "doc_id", tex
     made = materialize(made.withColumns({"place": place, "n": F.length("keys") / 4}), "quality-sample")
     sizes = made.select("place", "n").orderBy("place").limit(train_rows).toPandas()["n"]
     whole = int((sizes.cumsum() <= train_features).sum())
-    table = made.orderBy("place").limit(whole).select("grade", "keys", "counts").toPandas()
+    if whole == made.count():  # the usual case: no sort of long rows
+        table = made.select("place.*", "keys", "counts").toPandas().sort_values(["a", "id", "grade", "b"], kind="stable")
+    else:
+        table = made.orderBy("place").limit(whole).select("grade", "keys", "counts").toPandas()
     ratings, sizes = table["grade"].to_numpy(float), table["keys"].map(len).to_numpy(int) // 4
     index, value = np.frombuffer(b"".join(table["keys"]), "<u4"), np.frombuffer(b"".join(table["counts"]), "<f4")
     del table
