@@ -184,8 +184,14 @@ def _shard_pairs(table: pa.Table) -> pa.Table:
     # an index extends to the left: matches that grow to the right need the index of reversed words
     text = (lambda w: w) if leftwards else (lambda w: w[::-1])
     count = dict(zip(columns["word"], columns["n"], strict=True))
-    searches = sorted({w for w, search in zip(columns["word"], columns["search"], strict=True) if search})
-    known = sorted({w for w, search in zip(columns["word"], columns["search"], strict=True) if not search}, key=text)
+    asked: dict[str, int] = {}
+    stands: dict[str, set[int]] = {}
+    for w, half, search in zip(columns["word"], columns["half"], columns["search"], strict=True):
+        if search:
+            asked[w] = half
+        else:
+            stands.setdefault(w, set()).add(half)
+    searches, known = sorted(asked), sorted(stands, key=text)
     pairs: tuple[list, list, list] = ([], [], [])
     if known and searches:
         letters = sorted({c for w in known for c in w})
@@ -196,6 +202,8 @@ def _shard_pairs(table: pa.Table) -> pa.Table:
         halves = np.array([len(w) - len(w) // 2 if leftwards else len(w) // 2 for w in searches], np.int64)
         for a, rank in zip(*_near(index, words, halves, -1 if leftwards else 1), strict=True):
             word, near = searches[a], known[rank]
+            if asked[word] not in stands[near]:  # here for another half: this pair is found in the share of its own
+                continue
             both = [(word, near)] if len(word) == len(near) else [(word, near), (near, word)]
             for x, y in both:
                 pairs[0].append(x)
@@ -247,7 +255,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     searches = routed(True).join(hot, ["half", "leftwards"], "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
     n = max(1, -(-whole // SYMBOLS))
     shard = (F.pmod(F.xxhash64("half", "share"), F.lit(n)) * 2 + F.col("leftwards").cast("long")).alias("shard")
-    both = dealt.unionByName(searches).select("word", "n", "search", "leftwards", shard)
+    both = dealt.unionByName(searches).select("word", "n", "search", "half", "leftwards", shard)
     tasks = min(2 * n, 100_000)
     return both.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_shards, _PAIRS)
 

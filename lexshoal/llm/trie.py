@@ -4,13 +4,13 @@ A node is a different sequence of first turns (role, text); its members are the
 begin with it. Turns are ordered by (turn number, digest), nulls first, and numbered in sorted ranges;
 from then on a turn is its 128-bit digest and the bytes of its text.
 
-*Shards.* Conversations are dealt into shards of ``SHARD`` ids that follow each other, and positions
-into layers of ``DEPTH``; a task holds one layer of one shard at a time, whatever the corpus. There an
+*Shards.* Conversations are dealt into shards of 512 ids that follow each other, and positions
+into layers of ``depth``; a task holds one layer of one shard at a time, whatever the corpus. There an
 index maps (position, turn) to a bitset of conversations. Depth first, the bitset of a node is
 intersected with the postings of the turns that its members have next: each intersection is a child,
 its popcount the shard's members, and what has no turn there ends at the node. A node's key is the
 chained digest of its turns, so that nodes of all shards are brought together by one aggregation of
-partial rows. A conversation of more than ``DEPTH`` turns enters its next layer under a key that
+partial rows. A conversation of more than ``depth`` turns enters its next layer under a key that
 follows from the sums of its layers' digests.
 
 *Lists of ends.* A shard's ends of a node are one string, in order. A task streams the strings of a
@@ -60,7 +60,7 @@ def _chained(key: bytes, turn: bytes) -> bytes:
     return hashlib.blake2b(key + turn, digest_size=16).digest()
 
 
-def _layer_nodes(shard: int, layer: int, rows: dict[str, list]) -> Iterator[tuple]:
+def _layer_nodes(shard: int, layer: int, depth: int, rows: dict[str, list]) -> Iterator[tuple]:
     """Partial rows (key, parent, depth, members, smallest member, bytes, ends) of one layer of one shard."""
     postings: dict[tuple[int, bytes], int] = {}
     turns: dict[int, dict[int, tuple[bytes, int, bytes | None]]] = {}
@@ -72,7 +72,7 @@ def _layer_nodes(shard: int, layer: int, rows: dict[str, list]) -> Iterator[tupl
             postings[pos, turn] = postings.get((pos, turn), 0) | 1 << bit
             turns.setdefault(pos, {})[bit] = (turn, size, key)
     present = {pos: sum(1 << bit for bit in at) for pos, at in turns.items()}
-    base, first, end = shard << SHARD_BITS, layer * DEPTH, (layer + 1) * DEPTH
+    base, first, end = shard << SHARD_BITS, layer * depth, (layer + 1) * depth
     stack = [(key, bits, first) for key, bits in starts.items()]
     if not layer:
         for key, bits in starts.items():
@@ -112,7 +112,7 @@ def _halves(keys: list[bytes | None]) -> list[pa.Array]:
     return [pa.array(pairs[:, i], pa.int64(), mask=none) for i in (0, 1)]
 
 
-def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _partials(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """Batches sorted by (shard, layer) to partial rows of nodes."""
 
     def groups() -> Iterator[tuple[int, int, dict[str, list]]]:
@@ -143,7 +143,7 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for shard, layer, rows in groups():
         out = []
-        for row in _layer_nodes(shard, layer, rows):
+        for row in _layer_nodes(shard, layer, depth, rows):
             out.append(row)
             if len(out) == 10_000:
                 yield batch(shard, out)
@@ -176,23 +176,23 @@ def _digest_batch(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(digests, pa.string())], [*KEY, "ends_sha256"])
 
 
-def _entries(turns: DataFrame, convs: DataFrame) -> DataFrame:
+def _entries(turns: DataFrame, convs: DataFrame, depth: int) -> DataFrame:
     """(shard, layer, pos, bit, turn, bytes, key): turns, and a row without a turn for each layer that a conversation enters.
 
     ``key`` is the key under which a conversation enters a layer, and at a layer's last turn that of the next one.
     """
     lengths = turns.groupBy("conv").agg((F.max("pos") + 1).alias("length"))
     entered = convs.select("conv").distinct().join(lengths, "conv", "left")
-    layers = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.coalesce("length", F.lit(0)) / DEPTH)))
+    layers = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.coalesce("length", F.lit(0)) / depth)))
     entered = entered.select("conv", layers.alias("layer"), F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("binary").alias("turn"), F.lit(0).cast("long").alias("bytes"))
-    placed = turns.select("conv", F.floor(F.col("pos") / DEPTH).alias("layer"), "pos", "turn", "bytes")
-    last = F.col("pos") % DEPTH == DEPTH - 1
+    placed = turns.select("conv", F.floor(F.col("pos") / depth).alias("layer"), "pos", "turn", "bytes")
+    last = F.col("pos") % depth == depth - 1
     no_key = F.lit(None).cast("binary").alias("key")
-    deep = placed.where(F.col("pos") == DEPTH - 1).select("conv")
+    deep = placed.where(F.col("pos") == depth - 1).select("conv")
     if deep.isEmpty():
         parts = [entered.withColumn("key", no_key), placed.withColumn("key", no_key)]
     else:
-        whole = placed.join(deep, "conv").groupBy("conv", "layer").agg(F.sort_array(F.collect_list(F.struct("pos", "turn"))).alias("own")).where(F.size("own") == DEPTH)
+        whole = placed.join(deep, "conv").groupBy("conv", "layer").agg(F.sort_array(F.collect_list(F.struct("pos", "turn"))).alias("own")).where(F.size("own") == depth)
         before = Window.partitionBy("conv").orderBy("layer").rowsBetween(Window.unboundedPreceding, 0)
         sums = [F.sum(F.xxhash64(F.lit(i), "layer", "own").cast("decimal(38,0)")).over(before).cast("string") for i in (1, 2)]
         keys = whole.select("conv", (F.col("layer") + 1).alias("layer"), F.unhex(F.md5(F.concat_ws(":", F.col("layer").cast("string"), *sums))).alias("key"))
@@ -218,10 +218,10 @@ def _totals(paths: DataFrame) -> DataFrame:
     return state.drop("up")
 
 
-def _nodes(turns: DataFrame, convs: DataFrame) -> DataFrame:
+def _nodes(turns: DataFrame, convs: DataFrame, depth: int) -> DataFrame:
     """(k1, k2, p1, p2, depth, conv, n_convs, n_children, saved, ends_sha256) of every node."""
-    rows = _entries(turns, convs).repartition("shard", "layer").sortWithinPartitions("shard", "layer")
-    partials = materialize(rows.mapInArrow(_partials, _PARTIAL), "partial-nodes")
+    rows = _entries(turns, convs, depth).repartition("shard", "layer").sortWithinPartitions("shard", "layer")
+    partials = materialize(rows.mapInArrow(lambda batches: _partials(batches, depth), _PARTIAL), "partial-nodes")
     merged = partials.groupBy(*KEY).agg(*(F.max(c).alias(c) for c in ("p1", "p2", "depth", "bytes")), F.sum("n").alias("n_convs"), F.min("conv").alias("conv"))
     nodes = materialize(merged, "nodes")
     children = nodes.where("p1 IS NOT NULL").groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.count("*").alias("n_children"))
@@ -237,16 +237,17 @@ def _summed(value: str, over: WindowSpec) -> Column:
     return F.coalesce(F.sum(value).over(over), F.lit(0)).alias(value)
 
 
-def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
+def trie(turns: DataFrame, convs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """One row for each node: (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256).
 
     ``turns`` has (conv, pos, turn, bytes) as ``ordered_turns`` makes them, positions of a conversation
     from 0 without gaps; ``convs`` has all conversations (conv), also those without turns. A node is
     named by its smallest member and its depth; the root has depth 0 and no parent. ``n_leaves`` and
     ``saved_tokens`` (members less one, times the bytes of the last turn's text) are sums over a subtree.
+    A layer has ``depth`` turns.
     """
     with scratch(turns.sparkSession, "trie"):
-        nodes = materialize(_nodes(turns, convs), "node-facts")
+        nodes = materialize(_nodes(turns, convs, depth), "node-facts")
         leaf = (F.col("n_children") == 0).cast("long")
         top = [F.min_by(c, "depth").alias(c) for c in ("p1", "p2")]
         paths = nodes.groupBy("conv").agg(F.min("depth").alias("top"), *top, F.sum(leaf).alias("leaves"), F.sum("saved").alias("saved"))
@@ -273,10 +274,10 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
         return materialize(done, "trie")
 
 
-def prefix_trie(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def prefix_trie(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """``trie`` of conversations in rows (conversation, turn, role, text)."""
     turns = ordered_turns(rows, conv, turn, role, text)
-    return trie(turns.withColumnRenamed("i", "pos"), turns.select("conv"))
+    return trie(turns.withColumnRenamed("i", "pos"), turns.select("conv"), depth)
 
 
 GROUP, MOST_SHARED = 5, 9
