@@ -3,7 +3,8 @@
 ``NgramIndex`` holds a corpus and the model parameters estimated so far. In memory: ``persist``. On
 disk: ``save`` and ``load`` of Parquet. Sharded: more than one value of ``shard``. Raw token and
 suffix files are read and written by ``from_token_file``, ``from_files``, ``save_tokens`` and
-``save_suffixes``.
+``save_suffixes``. Lookups scan the corpus for a whole batch at once; ``index_lookups`` writes a suffix
+index, from which they are answered without a scan from then on, also after ``save`` and ``load``.
 
 List methods (``count``, ``count_next``, ...) take lists and return lists for interactive use; the
 DataFrame operators below them take and return tables of any size.
@@ -12,13 +13,14 @@ DataFrame operators below them take and return tables of any size.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexshoal.operators import corpus as corpora
-from lexshoal.operators import lookup, ngrams, sampling, smoothing, suffix
+from lexshoal.operators import lookup, ngrams, sampling, search, smoothing, suffix
 from lexshoal.operators.corpus import Corpus
 from lexshoal.sources import binary
 
@@ -31,6 +33,7 @@ class NgramIndex:
         self.vocab = vocab
         self.model = smoothing.Model(self.corpus, vocab)
         self._table = table
+        self._lookups: search.SuffixIndex | None = None
         self.spark = corpus.frame.sparkSession
 
     # construction
@@ -40,12 +43,12 @@ class NgramIndex:
         return cls(corpora.from_tokens(spark, tokens, vocab), vocab)
 
     @classmethod
-    def from_token_file(cls, spark: SparkSession, path: str, token_limit: int | None = None, vocab: int = DEFAULT_VOCAB, longest: int = 8) -> NgramIndex:
+    def from_token_file(cls, spark: SparkSession, path: str, token_limit: int | None = None, vocab: int = DEFAULT_VOCAB) -> NgramIndex:
         flat = binary.read_tokens(spark, path, vocab, token_limit).withColumn("shard", F.lit(0))
-        return cls(corpora.chunked(flat, longest, vocab), vocab)
+        return cls(corpora.chunked(flat, vocab=vocab), vocab)
 
     @classmethod
-    def from_files(cls, spark: SparkSession, paths: list[tuple[str, str]], vocab: int = DEFAULT_VOCAB, longest: int = 8, check: bool = True) -> NgramIndex:
+    def from_files(cls, spark: SparkSession, paths: list[tuple[str, str]], vocab: int = DEFAULT_VOCAB, check: bool = True) -> NgramIndex:
         """Token and suffix files, one pair for each shard; ``check`` raises if a table is not sorted."""
         tokens, tables = [], []
         for i, (token_path, suffix_path) in enumerate(paths):
@@ -53,22 +56,22 @@ class NgramIndex:
             tables.append(binary.read_suffixes(spark, suffix_path).withColumn("shard", F.lit(i)))
         if not tokens:
             raise ValueError("no shards")
-        merged = corpora.chunked(reduce(DataFrame.unionByName, tokens), longest, vocab)
+        merged = corpora.chunked(reduce(DataFrame.unionByName, tokens), vocab=vocab)
         out = cls(merged, vocab, reduce(DataFrame.unionByName, tables))
         if check and not out.is_sorted():
             raise ValueError("a suffix file is not the sorted suffix table of its tokens")
         return out
 
     @classmethod
-    def build(cls, spark: SparkSession, paths: list[tuple[str, str]], vocab: int = DEFAULT_VOCAB, longest: int = 8) -> NgramIndex:
+    def build(cls, spark: SparkSession, paths: list[tuple[str, str]], vocab: int = DEFAULT_VOCAB) -> NgramIndex:
         """Write the suffix file of each token file, and open them. All files are sorted at once, as shards."""
         if not paths:
             raise ValueError("no shards")
         parts = [binary.read_tokens(spark, token_path, vocab).withColumn("shard", F.lit(i)) for i, (token_path, _) in enumerate(paths)]
-        table = cls(corpora.chunked(reduce(DataFrame.unionByName, parts), longest, vocab), vocab).suffix_table()
+        table = cls(corpora.chunked(reduce(DataFrame.unionByName, parts), vocab=vocab), vocab).suffix_table()
         for i, (_, suffix_path) in enumerate(paths):
             binary.write_numbers(table.where(F.col("shard") == i), "rank", "pos", suffix_path, 64)
-        return cls.from_files(spark, paths, vocab, longest, check=False)
+        return cls.from_files(spark, paths, vocab, check=False)
 
     @classmethod
     def sharded(cls, *parts: NgramIndex) -> NgramIndex:
@@ -80,14 +83,19 @@ class NgramIndex:
     def save(self, path: str) -> None:
         """Corpus and options as Parquet; estimated parameters are not kept."""
         self.corpus.frame.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/corpus")
-        options = json.dumps({"vocab": self.vocab, "reach": self.corpus.reach})
+        if self._lookups is not None:
+            search.build(self.corpus, self.suffix_table(), f"{path}/lookups")
+        options = json.dumps({"vocab": self.vocab, "reach": self.corpus.reach, "lookups": self.has_lookups})
         self.spark.createDataFrame([(options,)], "options string").write.mode("overwrite").parquet(f"{path}/options")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> NgramIndex:
         options = json.loads(spark.read.parquet(f"{path}/options").first()[0])
         frame = spark.read.parquet(f"{path}/corpus").select("shard", "seq", "start", "tokens", "tail")
-        return cls(Corpus(frame, options["vocab"], options["reach"]), options["vocab"])
+        out = cls(Corpus(frame, options["vocab"], options["reach"]), options["vocab"])
+        if options.get("lookups"):
+            out._lookups = search.open_index(spark, f"{path}/lookups", out.vocab)
+        return out
 
     def save_tokens(self, path: str) -> None:
         """A single shard's tokens as a raw file."""
@@ -126,30 +134,56 @@ class NgramIndex:
 
     # lookups
 
+    def index_lookups(self, path: str | None = None) -> NgramIndex:
+        """Write the suffix index; lookups are answered from it from now on. Each shard must be one sequence."""
+        self._lookups = search.build(self.corpus, self.suffix_table(), path)
+        return self
+
+    @property
+    def has_lookups(self) -> bool:
+        return self._lookups is not None
+
     def queries(self, batch: list[list[int]]) -> DataFrame:
         """(query_id, query) of a list of queries."""
         return self.spark.createDataFrame(list(enumerate(batch)), f"query_id long, query array<{self.corpus.token_type}>")
 
+    def _from(self) -> tuple:
+        """The module and the index or corpus that answer lookups."""
+        return (lookup, self.corpus) if self._lookups is None else (search, self._lookups)
+
     def contains(self, query: list[int]) -> bool:
-        return lookup.contains(self.corpus, self.queries([query])).first()["contained"]
+        by, source = self._from()
+        return by.contains(source, self.queries([query])).first()["contained"]
 
     def count(self, query: list[int]) -> int:
-        return lookup.count(self.corpus, self.queries([query])).first()["count"]
+        by, source = self._from()
+        return by.count(source, self.queries([query])).first()["count"]
 
     def positions(self, query: list[int]) -> list[int]:
         """Start positions in the order of their suffixes; of an index with several shards, (shard, position) pairs."""
-        found = lookup.positions(self.corpus, self.queries([query]))
-        rows = suffix.in_rank_order(self.suffix_table(), found).orderBy("shard").collect()
-        if all(r["shard"] == 0 for r in rows):
-            return [p for r in rows for p in r["positions"]]
-        return [(r["shard"], p) for r in rows for p in r["positions"]]
+        by, source = self._from()
+        found = by.positions(source, self.queries([query]))
+        if self._lookups is None:
+            found = found.join(self.suffix_table(), ["shard", "pos"])
+        rows = found.orderBy("shard", "rank").collect()
+        return [r["pos"] if all(x["shard"] == 0 for x in rows) else (r["shard"], r["pos"]) for r in rows]
+
+    def pages(self, query: list[int], size: int) -> Iterator[DataFrame]:
+        """The query's occurrences (shard, rank, pos) in pages of ``size``, in the order of shards and ranks. Needs ``index_lookups``."""
+        if self._lookups is None:
+            self.index_lookups()
+        found = search.ranges(self._lookups, self.queries([query]))
+        whole = found.agg(F.sum(F.col("end") - F.col("first"))).first()[0] or 0
+        for after in range(0, whole, size):
+            yield search.page(self._lookups, found, after, size).drop("query_id")
 
     def count_next(self, query: list[int]) -> list[int]:
         return self.batch_count_next([query])[0]
 
     def batch_count_next(self, batch: list[list[int]]) -> list[list[int]]:
         queries = self.queries(batch)
-        dense = lookup.to_dense(queries, lookup.count_next(self.corpus, queries), self.vocab)
+        by, source = self._from()
+        dense = lookup.to_dense(queries, by.count_next(source, queries), self.vocab)
         return [r["values"] for r in dense.orderBy("query_id").collect()]
 
     def count_ngrams(self, n: int, merge_shards: bool = False) -> dict[int, int]:

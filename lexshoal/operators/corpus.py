@@ -3,8 +3,9 @@
 A corpus is a DataFrame (shard, seq, start, tokens, tail). A sequence is a text in which n-grams are
 counted; n-grams never span sequences or shards. A long sequence is cut into chunks: ``start`` is the
 chunk's first position, ``tokens`` its tokens, and ``tail`` the tokens that follow it in the
-sequence, as many as the longest n-gram needs less one. So every n-gram starts in exactly one chunk
-and is whole there, whatever the length of a sequence, and no operator needs a window over one.
+sequence, as many as the usual n-grams need less one. So every such n-gram starts in exactly one chunk
+and is whole there, whatever the length of a sequence, and no operator needs a window over one. Longer
+n-grams are no error: lookups put them together from pieces, and ``lengthened`` gives longer tails.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from lexshoal.storage import materialize
 
 #: Tokens of a chunk, and events of a sequence that still becomes one row.
 CHUNK, WHOLE = 65_536, 1 << 20
+#: Tokens of an n-gram that chunks hold whole unless told otherwise.
+USUAL = 16
 
 
 @dataclass(frozen=True)
@@ -78,12 +81,12 @@ def from_tokens(spark: SparkSession, tokens: list[int], vocab: int = 1 << 16) ->
     return from_sequences(rows, "tokens", "seq", vocab=vocab)
 
 
-def from_events(rows: DataFrame, token: str, seq: str, order: list[str], shard: str | None = None, longest: int = 8, whole: int = WHOLE) -> Corpus:
+def from_events(rows: DataFrame, token: str, seq: str, order: list[str], shard: str | None = None, longest: int = USUAL, whole: int = WHOLE) -> Corpus:
     """Rows of events as one sequence for each value of ``seq``, in ``order``, which must leave no ties.
 
     Sequences are counted first. If none has more than ``whole`` events, each becomes a row. Else all
-    are numbered in sorted ranges and cut into chunks, whose tails serve n-grams up to ``longest``, so
-    one sequence with a large share of all events is spread over tasks.
+    are numbered in sorted ranges and cut into chunks, so one sequence with a large share of all events
+    is spread over tasks. Operators give the same results over both layouts.
     """
     key = [(F.col(shard) if shard else F.lit(0)).alias("shard"), F.col(seq).alias("seq")]
     most = rows.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
@@ -98,7 +101,7 @@ def from_events(rows: DataFrame, token: str, seq: str, order: list[str], shard:
     return Corpus(frame.withColumn("tail", _empty()))
 
 
-def stream(chunks: DataFrame, tokens: str, order: list[str], shard: str | None = None, end_token: object = None, longest: int = 8, vocab: int | None = None, chunk: int = CHUNK) -> Corpus:
+def stream(chunks: DataFrame, tokens: str, order: list[str], shard: str | None = None, end_token: object = None, longest: int = USUAL, vocab: int | None = None, chunk: int = CHUNK) -> Corpus:
     """All rows of a shard, in ``order``, as one sequence of the shard, with an end token after each row if given.
 
     Rows are sorted by one range exchange; tokens are numbered in the sorted ranges, dealt into chunks
@@ -111,7 +114,7 @@ def stream(chunks: DataFrame, tokens: str, order: list[str], shard: str | None =
     return chunked(flat, longest, vocab, chunk)
 
 
-def chunked(flat: DataFrame, longest: int = 8, vocab: int | None = None, chunk: int = CHUNK) -> Corpus:
+def chunked(flat: DataFrame, longest: int = USUAL, vocab: int | None = None, chunk: int = CHUNK) -> Corpus:
     """(shard, pos, token), and seq if it is there, as sequences in chunks with tails for n-grams up to ``longest``."""
     reach = longest - 1
     flat = flat if "seq" in flat.columns else flat.withColumn("seq", F.lit(0).cast("long"))
@@ -132,6 +135,13 @@ def chunked(flat: DataFrame, longest: int = 8, vocab: int | None = None, chunk:
     return Corpus(frame, vocab, reach)
 
 
+def lengthened(corpus: Corpus, longest: int) -> Corpus:
+    """The corpus with tails for n-grams of ``longest`` tokens; itself if it has them."""
+    if corpus.reach is None or corpus.reach + 1 >= longest:
+        return corpus
+    return chunked(corpus.flat().select("shard", "seq", "pos", "token"), longest, corpus.vocab, max(CHUNK, longest))
+
+
 def union(*parts: Corpus) -> Corpus:
     """Corpora as one; shards keep their numbers."""
     frame = parts[0].frame

@@ -5,6 +5,11 @@ each length the corpus is scanned once, and n-grams are matched by an equi-join
 The different queries of a length are broadcast if they are at most ``BROADCAST_ROWS``, else the join
 is shuffled. Counts are summed before they go back to the queries, so repeated queries cost nothing.
 
+A query of more than ``PIECE`` tokens is cut into pieces. Pieces are
+matched as queries are, all in one scan, and a query occurs where all its pieces occur at their
+distances. So queries have any length, and no row holds more than a piece. A corpus whose
+tails hold less gets longer ones first.
+
 An empty query occurs nowhere (no presence, count 0, no positions), but every token follows it.
 """
 
@@ -16,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexshoal.functions.tokens import fit_query
-from lexshoal.operators.corpus import Corpus
+from lexshoal.operators.corpus import USUAL, Corpus, lengthened
 from lexshoal.operators.ngrams import columns, ngrams
+from lexshoal.storage import materialize
 
 BROADCAST_ROWS = 200_000
+#: Tokens of the longest n-gram that a scan makes.
+PIECE = USUAL
 
 
 def fitted(corpus: Corpus, queries: DataFrame, strict: bool = False) -> DataFrame:
@@ -46,6 +54,11 @@ def by_length(queries: DataFrame) -> list[tuple[int, DataFrame, bool]]:
 def _matches(corpus: Corpus, queries: DataFrame, extra: int = 0) -> DataFrame | None:
     """(query, shard, seq, pos[, next]) of every occurrence; with ``extra`` only those with a successor."""
     parts = []
+    longest = queries.agg(F.max(F.size("query"))).first()[0] or 0
+    if longest + extra > PIECE:
+        parts.append(_pieced(corpus, queries.where(F.size("query") + extra > PIECE).select("query").distinct(), extra))
+        queries = queries.where(F.size("query") + extra <= PIECE)
+    corpus = lengthened(corpus, min(longest + extra, PIECE))
     for m, own, small in by_length(queries):
         if m == 0 and not extra:
             continue
@@ -59,6 +72,27 @@ def _matches(corpus: Corpus, queries: DataFrame, extra: int = 0) -> DataFrame |
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def _pieced(corpus: Corpus, queries: DataFrame, extra: int) -> DataFrame:
+    """``_matches`` of different queries of more than ``PIECE`` tokens, with the one after them if ``extra``.
+
+    Pieces have one length; the last one overlaps the one before it. So all pieces are matched in one
+    scan, or in two if the last ones have a token after them.
+    """
+    size = PIECE - extra
+    last = F.size("query") - size
+    named = queries.select("query", F.struct(F.xxhash64("query").alias("d1"), F.xxhash64(F.lit(1), "query").alias("d2")).alias("id"))
+    offsets = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(size)), F.array(last)))
+    cut = named.select("id", "query", F.size(offsets).alias("of"), last.alias("last"), F.explode(offsets).alias("at"))
+    pieces = materialize(cut.select("id", "of", "at", (F.col("at") == F.col("last")).alias("ends"), F.slice("query", F.col("at") + 1, F.lit(size)).alias("query")), "pieces")
+    hits = []
+    for own, more in ((pieces.where("not ends"), 0), (pieces.where("ends"), 1)) if extra else ((pieces, 0),):
+        found = _matches(corpus, own.select("query"), more)
+        following = F.col("next") if more else F.lit(None).cast(corpus.token_type).alias("next")
+        hits.append(own.join(found, "query").select("id", "of", "shard", "seq", (F.col("pos") - F.col("at")).alias("pos"), following))
+    whole = reduce(DataFrame.unionByName, hits).groupBy("id", "of", "shard", "seq", "pos").agg(F.count("*").alias("n"), F.max("next").alias("next"))
+    return whole.where(F.col("n") == F.col("of")).join(named, "id").select("query", "shard", "seq", "pos", *(["next"] if extra else []))
+
+
 def count(corpus: Corpus, queries: DataFrame) -> DataFrame:
     """(query_id, count)."""
     queries = fitted(corpus, queries)

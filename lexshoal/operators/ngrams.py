@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexshoal.operators.corpus import Corpus
+from lexshoal.operators.corpus import Corpus, lengthened
 
 
 def columns(n: int) -> list[str]:
@@ -16,9 +16,7 @@ def ngrams(corpus: Corpus, n: int) -> DataFrame:
     """(shard, seq, pos, g0 .. g(n-1)): every n-gram, in scalar columns, within the scan's stage."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    if corpus.reach is not None and n - 1 > corpus.reach:
-        raise ValueError(f"the corpus was cut for n-grams up to {corpus.reach + 1}")
-    rows = corpus.frame.select("shard", "seq", "start", F.size("tokens").alias("own"), F.concat("tokens", "tail").alias("t"))
+    rows = lengthened(corpus, n).frame.select("shard", "seq", "start", F.size("tokens").alias("own"), F.concat("tokens", "tail").alias("t"))
     count = F.least(F.col("own"), F.size("t") - (n - 1))
     # the outer form and the late filter keep the optimizer from tokenising again for a filter below
     places = F.explode_outer(F.when(count > 0, F.sequence(F.lit(0), count - 1)))

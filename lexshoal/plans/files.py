@@ -43,7 +43,7 @@ def event_ids(spark: SparkSession, sf_dir: str, shard: int | None = None) -> Cor
     rows = read_table(spark, sf_dir, "events").select("event_id", "user_id", F.array(F.array_position(F.lit(TYPES), F.col("event_type")) - 1).alias("tokens"))
     if shard is not None:
         rows = rows.where(F.col("user_id") % 2 == shard)
-    return corpora.stream(rows, "tokens", ["event_id"], longest=16, vocab=VOCAB)
+    return corpora.stream(rows, "tokens", ["event_id"], vocab=VOCAB)
 
 
 def _saved(corpus: Corpus) -> str:
@@ -81,7 +81,7 @@ def from_tokens_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def built_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suffix file built beside a token file, opened again."""
     tokens, suffixes = _saved(event_ids(spark, sf_dir)), _path(spark, "suffixes")
-    index = NgramIndex.build(spark, [(tokens, suffixes)], longest=16)
+    index = NgramIndex.build(spark, [(tokens, suffixes)])
     return index.suffix_table().select("rank", "pos")
 
 
@@ -104,7 +104,7 @@ def saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sharded(spark: SparkSession, sf_dir: str) -> NgramIndex:
     """Two pairs of files as the shards of one index."""
     pairs = [(_saved(event_ids(spark, sf_dir, s)), _path(spark, "suffixes")) for s in (0, 1)]
-    return NgramIndex.build(spark, pairs, longest=16)
+    return NgramIndex.build(spark, pairs)
 
 
 def sharded_files_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def events(spark: SparkSession, sf_dir: str) -> Corpus:
 def event_stream(spark: SparkSession, sf_dir: str) -> Corpus:
     """All event types in the order of event ids, as one long sequence."""
     rows = read_table(spark, sf_dir, "events").select("event_id", F.array("event_type").alias("tokens"))
-    return corpora.stream(rows, "tokens", ["event_id"], longest=16)
+    return corpora.stream(rows, "tokens", ["event_id"])
 
 
 def _queries(spark: SparkSession, batch: list[list[str]]) -> DataFrame:
