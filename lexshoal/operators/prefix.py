@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexshoal.storage import materialize
@@ -34,16 +36,42 @@ def numbered(ranged: DataFrame, out: str, by: str | None = None) -> DataFrame:
     return placed.join(bases, on).select(*ranged.columns, (F.col("__place") + F.col("__base")).alias(out))
 
 
-def cumulative(df: DataFrame, by: str, order: str, value: str, before: str, whole: str) -> DataFrame:
+def cumulative(df: DataFrame, by: str, order: str, value: str | list[str], before: str | list[str], whole: str | list[str]) -> DataFrame:
     """``df``, ``before``, the sum of ``value`` over rows of the same ``by`` before a row in ``order``, and ``whole``, that of all its rows.
 
-    A window runs over one sorted range of a value of ``by`` at most; the ranges' sums are added up
-    over one row for each. ``by`` and ``order`` together tell rows apart.
+    Several values, with as many names, are summed together. A window runs over one sorted range of a
+    value of ``by`` at most; the ranges' sums are added up over one row for each. ``by`` and ``order``
+    together tell rows apart.
     """
+    value, before, whole = ([x] if isinstance(x, str) else x for x in (value, before, whole))
     ranged = materialize(df.repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("__range", F.spark_partition_id()), "ranged")
     within = Window.partitionBy(by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy(F.col(by).alias("__by"), F.col("__range").alias("__r")).agg(F.sum(value).alias("__sum"))
-    earlier = Window.partitionBy("__by").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("__by", "__r", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"), F.sum("__sum").over(Window.partitionBy("__by")).alias(whole))
-    joined = ranged.withColumn(before, F.coalesce(F.sum(value).over(within), F.lit(0))).join(bases, (F.col(by) == F.col("__by")) & (F.col("__range") == F.col("__r")))
-    return joined.select(*df.columns, (F.col(before) + F.col("__base")).alias(before), whole)
+    sums = ranged.groupBy(F.col(by).alias("__by"), F.col("__range").alias("__r")).agg(*(F.sum(v).alias(f"__sum_{v}") for v in value))
+    earlier, all_ = Window.partitionBy("__by").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("__by")
+    bases = sums.select("__by", "__r", *(F.coalesce(F.sum(f"__sum_{v}").over(earlier), F.lit(0)).alias(f"__base_{v}") for v in value), *(F.sum(f"__sum_{v}").over(all_).alias(w) for v, w in zip(value, whole, strict=True)))
+    inside = ranged.withColumns({b: F.coalesce(F.sum(v).over(within), F.lit(0)) for v, b in zip(value, before, strict=True)})
+    joined = inside.join(bases, (F.col(by) == F.col("__by")) & (F.col("__range") == F.col("__r")))
+    return joined.select(*df.columns, *((F.col(b) + F.col(f"__base_{v}")).alias(b) for v, b in zip(value, before, strict=True)), *whole)
+
+
+def in_blocks(table: DataFrame, key: str, order: str, payload: list[str], block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """``table``, whose rows are numbered by ``key`` from 0 in ``order``, for ``first_beyond``: rows in blocks, and the last row of each."""
+    rows = table.select(F.col(key).alias("__key"), F.floor(F.col(order) / block).alias("__block"), F.col(order).alias("__order"), F.struct(*payload).alias("__payload"))
+    items = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("__order", c))), lambda x: x[c])
+    blocks = materialize(rows.groupBy("__key", "__block").agg(items("__payload").alias("__rows")), "blocks")
+    ends = blocks.select("__key", F.col("__block").alias("__order"), F.element_at("__rows", -1).alias("__payload")).groupBy("__key").agg(items("__payload").alias("__ends"))
+    return blocks, ends
+
+
+def first_beyond(table: tuple[DataFrame, DataFrame], draws: DataFrame, key: str, above: Callable[[Column], Column]) -> DataFrame:
+    """``draws`` (with ``key``) and ``found``, the payload of the first row of their key for which ``above`` holds, or null.
+
+    ``above`` is a predicate on a payload struct and the columns of ``draws``; in the order of rows it
+    turns from false to true once. A draw is compared with the last row of each block, then with the
+    rows of one block, so rows and draws of one key are never all brought together.
+    """
+    blocks, ends = table
+    at = F.size(F.filter("__ends", lambda x: ~above(x))).cast("long")
+    placed = draws.join(ends, draws[key] == ends["__key"], "left").withColumn("__at", at).drop("__ends", "__key")
+    joined = placed.join(blocks, (placed[key] == blocks["__key"]) & (placed["__at"] == blocks["__block"]), "left")
+    return joined.select(*draws.columns, F.get(F.filter("__rows", above), 0).alias("found"))

@@ -4,8 +4,10 @@ A step draws the next token by inverse CDF: tokens of a context in their order,
 and a uniform number from md5(seed:sample:step). All samples take a step at once.
 
 ``sample_unsmoothed`` is one recursive query over a table of CDF intervals of the contexts of lengths
-0 .. n - 1. ``sample_smoothed`` counts n-grams once and runs a job for each step, over the samples'
-current contexts. Weights are summed in sorted ranges, so no context meets in one task as a whole.
+0 .. n - 1. ``sample_smoothed`` counts n-grams once and runs a few jobs for each step, over the samples'
+current contexts. Its work follows the observed successors of these contexts; nothing is made for
+contexts x vocabulary. Weights are summed in sorted ranges and searched in blocks, so no context meets
+in one task as a whole.
 A context without successors is an error in unsmoothed sampling, which has no back-off.
 """
 
@@ -20,8 +22,8 @@ from lexshoal.functions.tokens import uniform
 from lexshoal.operators.corpus import Corpus
 from lexshoal.operators.lookup import fitted
 from lexshoal.operators.ngrams import columns, ngram_counts
-from lexshoal.operators.prefix import cumulative
-from lexshoal.operators.smoothing import Model, smoothed_probs
+from lexshoal.operators.prefix import cumulative, first_beyond, in_blocks
+from lexshoal.operators.smoothing import Model, after_nothing, levels
 from lexshoal.storage import materialize
 
 
@@ -74,24 +76,43 @@ def sample_unsmoothed(corpus: Corpus, query: list, n: int, k: int, samples: int
 
 
 def sample_smoothed(model: Model, query: list, n: int, k: int, samples: int = 1, seed: int = 0, tokens: DataFrame | None = None) -> DataFrame:
-    """(sample, tokens): the query and k more tokens, each drawn by smoothed probabilities after the last n - 1."""
+    """(sample, tokens): the query and k more tokens, each drawn by smoothed probabilities after the last n - 1.
+
+    The CDF of a context is that of its observed successors' terms and its weight times the CDF after
+    the empty context, which is one table for all contexts. A draw is searched among the context's
+    successors, at which both are known; if it falls between two of them, in the shared table.
+    """
     _check(n, k)
-    model.count_contexts(n - 1)
+    model.estimate_deltas(1).count_contexts(n - 1)
     corpus = model.corpus
     spark = corpus.frame.sparkSession
     kind = corpus.token_type
     begin = fitted(corpus, spark.createDataFrame([(query,)], f"query array<{kind}>"))
     walk = begin.crossJoin(spark.range(samples)).select(F.col("id").alias("sample"), F.col("query").alias("tokens"))
+    shared = after_nothing(model, tokens).select(F.lit(0).alias("all"), "token", "base", F.lit(1).cast("long").alias("one"))
+    shared = cumulative(shared, "all", "token", ["base", "one"], ["below", "at"], ["mass", "size"])
+    shared = materialize(shared.select("all", "token", "base", "below", "at", "mass"), "shared-cdf")
+    shared_blocks = in_blocks(shared, "all", "at", ["token", "base", "below"])
+    mass = shared.agg(F.first("mass").alias("mass"), F.max("token").alias("last"))
     for step in range(k):
         context = F.slice("tokens", F.greatest(F.size("tokens") - (n - 1), F.lit(0)) + 1, F.lit(n - 1))
-        contexts = materialize(walk.select(context.alias("query")).distinct().withColumn("query_id", F.monotonically_increasing_id()), "contexts")
-        probs = smoothed_probs(model, contexts, tokens)
-        sums = cumulative(probs, "query_id", "token", "prob", "before", "whole")
-        last = probs.groupBy("query_id").agg(F.max("token").alias("last"))
-        cdf = sums.join(last, "query_id").select("query_id", "token", (F.col("before") / F.col("whole")).alias("lo"), ((F.col("before") + F.col("prob")) / F.col("whole")).alias("hi"), (F.col("token") == F.col("last")).alias("top"))
-        drawn = walk.withColumn("query", context).join(contexts, "query").drop("query").withColumn("u", uniform(seed, F.col("sample"), F.lit(step)))
-        # sums of ranges are rounded: of the intervals that hold u, give or take that, the highest that begins by u
-        near = (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi") + 1e-12) | F.col("top"))
-        best = drawn.join(cdf, "query_id").where(near).groupBy("sample", "tokens").agg(F.max(F.struct("lo", "token")).alias("best"))
-        walk = materialize(best.select("sample", F.concat("tokens", F.array("best.token")).alias("tokens")), "samples")
+        drawn = walk.select("sample", "tokens", context.alias("query"), uniform(seed, F.col("sample"), F.lit(step)).alias("u"))
+        contexts = materialize(drawn.select("query").distinct(), "contexts")
+        terms, weights = levels(model, contexts)
+        met = terms.select("query", "token", "term", F.lit(1).cast("long").alias("one"))
+        met = cumulative(met, "query", "token", ["term", "one"], ["before", "at"], ["sum", "size"])
+        facts = weights.join(met.groupBy("query").agg(F.first("sum").alias("sum")), "query", "left").select("query", "weight", F.coalesce("sum", F.lit(0.0)).alias("sum"))
+        # a successor begins at what the terms and the shared table have before it
+        start = F.col("before") + F.col("weight") * F.col("below")
+        rows = met.join(weights, "query").join(shared.select("token", "base", "below"), "token")
+        rows = rows.select("query", "at", "token", "before", start.alias("start"), (start + F.col("term") + F.col("weight") * F.col("base")).alias("end"))
+        placed = drawn.join(facts, "query").crossJoin(F.broadcast(mass))  # one row
+        placed = placed.select("sample", "tokens", "query", "weight", "last", "sum", (F.col("u") * (F.col("sum") + F.col("weight") * F.col("mass"))).alias("y"))
+        near = first_beyond(in_blocks(rows, "query", "at", ["token", "before", "start", "end"]), placed, "query", lambda x: x["end"] > F.col("y"))
+        # what is left between successors is a draw from the shared table
+        inside = F.col("found").isNotNull() & (F.col("y") >= F.col("found.start"))
+        rest = (F.col("y") - F.coalesce("found.before", "sum")) / F.col("weight")
+        near = near.select("sample", "tokens", "last", F.when(inside, F.col("found.token")).alias("own"), rest.alias("rest"), F.lit(0).alias("all"))
+        hit = first_beyond(shared_blocks, near, "all", lambda x: x["below"] + x["base"] > F.col("rest"))
+        walk = materialize(hit.select("sample", F.concat("tokens", F.array(F.coalesce("own", "found.token", "last"))).alias("tokens")), "samples")
     return walk

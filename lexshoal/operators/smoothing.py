@@ -11,8 +11,10 @@ unigram estimate (c(w) + 1e-9) / (total + 1e-9 vocab). At d >= 1 the sum can exc
 ``normalize`` divides by it.
 
 The recursion is one sum over the suffixes of a context, each with the product of the L above it, so
-any batch is one join and two aggregations. Terms and back-off weights are sparse; a row for each
-query and token stands only in a result that must have it.
+any batch is one join and two aggregations. The empty context is no level of the join: what it adds to
+a token is its discounted count times one number of the context, as what lies below it is its unigram
+estimate times another. So terms are rows of observed successors of non-empty contexts, and a row for
+each query and token stands only in a result that must have it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexshoal.operators import lookup
@@ -93,50 +95,60 @@ def unigram_probs(corpus: Corpus, vocab: int, counts: DataFrame | None = None) -
     return counts.crossJoin(F.broadcast(total)).select("token", ((F.col("count") + EPSILON) / (F.col("total") + EPSILON * vocab)).alias("prob"))
 
 
-def _levels(model: Model, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(query, token, term) and (query, rest) of different contexts (query), both sparse.
+def _lambda(d: Column, s: Column, u: Column, o: Column) -> Column:
+    return F.when(d < 1, d * u / s).otherwise(o + d * (u - o) / s)
 
-    The probability of a token is its term, or 0 without one, and its unigram estimate times ``rest``.
+
+def base_facts(counts: DataFrame, d: float) -> DataFrame:
+    """One row (total, lam0): the number of all tokens, and the L of the empty context (1 without any token)."""
+    sums = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("double").alias("total"), F.count("*").cast("double").alias("u"), F.coalesce(F.sum((F.col("count") == 1).cast("double")), F.lit(0.0)).alias("o"))
+    return sums.select("total", F.when(F.col("total") == 0, F.lit(1.0)).otherwise(_lambda(F.lit(d), F.nullif("total", F.lit(0.0)), F.col("u"), F.col("o"))).alias("lam0"))
+
+
+def levels(model: Model, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query, token, term) and (query, weight) of different contexts (query).
+
+    The probability of a token is its term, or 0 without one, and ``weight`` times its probability after
+    the empty context (``after_nothing``). Terms are observed successors of contexts of a token or more.
     """
     longest = contexts.agg(F.max(F.size("query"))).first()[0] or 0
     known = F.create_map(*(x for o in range(1, longest + 2) for x in (F.lit(o), F.lit(float(model.delta(o))))))
     # level j: the last j tokens of the context
-    levels = contexts.select(F.col("query").alias("whole"), F.explode(F.sequence(F.lit(0), F.size("query"))).alias("level"))
-    levels = levels.select("whole", "level", F.slice("whole", F.size("whole") - F.col("level") + 1, F.col("level")).alias("query"))
-    counts = materialize(model.next_counts(levels.select("query")), "next-counts")
+    placed = contexts.where(F.size("query") > 0).select(F.col("query").alias("whole"), F.explode(F.sequence(F.lit(1), F.size("query"))).alias("level"))
+    placed = placed.select("whole", "level", F.slice("whole", F.size("whole") - F.col("level") + 1, F.col("level")).alias("query"))
+    counts = materialize(model.next_counts(placed.select("query")), "next-counts")
     d = F.element_at(known, F.size("query") + 1)
     facts = counts.groupBy("query").agg(F.sum("count").cast("double").alias("s"), F.count("*").cast("double").alias("u"), F.sum((F.col("count") == 1).cast("double")).alias("o"))
-    facts = facts.select("query", "s", F.when(d < 1, d * F.col("u") / F.col("s")).otherwise(F.col("o") + d * (F.col("u") - F.col("o")) / F.col("s")).alias("lam"))
-    placed = levels.join(facts, "query")
+    placed = placed.join(facts.select("query", "s", _lambda(d, F.col("s"), F.col("u"), F.col("o")).alias("lam")), "query")
     above = placed.groupBy("whole").agg(F.collect_list(F.struct("level", "lam")).alias("all"))
     product = lambda c: F.aggregate(c, F.lit(1.0), lambda a, x: a * x["lam"])
     weighted = placed.join(above, "whole").select("whole", "query", "s", product(F.filter("all", lambda x: x["level"] > F.col("level"))).alias("weight"))
     terms = counts.join(weighted, "query").select("whole", "token", (F.greatest(F.col("count") - d, F.lit(0.0)) / F.col("s") * F.col("weight")).alias("term"))
     terms = terms.groupBy(F.col("whole").alias("query"), "token").agg(F.sum("term").alias("term"))
-    rests = contexts.join(above.select(F.col("whole").alias("query"), product(F.col("all")).alias("rest")), "query", "left")
-    return terms, rests.select("query", F.coalesce("rest", F.lit(1.0)).alias("rest"))
+    weights = contexts.join(above.select(F.col("whole").alias("query"), product(F.col("all")).alias("weight")), "query", "left")
+    return terms, weights.select("query", F.coalesce("weight", F.lit(1.0)).alias("weight"))
 
 
-def _estimates(model: Model, tokens: DataFrame | None) -> DataFrame:
-    """(token, prob): unigram estimates of ``tokens``, or of those that occur."""
+def after_nothing(model: Model, tokens: DataFrame | None = None) -> DataFrame:
+    """(token, count, base): counts and probabilities after the empty context of ``tokens``, or of those that occur."""
     counts = model.vocabulary()
-    grams = unigram_probs(model.corpus, model.vocab, counts)
-    if tokens is None:
-        return grams
-    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
-    floor = F.lit(EPSILON) / (F.col("total") + EPSILON * model.vocab)
-    return tokens.join(grams, "token", "left").crossJoin(F.broadcast(total)).select("token", F.coalesce("prob", floor).alias("prob"))
+    facts = base_facts(counts, model.delta(1))
+    if tokens is not None:
+        counts = tokens.join(counts, "token", "left").select("token", F.coalesce("count", F.lit(0)).alias("count"))
+    estimate = (F.col("count") + EPSILON) / (F.col("total") + EPSILON * model.vocab)
+    own = F.coalesce(F.greatest(F.col("count") - model.delta(1), F.lit(0.0)) / F.nullif("total", F.lit(0.0)), F.lit(0.0))
+    return counts.crossJoin(F.broadcast(facts)).select("token", "count", (own + estimate * F.col("lam0")).alias("base"))
 
 
 def pair_probs(model: Model, pairs: DataFrame) -> DataFrame:
-    """(query, token, prob) of the different pairs (query, token): nothing is made for other tokens."""
+    """(query, token, prob) of the different pairs (query, token): nothing is made for other tokens but observed successors."""
     model.estimate_deltas(1)
     asked = pairs.select(F.col("query").alias("asked"), "query", "token")
     pairs = materialize(lookup.fitted(model.corpus, asked).distinct(), "pairs")
-    terms, rests = _levels(model, pairs.select("query").distinct())
-    known = _estimates(model, pairs.select("token").distinct())
-    found = pairs.join(terms, ["query", "token"], "left").join(rests, "query").join(known, "token")
-    return found.select(F.col("asked").alias("query"), "token", (F.coalesce("term", F.lit(0.0)) + F.col("prob") * F.col("rest")).alias("prob"))
+    terms, weights = levels(model, pairs.select("query").distinct())
+    known = after_nothing(model, pairs.select("token").distinct())
+    found = pairs.join(terms, ["query", "token"], "left").join(weights, "query").join(known, "token")
+    return found.select(F.col("asked").alias("query"), "token", (F.coalesce("term", F.lit(0.0)) + F.col("base") * F.col("weight")).alias("prob"))
 
 
 def smoothed_probs(model: Model, queries: DataFrame, tokens: DataFrame | None = None, normalize: bool = False) -> DataFrame:
@@ -148,11 +160,11 @@ def smoothed_probs(model: Model, queries: DataFrame, tokens: DataFrame | None =
     """
     model.estimate_deltas(1)
     queries = lookup.fitted(model.corpus, queries)
-    terms, rests = _levels(model, queries.select("query").distinct())
-    base = queries.select("query_id", "query").join(rests, "query")
+    terms, weights = levels(model, queries.select("query").distinct())
+    each = queries.select("query_id", "query").join(weights, "query")
     own = queries.select("query_id", "query").join(terms, "query").select("query_id", "token", "term")
-    out = _estimates(model, tokens).crossJoin(base.select("query_id", "rest")).join(own, ["query_id", "token"], "left")
-    out = out.select("query_id", "token", (F.coalesce("term", F.lit(0.0)) + F.col("prob") * F.col("rest")).alias("prob"))
+    out = after_nothing(model, tokens).crossJoin(each.select("query_id", "weight")).join(own, ["query_id", "token"], "left")
+    out = out.select("query_id", "token", (F.coalesce("term", F.lit(0.0)) + F.col("base") * F.col("weight")).alias("prob"))
     if normalize:
         sums = out.groupBy("query_id").agg(F.sum("prob").alias("sum"))
         out = out.join(sums, "query_id").select("query_id", "token", (F.col("prob") / F.col("sum")).alias("prob"))

@@ -1,6 +1,7 @@
 """Golden values, brute-force parity and round trips of the n-gram engine."""
 
 import collections
+import hashlib
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lexshoal import storage
 from lexshoal.index import NgramIndex
 from lexshoal.operators import corpus as corpora
-from lexshoal.operators import lookup, ngrams, smoothing, suffix
+from lexshoal.operators import lookup, ngrams, prefix, smoothing, suffix
 from lexshoal.operators.prefix import cumulative
 from lexshoal.sources import binary, texts
 
@@ -303,3 +304,32 @@ def test_long_event_sequences_are_cut(spark):
         assert sorted(ngrams.ngrams(whole, n).collect(), key=key) == sorted(ngrams.ngrams(cut, n).collect(), key=key)
     small = corpora.chunked(cut.flat(), 4, chunk=16)
     assert sorted(ngrams.ngrams(whole, 4).collect(), key=key) == sorted(ngrams.ngrams(small, 4).collect(), key=key)
+
+
+def test_terms_are_observed_successors(spark):
+    """No row stands for a token that never follows a context, and none for the empty context."""
+    rng = random.Random(12)
+    tokens = [rng.randrange(400) for _ in range(1500)]
+    index = NgramIndex.from_tokens(spark, tokens, vocab=400)
+    contexts = [[t] for t in range(60)] + [tokens[p : p + 2] for p in range(20)] + [[]]
+    terms, weights = smoothing.levels(index.model.estimate_deltas(1), index.queries(contexts).select("query").distinct())
+    follows = lambda c: {tokens[p + len(c)] for p in range(len(tokens) - len(c)) if tokens[p : p + len(c)] == c}
+    most = sum(len(follows(c[k:])) for c in contexts for k in range(len(c)))
+    assert 0 < terms.count() <= most and weights.count() == len(contexts)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_smoothed_samples_are_quantiles_of_the_dense_distribution(spark, n, monkeypatch):
+    """Each draw is the first token whose dense running sum goes beyond the same uniform number."""
+    monkeypatch.setattr(prefix.in_blocks, "__defaults__", (3,))
+    index = NgramIndex.from_tokens(spark, ids("aabbccabccbadbeecf"), vocab=8)
+    drawn = index.sample_smoothed([0, 1], n, 3, num_samples=12, seed=4)
+    context = lambda tokens, step: tokens[: 2 + step][max(0, 3 + step - n) :] if n > 1 else []
+    asked = {tuple(context(t, step)) for t in drawn for step in range(3)}
+    dense = dict(zip(asked, index.batch_get_smoothed_probs([list(q) for q in asked]), strict=True))
+    for sample, tokens in enumerate(drawn):
+        assert tokens[:2] == [0, 1] and len(tokens) == 5
+        for step in range(3):
+            probs = dense[tuple(context(tokens, step))]
+            u = int(hashlib.md5(f"4:{sample}:{step}".encode()).hexdigest()[:8], 16) / 2**32 * sum(probs)
+            assert tokens[2 + step] == next(t for t in range(8) if sum(probs[: t + 1]) > u)
