@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexshoal.llm.columns import free_names
-from lexshoal.llm.texts import blocks, column_bytes, released, segment_sum
+from lexshoal.llm.texts import blocks, column_bytes, release_memory, released, segment_sum
 from lexshoal.storage import materialize, read_table
 
 TRAIN_ROWS, TRAIN_FEATURES, BITS, SCALE, GRAM = 4000, 1 << 24, 18, 100.0, 4
@@ -147,16 +147,21 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str, doc: str = "doc_id", tex
     made = chosen.select("id", "text", "grade").mapInArrow(released(features), f"id {kind}, grade double, keys binary, counts binary")
     place = F.struct(F.xxhash64("id").alias("a"), "id", "grade", F.xxhash64("keys", "counts").alias("b"))
     made = materialize(made.withColumns({"place": place, "n": F.length("keys") / 4}), "quality-sample")
-    sizes = made.select("place", "n").orderBy("place").limit(train_rows).toPandas()["n"]
-    whole = int((sizes.cumsum() <= train_features).sum())
-    if whole == made.count():  # the usual case: no sort of long rows
-        table = made.select("place.*", "keys", "counts").toPandas().sort_values(["a", "id", "grade", "b"], kind="stable")
-    else:
-        table = made.orderBy("place").limit(whole).select("grade", "keys", "counts").toPandas()
-    ratings, sizes = table["grade"].to_numpy(float), table["keys"].map(len).to_numpy(int) // 4
-    index, value = np.frombuffer(b"".join(table["keys"]), "<u4"), np.frombuffer(b"".join(table["counts"]), "<f4")
-    del table
-    return fit_ordinal(index, value, np.concatenate(([0], np.cumsum(sizes))), ratings, bits)
+    sizes = [r["n"] for r in made.select("place", "n").orderBy("place").limit(train_rows).collect()]
+    whole = int((np.cumsum(sizes) <= train_features).sum()) if sizes else 0
+    # the usual case needs no sort of long rows; rows come a partition at a time and are held as arrays only
+    table = made.select("place", "keys", "counts") if whole == made.count() else made.orderBy("place").limit(whole).select("place", "keys", "counts")
+    rows = [(tuple(r["place"]), np.frombuffer(r["keys"], "<u4"), np.frombuffer(r["counts"], "<f4")) for r in table.toLocalIterator()]
+    rows.sort(key=lambda r: tuple((x is not None, x) for x in r[0]))
+    ratings = np.array([place[2] for place, _, _ in rows], float)
+    first = np.concatenate(([0], np.cumsum([len(k) for _, k, _ in rows], dtype=np.int64)))
+    index = np.concatenate([k for _, k, _ in rows]) if rows else np.zeros(0, "<u4")
+    value = np.concatenate([v for _, _, v in rows]) if rows else np.zeros(0, "<f4")
+    del rows
+    model = fit_ordinal(index, value, first, ratings, bits)
+    del index, value
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", tail_grade: float = 1.0, keep_at: float = 0.5, bits: int = BITS) -> DataFrame:
