@@ -24,6 +24,7 @@ row as a document. An empty table gives an empty result. Other columns are ignor
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from array import array
@@ -46,11 +47,30 @@ WINDOW, END, UNITS, SLACK, BLOCK_PIECES, CACHED_WORDS = 4096, 2, 256, 2, 200_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:$%&#*|]*)")
 
 
-#: Texts in which tokenizers of another build give other ids than word by word.
-_PROBES = [
-    "Hello, World! The NAÏVE café; déjà vu.", " leading and  double\tspaces\n\nand lines \r\n", "don't it's WE'LL o'clock", "x<|im_end|>y &amp; #1 $5.00 50% (ok) [a_b]",
-    "Ünïcödé Straße þorn ÿ", "日本語 テスト 한국어 Привет", "new york new york of the of the in the", "a.b.c e.g. 3.14 1,000,000 v2.0", "", " ", "zzzqqqxxx supercalifragilisticexpialidocious",
-]
+#: The parts of a tokenizer's file that word by word rebuilds, as they stand in the file.
+_LOWER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def goes_by_words(parts: dict) -> bool:
+    """Whether a tokenizer, given as its file's JSON, is built as ``WordEncoder`` takes it apart.
+
+    It lower-cases, parts at white space, runs of letters, digits and runs of other characters, and
+    merges bytes within these; it cuts and pads nothing, and its added tokens have a ``<`` and no white
+    space, so that they lie within a word that takes the whole path. Anything else is no.
+    """
+    model = {k: v for k, v in parts.get("model", {}).items() if k not in ("vocab", "merges")}
+    same = (parts.get("normalizer"), parts.get("pre_tokenizer"), model) == (_LOWER, _SPLIT, _MODEL)
+    plain = not parts.get("truncation") and not parts.get("padding")
+    added = all("<" in t["content"] and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in parts.get("added_tokens") or ())
+    return same and plain and added
 
 
 class WordEncoder:
@@ -60,8 +80,8 @@ class WordEncoder:
     words' ids in order. Words are looked up in a bounded table; only new ones are encoded. Most are
     Latin letters and then punctuation, which the tokenizer parts, too: their lower-cased letters and
     their punctuation go straight to its model. All other words take its whole path. Whether a
-    tokenizer is built that way is tried on ``_PROBES`` when it is read; of another one (cased, say, or
-    joining over white space) every text takes the whole path.
+    tokenizer is built that way is read from the parts in its file (``goes_by_words``); of another one
+    (cased, say, of another model, or without a pre-tokenizer) every text takes the whole path.
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
@@ -70,12 +90,13 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cached_words, self.by_words = cached_words, True
-        # the tokenizer's own names of the bytes of letters beyond ASCII
-        name = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.names = str.maketrans({c: name(c)[0][0] for c in map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])})
-        self.clear()
-        self.by_words = all(self._whole([x])[0].tolist() == self.encode(pa.array([x]))[0].tolist() for x in _PROBES)
+        self.cached_words = cached_words
+        with open(path, encoding="utf-8") as file:
+            self.by_words = goes_by_words(json.load(file))
+        if self.by_words:
+            # the tokenizer's own names of the bytes of letters beyond ASCII
+            name = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.names = str.maketrans({c: name(c)[0][0] for c in map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])})
         self.clear()
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

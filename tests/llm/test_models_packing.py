@@ -1,5 +1,7 @@
 """Quality, toxicity and packing: held-out accuracy, exact ids, window invariants, edge cases."""
 
+import collections
+import math
 import random
 import zlib
 
@@ -184,3 +186,104 @@ def test_toxicity_counts_all_documents_of_different_words(spark):
             digests = toxicity.words(flat, np.array([0, len(flat)]), toxicity.LETTER)[0]
             counts[int(i % 3 == 0), np.unique(toxicity.buckets(digests))] += 1
     assert model.scores == pytest.approx(toxicity.log_odds(counts[1], counts[0]) - toxicity.DRIFT, abs=1e-5)
+
+
+def some_tokenizers():
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    cased = Tokenizer(models.WordLevel({"a": 0, "b": 1, "[UNK]": 2, "A": 3}, unk_token="[UNK]"))
+    cased.pre_tokenizer = pre_tokenizers.Whitespace()
+    bare = Tokenizer(models.BPE({c: i for i, c in enumerate("ab A")} | {"ab": 4, "b A": 5}, [("a", "b")]))
+    pieces = Tokenizer(models.Unigram([("<unk>", 0.0), ("▁", -2.0), ("a", -3.0), ("b", -3.0), ("▁ab", -2.5), ("A", -4.0)], unk_id=0))
+    pieces.pre_tokenizer = pre_tokenizers.Metaspace()
+    lowered = Tokenizer(models.WordLevel({"a": 0, "a b": 1, "[UNK]": 2}, unk_token="[UNK]"))
+    lowered.normalizer = normalizers.Lowercase()
+    return {"cased": cased, "bare": bare, "pieces": pieces, "lowered": lowered}
+
+
+@pytest.mark.parametrize("name", ["cased", "bare", "pieces", "lowered"])
+def test_other_tokenizers_take_the_whole_path(tmp_path, name):
+    tokenizer = some_tokenizers()[name]
+    tokenizer.save(f"{tmp_path}/t.json")
+    encoder = packing.WordEncoder(f"{tmp_path}/t.json")
+    assert not encoder.by_words
+    texts = ["A b a", "ab  AB\nab", "", "a b", "abA ba"]
+    flat, first = encoder.encode(pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_changed_part_turns_words_off():
+    import json
+
+    with open(packing.tokenizer_path(), encoding="utf-8") as file:
+        parts = json.load(file)
+    assert packing.goes_by_words(parts)
+    for key, value in {"normalizer": None, "pre_tokenizer": None, "truncation": {"max_length": 8}, "padding": {"length": 8}}.items():
+        assert not packing.goes_by_words(parts | {key: value})
+    assert not packing.goes_by_words(parts | {"model": parts["model"] | {"ignore_merges": True}})
+    assert not packing.goes_by_words(parts | {"added_tokens": [parts["added_tokens"][0] | {"content": "new york"}]})
+    assert not packing.goes_by_words(parts | {"added_tokens": [parts["added_tokens"][0] | {"lstrip": True}]})
+
+
+def slow_quality(texts, ratings, steps=120, rate=0.1, penalty=1e-4):
+    """The ordinal model with a dictionary for each document and one sum at a time: expected grade and tail of every text."""
+
+    def features(text):
+        data = (text or "").encode()
+        grams = [int.from_bytes(data[i : i + 4], "little") for i in range(len(data) - 3)]
+        counts = collections.Counter((g * 0x9E3779B1 & 0xFFFFFFFF) >> 14 for g in grams)
+        return {k: 100.0 * c / len(grams) for k, c in counts.items()}
+
+    sigmoid = lambda x: 0.0 if x == -math.inf else 1.0 if x == math.inf else 1 / (1 + math.exp(-x))
+    grades = sorted(set(ratings.values()))
+    rows = [(features(texts[i]), grades.index(g)) for i, g in ratings.items()]
+    n, k = len(rows), len(grades) - 1
+    share = [sum(g <= j for _, g in rows) / n for j in range(k)]
+    cut = [math.log(s / (1 - s)) for s in share]
+    p = {f: 0.0 for x, _ in rows for f in x} | {("t", j): cut[0] if not j else math.log(max(cut[j] - cut[j - 1], 1e-3)) for j in range(k)}
+    m, v = dict.fromkeys(p, 0.0), dict.fromkeys(p, 0.0)
+
+    def edges():
+        out = [p["t", 0]]
+        for j in range(1, k):
+            out.append(out[-1] + math.exp(p["t", j]))
+        return [-math.inf, *out, math.inf]
+
+    for t in range(1, steps + 1):
+        gradient = {f: penalty * x if not isinstance(f, tuple) else 0.0 for f, x in p.items()}
+        e, by_edge = edges(), [0.0] * (k + 2)
+        for x, g in rows:
+            s = sum(p[f] * c for f, c in x.items())
+            high, low = sigmoid(e[g + 1] - s), sigmoid(e[g] - s)
+            mass = max(high - low, 1e-9)
+            by_edge[g + 1] -= high * (1 - high) / mass / n
+            by_edge[g] += low * (1 - low) / mass / n
+            for f, c in x.items():
+                gradient[f] += c * (high * (1 - high) - low * (1 - low)) / mass / n
+        for j in range(k):
+            gradient["t", j] = sum(by_edge[j + 1 : k + 1]) * (1 if not j else math.exp(p["t", j]))
+        for f, d in gradient.items():
+            m[f], v[f] = 0.9 * m[f] + 0.1 * d, 0.999 * v[f] + 0.001 * d * d
+            p[f] -= rate * (m[f] / (1 - 0.9**t)) / (math.sqrt(v[f] / (1 - 0.999**t)) + 1e-8)
+    out = {}
+    for i, text in texts.items():
+        s = sum(p.get(f, 0.0) * c for f, c in features(text).items())
+        above = [1 - sigmoid(x - s) for x in edges()[1:-1]]
+        out[i] = (grades[0] + sum(a * (grades[j + 1] - grades[j]) for j, a in enumerate(above)), next((above[j] for j in range(k) if grades[j + 1] >= 1), 1.0))
+    return out
+
+
+@pytest.mark.parametrize("grades", [2, 3])
+def test_quality_against_plain_sums(spark, tmp_path, grades):
+    """The query on a small table, and the same model with three grades: what a slow version of it gives."""
+    rng = random.Random(grades)
+    texts = {i: " ".join(rng.choice(["fine", "words", "junk", "$$$", "é"][i % grades : i % grades + 3]) for _ in range(rng.randrange(1, 40))) for i in range(45)} | {50: None, 51: "", 52: "abc"}
+    ratings = {i: i % grades for i in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g, 0) for i, g in ratings.items()], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = quality.op6_quality(spark, str(tmp_path)).collect()
+    want = slow_quality(texts, ratings)
+    for r in rows:
+        assert (r["expected_grade"], r["tail_probability"]) == pytest.approx(want[r["doc_id"]], abs=2e-3)
