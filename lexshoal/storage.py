@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -15,8 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Written tables that nothing has deleted yet, in the order of writing.
-_written: list[str] = []
+#: Written tables that nothing has deleted yet, of all threads.
+_written: set[str] = set()
+#: Those of the innermost scope of this thread (or other context).
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+_lock = threading.Lock()
+#: Writes that go on now, and what the clean-up option was before the first of them.
+_writes: dict[str, object] = {"n": 0, "before": None}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,26 +72,40 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _tables() -> list[str]:
+    """The tables of this thread's innermost scope."""
+    found = _scope.get()
+    if found is None:
+        found = []
+        _scope.set(found)
+    return found
+
+
 @contextmanager
 def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
-    """Deletes at its end the tables written inside it, but those whose names begin with one of ``keep``.
+    """Deletes at its end the tables written inside it by this thread, but those whose names begin with one of ``keep``.
 
-    For steps whose results are written tables themselves: what a step has read goes with it.
+    For steps whose results are written tables themselves: what a step has read goes with it. Kept
+    tables pass to the scope around it. Tables of other threads stay.
     """
-    first = len(_written)
+    outer, made = _tables(), []
+    token = _scope.set(made)
     try:
         yield
     finally:
-        made = _written[first:]
-        names = [path.rpartition("/")[2].rpartition("-")[0] for path in made]
-        gone = [path for path, name in zip(made, names, strict=True) if name not in keep]
-        _written[first:] = [path for path in made if path not in gone]
+        _scope.reset(token)
+        kept = [path for path in made if path.rpartition("/")[2].rpartition("-")[0] in keep]
+        outer += kept
+        gone = [path for path in made if path not in kept]
+        _written.difference_update(gone)
         _delete(spark, gone)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete all tables that this process has written to the shared folder. Results not yet read are lost."""
-    gone, _written[:] = list(_written), []
+    """Delete the tables that this thread has written to the shared folder, in the scope that it is in. Results not yet read are lost."""
+    tables = _tables()
+    gone, tables[:] = list(tables), []
+    _written.difference_update(gone)
     _delete(spark, gone)
 
 
@@ -93,7 +114,7 @@ def _at_exit() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None and _written:
         try:
-            release(spark)
+            _delete(spark, list(_written))
         except Exception:  # noqa: BLE001  the session may have ended already
             _written.clear()
 
@@ -101,6 +122,23 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+@contextmanager
+def _cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries go at their end. The option is the session's: the last of several threads puts it back."""
+    with _lock:
+        if not _writes["n"]:
+            _writes["before"] = spark.conf.get(_CLEAN_UP, "false")
+            spark.conf.set(_CLEAN_UP, "true")
+        _writes["n"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writes["n"] -= 1
+            if not _writes["n"]:
+                spark.conf.set(_CLEAN_UP, _writes["before"])
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -110,13 +148,10 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
-        _written.append(path)
+    _tables().append(path)
+    _written.add(path)
+    with _cleaned_shuffles(spark):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -261,11 +262,11 @@ def test_suffix_ranks_of_runs_in_shards(spark):
 
 
 def test_scratch_deletes_inner_tables(spark):
-    before = len(storage._written)
+    before = len(storage._tables())
     with storage.scratch(spark, "kept"):
         inner = storage.materialize(spark.range(5), "inner")
         kept = storage.materialize(inner, "kept")
-    assert kept.count() == 5 and len(storage._written) == before + 1
+    assert kept.count() == 5 and len(storage._tables()) == before + 1
     with pytest.raises(Exception, match="(?i)not exist|no such file|FILE_NOT_EXIST|FAILED_READ_FILE"):
         spark.read.schema("id long").parquet(inner.inputFiles()[0]).count()
 
@@ -333,3 +334,45 @@ def test_smoothed_samples_are_quantiles_of_the_dense_distribution(spark, n, monk
             probs = dense[tuple(context(tokens, step))]
             u = int(hashlib.md5(f"4:{sample}:{step}".encode()).hexdigest()[:8], 16) / 2**32 * sum(probs)
             assert tokens[2 + step] == next(t for t in range(8) if sum(probs[: t + 1]) > u)
+
+
+def test_scopes_of_two_threads(spark):
+    """A scope that ends, or a release, takes no table of another thread."""
+    written, ended = threading.Event(), threading.Event()
+    found = {}
+
+    def other():
+        with storage.scratch(spark, "kept"):
+            table = storage.materialize(spark.range(7), "inner")
+            written.set()
+            assert ended.wait(60)
+            found["kept"] = storage.materialize(table.where("id > 2"), "kept")
+        found["rows"] = found["kept"].count()
+
+    with storage.scratch(spark):
+        thread = threading.Thread(target=other)
+        thread.start()
+        assert written.wait(60)
+        storage.materialize(spark.range(3), "mine")
+    storage.release(spark)
+    ended.set()
+    thread.join()
+    assert found["rows"] == 4 and found["kept"].count() == 4
+    assert storage._writes["n"] == 0
+
+
+def test_two_queries_in_two_threads(spark):
+    """Queries of many written steps run side by side in one session."""
+    texts_ = {"a": "aabbccabccba" * 3, "b": "abracadabra" * 4}
+    got = {}
+
+    def run(name):
+        index = NgramIndex.from_tokens(spark, ids(texts_[name]), vocab=20)
+        got[name] = [r["pos"] for r in index.suffix_table().orderBy("rank").collect()]
+
+    threads = [threading.Thread(target=run, args=(name,)) for name in texts_]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert got == {name: sorted(range(len(t)), key=lambda p, t=ids(t): t[p:]) for name, t in texts_.items()}
