@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexshoal.operators import corpus as corpora
-from lexshoal.operators import lookup, ngrams, sampling, search, smoothing, suffix
+from lexshoal.operators import lookup, ngrams, orders, sampling, search, smoothing, suffix
 from lexshoal.operators.corpus import Corpus
 from lexshoal.sources import binary
 
@@ -189,6 +189,13 @@ class NgramIndex:
     def count_ngrams(self, n: int, merge_shards: bool = False) -> dict[int, int]:
         return {r["occurrences"]: r["num_ngrams"] for r in self._added(ngrams.count_ngrams(self.corpus, n, merge_shards)).collect()}
 
+    def count_all_ngrams(self, most: int, merge_shards: bool = False) -> dict[int, dict[int, int]]:
+        """``count_ngrams`` of every n from 1 to ``most``, from one sort."""
+        out: dict[int, dict[int, int]] = {n: {} for n in range(1, most + 1)}
+        for r in orders.count_all_ngrams(self.corpus, most, merge_shards).collect():
+            out[r["n"]][r["occurrences"]] = r["num_ngrams"]
+        return out
+
     @staticmethod
     def _added(table: DataFrame) -> DataFrame:
         return table.groupBy("occurrences").agg(F.sum("num_ngrams").alias("num_ngrams"))

@@ -27,22 +27,23 @@ from pyspark.sql import functions as F
 
 from lexshoal.operators import lookup
 from lexshoal.operators.corpus import Corpus, vocabulary
-from lexshoal.operators.ngrams import columns, count_ngrams, ngram_counts
+from lexshoal.operators.ngrams import columns, ngram_counts
+from lexshoal.operators.orders import count_all_ngrams
 from lexshoal.storage import materialize
 
 DEFAULT_DELTA, EPSILON = 0.5, 1e-9
 
 
 def deltas(corpus: Corpus, n: int, merge_shards: bool = False) -> DataFrame:
-    """(order, delta) for orders 1 .. n: n1 / (n1 + 2 n2), or 1 if no n-gram occurs once or none twice."""
-    spark = corpus.frame.sparkSession
-    rows = []
-    for order in range(1, n + 1):  # an order at a time, so the exchange of one stands at once
-        found = count_ngrams(corpus, order, merge_shards).where("occurrences <= 2").groupBy("occurrences").agg(F.sum("num_ngrams").alias("n"))
-        seen = {r["occurrences"]: r["n"] for r in materialize(found, "rare-ngrams").collect()}  # two rows
-        once, twice = seen.get(1, 0), seen.get(2, 0)
-        rows.append((order, once / (once + 2 * twice) if once and twice else 1.0))
-    return spark.createDataFrame(rows, "order int, delta double")
+    """(order, delta) for orders 1 .. n: n1 / (n1 + 2 n2), or 1 if no n-gram occurs once or none twice. All orders come from one sort."""
+    if n < 1:
+        return corpus.frame.sparkSession.createDataFrame([], "order int, delta double")
+    found = count_all_ngrams(corpus, n, merge_shards).where("occurrences <= 2")
+    times = lambda k: F.coalesce(F.sum(F.when(F.col("occurrences") == k, F.col("num_ngrams"))), F.lit(0))
+    seen = found.groupBy("n").agg(times(1).alias("once"), times(2).alias("twice"))
+    orders = corpus.frame.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("n")).join(seen, "n", "left")
+    both = (F.col("once") > 0) & (F.col("twice") > 0)
+    return orders.select(F.col("n").alias("order"), F.when(both, F.col("once") / (F.col("once") + 2 * F.col("twice"))).otherwise(F.lit(1.0)).alias("delta"))
 
 
 @dataclass

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexshoal.functions.tokens import whitespace_tokens
 from lexshoal.operators import corpus as corpora
-from lexshoal.operators import lookup, ngrams, sampling, smoothing, suffix
+from lexshoal.operators import lookup, ngrams, orders, sampling, smoothing, suffix
 from lexshoal.operators.corpus import Corpus
 from lexshoal.sources import texts
 from lexshoal.storage import read_table
@@ -157,6 +157,17 @@ def _ngram_query(n: int):
     return query
 
 
+def count_ngrams_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders 1 to 16 of words from one sort, counted over all languages together."""
+    return orders.count_all_ngrams(documents(spark, sf_dir), 16, merge_shards=True)
+
+
+def count_ngrams_all_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders 1 to 16 of users' events, each half of the users a shard."""
+    rows = read_table(spark, sf_dir, "events").withColumn("half", F.col("user_id") % 2)
+    return orders.count_all_ngrams(corpora.from_events(rows, "event_type", "user_id", ["ts", "event_id"], "half"), 16)
+
+
 def count_ngrams_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngrams.count_ngrams(documents(spark, sf_dir), 2)
     return found.groupBy("n", "occurrences").agg(F.sum("num_ngrams").alias("num_ngrams"))
@@ -249,6 +260,8 @@ QUERIES = {
     "count_ngrams_1": _ngram_query(1),
     "count_ngrams_2": _ngram_query(2),
     "count_ngrams_3": _ngram_query(3),
+    "count_ngrams_all": count_ngrams_all,
+    "count_ngrams_all_sharded": count_ngrams_all_sharded,
     "count_ngrams_sharded": count_ngrams_sharded,
     "deltas": deltas,
     "unigram_probs": unigram_probs,
@@ -311,6 +324,15 @@ def _interpolated(batch: list[list[str]], tokens: str, vocab: int, estimated: in
     return "WITH " + ",\n".join(ctes) + ",\nprobs AS (" + " UNION ALL ".join(finals) + ")"
 
 
+def _all_frequencies(most: int, merged: bool, flat: str) -> str:
+    """Each position's next tokens as lists of every length."""
+    keys = "" if merged else "shard, "
+    return f"""WITH {flat}, t AS (SELECT shard, seq, list(token ORDER BY pos) AS t FROM flat GROUP BY shard, seq),
+places AS (SELECT shard, t, unnest(range(len(t))) AS p FROM t),
+c AS (SELECT {keys}n, count(*) AS c FROM places, range(1, {most + 1}) r(n) WHERE p + n <= len(t) GROUP BY {keys}n, md5(array_to_string(t[p + 1:p + n], ' ')))
+SELECT CAST(n AS INTEGER) AS n, c AS occurrences, {_COUNT} AS num_ngrams FROM c GROUP BY n, c"""
+
+
 _U = "(('0x' || substr(md5('{seed}:' || s.sample || ':' || s.step), 1, 8))::BIGINT) / 4294967296.0::DOUBLE"
 
 _UNSMOOTHED = (
@@ -360,6 +382,8 @@ ORACLES = {
     "count_ngrams_1": _frequencies(1, True),
     "count_ngrams_2": _frequencies(2, True),
     "count_ngrams_3": _frequencies(3, True),
+    "count_ngrams_all": _all_frequencies(16, True, _DOCS),
+    "count_ngrams_all_sharded": _all_frequencies(16, False, _EVENTS.replace("0 AS shard", "user_id % 2 AS shard")),
     "count_ngrams_sharded": _frequencies(2, False),
     "deltas": f"WITH {_DOCS} SELECT ord AS \"order\", round(delta, 9) AS delta FROM (" + " UNION ALL ".join(_delta(o, True) for o in (1, 2, 3)) + ")",
     "unigram_probs": f"WITH {_EVENTS} SELECT token, round((count(*) + 1e-9) / (sum(count(*)) OVER () + 1e-9 * 5), 9) AS prob FROM flat GROUP BY token",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexshoal import storage
 from lexshoal.index import NgramIndex
 from lexshoal.operators import corpus as corpora
-from lexshoal.operators import lookup, ngrams, prefix, smoothing, suffix
+from lexshoal.operators import lookup, ngrams, orders, prefix, smoothing, suffix
 from lexshoal.operators.prefix import cumulative
 from lexshoal.sources import binary, texts
 
@@ -75,6 +75,7 @@ def test_next_counts(golden_a):
 def test_frequencies(golden_a, golden_c):
     assert golden_a.count_ngrams(1) == {4: 3} and golden_a.count_ngrams(2) == {1: 5, 2: 3} and golden_a.count_ngrams(4) == {1: 9}
     assert golden_a.count_ngrams(0) == {4: 3}
+    assert golden_a.count_all_ngrams(4) == {n: golden_a.count_ngrams(n) for n in (1, 2, 3, 4)}
     assert golden_c.count_ngrams(1) == {1: 2, 2: 4} and golden_c.count_ngrams(2) == {1: 6, 2: 1}
     assert golden_c.count_ngrams(2, merge_shards=True) == {1: 2, 2: 2} | golden_c.count_ngrams(2, merge_shards=True)
     assert golden_c.count(ids("ba")) == 0 and golden_c.count_next(ids("ca")) == [0, 1, 0]
@@ -376,3 +377,24 @@ def test_two_queries_in_two_threads(spark):
     for t in threads:
         t.join()
     assert got == {name: sorted(range(len(t)), key=lambda p, t=ids(t): t[p:]) for name, t in texts_.items()}
+
+
+@pytest.mark.parametrize("merge", [False, True])
+def test_all_orders_at_once(spark, merge):
+    """Runs over many ranges, sequences shorter than the order, words, shards."""
+    rng = random.Random(3)
+    texts_ = [(i, i % 2, [rng.choice("ab") for _ in range(rng.choice([0, 1, 3, 40]))]) for i in range(60)] + [(100, 0, ["a"] * 500), (101, 1, ["a"] * 700)]
+    rows = spark.createDataFrame(texts_, "seq long, shard int, tokens array<string>").repartition(7)
+    corpus = corpora.from_sequences(rows, "tokens", "seq", "shard")
+    cut = corpora.chunked(corpus.flat(), 3, chunk=16)
+    want = collections.Counter()
+    for n in range(1, 8):
+        seen = collections.Counter((0 if merge else s, *t[p : p + n]) for _, s, t in texts_ for p in range(len(t) - n + 1))
+        want.update((n, c) for c in seen.values())
+    for each in (corpus, cut):
+        assert {(r["n"], r["occurrences"]): r["num_ngrams"] for r in orders.count_all_ngrams(each, 7, merge).collect()} == want
+    assert orders.count_all_ngrams(corpora.from_sequences(rows.where("false"), "tokens", "seq"), 3).count() == 0
+    discounts = {r["order"]: r["delta"] for r in smoothing.deltas(corpus, 4, merge).collect()}
+    for n in range(1, 5):
+        once, twice = want[n, 1], want[n, 2]
+        assert discounts[n] == pytest.approx(once / (once + 2 * twice) if once and twice else 1.0)
