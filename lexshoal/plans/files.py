@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexshoal.index import NgramIndex
 from lexshoal.operators import corpus as corpora
-from lexshoal.operators import lookup
+from lexshoal.operators import lookup, suffix
 from lexshoal.operators.corpus import Corpus
 from lexshoal.plans.registry import EVENT_STREAM, RANKS, led
 from lexshoal.sources import binary, texts
@@ -86,11 +86,15 @@ def built_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saved_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether tokens and suffixes saved by an index open as one again, and how many there are."""
+    """Whether tokens and suffixes saved by an index open as one again, how many there are, and a digest of ranks."""
     index, suffixes = NgramIndex(event_ids(spark, sf_dir), VOCAB), _path(spark, "suffixes")
     index.save_suffixes(suffixes)
     opened = NgramIndex.from_files(spark, [(_saved(index.corpus), suffixes)])
-    return spark.createDataFrame([(opened.is_sorted(), len(opened), opened.is_empty())], "is_sorted boolean, tokens long, is_empty boolean")
+    table, tokens = opened.suffix_table(), opened.tokens()
+    product = F.sum((F.col("rank") + 1) * (F.col("pos") + 7) % 1_000_003).alias("digest")
+    sizes = tokens.groupBy("shard").agg(F.count("*").alias("tokens"))
+    found = suffix.is_sorted(opened.corpus, table).join(sizes, "shard").join(table.groupBy("shard").agg(product), "shard")
+    return found.select("is_sorted", "tokens", (F.col("tokens") == 0).alias("is_empty"), "digest")
 
 
 def saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +143,23 @@ def tokenized_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_tokens(spark, path, _Lengths.vocab_size, strict=True).groupBy("token").agg(F.count("*").alias("count"), F.max("pos").alias("last_pos"))
 
 
+def _byte_pairs(path: str | None = None) -> texts.FileTokenizer:
+    """A byte-pair tokenizer's file; by default one of the public vocabularies."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return texts.FileTokenizer(path)
+
+
+def tokenized_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as byte pairs in one file, with an end token after each, and every text read back from its ids."""
+    tokenizer, path = _byte_pairs(), _path(spark, "tokens")
+    texts.tokenize_to_file(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, path, ["doc_id"], append_end=True)
+    found = texts.detokenize(binary.read_tokens(spark, path, tokenizer.vocab_size, strict=True), tokenizer)
+    return found.select("number", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
 def suffix_at_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole suffixes of a few ranks."""
     index = NgramIndex(event_ids(spark, sf_dir), VOCAB)
@@ -172,6 +193,7 @@ QUERIES = {
     "sharded_files_ranks": sharded_files_ranks,
     "sharded_in_memory": sharded_in_memory,
     "tokenized_file": tokenized_file,
+    "tokenized_byte_pairs": tokenized_byte_pairs,
     "suffix_at_rank": suffix_at_rank,
     "rank_listing": rank_listing,
     "width_filter_counts": width_filter_counts,
@@ -206,7 +228,9 @@ ORACLES = {
     "token_file_bytes": f"WITH {_PARTS}, two AS (SELECT pos, token + 65536 * lead(token) OVER (ORDER BY pos) AS pair FROM flat) SELECT pair, count(*) AS count FROM two WHERE pos % 2 = 0 AND pair IS NOT NULL GROUP BY pair",
     "from_tokens_wrap": f"SELECT (o_orderkey * 7919) & {VOCAB - 1} AS token, count(*) AS count FROM orders GROUP BY 1",
     "built_ranks": f"WITH {EVENT_STREAM}, {RANKS} SELECT rank, pos FROM ranks",
-    "saved_suffixes": "SELECT TRUE AS is_sorted, count(*) AS tokens, FALSE AS is_empty FROM events",
+    "saved_suffixes": f"""WITH {EVENT_STREAM}, {RANKS}, tails AS (SELECT rank, pos, substr(s, pos + 1) AS tail FROM ranks, whole),
+pairs AS (SELECT *, lag(tail) OVER (ORDER BY rank) <= tail AS fine FROM tails)
+SELECT bool_and(coalesce(fine, TRUE)) AS is_sorted, count(*) AS tokens, count(*) = 0 AS is_empty, CAST(sum((rank + 1) * (pos + 7) % 1000003) AS BIGINT) AS digest FROM pairs""",
     "saved_index": f"WITH {_PARTS}, {_hits(_FIT, True)} SELECT query_id, next AS token, count(*) AS count FROM hits GROUP BY query_id, next",
     "sharded_files_counts": f"WITH {_HALVES}, {_hits([['click'], ['view', 'click'], ['purchase'] * 3, [], ['none']])} SELECT q.query_id, count(h.query_id) AS count FROM range(5) q(query_id) LEFT JOIN hits h USING (query_id) GROUP BY q.query_id",
     "sharded_files_ranks": f"""WITH {_HALVES}, wholes AS (SELECT shard, string_agg(substr(token, 1, 1), '' ORDER BY pos) AS s FROM flat GROUP BY shard)
@@ -218,6 +242,7 @@ SELECT f.shard, row_number() OVER (PARTITION BY f.shard ORDER BY substr(s, pos +
   SELECT unnest(list_append(t, 0)) AS token, doc_id, unnest(range(len(t) + 1)) AS i FROM words
 ), placed AS (SELECT token, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM flat)
 SELECT token, count(*) AS count, max(pos) AS last_pos FROM placed GROUP BY token""",
+    "tokenized_byte_pairs": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS number, length(coalesce(text, '')) AS chars, md5(coalesce(text, '')) AS digest FROM documents",
     "suffix_at_rank": f"""WITH {EVENT_STREAM}, {RANKS}, {_IDS}
 SELECT r.rank, r.pos, count(*) AS n, md5(string_agg(id, ' ' ORDER BY i.pos)) AS digest FROM ranks r JOIN ids i ON i.pos >= r.pos WHERE r.rank IN (0, 17, 4321) GROUP BY r.rank, r.pos""",
     "rank_listing": f"""WITH {EVENT_STREAM}, {RANKS}, {_IDS}

@@ -392,7 +392,10 @@ ORACLES = {
     "sample_unsmoothed": _UNSMOOTHED,
     "sample_smoothed": _SMOOTHED,
     "suffix_ranks": f"WITH {EVENT_STREAM}, {RANKS} SELECT rank, pos FROM ranks",
-    "is_sorted": "SELECT * FROM (VALUES ('true table', TRUE), ('turned table', FALSE)) AS x(which, is_sorted)",
+    "is_sorted": f"""WITH {EVENT_STREAM}, {RANKS}, tables AS (
+  SELECT 'true table' AS which, rank, pos FROM ranks UNION ALL SELECT 'turned table', rank, max(pos) OVER () - pos FROM ranks
+), pairs AS (SELECT which, lag(substr(s, pos + 1)) OVER (PARTITION BY which ORDER BY rank) <= substr(s, pos + 1) AS fine FROM tables, whole)
+SELECT which, bool_and(coalesce(fine, TRUE)) AS is_sorted FROM pairs GROUP BY which""",
     "rank_boundaries": f"WITH {EVENT_STREAM}, {_values(KINDS)}, {_hits(KINDS)}, {RANKS} SELECT query_id, min(rank) AS first_rank, max(rank) + 1 AS end_rank FROM hits JOIN ranks USING (pos) GROUP BY query_id",
     "perplexity": _interpolated([[], *([t] for t in _TYPES)], "SELECT token FROM unigrams", 5, 1, _EVENTS)
     + f""", named AS (SELECT CASE WHEN query_id > 0 THEN ({_TYPES}::VARCHAR[])[query_id] END AS ctx, token, p FROM probs), steps AS (

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from functools import reduce
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,9 +13,46 @@ from pyspark.sql import functions as F
 
 from lexshoal.functions.tokens import whitespace_tokens, width_of
 from lexshoal.operators.corpus import stream
+from lexshoal.operators.prefix import cumulative
 from lexshoal.sources.binary import write_numbers
 
 
+class FileTokenizer:
+    """A tokenizer's file (JSON), read where it is used: on executors only its path travels, or its text if ``ship`` is set.
+
+    ``eos_token_id`` is the id of the token ``end``, or the first id beyond the vocabulary without one.
+    """
+
+    def __init__(self, path: str, end: str | None = None, ship: bool = False) -> None:
+        self.path, self.text = path, Path(path).read_text(encoding="utf-8") if ship else None
+        own = self._own()
+        known = own.get_vocab_size(with_added_tokens=True)
+        self.eos_token_id = own.token_to_id(end) if end is not None else known
+        if self.eos_token_id is None:
+            raise ValueError(f"the vocabulary has no token {end}")
+        self.vocab_size = known + (end is None)
+
+    def _own(self) -> object:
+        key = self.path if self.text is None else self.text
+        if key not in _loaded:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            _loaded[key] = Tokenizer.from_file(self.path) if self.text is None else Tokenizer.from_str(self.text)
+        return _loaded[key]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole texts, without special tokens, truncation or padding."""
+        return [x.ids for x in self._own().encode_batch_fast(texts, add_special_tokens=False)]
+
+    def decode_batch(self, ids: list[list[int]]) -> list[str]:
+        return self._own().decode_batch(ids, skip_special_tokens=False)
+
+
+#: Tokenizers of this process, by path or text.
+_loaded: dict[str, object] = {}
+
+
 def concatenated(splits: dict[str, DataFrame] | DataFrame) -> DataFrame:
     """A dataset, or all its splits in their order with ``split``, the split's number."""
     if isinstance(splits, DataFrame):
@@ -52,6 +91,23 @@ def tokenize(df: DataFrame, text: str = "text", encode: Callable[[list[str]], li
     return out if end_token is None else out.withColumn("tokens", F.concat("tokens", F.array(F.lit(end_token))))
 
 
+def detokenize(tokens: DataFrame, tokenizer: FileTokenizer) -> DataFrame:
+    """(number, text) of a token stream (pos, token) with an end token after each text, numbered from 0 in their order.
+
+    Texts are told apart by how many end tokens come before a token, summed over sorted ranges.
+    """
+    end = (F.col("token") == tokenizer.eos_token_id).cast("long")
+    counted = cumulative(tokens.select(F.lit(0).alias("all"), "pos", "token", end.alias("end")), "all", "pos", "end", "number", "ends")
+    items = F.sort_array(F.collect_list(F.when(F.col("end") == 0, F.struct("pos", "token"))))
+    rows = counted.groupBy("number").agg(F.transform(items, lambda x: x["token"]).alias("ids"), F.max("ends").alias("ends")).where("number < ends")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array(tokenizer.decode_batch(batch.column("ids").to_pylist()), pa.string())], ["number", "text"])
+
+    return rows.select("number", "ids").mapInArrow(run, "number long, text string")
+
+
 def tokenize_to_file(df: DataFrame, tokenizer: object, path: str, order: list[str], text: str = "text", append_end: bool = False) -> None:
     """All texts in order as one token file: ``tokenizer`` has ``encode_batch`` and, for ends, ``eos_token_id``."""
     size = vocab_size(tokenizer)

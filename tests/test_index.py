@@ -398,3 +398,24 @@ def test_all_orders_at_once(spark, merge):
     for n in range(1, 5):
         once, twice = want[n, 1], want[n, 2]
         assert discounts[n] == pytest.approx(once / (once + 2 * twice) if once and twice else 1.0)
+
+
+def test_byte_pairs_of_a_file(spark, tmp_path):
+    """Ids on executors are the tokenizer's own, also from its shipped text; texts come back whole."""
+    tokenizers = pytest.importorskip("tokenizers")
+    letters = {c: i for i, c in enumerate("abc ")} | {"ab": 4, "<end>": 5}
+    own = tokenizers.Tokenizer(tokenizers.models.BPE(letters, [("a", "b")]))
+    own.save(str(tmp_path / "t.json"))
+    rows = [(3, "abc ab"), (1, "cab"), (2, None), (5, ""), (4, "aab bb")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    ordered = [t or "" for _, t in sorted(rows)]
+    for tokenizer in (texts.FileTokenizer(str(tmp_path / "t.json")), texts.FileTokenizer(str(tmp_path / "t.json"), "<end>", ship=True)):
+        path = str(tmp_path / f"x{tokenizer.eos_token_id}.bin")
+        texts.tokenize_to_file(docs, tokenizer, path, ["id"], append_end=True)
+        want = [t for x in ordered for t in [*own.encode(x, add_special_tokens=False).ids, tokenizer.eos_token_id]]
+        read = binary.read_tokens(spark, path, tokenizer.vocab_size, strict=True)
+        assert [r["token"] for r in read.orderBy("pos").collect()] == want
+        found = texts.detokenize(read, tokenizer).orderBy("number").collect()
+        assert [r["text"].replace(" ", "") for r in found] == [x.replace(" ", "") for x in ordered]
+    with pytest.raises(ValueError, match="no token"):
+        texts.FileTokenizer(str(tmp_path / "t.json"), "<none>")
