@@ -135,6 +135,11 @@ def chunked(flat: DataFrame, longest: int = USUAL, vocab: int | None = None, chu
     return Corpus(frame, vocab, reach)
 
 
+def from_flat(flat: DataFrame, vocab: int | None = None) -> Corpus:
+    """(shard, seq, pos, token) in chunks with tails of the usual length, written."""
+    return chunked(flat.select("shard", "seq", "pos", "token"), USUAL, vocab).written()
+
+
 def lengthened(corpus: Corpus, longest: int) -> Corpus:
     """The corpus with tails for n-grams of ``longest`` tokens; itself if it has them."""
     if corpus.reach is None or corpus.reach + 1 >= longest:

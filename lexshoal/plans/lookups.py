@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from lexshoal.index import NgramIndex
 from lexshoal.operators import lookup, search, suffix
 from lexshoal.operators.corpus import Corpus
-from lexshoal.plans.files import VOCAB, part_ids
-from lexshoal.plans.registry import EVENT_STREAM, RANKS, documents, event_stream
+from lexshoal.plans.files import TYPES, VOCAB, event_ids, part_ids
+from lexshoal.plans.registry import EVENT_STREAM, RANKS, _all_frequencies, documents, event_stream
+from lexshoal.sources.store import ShardStore
 from lexshoal.storage import fresh_path, materialize
 
 LENGTHS = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 200]
 STARTS = [37 * i for i in range(len(LENGTHS))]
 WORDS, EVERY = 24, 20
+ORDERS, IDS = 6, [[0], [4, 0], [2, 2, 2], [1, 3, 0, 4, 2], [0, 4] * 5]
 
 
 def _runs(corpus: Corpus) -> DataFrame:
@@ -72,7 +74,29 @@ def long_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.count(corpus, materialize(asked.select(F.col("seq").alias("query_id"), F.slice("tokens", 1, WORDS).alias("query")), "first-words"))
 
 
+def _grown(spark: SparkSession, sf_dir: str) -> ShardStore:
+    """A store of even and odd users' events, to which all events are appended as a third shard."""
+    store = ShardStore(spark, fresh_path(spark, "store"))
+    for shard in (0, 1, None):
+        store.append(event_ids(spark, sf_dir, shard), VOCAB, ORDERS)
+    return store
+
+
+def appended_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in each shard of a store that has grown."""
+    index = _grown(spark, sf_dir).open()
+    found = search.ranges(index._lookups, index.queries(IDS))
+    return found.select("query_id", "shard", (F.col("end") - F.col("first")).alias("count"))
+
+
+def appended_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequencies that a store keeps up to date as it grows."""
+    return _grown(spark, sf_dir).frequencies()
+
+
 QUERIES = {
+    "appended_counts": appended_counts,
+    "appended_frequencies": appended_frequencies,
     "indexed_ranges": indexed_ranges,
     "indexed_counts": indexed_counts,
     "indexed_next": indexed_next,
@@ -89,7 +113,18 @@ whole AS (SELECT list(token ORDER BY pos) AS t FROM flat)"""
 # a run stands only where its first token does
 _HITS = """hits AS (SELECT query_id, pos, t[pos + len(q) + 1] AS next FROM runs JOIN flat ON token = q[1] CROSS JOIN whole WHERE t[pos + 1:pos + len(q)] = q)"""
 
+_THREE = """flat AS (
+  SELECT user_id % 2 AS shard, 0 AS seq, event_type AS token, row_number() OVER (PARTITION BY user_id % 2 ORDER BY event_id) - 1 AS pos FROM events
+  UNION ALL SELECT 2, 0, event_type, row_number() OVER (ORDER BY event_id) - 1 FROM events
+)"""
+_NAMED = ", ".join(f"({i}, {[TYPES[t] for t in q]}::VARCHAR[])" for i, q in enumerate(IDS))
+
 ORACLES = {
+    "appended_counts": f"""WITH {_THREE}, queries AS (SELECT * FROM (VALUES {_NAMED}) AS q(query_id, query)),
+wholes AS (SELECT shard, list(token ORDER BY pos) AS t FROM flat GROUP BY shard)
+SELECT query_id, shard, count(*) AS count FROM queries JOIN flat ON token = query[1] JOIN wholes USING (shard)
+WHERE t[pos + 1:pos + len(query)] = query GROUP BY query_id, shard""",
+    "appended_frequencies": _all_frequencies(ORDERS, False, _THREE),
     "indexed_ranges": f"""WITH {EVENT_STREAM}, {RANKS}, {_RUNS}, {_LETTERS}
 SELECT query_id, min(rank) AS first_rank, max(rank) + 1 AS end_rank FROM letters, ranks, whole WHERE substr(s, pos + 1, length(q)) = q GROUP BY query_id""",
     "indexed_counts": f"WITH {_PARTS}, {_RUNS}, {_HITS} SELECT r.query_id, count(h.query_id) AS count FROM runs r LEFT JOIN hits h USING (query_id) GROUP BY r.query_id",
