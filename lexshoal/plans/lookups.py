@@ -37,6 +37,11 @@ def _indexed(corpus: Corpus) -> tuple[search.SuffixIndex, DataFrame]:
     return search.build(corpus, suffix.suffix_ranks(corpus)), _runs(corpus)
 
 
+def part_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suffix table of part ids."""
+    return suffix.suffix_ranks(part_ids(spark, sf_dir)).select("rank", "pos")
+
+
 def indexed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank ranges of the runs in the stream of events."""
     found = search.ranges(*_indexed(event_stream(spark, sf_dir)))
@@ -97,6 +102,7 @@ def appended_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "appended_counts": appended_counts,
     "appended_frequencies": appended_frequencies,
+    "part_ranks": part_ranks,
     "indexed_ranges": indexed_ranges,
     "indexed_counts": indexed_counts,
     "indexed_next": indexed_next,
@@ -125,6 +131,9 @@ wholes AS (SELECT shard, list(token ORDER BY pos) AS t FROM flat GROUP BY shard)
 SELECT query_id, shard, count(*) AS count FROM queries JOIN flat ON token = query[1] JOIN wholes USING (shard)
 WHERE t[pos + 1:pos + len(query)] = query GROUP BY query_id, shard""",
     "appended_frequencies": _all_frequencies(ORDERS, False, _THREE),
+    # no run of 64 part ids stands twice in the tables
+    "part_ranks": f"""WITH {_PARTS}, heads AS (SELECT pos, list(token) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING) AS head FROM flat)
+SELECT row_number() OVER (ORDER BY head) - 1 AS rank, pos FROM heads""",
     "indexed_ranges": f"""WITH {EVENT_STREAM}, {RANKS}, {_RUNS}, {_LETTERS}
 SELECT query_id, min(rank) AS first_rank, max(rank) + 1 AS end_rank FROM letters, ranks, whole WHERE substr(s, pos + 1, length(q)) = q GROUP BY query_id""",
     "indexed_counts": f"WITH {_PARTS}, {_RUNS}, {_HITS} SELECT r.query_id, count(h.query_id) AS count FROM runs r LEFT JOIN hits h USING (query_id) GROUP BY r.query_id",
