@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -287,3 +288,100 @@ def test_quality_against_plain_sums(spark, tmp_path, grades):
     want = slow_quality(texts, ratings)
     for r in rows:
         assert (r["expected_grade"], r["tail_probability"]) == pytest.approx(want[r["doc_id"]], abs=2e-3)
+
+
+def slow_toxicity(texts, labels):
+    """The whole model word by word: {doc: (score, number of significant segments)}."""
+
+    def words_of(text):
+        return [w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())]  # bytes: only A-Z change
+
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    train = [(words_of(texts[i]), y) for i, y in labels if i in texts and y is not None and not held(i)]
+    counts = collections.Counter()
+    for own, y in {(frozenset(w), y) for w, y in train}:
+        counts.update((w, y) for w in own)
+    vocabulary = {w for w, _ in counts}
+    total = {y: sum(c for (_, z), c in counts.items() if z == y) for y in (0, 1)}
+    a0 = toxicity.PRIOR * (total[0] + total[1] + 0.01 * (1 << toxicity.BITS))
+    score = {}
+    for w in vocabulary:
+        t, o = counts[w, 1], counts[w, 0]
+        a = toxicity.PRIOR * (t + o + 0.01)
+        delta = math.log((t + a) / (total[1] + a0 - t - a)) - math.log((o + a) / (total[0] + a0 - o - a))
+        spread = toxicity.BOUND * math.sqrt(1 / (t + a) + 1 / (o + a))
+        score[w] = math.copysign(max(abs(delta) - spread, 0), delta) - toxicity.DRIFT
+    of = lambda own: [score.get(w, -toxicity.DRIFT) for w in own]
+    mean = lambda r: sum(counts[w, 0] / total[0] * math.exp(r * score[w]) for w in vocabulary) - 1
+    low, high = 1e-6, 64.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if mean(middle) < 0 else (low, middle)
+    rate = high if any(score[w] > 0 and counts[w, 0] for w in vocabulary) else 1.0
+
+    def best(s):
+        """The best run (score, start, end) by its running sum."""
+        top, at, run, start = 0.0, (0, 0), 0.0, 0
+        for i, x in enumerate(s):
+            if run <= 0:
+                run, start = 0.0, i
+            run += x
+            if run > top:
+                top, at = run, (start, i + 1)
+        return top, *at
+
+    def maximal(s):
+        """The best run, and those of what lies on both sides of it."""
+        top, a, b = best(s)
+        return [] if top <= 0 else [*maximal(s[:a]), top, *maximal(s[b:])]
+
+    clean = [w for w, y in train if not y and w]
+    k = len(clean) / sum(len(w) * math.exp(-rate * best(of(w))[0]) for w in clean)
+
+    def features(own):
+        s = of(own)
+        expected = lambda x: k * max(len(s), 1) * math.exp(-rate * x)
+        top = best(s)[0]
+        first = min(-math.log(max(-math.expm1(-expected(top)), 1e-300)), 40) if top > 0 else 0.0
+        strong = [x for x in maximal(s) if expected(x) <= toxicity.SIGNIFICANT]
+        return [1.0, first, min(sum(rate * x for x in strong) / 4, 40)], len(strong)
+
+    x, y = np.array([features(w)[0] for w, _ in train]), np.array([y for _, y in train], float)
+    weights = np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ weights)))
+        hessian = sum(q * (1 - q) * np.outer(r, r) for q, r in zip(p, x, strict=True)) + 1e-2 * np.eye(3)
+        weights += np.linalg.solve(hessian, sum((z - q) * r for z, q, r in zip(y, p, x, strict=True)) - 1e-2 * weights)
+    weights[1:] = np.maximum(weights[1:], 0)
+    out = {}
+    for i, text in texts.items():
+        own, n = features(words_of(text))
+        out[i] = (1 / (1 + math.exp(-float(np.dot(weights, own)))), n)
+    return out
+
+
+@pytest.mark.parametrize("common", [True, False])
+def test_toxicity_against_word_by_word(spark, tmp_path, common):
+    """The query on 200 rows: what a slow version of the whole model gives."""
+    rng = random.Random(8)
+    mild, vile = [f"word{chr(97 + i)}" for i in range(20)] + ["Été", "naïve"], ["vileA", "nastyB", "awfulÇ"]
+    texts = {}
+    for i in range(200):
+        own = [rng.choice(mild) for _ in range(rng.randrange(5, 60))]
+        if i % 4 == 0:
+            at = rng.randrange(len(own))
+            own[at:at] = [rng.choice(vile) for _ in range(rng.randrange(3, 9))]
+        elif i % 9 == 0 and common:
+            own.append(vile[i % 3])
+        texts[i] = " ".join(own)
+    texts |= {200: None, 201: "", 202: "!!! 123"}
+    labels = [(i, int(i % 4 == 0)) for i in range(170)] + [(3, 0), (999, 1)]
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = toxicity.op10_toxicity(spark, str(tmp_path)).collect()
+    want = slow_toxicity(texts, labels)
+    assert len(rows) == len(texts) and max(n for _, n in want.values()) >= 1
+    for r in rows:
+        score, n = want[r["doc_id"]]
+        assert r["score"] == pytest.approx(score, abs=2e-3) and r["n_segments"] == n
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.3)
