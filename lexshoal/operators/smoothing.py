@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lexshoal.operators import lookup
 from lexshoal.operators.corpus import Corpus, vocabulary
-from lexshoal.operators.ngrams import columns, ngram_counts
+from lexshoal.operators.ngrams import columns, count_ngrams, ngram_counts
 from lexshoal.operators.orders import count_all_ngrams
 from lexshoal.storage import materialize
 
@@ -35,10 +35,11 @@ DEFAULT_DELTA, EPSILON = 0.5, 1e-9
 
 
 def deltas(corpus: Corpus, n: int, merge_shards: bool = False) -> DataFrame:
-    """(order, delta) for orders 1 .. n: n1 / (n1 + 2 n2), or 1 if no n-gram occurs once or none twice. All orders come from one sort."""
+    """(order, delta) for orders 1 .. n: n1 / (n1 + 2 n2), or 1 if no n-gram occurs once or none twice. Several orders come from one sort, one from an aggregation."""
     if n < 1:
         return corpus.frame.sparkSession.createDataFrame([], "order int, delta double")
-    found = count_all_ngrams(corpus, n, merge_shards).where("occurrences <= 2")
+    counted = count_all_ngrams(corpus, n, merge_shards) if n > 1 else count_ngrams(corpus, 1, merge_shards)
+    found = counted.where("occurrences <= 2")
     times = lambda k: F.coalesce(F.sum(F.when(F.col("occurrences") == k, F.col("num_ngrams"))), F.lit(0))
     seen = found.groupBy("n").agg(times(1).alias("once"), times(2).alias("twice"))
     orders = corpus.frame.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("n")).join(seen, "n", "left")
