@@ -133,7 +133,7 @@ def levels(model: Model, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def after_nothing(model: Model, tokens: DataFrame | None = None) -> DataFrame:
     """(token, count, base): counts and probabilities after the empty context of ``tokens``, or of those that occur."""
-    counts = model.vocabulary()
+    counts = model.count_contexts(0).vocabulary()  # read twice
     facts = base_facts(counts, model.delta(1))
     if tokens is not None:
         counts = tokens.join(counts, "token", "left").select("token", F.coalesce("count", F.lit(0)).alias("count"))

@@ -159,7 +159,7 @@ def _ngram_query(n: int):
 
 def count_ngrams_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders 1 to 16 of words from one sort, counted over all languages together."""
-    return orders.count_all_ngrams(documents(spark, sf_dir), 16, merge_shards=True)
+    return orders.count_all_ngrams(documents(spark, sf_dir).written(), 16, merge_shards=True)
 
 
 def count_ngrams_all_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ def count_ngrams_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smoothing.deltas(documents(spark, sf_dir), 3, merge_shards=True).select("order", F.round("delta", 9).alias("delta"))
+    return smoothing.deltas(documents(spark, sf_dir).written(), 3, merge_shards=True).select("order", F.round("delta", 9).alias("delta"))
 
 
 def unigram_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
