@@ -97,12 +97,12 @@ class NgramIndex:
             out._lookups = search.open_index(spark, f"{path}/lookups", out.vocab)
         return out
 
-    def save_tokens(self, path: str) -> None:
-        """A single shard's tokens as a raw file."""
-        binary.write_numbers(self.corpus.flat(), "pos", "token", path, binary.width_of(self.vocab))
+    def save_tokens(self, path: str, parts: bool = False) -> None:
+        """A single shard's tokens as a raw file, or as a folder of raw parts."""
+        binary.write_numbers(self.corpus.flat(), "pos", "token", path, binary.width_of(self.vocab), parts)
 
-    def save_suffixes(self, path: str) -> None:
-        binary.write_numbers(self.suffix_table(), "rank", "pos", path, 64)
+    def save_suffixes(self, path: str, parts: bool = False) -> None:
+        binary.write_numbers(self.suffix_table(), "rank", "pos", path, 64, parts)
 
     # structure
 

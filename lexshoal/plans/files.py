@@ -27,8 +27,9 @@ WIDE = [[1], [70_000, 1], [-5, 2], [99_999], [], [3, 65_537], [12, 65_535], [7,
 
 def _path(spark: SparkSession, name: str) -> str:
     """A new file's path in a folder that exists."""
-    path = plain_path(fresh_path(spark, name))
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    path = fresh_path(spark, name)
+    if not binary.is_remote(path):
+        os.makedirs(os.path.dirname(plain_path(path)), exist_ok=True)
     return path
 
 
@@ -46,10 +47,10 @@ def event_ids(spark: SparkSession, sf_dir: str, shard: int | None = None) -> Cor
     return corpora.stream(rows, "tokens", ["event_id"], vocab=VOCAB)
 
 
-def _saved(corpus: Corpus) -> str:
+def _saved(corpus: Corpus, parts: bool = False) -> str:
     """The path of a corpus' token file."""
     path = _path(corpus.frame.sparkSession, "tokens")
-    NgramIndex(corpus, VOCAB).save_tokens(path)
+    NgramIndex(corpus, VOCAB).save_tokens(path, parts)
     return path
 
 
@@ -58,6 +59,11 @@ def token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_tokens(spark, _saved(part_ids(spark, sf_dir)), VOCAB, strict=True)
 
 
+def token_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part ids written as a folder of raw parts and read again by Spark's readers."""
+    return binary.read_tokens(spark, _saved(part_ids(spark, sf_dir), parts=True), VOCAB, strict=True)
+
+
 def token_file_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the first 5,000 tokens of a file."""
     index = NgramIndex.from_token_file(spark, _saved(part_ids(spark, sf_dir)), token_limit=5000)
@@ -183,6 +189,7 @@ def width_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "token_file": token_file,
+    "token_parts": token_parts,
     "token_file_limit": token_file_limit,
     "token_file_bytes": token_file_bytes,
     "from_tokens_wrap": from_tokens_wrap,
@@ -224,6 +231,7 @@ _IDS = f"ids AS (SELECT pos, list_position({TYPES}, token) - 1 AS id FROM flat)"
 
 ORACLES = {
     "token_file": f"WITH {_PARTS} SELECT pos, token FROM flat",
+    "token_parts": f"WITH {_PARTS} SELECT pos, token FROM flat",
     "token_file_limit": f"WITH {_PARTS} SELECT token, count(*) AS count FROM flat WHERE pos < 5000 GROUP BY token",
     "token_file_bytes": f"WITH {_PARTS}, two AS (SELECT pos, token + 65536 * lead(token) OVER (ORDER BY pos) AS pair FROM flat) SELECT pair, count(*) AS count FROM two WHERE pos % 2 = 0 AND pair IS NOT NULL GROUP BY pair",
     "from_tokens_wrap": f"SELECT (o_orderkey * 7919) & {VOCAB - 1} AS token, count(*) AS count FROM orders GROUP BY 1",

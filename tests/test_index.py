@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import threading
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,8 +243,66 @@ def test_raw_files_are_written_in_parallel(spark, tmp_path):
     for wrong in (frame.where("pos <> 7"), frame.unionByName(frame.where("pos = 7")), frame.withColumn("pos", F.col("pos") + 1)):
         with pytest.raises(ValueError, match="numbered"):
             binary.write_numbers(wrong, "pos", "token", path, 16)
-    with pytest.raises(ValueError, match="all executors"):
-        binary.write_numbers(frame, "pos", "token", "hdfs://host/tokens", 16)
+
+
+def _mounted(spark, folder):
+    """A folder under a scheme that only Hadoop's file systems know."""
+    name = f"raw{uuid.uuid4().hex}"  # Hadoop keeps the file system of a name as it is first opened
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{name}.link./in", f"file://{folder}")
+    return f"viewfs://{name}/in"
+
+
+@pytest.mark.parametrize("bits", [16, 32, 64])
+def test_folders_of_raw_parts(spark, tmp_path, bits):
+    rng = random.Random(bits)
+    values = [rng.randrange(1 << min(bits, 62)) for _ in range(3001)]
+    frame = spark.createDataFrame(list(enumerate(values)), "pos long, token long").repartition(5)
+    binary.write_numbers(frame, "pos", "token", f"file://{tmp_path}/parts", bits, parts=True, part_bytes=1000)
+    names = sorted(f.name for f in (tmp_path / "parts").iterdir())
+    assert names[0] == "_SUCCESS" and names[1:] == [f"part-{a:020d}" for a in range(0, 3001, 8000 // bits)]
+    raw = b"".join((tmp_path / "parts" / x).read_bytes() for x in names[1:])
+    assert raw == b"".join(v.to_bytes(bits // 8, "little") for v in values)
+    want = list(enumerate(values))
+    for path in (str(tmp_path / "parts"), f"{_mounted(spark, tmp_path)}/parts"):
+        got = binary.read_numbers(spark, path, bits, strict=True)
+        assert sorted((r["pos"], r["value"]) for r in got.collect()) == want
+        assert sorted((r["pos"], r["value"]) for r in binary.read_numbers(spark, path, bits, limit=700).collect()) == want[:700]
+    with pytest.raises(ValueError, match="exists"):
+        binary.write_numbers(frame, "pos", "token", str(tmp_path / "parts"), bits, parts=True)
+    (tmp_path / "parts" / names[2]).unlink()
+    with pytest.raises(ValueError, match="all numbers"):
+        binary.read_numbers(spark, str(tmp_path / "parts"), bits, strict=True)
+    (tmp_path / "parts" / "_SUCCESS").unlink()
+    with pytest.raises(ValueError, match="whole folder"):
+        binary.read_numbers(spark, str(tmp_path / "parts"), bits)
+    binary.write_numbers(frame.where("false"), "pos", "token", str(tmp_path / "none"), bits, parts=True)
+    assert binary.read_numbers(spark, str(tmp_path / "none"), bits, strict=True).count() == 0
+
+
+def test_files_that_only_spark_can_open(spark, tmp_path):
+    root = _mounted(spark, tmp_path)
+    for name, n in (("many", 6000), ("prime", 61), ("none", 0)):
+        values = [i * 7 % 65536 for i in range(n)]
+        (tmp_path / name).write_bytes(b"".join(v.to_bytes(2, "little") for v in values))
+        want = list(enumerate(values))
+        small = binary.read_numbers(spark, f"{root}/{name}", 16, strict=True).collect()
+        assert sorted((r["pos"], r["value"]) for r in small) == want
+        by_records = binary._read_by_spark(spark, f"{root}/{name}", 16, None, True, part_bytes=100).collect()
+        assert sorted((r["pos"], r["value"]) for r in by_records) == want
+    (tmp_path / "odd").write_bytes(b"\1\0\2")
+    assert [tuple(r) for r in binary.read_numbers(spark, f"{root}/odd", 16).collect()] == [(0, 1)]
+    for part_bytes in (2, 100):
+        with pytest.raises(ValueError, match="multiple"):
+            binary._read_by_spark(spark, f"{root}/odd", 16, None, True, part_bytes=part_bytes)
+
+
+def test_index_from_a_folder_of_parts(spark, tmp_path):
+    index = NgramIndex.from_tokens(spark, [5, 1, 5, 1, 2, 65535], vocab=1 << 16)
+    index.save_tokens(str(tmp_path / "t"), parts=True)
+    index.save_suffixes(str(tmp_path / "s"), parts=True)
+    root = _mounted(spark, tmp_path)
+    again = NgramIndex.from_files(spark, [(f"{root}/t", f"{root}/s")])
+    assert again.is_sorted() and again.count([5, 1]) == 2 and len(NgramIndex.from_token_file(spark, f"{root}/t", token_limit=4)) == 4
 
 
 def test_rank_listing(golden_a):
