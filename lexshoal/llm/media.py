@@ -9,6 +9,11 @@ Payloads are stored as grey images of 8-bit samples, 64 to a row (binary PGM): h
 ``P5\\n64 ROWS\\n255\\n``, then the payload. A payload is a text's UTF-8 bytes and zero bytes up to a
 positive multiple of 64.
 
+``refer_to_texts`` and ``interleaved_pages`` make such documents from texts: the paragraphs (lines that
+are not blank) are the text runs, and a figure with the text's payload stands after the first half
+of them. ``fold_runs`` reduces the runs around each medium to digests, so that alignment can be checked
+without carrying texts into the join.
+
 Null texts are empty texts and null HTML has no items. HTML that the parser refuses is text from that
 place on. Equal payloads are stored once; references to a frequent one are dealt over many tasks.
 Repeated rows each keep their own result. Empty tables give empty results. Other columns of pages
@@ -20,16 +25,17 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexshoal.llm.columns import free_names
 from lexshoal.llm.skew import spread_join
-from lexshoal.llm.texts import column_bytes, released
+from lexshoal.llm.texts import blocks, column_bytes, released
 from lexshoal.storage import materialize, read_table
 
 WIDTH, BROADCAST_ROWS = 64, 200_000
@@ -149,11 +155,32 @@ def parse_sequences(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = pa.array([parse_html(x.as_py()) for x in batch.column(html)], pa.list_(item))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), items], [*kept, items_])
+            _, at = column_bytes(batch.column(html))
+            for a, b in blocks(at):
+                rows = batch.slice(a, b - a)
+                items = pa.array([parse_html(x.as_py()) for x in rows.column(html)], pa.list_(item))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), items], [*kept, items_])
 
     fields = "".join(f"`{c}` {t}, " for c, t in pages.dtypes if c != html)
-    return pages.mapInArrow(parse, f"{fields}`{items_}` array<{_ITEM}>")
+    return pages.mapInArrow(released(parse), f"{fields}`{items_}` array<{_ITEM}>")
+
+
+def fold_runs(sequences: DataFrame, items: str = "items") -> DataFrame:
+    """All columns of ``sequences`` with the media only in ``items``, and what stood around them (by ``free_names``).
+
+    ``n_runs``: text runs of the sequence; ``runs_before`` and ``runs_after``: for each medium the
+    SHA-256 digests of the text runs before and after it, joined by newlines.
+    """
+    names = free_names(sequences.columns, "n_runs", "runs_before", "runs_after")
+    # as SQL: three lambdas inside each other keep their variables apart
+    array = f"`{items}`"
+    runs, media = (f"filter({array}, x -> x.kind = '{kind}')" for kind in ("text", "media"))
+
+    def around(order: str) -> Column:
+        side = f"filter({array}, y -> y.kind = 'text' AND y.position {order} m.position)"
+        return F.expr(f"transform({media}, m -> sha2(array_join(transform({side}, z -> z.text), '\\n'), 256))")
+
+    return sequences.withColumns({names[0]: F.size(F.expr(runs)), names[1]: around("<"), names[2]: around(">"), items: F.expr(media)})
 
 
 def resolve_media(sequences: DataFrame, media: DataFrame, digest: str = "digest", items: str = "items", by: str | None = None) -> DataFrame:
@@ -174,19 +201,37 @@ def resolve_media(sequences: DataFrame, media: DataFrame, digest: str = "digest"
 
 
 def refer_to_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n_bytes, digest, html): for each text the digest of its payload, and a page that refers to it."""
+    """(doc, digest): for each text the digest of its payload."""
 
     def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, at = column_bytes(batch.column(1))
-            sizes = np.diff(at)
             digests = [hashlib.sha256(pad(flat[a:b].tobytes())).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            page = '<article><p>document</p><figure><img src="sha256:{}"><figcaption>document of {} bytes</figcaption></figure></article>'
-            pages = [page.format(d, n) for d, n in zip(digests, sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(digests, pa.string()), pa.array(pages, pa.string())], ["doc", "n_bytes", "digest", "html"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], ["doc", "digest"])
+
+    return docs.select(doc, text).mapInArrow(released(refer), f"doc {dict(docs.dtypes)[doc]}, digest string")
+
+
+def text_page(text: bytes) -> str:
+    """The page of a text: its paragraphs, and after the first half of them a figure with its payload."""
+    runs = [f"<p>{escape(line, quote=False)}</p>" for line in text.decode().split("\n") if line.strip()]
+    digest, half = hashlib.sha256(pad(text)).hexdigest(), len(runs) // 2
+    figure = f'<figure><img src="sha256:{digest}"><figcaption>{len(text)} bytes of {len(runs)} paragraphs</figcaption></figure>'
+    return "".join(["<article>", *runs[:half], figure, *runs[half:], "</article>"])
+
+
+def interleaved_pages(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, n_bytes, html): for each text a page of its paragraphs and a reference to its payload."""
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, at = column_bytes(batch.column(1))
+            for a, b in blocks(at):
+                made = [text_page(flat[at[i] : at[i + 1]].tobytes()) for i in range(a, b)]
+                sizes = np.diff(at[a : b + 1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(made, pa.string())], ["doc", "n_bytes", "html"])
 
-    kind = dict(docs.dtypes)[doc]
-    return docs.select(doc, text).mapInArrow(released(refer), f"doc {kind}, n_bytes long, digest string, html string")
+    return docs.select(doc, text).mapInArrow(released(pages), f"doc {dict(docs.dtypes)[doc]}, n_bytes long, html string")
 
 
 def store_texts(docs: DataFrame, referred: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,9 +292,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     referred = materialize(refer_to_texts(docs), "references")
     facts = materialize(describe_media(materialize(store_texts(docs, referred), "media")), "media-facts")
-    sequences = parse_sequences(referred.select(F.col("doc").alias("doc_id"), "n_bytes", "html"))
-    items = resolve_media(sequences, facts, by="doc_id").where(F.col("item.kind") == "media")
-    return items.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("item.position").alias("position"), F.col("item.caption").alias("caption"))
+    sequences = fold_runs(parse_sequences(interleaved_pages(docs).withColumnRenamed("doc", "doc_id")))
+    items = resolve_media(sequences, facts, by="doc_id")
+    around = [F.col(f"runs_{side}")[0].alias(f"runs_{side}_sha256") for side in ("before", "after")]  # a page has one medium
+    return items.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.col("n_runs").cast("long").alias("n_runs"), *around)
 
 
 OP4_SQL = r"""
@@ -272,14 +318,18 @@ WITH docs AS (
 ), grids AS (SELECT doc_id, string_agg(printf('%02x', CAST(o AS BIGINT)), '' ORDER BY k) AS bits FROM octets GROUP BY doc_id
 ), crc AS (
   SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t
+), runs AS (
+  SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim(regexp_replace(l,
+    '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))), lambda l: l <> '') AS r FROM documents
 ), stored AS (SELECT *, hex(encode('P5' || chr(10) || '64 ' || lines || chr(10) || '255' || chr(10))) || h AS m, substr(h, 128 * lines - 127, 128) AS tail FROM padded
 )
 SELECT p.doc_id, n AS n_bytes, 64 * lines AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
   xor(4294967295, list_reduce(list_transform(range(64), lambda i: CAST('0x' || substr(tail, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(t[CAST((xor(c, b) & 255) + 1 AS BIGINT)], c >> 8), 4294967295)) AS tail_crc32,
   strlen(m) // 2 AS media_bytes, sha256(unhex(m)) AS media_sha256,
   printf('%.3f:%.3f:%s', s / (64.0::DOUBLE * lines), sqrt((64 * lines * q - s * s)::DOUBLE) / (64 * lines), bits) AS feature,
-  1 AS position, 'document of ' || n || ' bytes' AS caption
-FROM stored p JOIN sums USING (doc_id) JOIN grids USING (doc_id), crc
+  len(r) // 2 AS position, n || ' bytes of ' || len(r) || ' paragraphs' AS caption, len(r) AS n_runs,
+  sha256(coalesce(array_to_string(r[:len(r) // 2], chr(10)), '')) AS runs_before_sha256, sha256(coalesce(array_to_string(r[len(r) // 2 + 1:], chr(10)), '')) AS runs_after_sha256
+FROM stored p JOIN sums USING (doc_id) JOIN grids USING (doc_id) JOIN runs USING (doc_id), crc
 """
 
 QUERIES = {"op4_media_columns": op4_media_columns}

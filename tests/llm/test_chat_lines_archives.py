@@ -90,7 +90,7 @@ def test_media_round_trip(spark):
     referred = media.refer_to_texts(docs).cache()
     stored = media.store_texts(docs, referred).cache()
     assert stored.count() == stored.select("digest").distinct().count() == len({t or "" for t in texts})
-    items = media.resolve_media(media.parse_sequences(referred.select("doc", "html")), media.describe_media(stored)).where("item.kind = 'media'")
+    items = media.resolve_media(media.parse_sequences(media.interleaved_pages(docs)), media.describe_media(stored)).where("item.kind = 'media'")
     rows = {r["doc"]: r for r in items.collect()}
     assert len(rows) == len(texts)
     for i, text in enumerate(texts):
@@ -104,6 +104,30 @@ def test_media_round_trip(spark):
         media.decode_samples(b"P5\n64 2\n255\nshort")
 
 
+def test_pages_of_texts_interleave(spark):
+    """Paragraphs, medium and caption keep their places, whatever the texts hold."""
+    texts = ["a\nb", "one", "", None, " \n\t\n", "<p>x</p>\n&amp; &#0; &lt\n\n\u00a0y\u2003 z\x1c\x85\n</figure><![if\r\nlast <!-- ", "a\nb", "p\n" * 501]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = media.describe_media(media.store_texts(docs, media.refer_to_texts(docs).cache()))
+    pages = media.interleaved_pages(docs)
+    sequences = {r["doc"]: r["items"] for r in media.parse_sequences(pages).collect()}
+    rows = {r["doc"]: r for r in media.resolve_media(media.fold_runs(media.parse_sequences(pages)), stored).collect()}
+    digest = lambda runs: hashlib.sha256("\n".join(runs).encode()).hexdigest()
+    for i, text in enumerate(texts):
+        runs = [" ".join(x.split()) for x in (text or "").split("\n") if x.strip()]
+        half, row = len(runs) // 2, rows[i]
+        assert [x["text"] for x in sequences[i] if x["kind"] == "text"] == runs and [x["position"] for x in sequences[i]] == list(range(len(runs) + 1))
+        assert (row["item"]["position"], row["n_runs"], row["n_bytes"]) == (half, len(runs), len((text or "").encode()))
+        assert row["item"]["caption"] == f"{row['n_bytes']} bytes of {len(runs)} paragraphs"
+        assert (row["runs_before"], row["runs_after"]) == ([digest(runs[:half])], [digest(runs[half:])])
+        assert row["payload_sha256"] == row["item"]["digest"]
+    mixed = spark.createDataFrame([(1, "<p>a<img src='sha256:x'>b<img src='sha256:y'>", "mine"), (2, None, "own")], "id long, html string, n_runs string")
+    found = {r["id"]: r for r in media.fold_runs(media.parse_sequences(mixed)).collect()}
+    assert (found[1]["n_runs"], found[1]["n_runs_"], [x["digest"] for x in found[1]["items"]]) == ("mine", 2, ["x", "y"])
+    assert found[1]["runs_before"] == [digest("a"), digest("ab")] and found[1]["runs_after"] == [digest("b"), digest("")]
+    assert (found[2]["n_runs_"], found[2]["items"], found[2]["runs_before"]) == (0, [], [])
+
+
 def test_sequences_keep_order_and_captions(spark):
     html = "<p>one</p><img src='sha256:aa' alt='first'><figure><img src='sha256:bb'><figcaption>the &amp; second</figcaption></figure>two<script>no</script><p>three"
     items = media.parse_html(html)

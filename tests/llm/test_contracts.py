@@ -156,6 +156,7 @@ def test_columns_of_any_name(spark, op):
         (row,) = found.collect()
         assert row["size"] == 5 and own_values([row], [c for c in pages.columns if c not in ("page_id", "html")]) and row["n_lines__"] == "mine n_lines"
         assert same(media.refer_to_texts(frame), media.refer_to_texts(plain))
+        assert same(media.interleaved_pages(frame), media.interleaved_pages(plain))
     elif op == 5:
         assert same(substrings.repeated_substrings(frame), substrings.repeated_substrings(plain))
     elif op == 6:
@@ -195,7 +196,8 @@ def test_very_long_texts(spark):
     assert len(pieces) == 3 and all(r["n"] == r["whole"] for r in pieces)
     referred = media.refer_to_texts(docs)
     facts = {r["digest"]: r for r in media.describe_media(media.store_texts(docs, referred)).collect()}
-    assert all(facts[r["digest"]]["payload_bytes"] == -(-r["n_bytes"] // 64) * 64 for r in referred.collect())
+    sizes = {r["doc"]: r["n_bytes"] for r in media.interleaved_pages(docs).collect()}
+    assert all(facts[r["digest"]]["payload_bytes"] == -(-sizes[r["doc"]] // 64) * 64 for r in referred.collect())
     assert quality.score(docs, quality.fit(docs, labels, "quality")).count() == 3
     assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 3
     page = spark.createDataFrame([(1, "u", "p" * 3_000_000), (2, "u", "p" * 3_000_000)], "page_id long, url string, html string")
