@@ -10,7 +10,7 @@
    matches in n values is Beta(m + 1, n - m + 1); a pair is pruned as soon as
    P(similarity >= threshold) falls below ``MISS``. Eight bits of a value match by chance once in 256
    times, which prunes a little less and never more. Survivors are verified exactly on full sets made
-   again from whole texts.
+   again from whole texts. A broadcast filter leaves the texts of all other rows where they lie.
 4. First each representative is compared with the smallest members of its buckets. What the
    resulting components do not explain is compared in full: in buckets that still hold several
    components, all pairs of members of different components, in blocks of signatures. The members of
@@ -53,6 +53,8 @@ from lexshoal.storage import materialize, read_table, scratch
 BANDS, ROWS, BATCH, MISS, BLOCK = 32, 4, 32, 1e-6, 512
 #: Pairs of blocks in a bucket beyond which its members are compared only where they share a second band.
 POOR_BLOCKS = 16
+#: Words of 64 bits that a broadcast filter of rows has at most.
+SLOTS = 1 << 20
 _RNG = np.random.default_rng(7)
 _SEED = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -154,6 +156,21 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("uid", "keys").mapInArrow(released(run), "key long, band short, uid long")
 
 
+def wanted(table: DataFrame, ids: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The rows of ``table`` whose uid is in ``ids`` (uid), and perhaps more, found where they lie.
+
+    A join by uid moves both its sides; with this before it, rows without a partner stay. The filter has a
+    bit for each uid in words of 64 neighbours, which are broadcast. Above ``slots`` words several share
+    one, so it stays bounded and lets more rows through.
+    """
+    slot, bits, uid = *free_names(table.columns, "slot", "bits"), F.col("uid")
+    word = F.pmod(F.xxhash64(F.shiftright(uid, 6)), F.lit(slots)).alias(slot)
+    bit = uid.bitwiseAND(63).cast("int")
+    filled = ids.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias(bits)).groupBy(slot).agg(F.bit_or(bits).alias(bits))
+    found = table.select("*", word).join(F.broadcast(filled), slot)
+    return found.where(F.call_function("shiftright", F.col(bits), bit).bitwiseAND(1) == 1).select(table.columns)
+
+
 def _prune(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) that pass the Bayesian test."""
 
@@ -186,9 +203,10 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _confirm(pairs: DataFrame, profiles: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough.
 
-    The pairs are written first, so that what found them is gone when texts move.
+    The pairs are written first, so that what found them is gone when texts move, and only their texts do.
     """
     pairs = materialize(pairs, "candidates")
+    texts = wanted(profiles.select("uid", "packed"), pairs.select(F.explode(F.array("a", "b")).alias("uid")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -202,7 +220,7 @@ def _confirm(pairs: DataFrame, profiles: DataFrame, width: int, percent: int) ->
                 keep = [similar(left[i], y, percent) for i, y in zip(of.tolist(), right, strict=True)]
                 yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    side = lambda c: profiles.select(F.col("uid").alias(c), F.col("packed").alias(f"packed_{c}"))
+    side = lambda c: texts.select(F.col("uid").alias(c), F.col("packed").alias(f"packed_{c}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "packed_a", "packed_b").mapInArrow(released(run), "a long, b long")
 
 
@@ -394,7 +412,9 @@ def _exact_links(members: DataFrame, profiles: DataFrame, threshold: float, widt
                 yield pa.RecordBatch.from_arrays([pa.array(uid[x[keep]]), pa.array(uid[y[keep]])], ["a", "b"])
 
     found = _blocks_of(members, profiles, block, "sketch").mapInArrow(released(members_of), "key long, i long, j long, right boolean, uid long, root long")
-    found = materialize(found, "strangers").join(profiles.select("uid", "packed"), "uid").select("key", "i", "j", "right", "uid", "root", "packed")
+    found = materialize(found, "strangers")
+    texts = wanted(profiles.select("uid", "packed"), found.select("uid"))
+    found = found.join(texts, "uid").select("key", "i", "j", "right", "uid", "root", "packed")
     return found.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(released(link), "a long, b long")
 
 

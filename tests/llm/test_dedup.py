@@ -89,6 +89,43 @@ def test_near_copies_in_poor_buckets(spark, monkeypatch):
     assert seen
 
 
+def test_only_texts_of_candidates_move(spark):
+    """Of many long texts and few near copies, the shuffles move less than half of the texts' bytes."""
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(1200)) for _ in range(300)]
+    texts += [f"{text} {i}" for i, text in enumerate(texts[:5])]
+    context = spark.sparkContext._jsc.sc()
+
+    def moved():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved()
+        got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).collect()}
+        after = moved()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {i: i - 300 if i >= 300 else i for i in range(305)}
+    assert after - before < sum(map(len, texts)) / 2
+
+
+def test_wanted_rows(spark):
+    """Uids of several partitions; with few slots words share one, and no row is lost."""
+    rng = random.Random(9)
+    uids = [(part << 33) + row for part in (0, 1, 5, 4000) for row in range(300)]
+    ids = [uid for uid in uids if rng.random() < 0.2]
+    table = spark.createDataFrame([(uid, str(uid)) for uid in uids], "uid long, slot string")
+    asked = spark.createDataFrame([(uid,) for uid in ids + ids[:9]], "uid long")
+    rows = near.wanted(table, asked)
+    assert rows.columns == table.columns and sorted(map(tuple, rows.collect())) == [(uid, str(uid)) for uid in ids]
+    coarse = [r["uid"] for r in near.wanted(table, asked, slots=2).collect()]
+    assert set(ids) <= set(coarse) <= set(uids) and len(coarse) == len(set(coarse))
+    assert near.wanted(table, asked.limit(0)).count() == 0
+
+
 def test_near_copies_of_nothing(spark):
     assert near.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
