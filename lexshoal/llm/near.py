@@ -160,8 +160,8 @@ def wanted(table: DataFrame, ids: DataFrame, slots: int = SLOTS) -> DataFrame:
     """The rows of ``table`` whose uid is in ``ids`` (uid), and perhaps more, found where they lie.
 
     A join by uid moves both its sides; with this before it, rows without a partner stay. The filter has a
-    bit for each uid in words of 64 neighbours, which are broadcast. Above ``slots`` words several share
-    one, so it stays bounded and lets more rows through.
+    bit for each uid in words of 64 neighbours, which are broadcast. A hash deals the words to ``slots``
+    at most, so the filter stays bounded; words that share a slot let more rows through.
     """
     slot, bits, uid = *free_names(table.columns, "slot", "bits"), F.col("uid")
     word = F.pmod(F.xxhash64(F.shiftright(uid, 6)), F.lit(slots)).alias(slot)
