@@ -177,6 +177,13 @@ class NgramIndex:
         for after in range(0, whole, size):
             yield search.page(self._lookups, found, after, size).drop("query_id")
 
+    def all_pages(self, query: list[int], size: int) -> DataFrame:
+        """(page, shard, rank, pos): all of ``pages`` as one table, from one search and one join. Needs ``index_lookups``."""
+        if self._lookups is None:
+            self.index_lookups()
+        found = search.ranges(self._lookups, self.queries([query]))
+        return search.all_pages(self._lookups, found, size).drop("query_id")
+
     def count_next(self, query: list[int]) -> list[int]:
         return self.batch_count_next([query])[0]
 

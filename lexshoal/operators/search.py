@@ -226,16 +226,16 @@ def contains(index: SuffixIndex, queries: DataFrame) -> DataFrame:
     return count(index, queries).select("query_id", (F.col("count") > 0).alias("contained"))
 
 
-def in_ranges(index: SuffixIndex, found: DataFrame) -> DataFrame:
-    """(query_id, shard, rank, pos) of all ranks of ``found`` (query_id, shard, first, end): a row for each, in no order."""
+def in_ranges(index: SuffixIndex, found: DataFrame, *keep: str) -> DataFrame:
+    """(query_id, shard, rank, pos) of all ranks of ``found`` (query_id, shard, first, end), and its columns ``keep``: a row for each, in no order."""
     blocks = F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("end") - 1) / BLOCK)))
     sized = found.where(F.col("first") < F.col("end")).join(F.broadcast(index.sizes.select("shard", "parts")), "shard")
-    wanted = sized.select("query_id", "shard", "first", "end", "parts", blocks.alias("block")).withColumn("part", _part(F.col("block"), F.col("parts")))
+    wanted = sized.select("query_id", "shard", "first", "end", "parts", *keep, blocks.alias("block")).withColumn("part", _part(F.col("block"), F.col("parts")))
     wanted = materialize(wanted, "blocks")
     joined = wanted.join(_only_needed(index.ranks, "block", wanted), ["part", "shard", "block"])
-    rows = joined.select("query_id", "shard", "first", "end", "block", F.posexplode("positions").alias("at", "pos"))
+    rows = joined.select("query_id", "shard", "first", "end", *keep, "block", F.posexplode("positions").alias("at", "pos"))
     rows = rows.withColumn("rank", F.col("block") * BLOCK + F.col("at")).where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
-    return rows.select("query_id", "shard", "rank", "pos")
+    return rows.select("query_id", "shard", "rank", "pos", *keep)
 
 
 def positions(index: SuffixIndex, queries: DataFrame) -> DataFrame:
@@ -243,23 +243,35 @@ def positions(index: SuffixIndex, queries: DataFrame) -> DataFrame:
     return in_ranges(index, ranges(index, queries))
 
 
+def _numbered(found: DataFrame) -> DataFrame:
+    """``found`` (query_id, shard, first, end) and ``before``, the occurrences of its query in earlier shards."""
+    items = F.sort_array(F.collect_list(F.struct("shard", "first", "end")))
+    with_before = found.groupBy("query_id").agg(items.alias("items"))
+    # a row for each shard of a query
+    before = F.aggregate(F.slice("items", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
+    spread = with_before.select("query_id", "items", F.posexplode("items").alias("i", "own"))
+    return spread.select("query_id", "own.shard", "own.first", "own.end", before.alias("before"))
+
+
 def page(index: SuffixIndex, found: DataFrame, after: int, size: int) -> DataFrame:
     """The occurrences number ``after`` .. ``after + size - 1`` of each query of ``found`` (from ``ranges``), (query_id, shard, rank, pos).
 
     Occurrences are numbered by shard, then by rank. ``after`` is the cursor: the next page begins at
     ``after + size``, and only the blocks of ranks that a page lies in are read.
     """
-    items = F.sort_array(F.collect_list(F.struct("shard", "first", "end")))
-    with_before = found.groupBy("query_id").agg(items.alias("items"))
-    # occurrences before each shard's first; a row for each shard of a query
-    before = F.aggregate(F.slice("items", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
-    spread = with_before.select("query_id", "items", F.posexplode("items").alias("i", "own")).select("query_id", "own.shard", "own.first", "own.end", before.alias("before"))
     low = F.greatest(F.col("first"), F.col("first") + F.lit(after) - F.col("before"))
     high = F.least(F.col("end"), F.col("first") + F.lit(after + size) - F.col("before"))
-    cut = spread.select("query_id", "shard", low.alias("first"), high.alias("end")).where("first < end")
+    cut = _numbered(found).select("query_id", "shard", low.alias("first"), high.alias("end")).where("first < end")
     return in_ranges(index, cut)
 
 
+def all_pages(index: SuffixIndex, found: DataFrame, size: int) -> DataFrame:
+    """(query_id, page, shard, rank, pos): all pages of each query of ``found`` in one join, however many they are."""
+    started = _numbered(found).select("query_id", "shard", "first", "end", (F.col("before") - F.col("first")).alias("shift"))
+    number = F.floor((F.col("rank") + F.col("shift")) / size)
+    return in_ranges(index, started, "shift").select("query_id", number.alias("page"), "shard", "rank", "pos")
+
+
 def count_next(index: SuffixIndex, queries: DataFrame) -> DataFrame:
     """(query_id, token, count) of the tokens that follow each query; for an empty query of all tokens."""
     fit = fitted(index.corpus, queries)

@@ -65,11 +65,7 @@ def indexed_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paged_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All views in pages of a thousand."""
     index = NgramIndex(event_stream(spark, sf_dir).written()).index_lookups()
-    pages = [p.select(F.lit(i).alias("page"), "rank", "pos") for i, p in enumerate(index.pages(["view"], 1000))]
-    out = pages[0]
-    for p in pages[1:]:
-        out = out.unionByName(p)
-    return out
+    return index.all_pages(["view"], 1000).select(F.col("page").cast("int").alias("page"), "rank", "pos")
 
 
 def long_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

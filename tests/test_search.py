@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexshoal.index import NgramIndex
 from lexshoal.operators import corpus as corpora
 from lexshoal.operators import lookup, search, suffix
+from lexshoal.plans import lookups
 
 
 def brute(tokens, query):
@@ -107,6 +108,31 @@ def test_pages(spark, shards, index):
     assert sorted(paged) == whole and len(whole) == sum(len(brute(s, q)) for s in shards for q in ([5], [0], [6]))
 
 
+def test_all_pages_at_once(spark, shards, index, monkeypatch):
+    """The same pages as one table, numbered over shards; the query asks for no page of its own."""
+    frame = spark.createDataFrame([(0, [5]), (1, [0]), (2, [6]), (3, [99])], "query_id long, query array<long>")
+    found = search.ranges(index, frame)
+    for size in (170, 1, 5000):
+        got = sorted(tuple(r) for r in search.all_pages(index, found, size).collect())
+        whole = search.in_ranges(index, found).orderBy("query_id", "shard", "rank").collect()
+        want, seen = [], collections.Counter()
+        for r in whole:
+            want.append((r["query_id"], seen[r["query_id"]] // size, r["shard"], r["rank"], r["pos"]))
+            seen[r["query_id"]] += 1
+        assert got == sorted(want)
+
+
+def test_paged_positions_takes_one_search(spark, tmp_path, monkeypatch):
+    """Work does not grow with the number of pages: no page is asked for alone."""
+    rows = [(i, ("view", "click", "view", "error")[i % 4]) for i in range(3000)]
+    spark.createDataFrame(rows, "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(search, "page", lambda *_: pytest.fail("a page of its own"))
+    got = lookups.paged_positions(spark, str(tmp_path)).collect()
+    letters = [t for _, t in rows]
+    ranked = [(r, p) for r, p in enumerate(sorted(range(len(letters)), key=lambda p: letters[p:])) if letters[p] == "view"]
+    assert sorted(map(tuple, got)) == [(i // 1000, r, p) for i, (r, p) in enumerate(ranked)]
+
+
 def test_a_saved_index_reads_little(spark, tmp_path, monkeypatch):
     """A query on a saved index of many parts reads under a tenth of its rows, all its rounds together."""
     rng = random.Random(1)
