@@ -20,6 +20,8 @@ from lexshoal.sources import binary, texts
 from lexshoal.storage import fresh_path, plain_path, read_table
 
 VOCAB = 1 << 16
+#: Bytes of a token file that a task reads as runs.
+RUN_BYTES = 8 << 20
 TYPES = ["click", "error", "purchase", "signup", "view"]
 #: Queries with ids that 16 bits cannot hold, which are left out.
 WIDE = [[1], [70_000, 1], [-5, 2], [99_999], [], [3, 65_537], [12, 65_535], [7, 7]]
@@ -162,7 +164,7 @@ def tokenized_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as byte pairs in one file, with an end token after each, and every text read back from its ids."""
     tokenizer, path = _byte_pairs(), _path(spark, "tokens")
     texts.tokenize_to_file(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, path, ["doc_id"], append_end=True)
-    found = texts.detokenize(binary.read_tokens(spark, path, tokenizer.vocab_size, strict=True), tokenizer)
+    found = texts.detokenize(binary.read_runs(spark, path, tokenizer.vocab_size, partition_bytes=RUN_BYTES), tokenizer)
     return found.select("number", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 

@@ -48,6 +48,7 @@ class _Reader(DataSourceReader):
         self.path, self.bits = options["path"], int(options.get("bits", 16))
         self.limit = options.get("limit")
         self.strict = str(options.get("strict", "false")).lower() == "true"
+        self.runs = str(options.get("runs", "false")).lower() == "true"
         self.step = max(1, int(options.get("partitionbytes", PARTITION_BYTES)) // (self.bits // 8))
 
     def partitions(self) -> list[_Range]:
@@ -69,7 +70,11 @@ class _Reader(DataSourceReader):
                 values = np.frombuffer(file.read(min(BATCH, partition.end - at) * width), _KINDS[self.bits]).astype(np.int64)
                 if not len(values):
                     raise OSError(f"{self.path} ended at element {at}")
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(values))), pa.array(values)], ["pos", "value"])
+                if self.runs:
+                    run = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), run], ["pos", "value"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(values))), pa.array(values)], ["pos", "value"])
                 at += len(values)
 
 
@@ -81,7 +86,7 @@ class NumberFile(DataSource):
         return "number_file"
 
     def schema(self) -> str:
-        return "pos long, value long"
+        return "pos long, value array<long>" if str(self.options.get("runs", "false")).lower() == "true" else "pos long, value long"
 
     def reader(self, schema: object) -> DataSourceReader:
         return _Reader(self.options)
@@ -161,6 +166,15 @@ def read_tokens(spark: SparkSession, path: str, vocab: int = 1 << 16, limit: int
     return read_numbers(spark, path, width_of(vocab), limit, strict).withColumnRenamed("value", "token")
 
 
+def read_runs(spark: SparkSession, path: str, vocab: int = 1 << 16, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """(pos, token) of a token file, which must hold whole elements: a row is a run of tokens from ``pos`` on. Other paths than files give a row for each token."""
+    if is_remote(path) or os.path.isdir(plain_path(path)):
+        return read_tokens(spark, path, vocab, strict=True)
+    spark.dataSource.register(NumberFile)
+    reader = spark.read.format("number_file").option("bits", width_of(vocab)).option("strict", True).option("runs", True)
+    return reader.option("partitionbytes", partition_bytes).load(plain_path(path)).withColumnRenamed("value", "token")
+
+
 def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
     """(rank, pos) of a suffix file, which must hold whole elements."""
     return read_numbers(spark, path, 64, strict=True).selectExpr("pos AS rank", "value AS pos")
@@ -209,6 +223,46 @@ def write_numbers(df: DataFrame, order: str, value: str, path: str, bits: int, p
     os.replace(part, path)
 
 
+def write_runs(df: DataFrame, start: str, values: str, path: str, bits: int) -> None:
+    """Arrays ``values`` as a raw file, each row's from element ``start`` on; together they make up the file without gaps.
+
+    Rows are written where they belong by the tasks that have them, in any order: nothing is shuffled, so
+    ``df`` should be a written table. The file takes its name when it is whole.
+    """
+    path = plain_path(path)
+    width, kind, part = bits // 8, _KINDS[bits], f"{path}.part"
+    rows = df.select(F.col(start).cast("long").alias("at"), F.col(values).alias("values"))
+    size = F.size("values").cast("long")
+    shape = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n"), F.coalesce(F.max(F.col("at") + size), F.lit(0)).alias("end"), F.coalesce(F.min("at"), F.lit(0)).alias("low")).first()
+    n = shape["n"]
+    if (shape["low"], shape["end"]) != (0, n):
+        raise ValueError(f"runs do not make up {n} elements")
+    with open(part, "wb") as file:
+        file.truncate(n * width)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, done = os.open(part, os.O_WRONLY), 0
+        try:
+            for batch in batches:
+                at, arrays = np.asarray(batch.column("at")), batch.column("values")
+                data, ends = np.asarray(arrays.flatten()).astype(kind), np.cumsum(np.asarray(arrays.value_lengths().fill_null(0)), dtype=np.int64)
+                begins = np.concatenate(([0], ends[:-1]))
+                # rows that follow each other are written together
+                heads = np.flatnonzero(np.diff(at - begins, prepend=at[:1] - begins[:1] - 1) != 0)
+                for a, b in zip(heads, np.append(heads[1:], len(at)), strict=True):
+                    _write_at(file, data[begins[a] : ends[b - 1]].tobytes(), int(at[a]) * width)
+                done += len(data)
+            os.fsync(file)
+        finally:
+            os.close(file)
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
+
+    done = rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    if done != n:
+        raise OSError(f"{done} of {n} elements were written")
+    os.replace(part, path)
+
+
 def _write_at(file: int, data: bytes, offset: int) -> None:
     while data:
         done = os.pwrite(file, data, offset)

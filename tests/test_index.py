@@ -478,3 +478,55 @@ def test_byte_pairs_of_a_file(spark, tmp_path):
         assert [r["text"].replace(" ", "") for r in found] == [x.replace(" ", "") for x in ordered]
     with pytest.raises(ValueError, match="no token"):
         texts.FileTokenizer(str(tmp_path / "t.json"), "<none>")
+
+
+def test_texts_are_encoded_once(spark, tmp_path):
+    """Each text goes to the tokenizer once, and no step has a row for each token but the file's reader; ranges, ties and gaps come back whole."""
+    calls = spark.sparkContext.accumulator(0)
+
+    class Letters:
+        eos_token_id, vocab_size = 0, 27
+
+        def encode_batch(self, batch):
+            calls.add(len(batch))
+            return [[ord(c) - 96 for c in x] for x in batch]
+
+        def decode_batch(self, ids):
+            return ["".join(chr(96 + i) for i in x) for x in ids]
+
+    rows = [(i * 7 % 101, "abcdefgh"[: i % 9] * (900 if i == 50 else 1 + i % 3)) for i in range(101)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    texts.tokenize_to_file(docs, Letters(), str(tmp_path / "x.bin"), ["id"], append_end=True)
+    assert calls.value == 101
+    ordered = [x for _, x in sorted(rows)]
+    want = [t for x in ordered for t in [*(ord(c) - 96 for c in x), 0]]
+    for each in (900, 64 << 20):  # in byte ranges that cut texts, and in one
+        runs = binary.read_runs(spark, str(tmp_path / "x.bin"), partition_bytes=each)
+        assert [(r["number"], r["text"]) for r in texts.detokenize(runs, Letters()).orderBy("number").collect()] == list(enumerate(ordered))
+        read = binary.read_numbers(spark, str(tmp_path / "x.bin"), 16, partition_bytes=each).withColumnRenamed("value", "token")
+        assert [r["token"] for r in read.orderBy("pos").collect()] == want
+        for mixed in (read, read.repartition(3), read.where("pos < 300")):
+            found = texts.detokenize(mixed, Letters()).orderBy("number").collect()
+            ends = mixed.where("token = 0").count()
+            assert [(r["number"], r["text"]) for r in found] == list(enumerate(ordered[:ends]))
+
+
+def test_runs_that_leave_gaps_are_an_error(spark, tmp_path):
+    rows = spark.createDataFrame([(0, [1, 2]), (3, [4])], "at long, values array<long>")
+    with pytest.raises(ValueError, match="do not make up"):
+        binary.write_runs(rows, "at", "values", str(tmp_path / "x"), 16)
+
+
+def test_words_are_encoded_as_in_texts():
+    """A byte-pair file that cuts at spaces gives the same ids by words; other files are taken by whole texts."""
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    tokenizer = texts.FileTokenizer(public.path("byte_bpe_50k.json"))
+    batch = ["", " ", "a b", "a  b", " a b ", "a\n b", "a \n b", "it's we'll  've", "x\u00a0y \u3000z \x1c q", "caf\u00e9 12 3,4 ... (5)", "a <|endoftext|> b<|endoftext|> c", "\ta b\t c"]
+    own = tokenizer._own()
+    assert texts._by_words(own.to_str())
+    assert tokenizer.encode_batch(batch) == [own.encode(x, add_special_tokens=False).ids for x in batch]
+    assert all("".join(texts.words_of(x)) == x for x in batch)
+    split = tokenizers.Tokenizer.from_str(own.to_str())
+    split.normalizer = tokenizers.normalizers.NFC()
+    assert not texts._by_words(split.to_str())
