@@ -197,7 +197,7 @@ class NgramIndex:
         return {r["occurrences"]: r["num_ngrams"] for r in self._added(ngrams.count_ngrams(self.corpus, n, merge_shards)).collect()}
 
     def count_all_ngrams(self, most: int, merge_shards: bool = False) -> dict[int, dict[int, int]]:
-        """``count_ngrams`` of every n from 1 to ``most``, from one sort."""
+        """``count_ngrams`` of every n from 1 to ``most``, from one table of digests."""
         out: dict[int, dict[int, int]] = {n: {} for n in range(1, most + 1)}
         for r in orders.count_all_ngrams(self.corpus, most, merge_shards).collect():
             out[r["n"]][r["occurrences"]] = r["num_ngrams"]

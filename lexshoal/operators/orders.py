@@ -1,109 +1,118 @@
-"""Frequencies of n-grams of all orders from one sort, by common prefixes of neighbours.
+"""Frequencies of n-grams of all orders, a few orders at a time, by digests that move as packed arrays.
 
-All positions are sorted by their next ``most`` tokens, in one range exchange. In sorted order the
-occurrences of an n-gram follow each other, and a new one begins where a row has less than n tokens in
-common with the row before it: so the common prefixes of neighbours hold the run lengths of every order
-at once. A task takes its range in Arrow batches and keeps one open run for each order; runs inside
-its range are counted there, and only the runs at its two ends leave it, with a digest of their
-n-gram. Ends that continue each other over ranges are added up over a few rows for each range.
+The token ids of a corpus are written once, as 64-bit digests in pieces that carry the tokens after
+them. For each order a task rolls a digest of n tokens over its pieces, a few million positions at once,
+counts equal ones there and deals the different ones to buckets, an array for each. A bucket's arrays are
+then brought together, sorted and counted. So a position costs some fourteen bytes of an order's shuffle,
+which goes before the next order's begins, and an n-gram of a third of all positions leaves a task once.
 
-Tokens that are no integers are sorted by 64-bit digests (any order serves). Rows with equal keys are
-spread over ranges by their numbers, so the n-gram of a third of all positions is no single task's.
+A digest has 64 bits, and of an independent digest those that choose the bucket (up to 16) and 16 more:
+n-grams are told apart by all of them.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexshoal.operators.corpus import USUAL, Corpus, lengthened
 from lexshoal.storage import materialize
 
-_RUNS = "n int, place long, side int, digest long, count long, runs long"
-
-
-def _keyed(corpus: Corpus, most: int, merge_shards: bool) -> DataFrame:
-    """(shard, k0 .. k(most-1)) of every position, null beyond the end of its sequence; shard is a digest."""
-    own = F.lit(0).cast("long") if merge_shards else F.xxhash64("shard")
-    whole = F.concat("tokens", "tail")
-    ids = F.transform(whole, lambda t: F.xxhash64(t)) if corpus.token_type == "string" else whole.cast("array<bigint>")
-    rows = lengthened(corpus, most).frame.select(own.alias("shard"), F.size("tokens").alias("own"), ids.alias("t"))
-    places = F.explode_outer(F.when(F.col("own") > 0, F.sequence(F.lit(0), F.col("own") - 1)))
-    rows = rows.select("shard", "t", places.alias("at")).where("at IS NOT NULL")
-    return rows.select("shard", *(F.get("t", F.col("at") + i).alias(f"k{i}") for i in range(most)))
-
-
-class _Open:
-    """The runs of one order in a range: the first, the one that is open, and counts of those between."""
-
-    def __init__(self) -> None:
-        self.first: tuple[int, int] | None = None
-        self.open: tuple[int, int] | None = None
-        self.inside: Counter[int] = Counter()
-
-    def close(self) -> None:
-        if self.first is None:
-            self.first = self.open
-        elif self.open is not None:
-            self.inside[self.open[1]] += 1
-        self.open = None
-
-
-def _digest(shard: int, tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(np.int64(shard).tobytes() + tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """A sorted range to its counts of runs (side 1) and the runs at its ends (sides 0 and 2)."""
-    states = [_Open() for _ in range(most)]
-    last: np.ndarray | None = None  # shard, tokens and number of tokens of the row before a batch
-    place = 0
-    for batch in batches:
-        if not batch.num_rows:
+#: Tokens of a piece, positions that a task counts together, n-grams of a bucket, and positions times orders of a job.
+PIECE, FLUSH, BUCKET, AT_ONCE = 1024, 1 << 21, 1 << 20, 1 << 24
+_DEALT = "n int, bucket int, low binary, high binary, counts binary"
+_ROLL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def _pieces(corpus: Corpus, most: int, merge_shards: bool) -> DataFrame:
+    """(shard, own, ids), written: digests of up to ``PIECE`` own tokens and of up to ``most`` - 1 behind them; shard is a digest."""
+    shard = F.lit(0).cast("long") if merge_shards else F.xxhash64("shard")
+    ids = F.transform(F.concat("tokens", "tail"), lambda t: F.xxhash64(t))
+    rows = lengthened(corpus, most).frame.select(shard.alias("shard"), F.size("tokens").alias("size"), ids.alias("t"))
+    starts = F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.lit(0), F.col("size") - 1, F.lit(PIECE))))
+    rows = rows.select("shard", "size", "t", starts.alias("at")).where("at IS NOT NULL")
+    own = F.least(F.lit(PIECE), F.col("size") - F.col("at"))
+    return materialize(rows.select("shard", own.alias("own"), F.slice("t", F.col("at") + 1, own + (most - 1)).alias("ids")), "token-ids")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers whose bits all depend on all bits."""
+    for factor in _MIX:
+        x = (x ^ (x >> np.uint64(33))) * factor
+    return x ^ (x >> np.uint64(33))
+
+
+def _dealt(rows: list[pa.RecordBatch], orders: range, bits: int) -> Iterator[pa.RecordBatch]:
+    """Different n-grams of pieces with their counts, an array for each order and bucket."""
+    table = pa.Table.from_batches(rows).combine_chunks()
+    ids = table.column("ids").combine_chunks()
+    tokens = np.asarray(ids.flatten()).view(np.uint64)
+    sizes = np.asarray(ids.value_lengths()).astype(np.int64)
+    shard, own = np.asarray(table.column("shard").combine_chunks()).view(np.uint64), np.asarray(table.column("own").combine_chunks())
+    inside = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # tokens from a position to the end of its sequence or piece, none at those behind the piece's own
+    room = np.where(inside < np.repeat(own, sizes), np.repeat(sizes, sizes) - inside, 0).astype(np.int32)
+    again, of = _mixed(tokens), np.repeat(shard, sizes)
+    first, second = tokens + of, again + _mixed(of)
+    for n in range(1, orders.stop):
+        if n > 1:
+            first = first[:-1] * _ROLL[0] + tokens[n - 1 :]
+            second = second[:-1] * _ROLL[1] + again[n - 1 :]
+        if not len(first):
+            return
+        if n not in orders:
             continue
-        place = batch.column("place")[0].as_py() if last is None else place
-        columns = [batch.column(c) for c in ("shard", *(f"k{i}" for i in range(most)))]
-        rows = np.column_stack([np.asarray(c.fill_null(0)) for c in columns])
-        known = most - sum(np.asarray(c.is_null()).astype(np.int64) for c in columns[1:])
-        same = np.ones((len(rows), most + 1), bool)
-        same[1:] = rows[1:] == rows[:-1]
-        same[0] = False if last is None else rows[0] == last[: most + 1]
-        common = np.cumprod(same, axis=1).sum(axis=1) - 1  # -1: another shard
-        before = np.concatenate(([0 if last is None else last[-1]], known[:-1]))
-        common = np.minimum(common, np.minimum(known, before))
-        for n, state in enumerate(states, 1):
-            valid = np.flatnonzero(known >= n)
-            starts = valid[common[valid] < n]
-            # rows up to the first start go on with the open run
-            ends = np.searchsorted(valid, starts)
-            head = int(ends[0]) if len(ends) else len(valid)
-            if head and state.open is not None:
-                state.open = (state.open[0], state.open[1] + head)
-            if len(starts):
-                if state.open is not None:
-                    state.close()
-                sizes = np.diff(np.append(ends, len(valid)))
-                if state.first is None and len(sizes) > 1:
-                    state.first = (_digest(int(rows[starts[0], 0]), rows[starts[0], 1 : n + 1]), int(sizes[0]))
-                    sizes, starts = sizes[1:], starts[1:]
-                for size, many in zip(*np.unique(sizes[:-1], return_counts=True), strict=True):
-                    state.inside[int(size)] += int(many)
-                state.open = (_digest(int(rows[starts[-1], 0]), rows[starts[-1], 1 : n + 1]), int(sizes[-1]))
-        last = np.append(rows[-1], known[-1])
-    found = []
-    for n, state in enumerate(states, 1):
-        ends = [(0, state.first), (2, state.open)] if state.first is not None else [(0, state.open)]
-        found += [(n, place, side, run[0], run[1], 1) for side, run in ends if run is not None]
-        found += [(n, place, 1, 0, size, many) for size, many in state.inside.items()]
-    if found:
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], [c.split()[0] for c in _RUNS.split(", ")])
+        at = np.flatnonzero(room[: len(first)] >= n)
+        if not len(at):
+            continue
+        low, other = first[at], _mixed(second[at])
+        order = np.argsort(low)
+        bucket = (other >> np.uint64(64 - bits)).astype(np.uint16)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        low, bucket, high = low[order], bucket[order], (other >> np.uint64(48 - bits)).astype(np.uint16)[order]
+        fresh = np.ones(len(low), bool)
+        fresh[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (bucket[1:] != bucket[:-1])
+        heads = np.flatnonzero(fresh)
+        counts = np.diff(np.append(heads, len(low))).astype(np.uint32)
+        low, high, bucket = low[heads], high[heads], bucket[heads]
+        starts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] ^ np.uint16(1)))
+        cuts = list(zip(starts, np.append(starts[1:], len(bucket)), strict=True))
+        packed = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (low, high, counts)]
+        yield pa.RecordBatch.from_arrays([pa.array([n] * len(cuts), pa.int32()), pa.array(bucket[starts].astype(np.int32)), *packed], ["n", "bucket", "low", "high", "counts"])
+
+
+def _deal(batches: Iterator[pa.RecordBatch], orders: range, bits: int) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        step = max(1, FLUSH // (2 * PIECE))
+        for a in range(0, batch.num_rows, step):
+            held.append(batch.slice(a, step))
+            size += int(np.asarray(held[-1].column("own")).sum())
+            if size >= FLUSH:
+                yield from _dealt(held, orders, bits)
+                held, size = [], 0
+    if held:
+        yield from _dealt(held, orders, bits)
+
+
+def _merged(group: pa.Table) -> pa.Table:
+    """A bucket of an order to (n, occurrences, num_ngrams)."""
+    low, high, counts = (np.frombuffer(b"".join(group.column(c).to_pylist()), kind) for c, kind in (("low", np.uint64), ("high", np.uint16), ("counts", np.uint32)))
+    order = np.argsort(low)
+    same = low[order][1:] == low[order][:-1]
+    other = high[order][1:] != high[order][:-1]
+    if (same & other).any():  # equal in the first digest only: seldom
+        order = np.lexsort((high, low))
+        same, other = low[order][1:] == low[order][:-1], high[order][1:] != high[order][:-1]
+    heads = np.flatnonzero(np.concatenate(([True], ~same | other)))
+    occurrences, many = np.unique(np.add.reduceat(counts[order].astype(np.int64), heads), return_counts=True)
+    return pa.table({"n": pa.array([group.column("n")[0].as_py()] * len(many), pa.int32()), "occurrences": pa.array(occurrences, pa.int64()), "num": pa.array(many, pa.int64())})
 
 
 def count_all_ngrams(corpus: Corpus, most: int = USUAL, merge_shards: bool = False) -> DataFrame:
@@ -111,15 +120,13 @@ def count_all_ngrams(corpus: Corpus, most: int = USUAL, merge_shards: bool = Fal
 
     As ``count_ngrams`` of each n: counted apart in each shard and added, or with ``merge_shards`` together.
     """
-    keys = ["shard", *(f"k{i}" for i in range(most))]
-    rows = _keyed(corpus, most, merge_shards).withColumn("row", F.monotonically_increasing_id())
-    ranged = rows.repartitionByRange(*keys, "row").sortWithinPartitions(*keys, "row").drop("row").withColumn("place", F.spark_partition_id().cast("long"))
-    runs = materialize(ranged.mapInArrow(lambda batches: _runs(batches, most), _RUNS), "runs")
-    ends = runs.where("side <> 1")
-    # ends of a range's order, one or two rows: a run goes on where the next range begins with the same n-gram
-    order = Window.partitionBy("n").orderBy("place", "side")
-    fresh = (F.lag("digest").over(order).isNull() | (F.lag("digest").over(order) != F.col("digest")) | (F.lag("place").over(order) == F.col("place"))).cast("long")
-    numbered = ends.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-    joined = numbered.groupBy("n", "run").agg(F.sum("count").alias("occurrences")).select("n", "occurrences", F.lit(1).cast("long").alias("num"))
-    both = joined.unionByName(runs.where("side = 1").select("n", F.col("count").alias("occurrences"), F.col("runs").alias("num")))
-    return both.groupBy("n", "occurrences").agg(F.sum("num").alias("num_ngrams"))
+    pieces = _pieces(corpus, most, merge_shards)
+    size = pieces.agg(F.coalesce(F.sum(F.col("own").cast("long")), F.lit(0))).first()[0]
+    bits = min(16, max(4, (size // BUCKET).bit_length()))
+    each = max(1, min(most, AT_ONCE // max(1, size)))
+    found = []
+    for first in range(1, most + 1, each):
+        orders = range(first, min(most + 1, first + each))
+        dealt = pieces.mapInArrow(lambda batches, orders=orders: _deal(batches, orders, bits), _DEALT)
+        found.append(materialize(dealt.groupBy("n", "bucket").applyInArrow(_merged, "n int, occurrences long, num long"), "frequencies"))
+    return reduce(DataFrame.unionByName, found).groupBy("n", "occurrences").agg(F.sum("num").alias("num_ngrams"))

@@ -35,7 +35,7 @@ DEFAULT_DELTA, EPSILON = 0.5, 1e-9
 
 
 def deltas(corpus: Corpus, n: int, merge_shards: bool = False) -> DataFrame:
-    """(order, delta) for orders 1 .. n: n1 / (n1 + 2 n2), or 1 if no n-gram occurs once or none twice. Several orders come from one sort, one from an aggregation."""
+    """(order, delta) for orders 1 .. n: n1 / (n1 + 2 n2), or 1 if no n-gram occurs once or none twice. Several orders come from packed digests, one from an aggregation."""
     if n < 1:
         return corpus.frame.sparkSession.createDataFrame([], "order int, delta double")
     counted = count_all_ngrams(corpus, n, merge_shards) if n > 1 else count_ngrams(corpus, 1, merge_shards)

@@ -158,8 +158,8 @@ def _ngram_query(n: int):
 
 
 def count_ngrams_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders 1 to 16 of words from one sort, counted over all languages together."""
-    return orders.count_all_ngrams(documents(spark, sf_dir).written(), 16, merge_shards=True)
+    """Orders 1 to 16 of words, counted over all languages together."""
+    return orders.count_all_ngrams(documents(spark, sf_dir), 16, merge_shards=True)
 
 
 def count_ngrams_all_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:

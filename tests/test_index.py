@@ -6,6 +6,9 @@ import random
 import threading
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -530,3 +533,18 @@ def test_words_are_encoded_as_in_texts():
     split = tokenizers.Tokenizer.from_str(own.to_str())
     split.normalizer = tokenizers.normalizers.NFC()
     assert not texts._by_words(split.to_str())
+
+
+def test_orders_move_packed_digests():
+    """A position costs 14 bytes of an order at most, an n-gram leaves a task once, and digests are told apart by all their bits."""
+    rng = random.Random(1)
+    ids_ = [[rng.randrange(1 << 60) for _ in range(30)] for _ in range(20)] + [[7] * 500]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 21), pa.array([len(x) for x in ids_], pa.int32()), pa.array(ids_, pa.list_(pa.int64()))], ["shard", "own", "ids"])
+    dealt = pa.Table.from_batches(list(orders._deal(iter([batch]), range(1, 17), 4)))
+    for n in range(1, 17):
+        own = dealt.filter(pa.compute.equal(dealt.column("n"), n))
+        assert sum(len(x) for c in ("low", "high", "counts") for x in own.column(c).to_pylist()) == 14 * (20 * (31 - n) + 1)
+    bucket = {"n": pa.array([3, 3], pa.int32()), "bucket": pa.array([0, 0], pa.int32())}
+    packed = {"low": np.array([5, 5, 9], np.uint64), "high": np.array([1, 2, 1], np.uint16), "counts": np.array([4, 1, 2], np.uint32)}
+    group = pa.table(bucket | {c: pa.array([x.tobytes()] * 2, pa.binary()) for c, x in packed.items()})
+    assert orders._merged(group).to_pylist() == [{"n": 3, "occurrences": c, "num": 1} for c in (2, 4, 8)]
