@@ -3,7 +3,8 @@
 Queries are rows (query_id, query ARRAY). Their different lengths are few and are read first; for
 each length the corpus is scanned once, and n-grams are matched by an equi-join on scalar columns.
 The different queries of a length are broadcast if they are at most ``BROADCAST_ROWS``, else the join
-is shuffled. Counts are summed before they go back to the queries, so repeated queries cost nothing.
+is shuffled, and a broadcast filter of bits leaves most n-grams that are no query where they lie. Counts are
+summed before they go back to the queries, so repeated queries cost nothing.
 
 A query of more than ``PIECE`` tokens is cut into pieces. Pieces are
 matched as queries are, all in one scan, and a query occurs where all its pieces occur at their
@@ -28,6 +29,8 @@ from lexshoal.storage import materialize
 BROADCAST_ROWS = 200_000
 #: Tokens of the longest n-gram that a scan makes.
 PIECE = USUAL
+#: Words of 64 bits that the filter of a large join has at most.
+SLOTS = 1 << 20
 
 
 def fitted(corpus: Corpus, queries: DataFrame, strict: bool = False) -> DataFrame:
@@ -51,6 +54,24 @@ def by_length(queries: DataFrame) -> list[tuple[int, DataFrame, bool]]:
     return out
 
 
+def _wide(corpus: Corpus) -> str:
+    """The type in which tokens of a corpus and of queries have the same digests."""
+    return "bigint" if corpus.token_type in ("tinyint", "smallint", "int") else corpus.token_type
+
+
+def _passing(rows: DataFrame, known: DataFrame, names: list[str], kind: str) -> DataFrame:
+    """``rows`` without most of those whose columns ``names`` are in no row of ``known``.
+
+    A bit of a digest's word is set for each known row; the words are broadcast. Others that meet a set bit
+    pass, too: more of them the more rows are known, so a join must follow.
+    """
+    digest = F.xxhash64(*(F.col(c).cast(kind) for c in names))
+    slot, bit = F.pmod(F.shiftright(digest, 6), F.lit(SLOTS)).alias("__slot"), digest.bitwiseAND(63).cast("int")
+    words = known.select(slot, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__bits")).groupBy("__slot").agg(F.bit_or("__bits").alias("__bits"))
+    found = rows.select("*", slot).join(F.broadcast(words), "__slot")
+    return found.where(F.call_function("shiftright", F.col("__bits"), bit).bitwiseAND(1) == 1).select(*rows.columns)
+
+
 def _matches(corpus: Corpus, queries: DataFrame, extra: int = 0) -> DataFrame | None:
     """(query, shard, seq, pos[, next]) of every occurrence; with ``extra`` only those with a successor."""
     parts = []
@@ -68,6 +89,8 @@ def _matches(corpus: Corpus, queries: DataFrame, extra: int = 0) -> DataFrame |
         grams = ngrams(corpus, m + extra)
         if extra:
             grams = grams.withColumnRenamed(f"g{m}", "next")
+        if not small:
+            grams = _passing(grams, own, columns(m), _wide(corpus))
         parts.append(grams.join(F.broadcast(own) if small else own, columns(m)).drop(*columns(m)))
     return reduce(DataFrame.unionByName, parts) if parts else None
 

@@ -198,3 +198,24 @@ def test_token_files_answer_queries_of_any_length(spark, tmp_path):
     index.save(f"{tmp_path}/saved")
     again = NgramIndex.load(spark, f"{tmp_path}/saved")
     assert again.has_lookups and again.positions(tokens[:118]) == [59, 0]
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_large_joins_leave_most_ngrams_where_they_lie(spark, monkeypatch, kind):
+    """Many queries, of which long ones share beginnings: what passes the filter is joined, and little else passes."""
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 3)
+    cast = str if kind == "string" else int
+    rng = random.Random(6)
+    seqs = [[cast(rng.randrange(9)) for _ in range(rng.choice([0, 1, 16, 17, 40, 90]))] for _ in range(40)]
+    seqs += [seqs[-1][:], [cast(1)] * 60] + [[cast(2)] * 20 + [cast(k)] * 5 for k in range(9)]
+    corpus = corpora.from_sequences(spark.createDataFrame(list(enumerate(seqs)), f"seq long, tokens array<{kind}>"), "tokens", "seq")
+    queries = [s[p : p + m] for s in seqs if s for m in (1, 16, 24) for p in (0, len(s) // 2)]
+    queries += [q[:-1] + [cast(8)] for q in queries[:40]] + [[], [cast(1)] * 61]
+    frame = spark.createDataFrame(list(enumerate(queries)), f"query_id long, query array<{'string' if kind == 'string' else 'long'}>")
+    want = {i: sum(len(brute(s, q)) for s in seqs) for i, q in enumerate(queries)}
+    assert {r["query_id"]: r["count"] for r in lookup.count(corpus, frame).collect()} == want
+    follows = collections.Counter({(r["query_id"], r["token"]): r["count"] for r in lookup.count_next(corpus, frame).collect()})
+    assert follows == collections.Counter((i, s[p + len(q)]) for i, q in enumerate(queries) for s in seqs for p in (brute(s, q) if q else range(len(s))) if p + len(q) < len(s))
+    rows = spark.range(100_000).select("id")
+    passed = lookup._passing(rows, rows.where("id % 1000 = 7"), ["id"], "bigint")
+    assert passed.where("id % 1000 = 7").count() == 100 and passed.count() < 200
