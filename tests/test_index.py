@@ -548,3 +548,23 @@ def test_orders_move_packed_digests():
     packed = {"low": np.array([5, 5, 9], np.uint64), "high": np.array([1, 2, 1], np.uint16), "counts": np.array([4, 1, 2], np.uint32)}
     group = pa.table(bucket | {c: pa.array([x.tobytes()] * 2, pa.binary()) for c, x in packed.items()})
     assert orders._merged(group).to_pylist() == [{"n": 3, "occurrences": c, "num": 1} for c in (2, 4, 8)]
+
+
+def test_perplexity_by_passes(spark, monkeypatch):
+    """Passes over shares of the tokens add up to what one pass finds, and none takes all steps."""
+    from lexshoal import index as module
+
+    rows = spark.createDataFrame([(0, ids("aabbcca")), (1, ids("c")), (2, [])], "seq long, tokens array<long>")
+    found, sizes, own = [], [], smoothing.pair_probs
+
+    def counted(model, pairs):
+        sizes.append(pairs.count())
+        return own(model, pairs)
+
+    monkeypatch.setattr(smoothing, "pair_probs", counted)
+    for most in (1 << 22, 3):
+        monkeypatch.setattr(module, "PASS_TOKENS", most)
+        index = NgramIndex.from_tokens(spark, ids("aabbccabccba"), vocab=3)
+        found.append({r["seq"]: (r["tokens"], pytest.approx(r["perplexity"])) for r in index.perplexity(rows, 2).collect()})
+    assert found[0] == found[1] and set(found[0]) == {0, 1}
+    assert sizes[0] == 8 and len(sizes) == 4 and sum(sizes[1:]) == 8 and max(sizes[1:]) < 8
